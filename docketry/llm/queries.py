@@ -10,7 +10,13 @@ from docketry.llm.common import table
 from docketry.llm.decontaminate import decontaminate_documents
 from docketry.llm.exact_dedup import exact_groups
 from docketry.llm.mixing import mix_documents
+from docketry.llm.quality import score_documents as score_quality
 from docketry.llm.sharding import shard_documents
+from docketry.llm.simhash import near_duplicates
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,12 +31,16 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = [op4_sharding, op5_exact_dedup, op7_decontamination, op10_mixing]
+    every = [op3_quality, op4_sharding, op5_exact_dedup, op7_decontamination, op8_simhash, op10_mixing]
     return {f.__name__: f for f in every}
 
 

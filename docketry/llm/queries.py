@@ -13,12 +13,17 @@ from docketry.llm.mixing import mix_documents
 from docketry.llm.quality import score_documents as score_quality
 from docketry.llm.sharding import shard_documents
 from docketry.llm.simhash import near_duplicates
+from docketry.llm.toxicity import score_documents as score_toxicity
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
@@ -40,7 +45,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = [op3_quality, op4_sharding, op5_exact_dedup, op7_decontamination, op8_simhash, op10_mixing]
+    every = [op3_quality, op4_sharding, op5_exact_dedup, op7_decontamination, op8_simhash, op9_toxicity, op10_mixing]
     return {f.__name__: f for f in every}
 
 

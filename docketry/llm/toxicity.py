@@ -3,7 +3,8 @@
 Writers hide words by leetspeak, by spacing or separators between letters and by repeated letters. A token that may
 hide a word spans a lattice: each character is a letter that it may stand for, a repeat of the letter before, or
 nothing. A character trigram model, counted over all documents and mixed with the trigrams of the learned words,
-picks the path (Viterbi). The restored words, and those that stand in the open, are scored by a logistic model.
+picks the path (Viterbi). What is scored, by a logistic model, are learned stems: beginnings of restored words and of
+those that stand in the open.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ from pyspark.sql import functions as F
 
 from docketry.llm.quality import is_held_out, labelled
 
-#: Labelled rows to learn from at most, words learned at most, least documents with a word and least log-odds for it.
-TRAINING_ROWS, WORDS, LEAST_DOCS, LEAST_ODDS = 20_000, 256, 3, 2.0
+#: Labelled rows to learn from at most, words learned at most, least documents with a word, least log-odds for it, and
+#: the evidence asked for beyond what chance gives.
+TRAINING_ROWS, WORDS, LEAST_DOCS, LEAST_ODDS, CHANCE = 20_000, 256, 3, 2.0, 4.0
 THRESHOLD = 0.7
 
 #: Letters that a character may stand for.
@@ -30,6 +32,12 @@ STANDS_FOR = {"0": "o", "1": "il", "!": "il", "|": "il", "3": "e", "4": "a", "@"
 #: Costs (negative log probabilities) of a substitution, a repeated letter that is dropped and a separator that is dropped.
 SUBSTITUTED, REPEATED, SEPARATED = 1.0, 0.3, 0.5
 
+#: Letters with accents and what they are read as.
+ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿß", "aaaaaaceeeeiiiinooooouuuuyys"
+FOLD = str.maketrans(ACCENTED, PLAIN)
+#: Letters of a learned stem.
+SHORTEST, LONGEST = 4, 8
+
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 N = len(LETTERS) + 1  # 0: anything else
 
@@ -106,20 +114,39 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
     return counts.reshape(N, N, N)
 
 
-def learned_words(train: DataFrame, words: int = WORDS) -> dict[str, float]:
-    """Words whose presence speaks for the label, with their smoothed log-odds; `words` at most."""
-    own = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]{3,}"), F.lit(0)))
+def folded(text: str | None) -> str:
+    low = (text or "").lower()
+    return low if low.isascii() else low.translate(FOLD)
+
+
+def learned_stems(train: DataFrame, words: int = WORDS) -> dict[str, float]:
+    """Stems whose presence speaks for the label, with their smoothed log-odds; `words` at most.
+
+    Of stems that begin with one another, the one with most evidence is taken, the longest of equal ones.
+    """
+    low = F.translate(F.lower(F.coalesce("text", F.lit(""))), ACCENTED, PLAIN)
+    own = F.array_distinct(F.regexp_extract_all(low, F.lit(f"[a-z]{{{SHORTEST},}}"), F.lit(0)))
+    own = F.array_distinct(F.flatten(F.transform(own, lambda w: F.transform(F.sequence(F.lit(SHORTEST), F.least(F.length(w), F.lit(LONGEST))), lambda k: F.substr(w, F.lit(1), k)))))
     sizes = train.agg(F.sum("y").alias("yes"), F.count(F.lit(1)).alias("all")).first()
     yes, no = sizes["yes"] or 0.0, sizes["all"] - (sizes["yes"] or 0.0)
-    by = train.select("y", F.explode(own).alias("word")).groupBy("word").agg(F.sum("y").alias("yes"), F.sum(1 - F.col("y")).alias("no")).where(F.col("yes") >= LEAST_DOCS)
+    by = train.select("y", F.explode(own).alias("word")).groupBy("word").agg(F.sum("y").alias("yes"), F.sum(1 - F.col("y")).alias("no"))
+    seen = by.count()
     odds = F.log((F.col("yes") + 0.5) / (yes + 1)) - F.log((F.col("no") + 0.5) / (no + 1))
-    top = by.select("word", odds.alias("odds")).where(F.col("odds") >= LEAST_ODDS).orderBy(F.col("odds").desc(), "word").limit(words)
-    return {r["word"]: r["odds"] for r in top.collect()}
+    # Twice the log-likelihood gained over independence: of as many words as were seen, few reach the limit by chance.
+    df, share = F.col("yes") + F.col("no"), yes / max(1.0, yes + no)
+    part = lambda n, s: F.when(n > 0, n * F.log(n / (df * s))).otherwise(0.0)
+    gain = 2 * (part(F.col("yes"), share) + part(F.col("no"), 1 - share)) if 0 < share < 1 else F.lit(0.0)
+    top = by.where((F.col("yes") >= LEAST_DOCS) & (odds >= LEAST_ODDS) & (gain >= 2 * math.log(max(1, seen)) + CHANCE)).select("word", odds.alias("odds"), gain.alias("gain"))
+    taken: dict[str, float] = {}
+    for r in top.orderBy(F.round("gain", 6).desc(), F.length("word").desc(), "word").limit(words * 4 * (LONGEST - SHORTEST + 1)).collect():
+        if len(taken) < words and not any(r["word"].startswith(w) or w.startswith(r["word"]) for w in taken):
+            taken[r["word"]] = r["odds"]
+    return taken
 
 
 @dataclass
 class Model:
-    """What executors need to score: learned words, the character model's log-probabilities, logistic weights."""
+    """What executors need to score: learned stems, the character model's log-probabilities, logistic weights."""
 
     words: dict[str, float]
     chars: np.ndarray
@@ -128,14 +155,13 @@ class Model:
     known: dict = field(default_factory=dict)
 
     def __post_init__(self):
-        """The skeletons under which a word may hide: its own, without a last letter that a mark may stand for, or
-        without one vowel, for which a * may stand. A token with such a skeleton is decoded; the word decides."""
-        self.skeletons = set()
-        for w in self.words:
-            self.skeletons |= {bone(w), *(bone(w[:i] + w[i + 1 :]) for i, c in enumerate(w) if c in "aeiou")}
-            if w[-1] in "sitla":
-                self.skeletons.add(bone(w.rstrip(w[-1])))
-        self.as_bytes = {s.encode() for s in self.skeletons}
+        """The skeletons with which a token begins that may hide a stem; those that it has as a whole, without a last
+        letter that a mark may stand for; and those with a * for a vowel. Such a token is decoded; the word decides."""
+        bones = {bone(w) for w in self.words}
+        self.whole = {bone(w.rstrip(w[-1])) for w in self.words if w[-1] in "sitla"}
+        self.starred = {bone(w[:i] + w[i + 1 :]) for w in self.words for i, c in enumerate(w) if c in "aeiou"}
+        self.plain, self.all = _index(bones), _index(bones | self.starred)
+        self.whole_bytes = {s.encode() for s in self.whole}
 
     def __getstate__(self):
         return {"words": self.words, "chars": self.chars, "weights": self.weights, "base": self.base, "known": {}}
@@ -174,26 +200,33 @@ class Model:
         self.known[token] = path
         return path
 
+    def stem(self, word: str) -> str | None:
+        """The learned stem with which a word begins."""
+        return next((word[:k] for k in range(SHORTEST, LONGEST + 1) if word[:k] in self.words and len(word) >= k), None)
+
     def hits(self, text: str | None) -> tuple[dict[str, int], list[tuple[str, str]]]:
-        """How often each learned word stands in the text, open or restored; and the restored ones as (token, word)."""
+        """How often each learned stem stands in the text, open or restored; and the restored words as (token, word)."""
         found: dict[str, int] = {}
         restored: list[tuple[str, str]] = []
-        low = (text or "").lower()
+        low = folded(text)
         raw = low.encode()
+        if not raw or not self.words:
+            return found, restored
         bones = skeleton(raw)
         gaps = np.diff(np.flatnonzero(np.concatenate([[True], bones == 32, [True]]))) == 2
-        spaced = bool((gaps[2:] & gaps[1:-1] & gaps[:-2]).any())
-        hidden = not self.as_bytes.isdisjoint(bones.tobytes().split())
-        shown = not self.as_bytes.isdisjoint(collapsed(OPEN[np.frombuffer(raw, np.uint8)]).tobytes().split())
-        if not (spaced or hidden or shown):
+        index = self.all if "*" in low and re.search(r"[a-z]\*+[a-z]", low) else self.plain
+        tokens = bones.tobytes().split()
+        shown = collapsed(OPEN[np.frombuffer(raw, np.uint8)]).tobytes().split()
+        if not ((gaps[2:] & gaps[1:-1] & gaps[:-2]).any() or _any(index, tokens) or _any(self.plain, shown) or not self.whole_bytes.isdisjoint(tokens)):
             return found, restored
 
         def add(word: str, token: str) -> bool:
-            if word in self.words:
-                found[word] = found.get(word, 0) + 1
+            stem = self.stem(word)
+            if stem:
+                found[stem] = found.get(stem, 0) + 1
                 if word != token:
                     restored.append((token, word))
-            return word in self.words
+            return stem is not None
 
         single: list[str] = []
         for token in [*re.split(r"[\s,;:/()\[\]{}<>\"]+", low), ".."]:
@@ -205,23 +238,28 @@ class Model:
                 self.spaced(single, add)
             if own or token == "..":
                 single.clear()
-            if own in self.skeletons and (add(self.decode(token), token.strip(".!?'*-_|#&%$~")) or add(self.decode(token.strip(".!?'*-_|#&%$~")), token)):
-                continue
+            if own in self.whole or any(own[:k] in s for k, s in index[0].items()):
+                bare = token.strip(".!?'*-_|#&%$~")
+                if add(self.decode(bare), bare) or add(self.decode(token), token):
+                    continue
             if not token.isalpha():
                 for word in re.findall(r"[^\W\d_]+", token):
                     add(word, word)
         return found, restored
 
     def spaced(self, single: list[str], add) -> None:
-        """Learned words among tokens of one letter each; the longest at each place."""
+        """Learned stems among tokens of one letter each, at the first place of each; the rest of the run goes with it."""
         at = 0
-        longest = 2 * max(map(len, self.words), default=0)
-        while at < len(single):
-            for end in range(min(len(single), at + longest), at + 2, -1):
-                joined = "".join(single[at:end])
-                if bone(joined) in self.skeletons and add(self.decode(joined), " ".join(single[at:end])):
-                    at = end - 1
-                    break
+        while at + 2 < len(single):
+            joined = "".join(single[at : at + 3 * LONGEST])
+            own = bone(joined)
+            if any(own[:k] in s for k, s in self.plain[0].items()):
+                for end in range(at + SHORTEST, min(len(single), at + 3 * LONGEST) + 1):
+                    word = self.decode("".join(single[at:end]))
+                    if self.stem(word):
+                        add(word, " ".join(single[at:end]))
+                        at = end - 1
+                        break
             at += 1
 
     def measures(self, text: str | None) -> list[float]:
@@ -234,6 +272,19 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.base + (x @ self.weights if self.weights is not None else 0), -30, 30)))
 
 
+def _index(bones: set[str]) -> tuple[dict[int, set[str]], dict[int, set[bytes]]]:
+    """Skeletons by length, as strings and as bytes."""
+    text: dict[int, set[str]] = {}
+    for b in bones:
+        text.setdefault(len(b), set()).add(b)
+    return text, {k: {x.encode() for x in v} for k, v in text.items()}
+
+
+def _any(index: tuple[dict, dict], tokens: list[bytes]) -> bool:
+    """Whether a token begins with a skeleton."""
+    return any(not s.isdisjoint([t[:k] for t in tokens]) for k, s in index[1].items())
+
+
 def character_model(counts: np.ndarray, words: dict[str, float]) -> np.ndarray:
     """Log-probability of a letter after two: the corpus and the learned words in equal parts, each smoothed."""
     own = np.zeros((N, N, N))
@@ -262,7 +313,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> tuple[np.ndar
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Model:
     """A model of `toxic`: words and weights from at most `rows` labelled rows, characters from all documents."""
     own = labelled(docs, labels, "toxic", 3, 1, rows)
-    words = learned_words(own)
+    words = learned_stems(own)
     model = Model(words, character_model(trigram_counts(docs), words))
 
     @F.pandas_udf("array<double>")

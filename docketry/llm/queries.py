@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from docketry.llm.common import table
 from docketry.llm.decontaminate import decontaminate_documents
 from docketry.llm.exact_dedup import exact_groups
+from docketry.llm.licenses import oracle as license_oracle
+from docketry.llm.licenses import scan_documents
 from docketry.llm.mixing import mix_documents
 from docketry.llm.quality import score_documents as score_quality
 from docketry.llm.sharding import shard_documents
@@ -32,6 +34,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -45,7 +51,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = [op3_quality, op4_sharding, op5_exact_dedup, op7_decontamination, op8_simhash, op9_toxicity, op10_mixing]
+    every = [op3_quality, op4_sharding, op5_exact_dedup, op6_licenses, op7_decontamination, op8_simhash, op9_toxicity, op10_mixing]
     return {f.__name__: f for f in every}
 
 
@@ -103,4 +109,4 @@ SELECT o.doc_id, o.size, o.source_size, o.target, coalesce(k.taken, 0) AS taken
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5, "op7_decontamination": OP7, "op10_mixing": OP10}
+    return {"op5_exact_dedup": OP5, "op6_licenses": license_oracle(), "op7_decontamination": OP7, "op10_mixing": OP10}

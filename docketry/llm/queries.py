@@ -16,6 +16,12 @@ from docketry.llm.quality import score_documents as score_quality
 from docketry.llm.sharding import shard_documents
 from docketry.llm.simhash import near_duplicates
 from docketry.llm.toxicity import score_documents as score_toxicity
+from docketry.llm.warc import derivatives, responses
+from docketry.llm.warc import oracle as warc_oracle
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derivatives(responses(table(spark, sf_dir, "pages")))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +57,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = [op3_quality, op4_sharding, op5_exact_dedup, op6_licenses, op7_decontamination, op8_simhash, op9_toxicity, op10_mixing]
+    every = [op2_warc, op3_quality, op4_sharding, op5_exact_dedup, op6_licenses, op7_decontamination, op8_simhash, op9_toxicity, op10_mixing]
     return {f.__name__: f for f in every}
 
 
@@ -109,4 +115,4 @@ SELECT o.doc_id, o.size, o.source_size, o.target, coalesce(k.taken, 0) AS taken
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5, "op6_licenses": license_oracle(), "op7_decontamination": OP7, "op10_mixing": OP10}
+    return {"op2_warc": warc_oracle(), "op5_exact_dedup": OP5, "op6_licenses": license_oracle(), "op7_decontamination": OP7, "op10_mixing": OP10}

@@ -15,11 +15,16 @@ from docketry.llm.mixing import mix_documents
 from docketry.llm.quality import score_documents as score_quality
 from docketry.llm.sharding import shard_documents
 from docketry.llm.simhash import near_duplicates
+from docketry.llm.suffix_dedup import dedup_documents
 from docketry.llm.toxicity import score_documents as score_toxicity
 from docketry.llm.warc import derivatives, responses
 from docketry.llm.warc import oracle as warc_oracle
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derivatives(responses(table(spark, sf_dir, "pages")))
 
@@ -57,7 +62,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = [op2_warc, op3_quality, op4_sharding, op5_exact_dedup, op6_licenses, op7_decontamination, op8_simhash, op9_toxicity, op10_mixing]
+    every = [op1_suffix_dedup, op2_warc, op3_quality, op4_sharding, op5_exact_dedup, op6_licenses, op7_decontamination, op8_simhash, op9_toxicity, op10_mixing]
     return {f.__name__: f for f in every}
 
 

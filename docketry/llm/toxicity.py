@@ -13,6 +13,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -84,6 +85,7 @@ def skeleton(raw: bytes) -> np.ndarray:
 CLASSES = {i: chr(TABLE[i]) if TABLE[i] else None for i in range(128)}
 
 
+@lru_cache(maxsize=1 << 16)
 def bone(token: str) -> str:
     """The same of one token."""
     return re.sub(r"(.)\1+", r"\1", re.sub(r"[!|$+@]+(?![a-z0-9\x80-\U0010ffff])", "", token).translate(CLASSES))
@@ -161,6 +163,8 @@ class Model:
         self.whole = {bone(w.rstrip(w[-1])) for w in self.words if w[-1] in "sitla"}
         self.starred = {bone(w[:i] + w[i + 1 :]) for w in self.words for i, c in enumerate(w) if c in "aeiou"}
         self.plain, self.all = _index(bones), _index(bones | self.starred)
+        begin = {b[0] for b in bones | self.starred | self.whole}
+        self.others = {c for c in LETTERS if bone(c) not in begin}
         self.whole_bytes = {s.encode() for s in self.whole}
 
     def __getstate__(self):
@@ -217,7 +221,8 @@ class Model:
         index = self.all if "*" in low and re.search(r"[a-z]\*+[a-z]", low) else self.plain
         tokens = bones.tobytes().split()
         shown = collapsed(OPEN[np.frombuffer(raw, np.uint8)]).tobytes().split()
-        if not ((gaps[2:] & gaps[1:-1] & gaps[:-2]).any() or _any(index, tokens) or _any(self.plain, shown) or not self.whole_bytes.isdisjoint(tokens)):
+        spaced = bool((gaps[2:] & gaps[1:-1] & gaps[:-2]).any())
+        if not (spaced or _any(index, tokens) or _any(self.plain, shown) or not self.whole_bytes.isdisjoint(tokens)):
             return found, restored
 
         def add(word: str, token: str) -> bool:
@@ -230,20 +235,23 @@ class Model:
 
         single: list[str] = []
         for token in [*re.split(r"[\s,;:/()\[\]{}<>\"]+", low), ".."]:
+            if not spaced and token[:1] in self.others:
+                continue  # its first letter begins no stem
             own = bone(token)
-            if len(own) == 1:
-                single.append(token)
-                continue
-            if len(single) > 2:
-                self.spaced(single, add)
-            if own or token == "..":
-                single.clear()
+            if spaced:
+                if len(own) == 1:
+                    single.append(token)
+                    continue
+                if len(single) > 2:
+                    self.spaced(single, add)
+                if own or token == "..":
+                    single.clear()
+            bare = token.strip(".!?'*-_|#&%$~+@")
             if own in self.whole or any(own[:k] in s for k, s in index[0].items()):
-                bare = token.strip(".!?'*-_|#&%$~")
                 if add(self.decode(bare), bare) or add(self.decode(token), token):
                     continue
-            if not token.isalpha():
-                for word in re.findall(r"[^\W\d_]+", token):
+            if bare and not bare.isalpha():
+                for word in re.findall(r"[^\W\d_]+", bare):
                     add(word, word)
         return found, restored
 

@@ -94,14 +94,18 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     def report(ws: Column) -> Column:
         size = F.size(ws)
         base = F.concat(*[F.transform(places(ws, size, p.split()), labelled_start(label)) for p, label in BASE.items()])
-        own = F.slice(F.array_intersect(F.array(*map(F.lit, terms)), ws), 1, LOOKED_UP)
-        at = F.filter(F.transform(ws, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda p: F.array_contains(own, p["w"]))
+        rare = F.slice(F.array_intersect(F.array(*map(F.lit, terms)), ws), 1, LOOKED_UP)
 
         def vote(p: Column) -> Column:
             rows = F.get(of_term, (F.array_position(F.array(*map(F.lit, terms)), p["w"]) - 1).cast("int"))
             return F.transform(rows, lambda r: F.struct(r["t"].alias("t"), (p["i"] - r["i"]).alias("start")))
 
-        votes = F.when(F.size(own) >= VOTES, F.filter(F.flatten(F.transform(at, vote)), lambda v: v["start"] >= 0)).otherwise(F.array().cast("array<struct<t:int,start:int>>"))
+        def cast(own: Column) -> Column:
+            """The votes of the places of a file's own rare words, which are looked up once and come as a variable."""
+            at = F.filter(F.transform(ws, lambda w, i: F.when(F.array_contains(own, w), F.struct(w.alias("w"), i.alias("i")))), lambda p: p.isNotNull())
+            return F.when(F.size(own) >= VOTES, F.filter(F.flatten(F.transform(at, vote)), lambda v: v["start"] >= 0)).otherwise(F.array().cast("array<struct<t:int,start:int>>"))
+
+        votes = F.element_at(F.transform(F.array(rare), cast), 1)
 
         def enough(vs: Column) -> Column:
             """The first of each run of equal votes, in sorted order, that is long enough."""

@@ -19,7 +19,7 @@ def scratch(spark) -> str:
     return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-_EVENT = F.create_map(*[F.lit(x) for kv in {"view": "SUBMIT", "click": "REQUEST_CHANGES", "purchase": "APPROVE", "error": "PUBLISH", "signup": "ARCHIVE"}.items() for x in kv])
+COMMAND = {"view": "SUBMIT", "click": "REQUEST_CHANGES", "purchase": "APPROVE", "error": "PUBLISH", "signup": "ARCHIVE"}
 
 
 def commands(spark, sf_dir):
@@ -29,7 +29,7 @@ def commands(spark, sf_dir):
     return e.select(
         F.col("user_id").cast("string").alias("instance_id"),
         F.col("event_id").alias("arrival"),
-        _EVENT[F.col("event_type")].alias("event"),
+        F.create_map(*[F.lit(x) for kv in COMMAND.items() for x in kv])[F.col("event_type")].alias("event"),
         F.when(who == 0, "d").when(who == 1, "r").otherwise("v").alias("actor_id"),
         F.when(who == 0, F.array(F.lit("drafter"))).when(who == 1, F.array(F.lit("reviewer"))).otherwise(F.array(F.lit("viewer"))).alias("actor_roles"),
         F.lit("d").alias("drafter_id"),

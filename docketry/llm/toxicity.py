@@ -277,7 +277,7 @@ class Model:
         return [sum(odds), max(odds, default=0.0), math.log1p(n), float(len(found)), math.log1p(len(restored)), 100 * n / (1 + len(text or "") / 6)]
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.base + (x @ self.weights if self.weights is not None else 0), -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.base + (x @ self.weights if self.weights is not None else np.zeros(len(x))), -30, 30)))
 
 
 def _index(bones: set[str]) -> tuple[dict[int, set[str]], dict[int, set[bytes]]]:

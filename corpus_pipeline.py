@@ -22,15 +22,20 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of each component whose id names it; of rows that repeat that id, the one of the smallest text.
+    """The document of each component whose id names it; of rows that repeat that id, the one of the least digest.
 
-    A component without ids is named by none and keeps one row.
+    A component without ids is named by none and keeps one row. Ids and digests decide, so that the texts travel
+    once; only of rows that repeat id and digest are texts dealt out again, to keep one of them.
     """
     groups = stored(simhash.near_duplicates(docs))
-    named = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(named.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id"))).select(*COLUMNS)
-    first = Window.partitionBy("doc_id").orderBy("text", "source", "lang", "n_chars")
-    return kept.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*COLUMNS)
+    named = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    slim = docs.select(F.col("doc_id").alias("_own"), F.xxhash64(*COLUMNS).alias("_digest"))
+    slim = slim.join(named, F.col("_own").eqNullSafe(F.col("_id")), "left_semi").groupBy("_own", "_digest").agg(F.count(F.lit(1)).alias("_times"))
+    slim = stored(slim.groupBy("_own").agg(F.min(F.struct("_digest", "_times")).alias("_best")).select("_own", "_best._digest", "_best._times"))
+    rows = docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("_mark"))
+    kept = rows.join(slim, F.col("doc_id").eqNullSafe(F.col("_own")) & (F.col("_mark") == F.col("_digest")))
+    same = kept.where("_times > 1").withColumn("_n", F.row_number().over(Window.partitionBy("_own", "_digest").orderBy("_mark"))).where("_n = 1")
+    return kept.where("_times = 1").select(*COLUMNS).unionByName(same.select(*COLUMNS))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 # Marks of amended text and how struck text is bracketed.
@@ -196,7 +196,7 @@ def bill_section(node: ET.Element, ordinal: int, part: str | None, ordinals: dic
     text = "\n".join(b["text"] for b in made)
     action, source = node.get("action"), node.get("type", "new")
     section = {
-        "ordinal": ordinal, "section_id": section_id, "num": int(number) if number.isdigit() else None, "part": part, "source_kind": source, "action": action, "cite": cite, "caption": re.sub(r"^[\s-]+|[\s-]+$", "", text_of(first(header, "Caption"))) or None,
+        "ordinal": ordinal, "section_id": section_id, "num": int(number) if number.isdigit() else None, "part": part, "source_kind": source, "action": action, "cite": cite, "caption": re.sub(r"^[\s-]+|[\s.-]+$", "", text_of(first(header, "Caption"))) or None,
         "history": text_of(first(node, "History")) or None, "kind": "amendatory" if source == "amendatory" else "repealer" if action == "repeal" else kind_of(f"{effective(runs(header))} {text}"), "text": text, "text_hash": digest(clean(text)), "veto": any(x.get("lineVeto") for x in node.iter()),
         "repealed": [m for p in paragraphs for m in re.findall(r"RCW\s+(\d+[A-Z]?\.\d+[A-Z]?\.\d+)", "".join(p.itertext()))] if action == "repeal" else [], "blocks": made,
         "ins_words": sum(len(b["inserted"].split()) for b in made), "del_words": sum(len(b["struck"].strip("()").split()) for b in made),
@@ -286,20 +286,21 @@ BLOCK = "ordinal int, section_id string, ord int, block_id string, parent_id str
 def parse_all(files: DataFrame, rows: str) -> DataFrame:
     """(key, error) and the sections or blocks of documents (key, format, content); one that doesn't parse gives its error."""
     schema = SECTION if rows == "sections" else BLOCK
-    names = [x.split()[0] for x in schema.split(", ")]
+    full = f"key string, error string, {schema}"
+    shape = pa.schema([(n, pa.int32() if t == "int" else pa.string()) for n, t in (x.split() for x in full.split(", "))])
     parsers = {"xml": parse_bill_xml, "htm": parse_bill_htm, "amendment": parse_amendment_xml}
 
-    def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for key, form, content in zip(batch["key"], batch["format"], batch["content"], strict=True):
+            for key, form, content in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 try:
                     found = parsers[form](content)["sections"]
-                except (ET.ParseError, KeyError, TypeError, ValueError) as error:
+                except (ET.ParseError, AttributeError, KeyError, TypeError, ValueError) as error:
                     out.append({"key": key, "error": str(error)})
                     continue
                 for s in found:
                     out += [{"key": key, **s}] if rows == "sections" else [{"key": key, "ordinal": s["ordinal"], "section_id": s["section_id"], "ord": i, **b} for i, b in enumerate(s["blocks"])]
-            yield pd.DataFrame(out, columns=["key", "error", *names]).astype({n: "Int32" for n, t in (x.split() for x in schema.split(", ")) if t == "int"})
+            yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in shape.names} for r in out], schema=shape)
 
-    return files.select("key", "format", "content").mapInPandas(parsed, f"key string, error string, {schema}")
+    return files.select("key", "format", "content").mapInArrow(parsed, full)

@@ -1,0 +1,67 @@
+"""Pairs of rows by shared words, all of them: counted in Arrow batches against postings.
+
+Unlike the operators of `relational`, this runs a job: the right side goes through the driver to every task.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Rows of a block of the right side of `similar_pairs`, and counts held at once.
+BLOCK, COUNTS = 20_000, 1 << 22
+
+
+def similar_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(left id, right id, score) of every pair of rows that share a word and whose Jaccard similarity is at least `least`.
+
+    Both sides are (id, array of distinct words); rows with a null id have no pairs, and rows that repeat have theirs
+    each. A block of the right side goes to every task as postings, against which a batch of the left side counts its
+    shared words: every shared word counts, and no pair is shuffled. A larger right side is as many blocks as it fills.
+    """
+    (x, words), (y, others) = left.columns, right.columns
+    schema = f"`{x}` {left.schema[x].dataType.simpleString()}, `{y}` {right.schema[y].dataType.simpleString()}, score double"
+    left, right = left.where(F.col(x).isNotNull()), right.where(F.col(y).isNotNull())
+    rows = right.select(y, others).toArrow()
+
+    def pairs(block: pa.Table):
+        ids, lists = (block.column(c).combine_chunks() for c in (y, others))
+        sizes = pc.list_value_length(lists).to_numpy().astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        code, vocabulary = coded.indices.to_numpy(), coded.dictionary
+        order = np.argsort(code, kind="stable")
+        posted = np.repeat(np.arange(len(ids)), sizes)[order]
+        first = np.searchsorted(code[order], np.arange(len(vocabulary) + 1))
+
+        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own = pc.list_value_length(batch.column(1)).to_numpy().astype(np.int64)
+                found = pc.index_in(batch.column(1).flatten(), value_set=vocabulary)
+                known = found.is_valid().to_numpy(zero_copy_only=False)
+                word, row = found.drop_null().to_numpy().astype(np.int64), np.repeat(np.arange(len(own)), own)[known]
+                times = first[word + 1] - first[word]
+                cost = np.cumsum(len(ids) + np.bincount(row, times, len(own)).astype(np.int64))
+                cuts = np.unique(np.concatenate([np.flatnonzero(np.diff(cost // COUNTS)) + 1, [0, len(own)]]))
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    i, j = np.searchsorted(row, [a, b])
+                    n = times[i:j]
+                    if not n.sum():
+                        continue
+                    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[word[i:j]], n)
+                    shared = np.bincount(np.repeat(row[i:j] - a, n) * len(ids) + posted[at])
+                    cell = np.flatnonzero(shared)
+                    r, item = cell // len(ids) + a, cell % len(ids)
+                    score = shared[cell] / (own[r] + sizes[item] - shared[cell])
+                    kept = score >= least
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(r[kept])), ids.take(pa.array(item[kept])), pa.array(score[kept])], names=[x, y, "score"])
+
+        return left.select(x, words).mapInArrow(counted, schema)
+
+    blocks = [pairs(rows.slice(k, BLOCK)) for k in range(0, max(1, rows.num_rows), BLOCK)]
+    return reduce(DataFrame.unionByName, blocks)

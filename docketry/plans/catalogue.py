@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.functions import refs, text
+from docketry.operators import pairs
 from docketry.operators import relational as op
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -364,8 +365,4 @@ FROM c JOIN d USING (doc_id) JOIN b USING (item_id) WHERE score >= 0.1
 def jaccard_pairs(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", F.array_distinct(tokens()).alias("a"))
     items = read(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(tokens()).alias("b"))
-    words = items.select("item_id", F.explode("b").alias("w"))
-    own = words.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.min("item_id").alias("item_id")).where("n = 1").select("w", "item_id")
-    pairs = docs.select("doc_id", F.explode("a").alias("w")).join(own, "w").select("doc_id", "item_id").distinct()
-    scored = pairs.join(docs, "doc_id").join(items, "item_id").select("doc_id", "item_id", op.jaccard(F.col("a"), F.col("b")).alias("score"))
-    return scored.where("score >= 0.1")
+    return pairs.similar_pairs(docs, items, 0.1)

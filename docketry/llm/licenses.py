@@ -1,7 +1,7 @@
 """Licence scans by a positional rare-token index.
 
 Document frequencies over all documents give each licence word's IDF. A template is indexed by its words of highest
-IDF, with their positions. A file looks up those of its words that the index has, the rarest first; each place votes
+IDF, with their positions. A file looks up all of its words that the index has; each place votes
 for the template at the relative position where its word would stand. Where enough votes agree, the template's
 mandatory key phrases must stand in the file, word for word at that position.
 """
@@ -36,8 +36,8 @@ TEMPLATES = (
     ("unlicense", "this is free and unencumbered software released into the public domain", ((2, 4),)),
 )
 
-#: Rarest words by which a template is indexed, rarest indexed words that a file looks up, and votes that must agree.
-INDEXED, LOOKED_UP, VOTES = 4, 32, 2
+#: Rarest words by which a template is indexed, and votes that must agree.
+INDEXED, VOTES = 4, 2
 
 
 def vocabulary() -> list[str]:
@@ -94,7 +94,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     def report(ws: Column) -> Column:
         size = F.size(ws)
         base = F.concat(*[F.transform(places(ws, size, p.split()), labelled_start(label)) for p, label in BASE.items()])
-        rare = F.slice(F.array_intersect(F.array(*map(F.lit, terms)), ws), 1, LOOKED_UP)
+        rare = F.array_intersect(F.array(*map(F.lit, terms)), ws)
 
         def vote(p: Column) -> Column:
             rows = F.get(of_term, (F.array_position(F.array(*map(F.lit, terms)), p["w"]) - 1).cast("int"))

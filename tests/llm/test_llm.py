@@ -253,6 +253,15 @@ def test_license_scan(spark, nothing):
     assert show(7)[4:6] == ("gpl", "gpl,gpl-3.0") and show(8)[5] == show(9)[5] == "" and licenses.scan_documents(nothing).collect() == []
 
 
+def test_a_file_of_all_notices_has_all_labels(spark):
+    notices = [(label, notice) for label, notice, _ in licenses.TEMPLATES]
+    every = " . ".join(notice for _, notice in notices)
+    for often in ("", "apache", "cc"):
+        cases = [(0, every)] + [(i, f"{notice} {i}") for i, (label, notice) in enumerate(notices * 3, 1) if not often or label.startswith(often)]
+        got = by_id(licenses.scan_documents(spark.createDataFrame(cases, "doc_id long, text string")))
+        assert {label for label, _ in notices} <= set(got[0]["labels"].split(","))
+
+
 # 7
 
 

@@ -6,7 +6,7 @@ writes as Parquet and reads again for the next. All but the last return the colu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docketry.llm import decontaminate, mixing, quality, sharding, simhash
@@ -21,19 +21,21 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.scored(docs.select(*COLUMNS), model).where(F.col("_score") >= quality.THRESHOLD).select(*COLUMNS)
 
 
+def digest() -> Column:
+    """64 bits of a row; which of its columns are null counts as well."""
+    return F.xxhash64(*COLUMNS, *[F.col(c).isNull() for c in COLUMNS])
+
+
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of each component whose id names it; of rows that repeat that id, the one of the least digest.
+    """One row of each component: that of the least id, and of rows that repeat it there, the one of the least digest.
 
-    A component without ids is named by none and keeps one row. Ids and digests decide, so that the texts travel
-    once; only of rows that repeat id and digest are texts dealt out again, to keep one of them.
+    Null ids come last, so a component without ids keeps one row too; an id that stands in several components may stay
+    in each. Ids and digests decide, so that the texts travel once; only of rows that repeat id and digest are texts
+    dealt out again, to keep one of them.
     """
-    groups = stored(simhash.near_duplicates(docs))
-    named = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    slim = docs.select(F.col("doc_id").alias("_own"), F.xxhash64(*COLUMNS).alias("_digest"))
-    slim = slim.join(named, F.col("_own").eqNullSafe(F.col("_id")), "left_semi").groupBy("_own", "_digest").agg(F.count(F.lit(1)).alias("_times"))
-    slim = stored(slim.groupBy("_own").agg(F.min(F.struct("_digest", "_times")).alias("_best")).select("_own", "_best._digest", "_best._times"))
-    rows = docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("_mark"))
-    kept = rows.join(slim, F.col("doc_id").eqNullSafe(F.col("_own")) & (F.col("_mark") == F.col("_digest")))
+    best = stored(simhash.one_of_each(docs, digest()).select(F.col("doc_id").alias("_own"), F.col("digest").alias("_digest"), F.col("times").alias("_times")))
+    rows = docs.select(*COLUMNS, digest().alias("_mark"))
+    kept = rows.join(best, F.col("doc_id").eqNullSafe(F.col("_own")) & (F.col("_mark") == F.col("_digest")))
     same = kept.where("_times > 1").withColumn("_n", F.row_number().over(Window.partitionBy("_own", "_digest").orderBy("_mark"))).where("_n = 1")
     return kept.where("_times = 1").select(*COLUMNS).unionByName(same.select(*COLUMNS))
 
@@ -44,11 +46,24 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: each document as often as it is taken whole, and the one that the budget cuts with its first words."""
-    taken = mixing.mix_documents(docs).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "taken").where("taken > 0")
-    taken = taken.groupBy("_id", "_size").agg(F.max("taken").alias("taken"))
+    """The mix: each document as often as it is taken whole, and the one that the budget cuts with its first words.
+
+    Rows that share id, source and size are told apart by number alone, so that each is taken as one of them is. What
+    is taken of them is at most a few different numbers of words, each with the rows that it holds for.
+    """
+    slim = docs.select(F.col("doc_id").alias("key"), mixing.word_count(F.col("text")).alias("size"), F.col("source").cast("string").alias("source"))
+    same = [F.col("key").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")]
+    taken = mixing.fair_mix(stored(slim)).groupBy(*same, "taken").agg(F.count(F.lit(1)).alias("n"))
+    taken = taken.groupBy("_id", "_source", "_size").agg(F.sort_array(F.collect_list(F.struct("taken", "n")), asc=False).alias("_parts"))
+    taken = stored(taken.where(F.get("_parts", F.lit(0))["taken"] > 0))
     rows = docs.select(*COLUMNS).withColumn("_w", mixing.word_count(F.col("text")))
-    rows = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_w") == F.col("_size")))
+    rows = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source")) & (F.col("_w") == F.col("_size")))
+    number = F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy(digest()))
+    upto = lambda i: F.aggregate(F.slice("_parts", F.lit(1), i + 1), F.lit(0).cast("long"), lambda m, p: m + p["n"])
+    own = F.get(F.filter("_parts", lambda p, i: upto(i) >= F.col("_n")), F.lit(0))["taken"]
+    one = rows.where(F.size("_parts") == 1).withColumn("taken", F.get("_parts", F.lit(0))["taken"])
+    more = rows.where(F.size("_parts") > 1).withColumn("_n", number).withColumn("taken", own).where("taken > 0").drop("_n")
+    rows = one.unionByName(more)
     copies = F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("_size")).cast("int") - 1)
     rows = rows.withColumn("_left", F.explode(F.transform(copies, lambda i: F.least(F.col("_size"), F.col("taken") - i * F.col("_size")))))
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(SOLID), F.lit(0)), 1, F.col("_left").cast("int")), " ")

@@ -54,14 +54,15 @@ def majority_bits(hashes: pa.Array) -> pa.Array:
     return pa.array(packed, pa.int64())
 
 
-def fingerprints(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
-    """(id, fingerprint as a signed long) of every row. Null or wordless text: 0."""
+def fingerprints(docs: DataFrame, text: str = "text", row_id: str = "doc_id", digest: Column | None = None) -> DataFrame:
+    """(id, fingerprint as a signed long) of every row, and its `digest`, a long, if one is given. Null or wordless text: 0."""
 
     def majority(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), majority_bits(batch.column(1))], names=["id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), majority_bits(batch.column(1)), *batch.columns[2:]], names=["id", "fingerprint", *batch.schema.names[2:]])
 
-    return docs.select(F.col(row_id).cast("long").alias("id"), shingle_hashes(F.col(text)).alias("hashes")).mapInArrow(majority, "id bigint, fingerprint bigint")
+    more = [] if digest is None else [digest.alias("digest")]
+    return docs.select(F.col(row_id).cast("long").alias("id"), shingle_hashes(F.col(text)).alias("hashes"), *more).mapInArrow(majority, "id bigint, fingerprint bigint" + ", digest bigint" * len(more))
 
 
 def segment_bounds(segments: int) -> list[tuple[int, int]]:
@@ -89,6 +90,26 @@ def near_pairs(marks: DataFrame, radius: int = RADIUS) -> DataFrame:
     return ball.join(own, (ball["key"] == own["key"]) & (F.col("a") < F.col("b")) & near).select("a", "b").distinct()
 
 
+def rooted(marks: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(fingerprint, least, root) of each distinct fingerprint: its least id, and the fingerprint that names its component."""
+    nodes = stored(marks.groupBy("fingerprint").agg(F.min("id").alias("least")))
+    roots = components(stored(near_pairs(nodes, radius)))
+    return stored(nodes.join(roots, nodes["fingerprint"] == roots["node"], "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root")))
+
+
+def one_of_each(docs: DataFrame, digest: Column, radius: int = RADIUS) -> DataFrame:
+    """(doc_id, digest, times) of one row of each component: that of the least id, null ids last, and of its least digest.
+
+    `times` rows have that id and digest. Rows of one digest must have one text.
+    """
+    marks = stored(fingerprints(docs, digest=digest))
+    rows = marks.groupBy("fingerprint", "id", "digest").agg(F.count(F.lit(1)).alias("times"))
+    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "digest", "times")).alias("first")
+    of_mark = rows.groupBy("fingerprint").agg(first)
+    of_root = of_mark.join(rooted(marks, radius).select("fingerprint", "root"), "fingerprint").groupBy("root").agg(F.min("first").alias("first"))
+    return of_root.select(F.col("first.id").alias("doc_id"), "first.digest", "first.times")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row per document: (doc_id, fingerprint, component_id).
 
@@ -97,9 +118,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     a component. Columns beyond doc_id and text aren't read. Empty in, empty out.
     """
     marks = stored(fingerprints(docs))
-    nodes = stored(marks.groupBy("fingerprint").agg(F.min("id").alias("least")))
-    roots = components(stored(near_pairs(nodes, radius)))
-    linked = stored(nodes.join(roots, nodes["fingerprint"] == roots["node"], "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root")))
+    linked = rooted(marks, radius)
     ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     by_mark = linked.join(ids, "root").select("fingerprint", "component_id")
     return marks.join(by_mark, "fingerprint").select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")

@@ -400,3 +400,23 @@ def test_pipeline(spark, tmp_path):
         if name != "sharding":
             assert out.columns == docs.columns
         kept = out
+
+
+def test_pipeline_keeps_a_row_of_each_component_and_mixes_rows(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(3)
+    prose = lambda n=40: " ".join(rnd.choice(VOCABULARY) + str(rnd.randint(0, 999)) for _ in range(n))
+    a, b, c, d, e, f = (prose() for _ in range(6))
+    cases = [(1, a), (None, a), (None, b), (None, b), (None, c), (None, d), (2, e), (2, f), (1, f), (5, None), (None, "")] + [(None, prose()) for _ in range(20)]
+    docs = spark.createDataFrame([(i, t, "en", ["s1", "s2", None][k % 3], len(t or "")) for k, (i, t) in enumerate(cases)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = common.stored(corpus_pipeline.one_of_near_duplicates(spark, docs, ""))
+    got = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    assert got == Counter([(1, a), (None, b), (None, c), (None, d), (2, e), (1, f), (5, None)] + [(None, t) for _, t in cases[11:]])
+    mix = common.stored(corpus_pipeline.mixed(spark, kept, ""))
+    words = lambda df: sum(len((r["text"] or "").split()) for r in df.collect())
+    assert words(mix) == math.floor(1.5 * words(kept))
+    taken = Counter()
+    for r in mixing.fair_mix(common.stored(kept.select(kept.doc_id.alias("key"), mixing.word_count(kept.text).alias("size"), "source"))).collect():
+        taken[r["source"]] += r["taken"]
+    assert +taken == Counter({s: n for s in ("s1", "s2", None) if (n := words(mix.where(mix.source.eqNullSafe(s))))})

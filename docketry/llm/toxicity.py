@@ -35,7 +35,18 @@ SUBSTITUTED, REPEATED, SEPARATED = 1.0, 0.3, 0.5
 
 #: Letters with accents and what they are read as.
 ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿß", "aaaaaaceeeeiiiinooooouuuuyys"
-FOLD = str.maketrans(ACCENTED, PLAIN)
+
+
+class Fold(dict):
+    """What str.translate asks: beyond ASCII, white space is a blank and all but letters, digits and what stands for them a hyphen."""
+
+    def __missing__(self, code: int) -> int:
+        c = chr(code)
+        self[code] = code if code < 128 or c.isalnum() or c in STANDS_FOR else ord(" " if c.isspace() else "-")
+        return self[code]
+
+
+FOLD = Fold(str.maketrans(ACCENTED, PLAIN))
 #: Letters of a learned stem.
 SHORTEST, LONGEST = 4, 8
 
@@ -235,8 +246,8 @@ class Model:
 
         single: list[str] = []
         for token in [*re.split(r"[\s,;:/()\[\]{}<>\"]+", low), ".."]:
-            if not spaced and token[:1] in self.others:
-                continue  # its first letter begins no stem
+            if not spaced and token[:1] in self.others and token.isalpha():
+                continue  # its first letter begins no stem, and no other word stands in it
             own = bone(token)
             if spaced:
                 if len(own) == 1:

@@ -180,6 +180,13 @@ def test_hidden_words_are_restored(model, text, word):
     assert list(model.hits(text)[0]) == [word]
 
 
+@pytest.mark.parametrize("token", ["d'idiot", "qu'idiot", "well-stupid", "no...idiot", "foo_idiot", "bof!idiot", "d\u2014idiot", "d\u2019idiot"])
+def test_words_within_tokens_count_whatever_stands_around(model, token):
+    (alone,) = model.hits(token)[0].items()
+    assert alone == (token[-6:] if "stupid" in token else token[-5:], 1)
+    assert model.hits(token + " x y z v")[0] == dict([alone])
+
+
 @pytest.mark.parametrize("text", ["", None, "a b c d e", "plain prose of 12 words & 3.5%!!", "ldlot", "$100 4 u", "x" * 10_000, "*** ### $$$"])
 def test_clean_text_is_left_alone(model, text):
     assert model.hits(text) == ({}, [])

@@ -1,6 +1,6 @@
 """Version diffs: lines aligned by Myers' shortest edit script, then words within paired lines; sections by identity.
 
-Equal sections never reach Python: their hashes settle them. The others are one grouped map for each pair of versions.
+All sections of a pair of versions are one grouped map; those of equal hashes are not diffed by line.
 """
 
 from __future__ import annotations
@@ -185,7 +185,7 @@ LINES = "n_equal int, n_changed int, n_inserted int, n_deleted int"
 
 
 def line_diff_columns(df: DataFrame, before: str, after: str) -> DataFrame:
-    """All columns plus counts of the line diff of two texts; equal texts are settled without Python."""
+    """All columns plus counts of the line diff of two texts."""
 
     @F.pandas_udf(LINES)
     def counted(a: pd.Series, b: pd.Series) -> pd.DataFrame:

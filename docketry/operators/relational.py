@@ -210,6 +210,22 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
+def similar_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(left id, right id, score) of every pair of rows that share a word and whose Jaccard similarity is at least `least`.
+
+    Both sides are (id, array of distinct words); a row is told by its id and words, and no row stands twice. Rows with
+    a null id have no pairs. Shared words are counted, not intersected: a join on the word and one aggregation, whose
+    partial counts form before the shuffle. Sizes that can't reach `least` drop out in the join.
+    """
+    (x, a), (y, b) = left.columns, right.columns
+    own = left.where(F.col(x).isNotNull()).select(F.col(x).alias("_x"), F.xxhash64(a).alias("_mx"), F.size(a).alias("_na"), F.explode(a).alias("_w"))
+    other = right.where(F.col(y).isNotNull()).select(F.col(y).alias("_y"), F.xxhash64(b).alias("_my"), F.size(b).alias("_nb"), F.explode(b).alias("_w"))
+    met = own.join(other, "_w").where((F.col("_na") >= F.lit(least) * F.col("_nb")) & (F.col("_nb") >= F.lit(least) * F.col("_na")))
+    shared = met.groupBy("_x", "_mx", "_na", "_y", "_my", "_nb").agg(F.count(F.lit(1)).alias("_n"))
+    score = F.col("_n") / (F.col("_na") + F.col("_nb") - F.col("_n")).cast("double")
+    return shared.select(F.col("_x").alias(x), F.col("_y").alias(y), score.alias("score")).where(F.col("score") >= least)
+
+
 def first_of_each(df: DataFrame, digest: Column, order: Sequence[Column]) -> DataFrame:
     """The first row of each digest."""
     return collapse(df.withColumn("_digest", digest), ["_digest"], order).drop("_digest")

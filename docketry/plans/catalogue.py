@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.functions import refs, text
-from docketry.operators import pairs
 from docketry.operators import relational as op
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -356,13 +355,11 @@ def reconcile(spark, sf_dir):
 
 @query(f"""
 WITH d AS (SELECT doc_id, list_distinct({TOKENS}) AS ws FROM documents), b AS (SELECT item_id, list_distinct({TOKENS}) AS ws FROM benchmark),
-df AS (SELECT w, count(*) AS n FROM (SELECT unnest(ws) AS w FROM b) GROUP BY w),
-k AS (SELECT item_id, w FROM (SELECT item_id, unnest(ws) AS w FROM b) JOIN df USING (w) WHERE n = 1),
-c AS (SELECT DISTINCT doc_id, item_id FROM (SELECT doc_id, unnest(ws) AS w FROM d) JOIN k USING (w))
-SELECT doc_id, item_id, len(list_intersect(d.ws, b.ws)) / CAST(len(list_distinct(list_concat(d.ws, b.ws))) AS DOUBLE) AS score
-FROM c JOIN d USING (doc_id) JOIN b USING (item_id) WHERE score >= 0.1
+n AS (
+  SELECT doc_id, item_id, na, nb, count(*) AS shared FROM (SELECT doc_id, len(ws) AS na, unnest(ws) AS w FROM d) JOIN (SELECT item_id, len(ws) AS nb, unnest(ws) AS w FROM b) USING (w) GROUP BY ALL)
+SELECT doc_id, item_id, shared / CAST(na + nb - shared AS DOUBLE) AS score FROM n WHERE score >= 0.1
 """)
 def jaccard_pairs(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", F.array_distinct(tokens()).alias("a"))
     items = read(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(tokens()).alias("b"))
-    return pairs.similar_pairs(docs, items, 0.1)
+    return op.similar_pairs(docs, items, 0.1)

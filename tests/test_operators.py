@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docketry.functions.text import format_number
-from docketry.operators import diff, formula, pairs, relational, workflow
+from docketry.operators import diff, formula, relational, workflow
 
 
 def longest(a, b):
@@ -114,16 +114,13 @@ def test_format_number(value, kind, shown):
     assert format_number(value, kind) == shown
 
 
-@pytest.mark.parametrize("block,counts", [(pairs.BLOCK, pairs.COUNTS), (2, 3)])
-def test_no_similar_pair_is_lost(spark, monkeypatch, block, counts):
-    monkeypatch.setattr(pairs, "BLOCK", block)
-    monkeypatch.setattr(pairs, "COUNTS", counts)
+def test_no_similar_pair_is_lost(spark):
     rnd = random.Random(5)
     some = lambda n: rnd.sample([f"w{i}" for i in range(30)], n)
     left = [(i, some(rnd.randint(1, 12))) for i in range(40)] + [(7, ["same", "words"]), (7, []), (None, ["same"]), (99, ["nowhere"])]
     right = [(f"i{i}", some(rnd.randint(1, 12))) for i in range(5)] + [("x", ["same", "words"]), ("y", ["same", "words"]), ("z", []), (None, ["same"])]
-    got = pairs.similar_pairs(spark.createDataFrame(left, "doc_id long, a array<string>"), spark.createDataFrame(right, "item_id string, b array<string>"), 0.1)
+    got = relational.similar_pairs(spark.createDataFrame(left, "doc_id long, a array<string>"), spark.createDataFrame(right, "item_id string, b array<string>"), 0.1)
     force = [(i, j, len(set(a) & set(b)) / len(set(a) | set(b))) for i, a in left for j, b in right if i is not None and j is not None and set(a) & set(b)]
     assert sorted(map(tuple, got.collect())) == sorted(p for p in force if p[2] >= 0.1)
     assert (7, "x", 1.0) in force and got.limit(0).columns == ["doc_id", "item_id", "score"]
-    assert pairs.similar_pairs(spark.createDataFrame(left, "doc_id long, a array<string>"), spark.createDataFrame([], "item_id string, b array<string>"), 0.1).collect() == []
+    assert relational.similar_pairs(spark.createDataFrame(left, "doc_id long, a array<string>"), spark.createDataFrame([], "item_id string, b array<string>"), 0.1).collect() == []

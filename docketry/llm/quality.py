@@ -126,10 +126,11 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, bi
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, rows: int) -> DataFrame:
-    """(text, y) of the labelled rows outside the held-out fold, `rows` at most, those of the smallest seeded hashes.
+    """(doc_id, text, y) of the documents that the labels outside the held-out fold name.
 
-    The chosen labels are broadcast: `rows` of them at most. Ids or labels that are null are left out; where an id has
-    several labels, its largest counts.
+    `rows` labels at most are chosen, those of the smallest seeded hashes, and broadcast. Ids or labels that are null
+    are left out; where an id has several labels, its largest counts. A doc_id that repeats gives all its rows, so they
+    are reduced to one before the driver gets them.
     """
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds))
     own = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold != held)).groupBy("doc_id").agg(F.max(label).alias("y"))
@@ -137,19 +138,25 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: i
     return docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").select("doc_id", "text", F.col("y").cast("double").alias("y"))
 
 
+def one_of_each_id(measured: DataFrame) -> DataFrame:
+    """One row (doc_id, y, x) of each doc_id, the least x of those that repeat it: no more rows than chosen labels."""
+    return measured.groupBy("doc_id").agg(F.max("y").alias("y"), F.min("x").alias("x"))
+
+
 def is_held_out(folds: int, held: int):
     """Whether crc32 of the id as text leaves the remainder; a null id is held out by no fold."""
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds)) == held, F.lit(False))
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Trees:
-    """A model of `quality`, from statistics that executors compute; the driver gets `rows` rows of them at most."""
+    """A model of `quality`, from statistics that executors compute; the driver gets one row of each chosen label's id."""
 
     @F.pandas_udf("array<double>")
     def measured(text: pd.Series) -> pd.Series:
         return text.map(statistics)
 
-    got = labelled(docs, labels, "quality", 5, 0, rows).select("doc_id", "y", measured("text").alias("x")).toPandas().sort_values("doc_id", kind="stable").head(2 * rows)
+    own = labelled(docs, labels, "quality", 5, 0, rows).select("doc_id", "y", measured("text").alias("x"))
+    got = one_of_each_id(own).toPandas().sort_values("doc_id", kind="stable")
     x = np.array(got["x"].tolist(), float) if len(got) else np.zeros((0, len(statistics(None))))
     return fit(x, got["y"].to_numpy(float))
 

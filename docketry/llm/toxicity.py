@@ -1,10 +1,11 @@
 """Toxicity with noisy-channel deobfuscation.
 
-Writers hide words by leetspeak, by spacing or separators between letters and by repeated letters. A token that may
-hide a word spans a lattice: each character is a letter that it may stand for, a repeat of the letter before, or
-nothing. A character trigram model, counted over all documents and mixed with the trigrams of the learned words,
-picks the path (Viterbi). What is scored, by a logistic model, are learned stems: beginnings of restored words and of
-those that stand in the open.
+Writers hide words by leetspeak, by spacing or separators between letters and by repeated letters. Every token of a
+text, and every run of tokens of one letter each, spans a lattice: each character is a letter that it may stand for, a
+repeat of the letter before, a break between words, or nothing. A character trigram model, counted over all documents
+and mixed with the trigrams of the learned words, picks the path (Viterbi). What is scored, by a logistic model, is
+the restored text: the learned stems with which its words begin. Letters are a to z, accents are folded; others break
+words.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.quality import is_held_out, labelled
+from docketry.llm.quality import is_held_out, labelled, one_of_each_id
 
-#: Labelled rows to learn from at most, words learned at most, least documents with a word, least log-odds for it, and
-#: the evidence asked for beyond what chance gives.
-TRAINING_ROWS, WORDS, LEAST_DOCS, LEAST_ODDS, CHANCE = 20_000, 256, 3, 2.0, 4.0
+#: Labelled rows to learn from at most, least documents with a stem, least log-odds for it, and the evidence asked for
+#: beyond what chance gives.
+TRAINING_ROWS, LEAST_DOCS, LEAST_ODDS, CHANCE = 20_000, 3, 2.0, 4.0
 THRESHOLD = 0.7
 
 #: Letters that a character may stand for.
@@ -52,54 +52,12 @@ SHORTEST, LONGEST = 4, 8
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 N = len(LETTERS) + 1  # 0: anything else
-
-
-BREAKS = "\t\n\v\f\r ,;:/()[]{}<>\""
-
-
-def class_table() -> np.ndarray:
-    """For each byte the byte of its class: what a character may stand for can't tell the members of a class apart.
-
-    i, l and what stands for them are one class. What breaks words is a blank; other marks are 0 and drop out.
-    """
-    to = np.zeros(256, np.uint8)
-    to[128:] = np.arange(128, 256)
-    for c in LETTERS:
-        to[ord(c)] = ord("i" if c == "l" else c)
-    for c, letters in STANDS_FOR.items():
-        if ord(c) < 128 and c != "*":
-            to[ord(c)] = to[ord(letters[0])]
-    to[[ord(c) for c in BREAKS]] = 32
-    return to
-
-
-TABLE = class_table()
-#: The same for words in the open: nothing stands for a letter, and all marks break words.
-OPEN = np.where([chr(i) in LETTERS or i > 127 for i in range(256)], TABLE, 32).astype(np.uint8)
-MARK = np.array([chr(i) in "!|$+@" for i in range(256)])
-
-
-def collapsed(c: np.ndarray) -> np.ndarray:
-    return c[np.concatenate([[True], c[1:] != c[:-1]])] if len(c) else c
-
-
-def skeleton(raw: bytes) -> np.ndarray:
-    """The classes of the bytes, without dropped ones and repeats; a mark stands for a letter only before one."""
-    b = np.frombuffer(raw, np.uint8)
-    c = TABLE[b]
-    if len(c):
-        inside = np.append(OPEN[b[1:]] != 32, False) | np.append((b[1:] >= 48) & (b[1:] < 58), False)
-        c = c[(c > 0) & (inside | ~MARK[b])]
-    return collapsed(c)
-
-
-CLASSES = {i: chr(TABLE[i]) if TABLE[i] else None for i in range(128)}
-
-
-@lru_cache(maxsize=1 << 16)
-def bone(token: str) -> str:
-    """The same of one token."""
-    return re.sub(r"(.)\1+", r"\1", re.sub(r"[!|$+@]+(?![a-z0-9\x80-\U0010ffff])", "", token).translate(CLASSES))
+#: What each letter or stand-in may be: (letter's number, cost). All other characters are separators.
+OPTIONS = {c: ((k, 0.0),) for k, c in enumerate(LETTERS, 1)} | {c: tuple((LETTERS.index(x) + 1, SUBSTITUTED) for x in of) for c, of in STANDS_FOR.items()}
+#: A mark of these stands for a letter only before a letter or digit.
+LOOSE = re.compile(r"[!|$+@]++(?![a-z0-9])")
+DOUBLED = re.compile(r"(.)\1")
+EDGES = "".join(chr(i) for i in range(33, 128) if not chr(i).isalnum() and chr(i) not in "@$+|") + "€£"
 
 
 def trigram_counts(docs: DataFrame) -> np.ndarray:
@@ -132,17 +90,19 @@ def folded(text: str | None) -> str:
     return low if low.isascii() else low.translate(FOLD)
 
 
-def learned_stems(train: DataFrame, words: int = WORDS) -> dict[str, float]:
-    """Stems whose presence speaks for the label, with their smoothed log-odds; `words` at most.
+def learned_stems(train: DataFrame) -> dict[str, float]:
+    """Stems whose presence speaks for the label, with their smoothed log-odds: all that pass the limits above.
 
-    Of stems that begin with one another, the one with most evidence is taken, the longest of equal ones.
+    An id's rows count together. Of stems that begin with one another, the one with most evidence is taken, the
+    longest of equal ones. As each stands in LEAST_DOCS of the labelled rows, these bound how many come to the driver.
     """
     low = F.translate(F.lower(F.coalesce("text", F.lit(""))), ACCENTED, PLAIN)
     own = F.array_distinct(F.regexp_extract_all(low, F.lit(f"[a-z]{{{SHORTEST},}}"), F.lit(0)))
     own = F.array_distinct(F.flatten(F.transform(own, lambda w: F.transform(F.sequence(F.lit(SHORTEST), F.least(F.length(w), F.lit(LONGEST))), lambda k: F.substr(w, F.lit(1), k)))))
-    sizes = train.agg(F.sum("y").alias("yes"), F.count(F.lit(1)).alias("all")).first()
+    sizes = train.groupBy("doc_id").agg(F.max("y").alias("y")).agg(F.sum("y").alias("yes"), F.count(F.lit(1)).alias("all")).first()
     yes, no = sizes["yes"] or 0.0, sizes["all"] - (sizes["yes"] or 0.0)
-    by = train.select("y", F.explode(own).alias("word")).groupBy("word").agg(F.sum("y").alias("yes"), F.sum(1 - F.col("y")).alias("no"))
+    by = train.select("doc_id", "y", F.explode(own).alias("word")).groupBy("word", "doc_id").agg(F.max("y").alias("y"))
+    by = by.groupBy("word").agg(F.sum("y").alias("yes"), F.sum(1 - F.col("y")).alias("no"))
     seen = by.count()
     odds = F.log((F.col("yes") + 0.5) / (yes + 1)) - F.log((F.col("no") + 0.5) / (no + 1))
     # Twice the log-likelihood gained over independence: of as many words as were seen, few reach the limit by chance.
@@ -151,9 +111,12 @@ def learned_stems(train: DataFrame, words: int = WORDS) -> dict[str, float]:
     gain = 2 * (part(F.col("yes"), share) + part(F.col("no"), 1 - share)) if 0 < share < 1 else F.lit(0.0)
     top = by.where((F.col("yes") >= LEAST_DOCS) & (odds >= LEAST_ODDS) & (gain >= 2 * math.log(max(1, seen)) + CHANCE)).select("word", odds.alias("odds"), gain.alias("gain"))
     taken: dict[str, float] = {}
-    for r in top.orderBy(F.round("gain", 6).desc(), F.length("word").desc(), "word").limit(words * 4 * (LONGEST - SHORTEST + 1)).collect():
-        if len(taken) < words and not any(r["word"].startswith(w) or w.startswith(r["word"]) for w in taken):
+    barred: set[str] = set()  # beginnings of stems that were taken
+    for r in top.orderBy(F.round("gain", 6).desc(), F.length("word").desc(), "word").collect():
+        begins = [r["word"][:k] for k in range(SHORTEST, len(r["word"]) + 1)]
+        if r["word"] not in barred and taken.keys().isdisjoint(begins):
             taken[r["word"]] = r["odds"]
+            barred.update(begins)
     return taken
 
 
@@ -168,15 +131,8 @@ class Model:
     known: dict = field(default_factory=dict)
 
     def __post_init__(self):
-        """The skeletons with which a token begins that may hide a stem; those that it has as a whole, without a last
-        letter that a mark may stand for; and those with a * for a vowel. Such a token is decoded; the word decides."""
-        bones = {bone(w) for w in self.words}
-        self.whole = {bone(w.rstrip(w[-1])) for w in self.words if w[-1] in "sitla"}
-        self.starred = {bone(w[:i] + w[i + 1 :]) for w in self.words for i, c in enumerate(w) if c in "aeiou"}
-        self.plain, self.all = _index(bones), _index(bones | self.starred)
-        begin = {b[0] for b in bones | self.starred | self.whole}
-        self.others = {c for c in LETTERS if bone(c) not in begin}
-        self.whole_bytes = {s.encode() for s in self.whole}
+        self.cost = (-self.chars).reshape(N * N, N).tolist()
+        self.heads = {w[:SHORTEST] for w in self.words}
 
     def __getstate__(self):
         return {"words": self.words, "chars": self.chars, "weights": self.weights, "base": self.base, "known": {}}
@@ -185,102 +141,118 @@ class Model:
         self.__dict__.update(state)
         self.__post_init__()
 
+    def best(self, token: str) -> tuple[float, str]:
+        """(cost, words) of the likeliest path through the lattice of a string's characters: Viterbi, whose states are
+        the last two letters. A path is a chain of letters, so that its length costs nothing."""
+        loose = {i for m in LOOSE.finditer(token) for i in range(*m.span())} if not token.isalnum() else ()
+        now: dict[int, tuple] = {0: (0.0, None)}
+        for i, c in enumerate(token):
+            options = () if i in loose else OPTIONS.get(c, ())
+            letter = "a" <= c <= "z"
+            after: dict[int, tuple] = {}
+            for state, (cost, path) in now.items():
+                own, b = self.cost[state], state % N
+                for k, paid in options:
+                    to, total = b * N + k, cost + paid + own[k]
+                    if to not in after or total < after[to][0]:
+                        after[to] = (total, (path, k))
+                    if k == b:
+                        total = cost + paid + REPEATED
+                        if state not in after or total < after[state][0]:
+                            after[state] = (total, path)
+                if not letter:
+                    total = cost + (SEPARATED + SUBSTITUTED if options else SEPARATED) if b else cost
+                    if state not in after or total < after[state][0]:
+                        after[state] = (total, path)
+                    if b:
+                        to, total = b * N, cost + own[0]
+                        if to not in after or total < after[to][0]:
+                            after[to] = (total, (path, 0))
+            now = after
+        cost, path = min(((cost + self.cost[state][0] if state % N else cost, path) for state, (cost, path) in now.items()), key=lambda x: x[0])
+        out = []
+        while path is not None:
+            path, k = path
+            out.append(LETTERS[k - 1] if k else " ")
+        return cost, "".join(reversed(out)).strip()
+
     def decode(self, token: str) -> str:
-        """The likeliest word that the token hides: Viterbi over the lattice of its characters."""
-        if token in self.known:
-            return self.known[token]
-        best = {(0, 0): (0.0, "")}  # the last two letters: cost and path
-        for c in token:
-            after: dict = {}
-
-            def reach(state, cost, path):
-                if state not in after or cost < after[state][0]:
-                    after[state] = (cost, path)
-
-            for (a, b), (cost, path) in best.items():
-                if c in LETTERS:
-                    letters = [(c, 0.0)]
-                else:
-                    letters = [(x, SUBSTITUTED) for x in STANDS_FOR.get(c, "")]
-                    reach((a, b), cost + SEPARATED + (SUBSTITUTED if letters else 0), path)
-                for x, paid in letters:
-                    if path and path[-1] == x:
-                        reach((a, b), cost + paid + REPEATED, path)
-                    k = LETTERS.index(x) + 1
-                    reach((b, k), cost + paid - self.chars[a, b, k], path + x)
-            best = after
-        path = min(((cost - self.chars[a, b, 0], path) for (a, b), (cost, path) in best.items()), default=(0, ""))[1]
-        if len(self.known) > 100_000:
-            self.known.clear()
-        self.known[token] = path
-        return path
+        """The likeliest words that a token hides. Letters of which no two neighbours are equal have one path only."""
+        if token.isalpha() and token.isascii() and not DOUBLED.search(token):
+            return token
+        return self.best(token)[1]
 
     def stem(self, word: str) -> str | None:
         """The learned stem with which a word begins."""
-        return next((word[:k] for k in range(SHORTEST, LONGEST + 1) if word[:k] in self.words and len(word) >= k), None)
+        return next((word[:k] for k in range(SHORTEST, min(LONGEST, len(word)) + 1) if word[:k] in self.words), None)
+
+    def look(self, token: str) -> tuple | str:
+        """Learned stems of a token as (stem, token without marks at its ends, word): those of its restored words, and
+        those of its words as they stand, which an apostrophe or a hyphen sets off. Of a single letter, the letter."""
+        bare = token.strip(EDGES)
+        if len(bare) < SHORTEST:
+            return bare if len(bare) == 1 and len(token) < SHORTEST else ()
+        if bare.isalpha() and bare.isascii():
+            words = [bare, self.best(bare)[1]] if DOUBLED.search(bare) else [bare]
+        else:
+            words = re.findall("[a-z]+", bare)
+            words += self.best(bare)[1].split() if words else []
+        found: dict[str, str] = {}
+        for word in words:
+            if word[:SHORTEST] in self.heads and (stem := self.stem(word)) and stem not in found:
+                found[stem] = word
+        return tuple((stem, bare, word) for stem, word in found.items())
+
+    def run(self, single: list[str]) -> list[tuple]:
+        """The same of a run of tokens of one letter each, as one lattice; a stem counts wherever it begins there."""
+        token = " ".join(single)
+        word = self.best(token)[1].replace(" ", "")
+        out, at = [], 0
+        while at + SHORTEST <= len(word):
+            stem = self.stem(word[at : at + LONGEST])
+            if stem:
+                out.append((stem, token, stem))
+                at += len(stem) - 1
+            at += 1
+        return out
 
     def hits(self, text: str | None) -> tuple[dict[str, int], list[tuple[str, str]]]:
-        """How often each learned stem stands in the text, open or restored; and the restored words as (token, word)."""
+        """How often each learned stem stands in the restored text; and the restored words as (token, word)."""
         found: dict[str, int] = {}
         restored: list[tuple[str, str]] = []
-        low = folded(text)
-        raw = low.encode()
-        if not raw or not self.words:
+        if not self.words:
             return found, restored
-        bones = skeleton(raw)
-        gaps = np.diff(np.flatnonzero(np.concatenate([[True], bones == 32, [True]]))) == 2
-        index = self.all if "*" in low and re.search(r"[a-z]\*+[a-z]", low) else self.plain
-        tokens = bones.tobytes().split()
-        shown = collapsed(OPEN[np.frombuffer(raw, np.uint8)]).tobytes().split()
-        spaced = bool((gaps[2:] & gaps[1:-1] & gaps[:-2]).any())
-        if not (spaced or _any(index, tokens) or _any(self.plain, shown) or not self.whole_bytes.isdisjoint(tokens)):
-            return found, restored
-
-        def add(word: str, token: str) -> bool:
-            stem = self.stem(word)
-            if stem:
-                found[stem] = found.get(stem, 0) + 1
-                if word != token:
-                    restored.append((token, word))
-            return stem is not None
-
-        single: list[str] = []
-        for token in [*re.split(r"[\s,;:/()\[\]{}<>\"]+", low), ".."]:
-            if not spaced and token[:1] in self.others and token.isalpha():
-                continue  # its first letter begins no stem, and no other word stands in it
-            own = bone(token)
-            if spaced:
-                if len(own) == 1:
-                    single.append(token)
-                    continue
-                if len(single) > 2:
-                    self.spaced(single, add)
-                if own or token == "..":
-                    single.clear()
-            bare = token.strip(".!?'*-_|#&%$~+@")
-            if own in self.whole or any(own[:k] in s for k, s in index[0].items()):
-                if add(self.decode(bare), bare) or add(self.decode(token), token):
-                    continue
-            if bare and not bare.isalpha():
-                for word in re.findall(r"[^\W\d_]+", bare):
-                    add(word, word)
+        tokens = folded(text).split()
+        known = self.known
+        got = list(map(known.get, tokens))
+        if None in got:
+            if len(known) > 1 << 20:
+                known.clear()
+            for token in {t for t, own in zip(tokens, got, strict=True) if own is None}:
+                known[token] = self.look(token)
+            got = list(map(known.get, tokens))
+        every: list[tuple] = []
+        runs: list[list[str]] = []
+        last = -2
+        for i, own in enumerate(got):
+            if not own:
+                continue
+            if isinstance(own, str):
+                if i != last + 1:
+                    runs.append([])
+                runs[-1].append(own)
+                last = i
+            else:
+                every += own
+        for run in runs:
+            if len(run) > 2:
+                every += self.run(run)
+        for stem, token, word in every:
+            found[stem] = found.get(stem, 0) + 1
+            if word != token:
+                restored.append((token, word))
         return found, restored
 
-    def spaced(self, single: list[str], add) -> None:
-        """Learned stems among tokens of one letter each, at the first place of each; the rest of the run goes with it."""
-        at = 0
-        while at + 2 < len(single):
-            joined = "".join(single[at : at + 3 * LONGEST])
-            own = bone(joined)
-            if any(own[:k] in s for k, s in self.plain[0].items()):
-                for end in range(at + SHORTEST, min(len(single), at + 3 * LONGEST) + 1):
-                    word = self.decode("".join(single[at:end]))
-                    if self.stem(word):
-                        add(word, " ".join(single[at:end]))
-                        at = end - 1
-                        break
-            at += 1
-
     def measures(self, text: str | None) -> list[float]:
         found, restored = self.hits(text)
         odds = [self.words[w] for w in found]
@@ -291,24 +263,11 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.base + (x @ self.weights if self.weights is not None else np.zeros(len(x))), -30, 30)))
 
 
-def _index(bones: set[str]) -> tuple[dict[int, set[str]], dict[int, set[bytes]]]:
-    """Skeletons by length, as strings and as bytes."""
-    text: dict[int, set[str]] = {}
-    for b in bones:
-        text.setdefault(len(b), set()).add(b)
-    return text, {k: {x.encode() for x in v} for k, v in text.items()}
-
-
-def _any(index: tuple[dict, dict], tokens: list[bytes]) -> bool:
-    """Whether a token begins with a skeleton."""
-    return any(not s.isdisjoint([t[:k] for t in tokens]) for k, s in index[1].items())
-
-
 def character_model(counts: np.ndarray, words: dict[str, float]) -> np.ndarray:
     """Log-probability of a letter after two: the corpus and the learned words in equal parts, each smoothed."""
     own = np.zeros((N, N, N))
     for w in words:
-        c = [0, 0, *(LETTERS.index(x) + 1 for x in w), 0]
+        c = [0, 0, *(LETTERS.index(x) + 1 for x in w), *([0] if len(w) < LONGEST else [])]
         for g in zip(c, c[1:], c[2:], strict=False):
             own[g] += 1
     smooth = lambda t: (t + 0.01) / (t + 0.01).sum(2, keepdims=True)
@@ -340,7 +299,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Mode
         for texts in batches:
             yield texts.map(model.measures)
 
-    got = own.select("doc_id", "y", measured("text").alias("x")).toPandas().sort_values("doc_id", kind="stable")
+    got = one_of_each_id(own.select("doc_id", "y", measured("text").alias("x"))).toPandas().sort_values("doc_id", kind="stable")
     y = got["y"].to_numpy(float)
     model.base = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     if words and len(np.unique(y)) == 2:
@@ -369,6 +328,16 @@ def restored_words(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", F.explode(restored("text")).alias("r")).select("doc_id", "r.token", "r.word")
 
 
+def restored_texts(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, restored) of every row: the likeliest words of each token of its whole text, blank-joined; null text: empty."""
+
+    @F.pandas_udf("string")
+    def restored(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: " ".join(filter(None, (model.decode(x.strip(EDGES)) for x in folded(t).split()))))
+
+    return docs.select("doc_id", restored("text").alias("restored"))
+
+
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: (doc_id, held_out, score, predicted). Null and empty texts get a score like any other.
 

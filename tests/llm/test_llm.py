@@ -192,10 +192,72 @@ def test_clean_text_is_left_alone(model, text):
     assert model.hits(text) == ({}, [])
 
 
-def test_skeletons_agree():
-    for text in ("Idi0t!! $tup1d", "l-o-s-e-r", "aa  bb", "1!|x +y"):
-        low = text.lower()
-        assert b" ".join(toxicity.skeleton(low.encode()).tobytes().split()) == b" ".join(filter(None, (toxicity.bone(t).encode() for t in low.split())))
+def paths_by_force(model, token):
+    """(cost, words) of every path through a token's lattice."""
+    out = []
+
+    def walk(i, state, cost, path):
+        if i == len(token):
+            out.append((cost + (model.cost[state][0] if state % toxicity.N else 0), path.strip()))
+            return
+        c, b = token[i], state % toxicity.N
+        mark = c in "!|$+@" and not re.match("[a-z0-9]", token[i:].lstrip("!|$+@"))
+        options = [] if mark else [(c, 0.0)] if c in toxicity.LETTERS else [(x, toxicity.SUBSTITUTED) for x in toxicity.STANDS_FOR.get(c, "")]
+        for x, paid in options:
+            k = toxicity.LETTERS.index(x) + 1
+            walk(i + 1, b * toxicity.N + k, cost + paid + model.cost[state][k], path + x)
+            if k == b:
+                walk(i + 1, state, cost + paid + toxicity.REPEATED, path)
+        if c not in toxicity.LETTERS:
+            if b:
+                walk(i + 1, state, cost + toxicity.SEPARATED + (toxicity.SUBSTITUTED if options else 0), path)
+                walk(i + 1, b * toxicity.N, cost + model.cost[state][0], path + " ")
+            else:
+                walk(i + 1, state, cost, path)
+
+    walk(0, 0, 0.0, "")
+    return out
+
+
+def test_decoding_finds_the_least_cost_of_all_paths(model):
+    rnd = random.Random(8)
+    tokens = ["1d10t", "$tup1d", "l-o-s-e-r", "iddioot", "b*g!", "a!!b", "", "!!", "s t u p i d"] + ["".join(rnd.choice("aabdiot10!$-* ") for _ in range(rnd.randint(1, 8))) for _ in range(150)]
+    rnd = np.random.default_rng(3)
+    other = toxicity.Model(WORDS, toxicity.character_model(rnd.integers(0, 50, (toxicity.N,) * 3).astype(float), WORDS))
+    for m in (model, other):
+        for token in tokens:
+            cost, word = m.best(token)
+            every = paths_by_force(m, token)
+            assert math.isclose(cost, min(c for c, _ in every), abs_tol=1e-9) and any(w == word and math.isclose(c, cost, abs_tol=1e-9) for c, w in every)
+
+
+def test_long_runs_and_texts_are_restored_whole(spark, model):
+    assert model.hits("x y z " * 40 + " ".join("stupid") + " q w" * 30)[0] == {"stupid": 1}
+    docs = spark.createDataFrame([(1, "An 1d10t, well: m0r0n!"), (2, None), (3, "")], "doc_id long, text string")
+    assert {r["doc_id"]: r["restored"] for r in toxicity.restored_texts(docs, model).collect()} == {1: "an idiot wel moron", 2: "", 3: ""}
+
+
+def test_an_id_that_repeats_teaches_once(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "c d e"), (2, "f"), (None, "g")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 1), (2, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    for label in ("quality", "toxic"):
+        own = quality.labelled(docs, labels, label, 7, 6, 10)
+        got = quality.one_of_each_id(own.selectExpr("doc_id", "y", "array(double(length(text))) x")).collect()
+        assert sorted(map(tuple, got)) == [(1, 1.0, [3.0]), (2, 0.0, [1.0])]
+        assert len((quality if label == "quality" else toxicity).score_documents(docs, labels).collect()) == 4
+
+
+def test_accuracy_on_rows_held_out(spark):
+    from pathlib import Path
+
+    sf = "/root/testdata/sf0.1"
+    if not Path(sf).exists():
+        pytest.skip("no tables")
+    docs, labels = common.table(spark, sf, "documents"), common.table(spark, sf, "labels")
+    got = [r for r in toxicity.score_documents(docs, labels).where("held_out").join(labels, "doc_id").collect()]
+    caught = [r["predicted"] for r in got if r["toxic"] == 1]
+    clean = [1 - r["predicted"] for r in got if r["toxic"] == 0]
+    assert sum(clean) >= 0.99 * len(clean) and sum(caught) >= 0.85 * len(caught)
 
 
 # 4

@@ -31,9 +31,11 @@ def words(text: Column, pattern: str) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of its own only where none is named."""
+    """The folder that driver and executors share. A local master may do without and gets one of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = f"file://{tempfile.mkdtemp(prefix='docketry-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -46,6 +48,25 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Removes stored tables that no later step reads."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if folder.rpartition("/")[2].startswith("table-"):
+                path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def copies(counted: DataFrame, n: str, copy: str, chunk: int = 1 << 16) -> DataFrame:
+    """Each row as often as its column `n` says, numbered from 0 in `copy`; many copies are dealt out in chunks first."""
+    few = counted.where(F.col(n) <= chunk).withColumn(copy, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)))
+    many = counted.where(F.col(n) > chunk).withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / chunk))))
+    many = many.repartition(F.col("_c"), F.xxhash64(*[F.col(f"`{c}`") for c in counted.columns]))
+    many = many.withColumn(copy, F.explode(F.sequence(F.col("_c") * chunk, F.least((F.col("_c") + 1) * chunk, F.col(n)) - 1)))
+    return few.unionByName(many.drop("_c"))
+
+
 def broadcast_up_to(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """A broadcast hint only where the counted rows are within the limit; beyond it Spark's shuffled join serves."""
     return F.broadcast(df) if rows <= limit else df

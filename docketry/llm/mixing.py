@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketry.llm.common import SOLID, seeded, stored
+from docketry.llm.common import SOLID, copies, seeded, stored
 
 #: Weights by a source's rank, share of all words to take, and most times that a document is taken.
 WEIGHTS, SHARE, REPEATS = (3, 1, 2), 1.5, 2
@@ -51,11 +51,12 @@ def fair_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: fl
 def fair_mix(rows: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, range_rows: int = RANGE_ROWS) -> DataFrame:
     """(key, size, source) plus (source_size, target, taken): words of each row that the mix takes, repeats counted.
 
-    Null sources are one source, the last. Rows of size 0, and all rows of an empty source, take 0. Rows that repeat
-    each have their own place; ties of hash and key fall to rows of one source that differ in size at most, in that
-    order. Null keys share one hash. The order depends on keys and seed alone, so reruns agree.
+    Null sources are one source, the last. Rows of size 0, and all rows of an empty source, take 0. Rows that share
+    key, size and source are counted and told apart by number, so each has a place of its own and those of one key,
+    or without one, lie in all ranges. The order depends on the rows and the seed alone, so reruns agree.
     """
-    rows = rows.withColumn("h", seeded(F.col("key"), seed))
+    rows = copies(rows.groupBy("key", "size", "source").agg(F.count(F.lit(1)).alias("n")), "n", "copy").drop("n")
+    rows = stored(rows.withColumn("h", seeded(F.concat_ws(":", F.coalesce(F.col("key").cast("string"), F.lit("")), "size", "copy"), seed)))
     n = rows.count()
     bits = max(6, math.ceil(math.log2(max(1, n) / range_rows)) if n else 0)
     rows = rows.withColumn("part", F.shiftright("h", 60 - bits).cast("int"))
@@ -65,7 +66,7 @@ def fair_mix(rows: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIG
     targets = targets.withColumnRenamed("source", "named")
     parts = parts.join(targets, F.col("source").eqNullSafe(F.col("named")))
     parts = parts.select("named", F.col("part").alias("range"), "begin", "source_size", "target", "rank")
-    inside = Window.partitionBy("source", "part").orderBy("h", "key", "size")
+    inside = Window.partitionBy("source", "part").orderBy("h", "key", "size", "copy")
     rows = rows.withColumn("place", F.row_number().over(inside)).withColumn("upto", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.join(parts, F.col("source").eqNullSafe(F.col("named")) & (F.col("part") == F.col("range")))
     finish = [F.when(F.col("target") > 0, (F.col("begin") + F.col("upto") + F.lit(i) * F.col("source_size")) / F.col("target")) for i in range(repeats)]
@@ -90,6 +91,10 @@ def fair_mix(rows: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIG
 
 
 def mix_documents(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """One row per document: (doc_id, size, source_size, target, taken). Null text has size 0."""
+    """One row per document: (doc_id, size, source_size, target, taken).
+
+    Null text has size 0. A null source is one source, the last. Rows that repeat id, size and source are taken each
+    for itself. Columns beyond doc_id, text and source aren't read. Empty in, empty out.
+    """
     rows = docs.select(F.col("doc_id").alias("key"), word_count(F.col("text")).alias("size"), F.col("source").cast("string").alias("source"))
     return fair_mix(stored(rows), seed).select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken")

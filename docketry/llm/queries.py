@@ -95,9 +95,9 @@ FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN its USING (doc_id)
 
 OP10 = r"""
 WITH d AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h
-  FROM documents),
+  SELECT *, CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || size || ':' || copy), 1, 15) AS BIGINT) AS h
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, source, size) - 1 AS copy
+        FROM (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents))),
 s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS rank FROM d GROUP BY source),
 c AS (SELECT *, CAST([3, 1, 2][rank % 3 + 1] AS DOUBLE) AS weight, source_size * CAST(2 AS DOUBLE) AS cap FROM s),
@@ -107,9 +107,9 @@ l AS (
 t AS (
   SELECT source, source_size, rank, least(cap, max(CASE WHEN level * weight < cap THEN level END) OVER () * weight) AS target FROM l),
 o AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, t.rank, d.h, row_number() OVER w AS place,
+  SELECT d.doc_id, d.size, t.source_size, t.target, t.rank, d.h, d.copy, row_number() OVER w AS place,
          CAST(sum(d.size) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source WINDOW w AS (PARTITION BY d.source ORDER BY d.h, d.doc_id, d.size)),
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source WINDOW w AS (PARTITION BY d.source ORDER BY d.h, d.doc_id, d.size, d.copy)),
 e AS (SELECT o.*, turn, CASE WHEN target > 0 THEN (upto + turn * source_size) / target END AS finish FROM o, range(2) AS r(turn)),
 f AS (
   SELECT *, CAST(sum(size) OVER (ORDER BY finish, rank, turn, place ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cum FROM e WHERE finish IS NOT NULL),

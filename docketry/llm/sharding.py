@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketry.llm.common import stored
+from docketry.llm.common import copies, stored
 
 #: Bytes and rows that a bucket holds on average at most, and partitions of the second pass at most.
 BUCKET_BYTES, BUCKET_ROWS, TASKS = 32 << 20, 32768, 8192
@@ -30,24 +30,46 @@ def record_bytes(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long")
 
 
+def record_hash(names: list[str], seed: int) -> Column:
+    """64 bits of a whole record; which of its columns are null counts as well."""
+    return F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in names], *[F.col(f"`{c}`").isNull() for c in names])
+
+
+def told_apart(records: DataFrame, seed: int, most: int) -> DataFrame:
+    """(record, h): each record as a struct with a hash that tells copies apart where there are more than `most` of them.
+
+    Such copies are counted, dealt out again by number and hashed with it, so that no bucket gets them all.
+    """
+    names = records.columns
+    own = records.withColumn("_h", record_hash(names, seed))
+    often = stored(own.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).select("_h"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in names]).alias("record")
+    few = own.join(often, "_h", "left_anti").select(whole, F.col("_h").alias("h"))
+    counted = own.join(often, "_h", "left_semi").groupBy(*[f"`{c}`" for c in names], "_h").agg(F.count(F.lit(1)).alias("_n"))
+    return few.unionByName(copies(counted, "_n", "_copy").select(whole, F.xxhash64(F.lit(seed), "_h", "_copy").alias("h")))
+
+
 def shuffled_shards(records: DataFrame, key: str, size: str, shards: int = 40, seed: int = 17, bucket_bytes: int = BUCKET_BYTES, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """All columns of `records` plus shard, slot (gapless from 0 in each shard) and grown_shard (with one shard more).
 
-    Only key and shard count decide the shard; null keys are one key. Rows that repeat a key share its shard.
+    Only key and shard count decide the shard; null keys are one key. Rows that repeat a key share its shard, in which
+    their whole records choose the bucket, and of records that are copies their numbers.
     The order in a shard depends on the records, the seed and the bucket limits alone. Empty in, empty out.
-    `records` is read once, scattered, and held in the shared folder between the passes.
+    `records` is read again for its totals; the scattered rows are held in the shared folder between the passes.
     """
     names = records.columns
-    own = records.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("record"))
-    k, b = F.col("record")[key], F.col("record")[size]
-    total = records.agg(F.sum(F.col(size)).alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
-    buckets = max(1, math.ceil((total["bytes"] or 0) / shards / bucket_bytes), math.ceil(total["rows"] / shards / bucket_rows))
-    scattered = own.select("record", rendezvous(k, shards, seed).alias("shard"), rendezvous(k, shards + 1, seed).alias("grown_shard"), b.alias("bytes"), F.xxhash64(F.lit(seed + 1), k).alias("h"))
-    scattered = scattered.withColumn("bucket", F.col("shard") * F.lit(buckets) + F.pmod(F.col("h"), F.lit(buckets)).cast("int"))
+    k = F.col("record")[key]
+    totals = records.groupBy(rendezvous(F.col(key), shards, seed).alias("shard")).agg(F.sum(F.col(size)).alias("bytes"), F.count(F.lit(1)).alias("rows")).collect()  # `shards` rows
+    buckets = [1] * shards
+    for t in totals:
+        buckets[t["shard"]] = max(1, math.ceil((t["bytes"] or 0) / bucket_bytes), math.ceil(t["rows"] / bucket_rows))
+    of_shard = lambda numbers: F.get(F.array(*map(F.lit, numbers)), F.col("shard"))
+    scattered = told_apart(records, seed + 1, bucket_rows).select("record", rendezvous(k, shards, seed).alias("shard"), rendezvous(k, shards + 1, seed).alias("grown_shard"), "h")
+    scattered = scattered.withColumn("bucket", (of_shard([sum(buckets[:i]) for i in range(shards)]) + F.pmod(F.col("h"), of_shard(buckets))).cast("int"))
     packed = stored(scattered.groupBy("shard", "bucket").agg(F.sort_array(F.collect_list(F.struct("h", "record", "grown_shard"))).alias("rows")))
     begins = packed.select("shard", "bucket", F.size("rows").alias("n"))
     begins = begins.select("bucket", (F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")).alias("begin"))
-    tasks = min(TASKS, shards * buckets)
+    tasks = min(TASKS, sum(buckets))
     # A partition's number and the order within it are fixed, and with them the seeds of the Fisher-Yates shuffles.
     placed = packed.repartitionById(tasks, F.pmod(F.col("bucket"), F.lit(tasks)).cast("int")).sortWithinPartitions("bucket")
     mixed = placed.select("shard", "bucket", F.expr(f"shuffle(rows, {seed})").alias("rows"))
@@ -64,7 +86,8 @@ def write_shards(records: DataFrame, path: str, key: str, size: str, **options)
 def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
     """One row per document: (doc_id, size, text_crc32, law, shard, slot, grown_shard) by the law `key`.
 
-    Null text has no bytes and the checksum of the empty string.
+    Null text has no bytes and the checksum of the empty string. Rows that repeat a doc_id, or have none, share a
+    shard and each has a slot of its own there. Columns beyond doc_id and text aren't read. Empty in, empty out.
     """
     slim = docs.select("doc_id", record_bytes(F.col("text")).alias("size"), F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32"))
     placed = shuffled_shards(stored(slim), "doc_id", "size", shards)

@@ -3,7 +3,9 @@
 A fingerprint of 64 bits is cut into segments. Two fingerprints that differ in at most `radius` bits differ in at
 most radius / segments bits of some segment, so each fingerprint looks up, for every segment, all values in the
 Hamming ball of that radius in the table of the segments' values; what it fetches is verified by complete distance.
-Links join distinct fingerprints, so copies are one node; components come from the links.
+Links join distinct fingerprints, so copies are one node; components come from the links. So that a cluster of many
+near fingerprints doesn't cost a pair of each two, stars join most of it first, and pairs are then sought only
+between parts that are still apart.
 """
 
 from __future__ import annotations
@@ -71,30 +73,74 @@ def segment_bounds(segments: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def near_pairs(marks: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Pairs a < b of the distinct `fingerprint` values that differ in 1 to `radius` bits.
+#: Distinct fingerprints beyond which two long segments fetch less by chance than three short ones.
+MANY = 1 << 25
 
-    Three segments fetch little by chance up to about 2^25 fingerprints; beyond, two longer segments do with larger
-    balls. Either finds every pair.
+
+def parts(segments: int) -> list[Column]:
+    """The segments of `fingerprint`, each with its number above it."""
+    return [F.shiftrightunsigned(F.col("fingerprint"), first).bitwiseAND(F.lit((1 << size) - 1)).bitwiseOR(F.lit(j << 48)) for j, (first, size) in enumerate(segment_bounds(segments))]
+
+
+def near(a: str, b: str, radius: int) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius
+
+
+def star_links(marks: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b) of fingerprints that agree in all but one of three segments to the least that does, where it is near.
+
+    They are at most three for each fingerprint, and join most of a cluster before any pair is sought in it.
     """
-    segments = 3 if marks.count() <= 1 << 25 else 2
-    keys, probes = [], []
-    for j, (first, size) in enumerate(segment_bounds(segments)):
-        part = F.shiftrightunsigned(F.col("fingerprint"), first).bitwiseAND(F.lit((1 << size) - 1)).bitwiseOR(F.lit(j << 48))
-        keys.append(part)
+    cut = parts(3)
+    every = marks.select("fingerprint", F.explode(F.array(*[F.struct(F.lit(j).alias("j"), *[p.alias(f"p{i}") for i, p in enumerate(c for k, c in enumerate(cut) if k != j)]) for j in range(3)])).alias("key"))
+    least = stored(every.groupBy("key").agg(F.min("fingerprint").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "b"))
+    return every.join(least, "key").where((F.col("fingerprint") != F.col("b")) & near("fingerprint", "b", radius)).select(F.col("fingerprint").alias("a"), "b")
+
+
+def near_pairs(marks: DataFrame, radius: int = RADIUS, many: int = MANY) -> DataFrame:
+    """Pairs (a, b), once in either order, of distinct fingerprints that differ in 1 to `radius` bits and have different roots.
+
+    `marks` is (fingerprint, root); without a root every pair counts. Each fingerprint visits, for every segment, the
+    values in the ball of its own. The members of a value that share its commonest root are only met by visitors of
+    other roots, so that a cluster that is joined already meets itself nowhere; all others are met by every visitor.
+    """
+    root = F.col("root") if "root" in marks.columns else F.col("fingerprint")
+    marks = marks.select("fingerprint", root.alias("root"))
+    segments = 3 if marks.count() <= many else 2
+    probes = []
+    for part, (_, size) in zip(parts(segments), segment_bounds(segments), strict=True):
         for r in range(radius // segments + 1):
             probes += [part.bitwiseXOR(F.lit(sum(1 << i for i in flipped))) for flipped in combinations(range(size), r)]
-    ball = marks.select(F.col("fingerprint").alias("a"), F.explode(F.array(*probes)).alias("key"))
-    own = marks.select(F.col("fingerprint").alias("b"), F.explode(F.array(*keys)).alias("key"))
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
-    return ball.join(own, (ball["key"] == own["key"]) & (F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    visits = marks.select(F.col("fingerprint").alias("a"), F.col("root").alias("ra"), F.explode(F.array(*probes)).alias("key"))
+    own = stored(marks.select(F.col("fingerprint").alias("b"), F.col("root").alias("rb"), F.explode(F.array(*parts(segments))).alias("key")))
+    shares = own.groupBy("key", "rb").agg(F.count(F.lit(1)).alias("n"))
+    # Values with several members of one root: their commonest root is the major one.
+    major = stored(shares.groupBy("key").agg(F.max(F.struct("n", "rb")).alias("top")).where("top.n > 1").select("key", F.col("top.rb").alias("major")))
+    told = own.join(major, "key", "left")
+    met = near("a", "b", radius) & (F.col("a") != F.col("b")) & (F.col("ra") != F.col("rb"))
+    other = visits.join(told.where(F.col("major").isNull() | (F.col("rb") != F.col("major"))).select("key", "b", "rb"), "key").where(met)
+    strange = visits.join(major, "key").where(F.col("ra") != F.col("major")).select("key", "a", "ra")
+    same = strange.join(told.where(F.col("rb") == F.col("major")).select("key", "b", "rb"), "key").where(met)
+    found = other.select("a", "b").unionByName(same.select("a", "b"))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def rooted(nodes: DataFrame, radius: int = RADIUS, many: int = MANY) -> DataFrame:
+    """(fingerprint, first, root) from (fingerprint, first) of distinct fingerprints: root is the least `first` of the component.
+
+    `first` is an ordered struct that no two nodes share. Stars come first; then whatever they left apart is sought.
+    """
 
+    def linked(links: DataFrame) -> DataFrame:
+        of = lambda c: nodes.select(F.col("fingerprint").alias(c), F.col("first").alias(f"first_{c}"))
+        ends = links.join(of("a"), "a").join(of("b"), "b")
+        roots = components(ends.select(F.col("first_a").alias("a"), F.col("first_b").alias("b")))
+        return stored(nodes.join(roots, nodes["first"] == roots["node"], "left").select("fingerprint", "first", F.coalesce("root", "first").alias("root")))
 
-def rooted(marks: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(fingerprint, least, root) of each distinct fingerprint: its least id, and the fingerprint that names its component."""
-    nodes = stored(marks.groupBy("fingerprint").agg(F.min("id").alias("least")))
-    roots = components(stored(near_pairs(nodes, radius)))
-    return stored(nodes.join(roots, nodes["fingerprint"] == roots["node"], "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root")))
+    stars = stored(star_links(nodes, radius))
+    by_star = linked(stars)
+    pairs = stored(near_pairs(by_star.select("fingerprint", F.col("root.fingerprint").alias("root")), radius, many))
+    return linked(stars.unionByName(pairs))
 
 
 def one_of_each(docs: DataFrame, digest: Column, radius: int = RADIUS) -> DataFrame:
@@ -104,13 +150,12 @@ def one_of_each(docs: DataFrame, digest: Column, radius: int = RADIUS) -> DataFr
     """
     marks = stored(fingerprints(docs, digest=digest))
     rows = marks.groupBy("fingerprint", "id", "digest").agg(F.count(F.lit(1)).alias("times"))
-    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "digest", "times")).alias("first")
-    of_mark = rows.groupBy("fingerprint").agg(first)
-    of_root = of_mark.join(rooted(marks, radius).select("fingerprint", "root"), "fingerprint").groupBy("root").agg(F.min("first").alias("first"))
-    return of_root.select(F.col("first.id").alias("doc_id"), "first.digest", "first.times")
+    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "digest", "times", "fingerprint")).alias("first")
+    kept = rooted(stored(rows.groupBy("fingerprint").agg(first)), radius).where("first = root")
+    return kept.select(F.col("first.id").alias("doc_id"), "first.digest", "first.times")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, many: int = MANY) -> DataFrame:
     """One row per document: (doc_id, fingerprint, component_id).
 
     component_id is the smallest doc_id that links reach, itself included; rows without words have fingerprint zero
@@ -118,7 +163,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     a component. Columns beyond doc_id and text aren't read. Empty in, empty out.
     """
     marks = stored(fingerprints(docs))
-    linked = rooted(marks, radius)
-    ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_mark = linked.join(ids, "root").select("fingerprint", "component_id")
+    nodes = marks.groupBy("fingerprint").agg(F.min("id").alias("least"))
+    nodes = stored(nodes.select("fingerprint", F.struct(F.col("least").isNull().alias("unnamed"), "least", "fingerprint").alias("first")))
+    by_mark = rooted(nodes, radius, many).select("fingerprint", F.col("root.least").alias("component_id"))
     return marks.join(by_mark, "fingerprint").select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from docketry.llm import common, components, decontaminate, exact_dedup, licenses, mixing, quality, sharding, simhash, suffix, suffix_dedup, toxicity, warc
 
@@ -282,6 +283,31 @@ def test_shards(spark, docs, rows, nothing):
     assert sharding.shard_documents(nothing).collect() == []
 
 
+def test_many_copies_of_a_record_lie_in_many_buckets(spark):
+    rows = spark.range(900).selectExpr("if(id < 300, null, if(id < 600, 7, id)) doc_id", "if(id < 600, 'same', string(id)) text", "20L size")
+    out = sharding.shuffled_shards(rows, "doc_id", "size", shards=3, bucket_rows=20).collect()
+    again = sharding.shuffled_shards(rows.repartition(5), "doc_id", "size", shards=3, bucket_rows=20).collect()
+    assert sorted(map(str, out)) == sorted(map(str, again)) and Counter(r["doc_id"] for r in out)[None] == Counter(r["doc_id"] for r in out)[7] == 300
+    for s in range(3):
+        slots = sorted(r["slot"] for r in out if r["shard"] == s)
+        assert slots == list(range(len(slots)))
+    apart = sharding.told_apart(rows, 1, 20).selectExpr("record.doc_id", "h").collect()
+    assert len(apart) == 900 and len({r["h"] for r in apart}) == 900
+
+
+def test_rendezvous_and_order_agree_with_a_plain_version(spark):
+    """XXH64 over the values, each seeded by the hash before it; ties can't be."""
+    got = spark.range(200).selectExpr("id").withColumn("s", sharding.rendezvous(F.col("id"), 9)).collect()
+    signed = lambda h: h - (h >> 63 << 64)
+
+    def score(key, j):
+        h = xxhash.xxh64((17).to_bytes(4, "little"), seed=42).intdigest()
+        h = xxhash.xxh64(key.to_bytes(8, "little"), seed=h).intdigest()
+        return signed(xxhash.xxh64(j.to_bytes(4, "little"), seed=h).intdigest())
+
+    assert all(r["s"] == max(range(9), key=lambda j: score(r["id"], j)) for r in got)
+
+
 def test_repeated_and_null_keys_get_slots(spark, tmp_path):
     same = spark.createDataFrame([(1, "a"), (1, "a"), (None, None), (None, "b")], "doc_id long, text string")
     got = sharding.shard_documents(same).collect()
@@ -371,12 +397,13 @@ def fingerprint_by_force(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def test_near_duplicates(docs, rows, nothing, monkeypatch):
+@pytest.mark.parametrize("many", [simhash.MANY, 0])
+def test_near_duplicates(docs, rows, nothing, monkeypatch, many):
     monkeypatch.setattr(simhash, "CHUNK", 100)
     marks = {r[0]: fingerprint_by_force(r[1]) for r in rows}
     linked = [(a, b) for a in marks for b in marks if a < b and (marks[a] ^ marks[b]).bit_count() <= 4]
     roots = components_by_force(marks, linked)
-    for i, r in by_id(simhash.near_duplicates(docs)).items():
+    for i, r in by_id(simhash.near_duplicates(docs, many=many)).items():
         assert (r["fingerprint"], r["component_id"]) == (f"{marks[i]:016x}", roots[i])
     assert simhash.near_duplicates(nothing).collect() == []
 
@@ -387,8 +414,24 @@ def test_no_pair_is_lost(spark):
     for v in list(values)[:100]:
         values.add(v ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(1, 5))))
     signed = [v - (v >> 63 << 64) for v in values]
-    got = {tuple(sorted((r["a"], r["b"]))) for r in simhash.near_pairs(spark.createDataFrame([(v,) for v in signed], "fingerprint long")).collect()}
-    assert got == {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 4}
+    marks = spark.createDataFrame([(v,) for v in signed], "fingerprint long")
+    for many in (simhash.MANY, 0):
+        got = {(r["a"], r["b"]) for r in simhash.near_pairs(marks, many=many).collect()}
+        assert got == {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 4}
+
+
+def test_a_cluster_is_joined_without_all_its_pairs(spark):
+    rnd = random.Random(6)
+    centre, far = rnd.getrandbits(64), rnd.getrandbits(64)
+    values = [centre ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(0, 2))) for _ in range(300)] + [far, far ^ 3, rnd.getrandbits(64)]
+    values = sorted({v - (v >> 63 << 64) for v in values})
+    nodes = spark.createDataFrame([(v, (i, v)) for i, v in enumerate(values)], "fingerprint long, first struct<least: long, fingerprint: long>")
+    near = [(a, b) for a in values for b in values if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 4]
+    roots = components_by_force(range(len(values)), [(values.index(a), values.index(b)) for a, b in near])
+    found = simhash.rooted(nodes).collect()
+    assert {r["fingerprint"]: r["root"]["least"] for r in found} == {v: roots[i] for i, v in enumerate(values)}
+    left = simhash.near_pairs(simhash.rooted(nodes).selectExpr("fingerprint", "root.fingerprint root")).count()
+    assert left == 0 and len(near) > 10_000
 
 
 def test_components(spark):

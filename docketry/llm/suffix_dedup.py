@@ -6,8 +6,9 @@ Equal strings have equal anchors, so a shard that holds all starts of some ancho
 strings. Anchors seen once need no sorting. The starts of an anchor that follow one another in a document travel as
 one context, the bytes that their strings cover. A shard sorts the suffixes of its distinct contexts by external
 induction (see `suffix`); starts whose common prefix with a neighbour reaches SPAN, or whose context comes twice,
-repeat. An anchor with more starts than one task should hold is settled by digests of its strings instead, which
-spread over all tasks.
+repeat. Where an anchor has more contexts than HOT, a second anchor, the least hash but for the first, splits each into
+smaller ones, and equal ones are counted first, so that one of each is sorted. What is sorted together may be larger
+than memory.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketry.llm.common import stored
-from docketry.llm.suffix import Scratch, sorted_suffixes
+from docketry.llm.suffix import Scratch, suffix_chunks
 
 SPAN, GRAM = 200, 32
-#: Contexts of one anchor that a shard takes; those of more frequent anchors go by digests of single strings.
+#: Contexts of one anchor beyond which a second anchor splits them.
 HOT = 20_000
 #: Odd multipliers of the gram hash.
 MIX = (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x9E3779B97F4A7C15)
@@ -40,14 +41,8 @@ def extremes(x: np.ndarray, width: int, of: np.ufunc, filler: int) -> np.ndarray
     return of(onward[:n], upto[width - 1 : width - 1 + n])
 
 
-def anchors(raw: bytes, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, first start, number of starts, whether it comes twice) of each run of starts with one anchor.
-
-    A run may hold equal strings only if the anchor stands twice near each other. Below `span` bytes there is no run.
-    """
-    if len(raw) < span:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
-    b = np.frombuffer(raw, np.uint8)
+def gram_hashes(b: np.ndarray) -> np.ndarray:
+    """Hashes of the GRAM-byte strings at each place."""
     words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(b, 8)).view("<u8").reshape(-1)
     m = len(b) - GRAM + 1
     h = words[:m] * np.uint64(MIX[0])
@@ -58,9 +53,22 @@ def anchors(raw: bytes, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.nd
     h ^= h >> np.uint64(32)
     h *= np.uint64(MIX[4])
     h ^= h >> np.uint64(29)
+    return h
+
+
+TOP = np.iinfo(np.uint64).max
+
+
+def anchors(raw: bytes, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, first start, number of starts, whether it comes twice) of each run of starts with one anchor.
+
+    A run may hold equal strings only if the anchor stands twice near each other. Below `span` bytes there is no run.
+    """
+    if len(raw) < span:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    h = gram_hashes(np.frombuffer(raw, np.uint8))
     width = span - GRAM + 1
-    top = np.iinfo(np.uint64).max
-    least = extremes(h, width, np.minimum, top)
+    least = extremes(h, width, np.minimum, TOP)
     first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
     # A gram is the least of some neighbours if it equals the largest of the leasts of all neighbours that hold it.
     rim = np.zeros(width - 1, np.uint64)
@@ -69,6 +77,16 @@ def anchors(raw: bytes, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.nd
     return least[first].view(np.int64), first, np.diff(np.append(first, len(least))), np.isin(least[first], twice) if len(twice) else np.zeros(len(first), bool)
 
 
+def second_anchors(context: bytes, anchor: int, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pair of anchors as one hash, first start, number of starts) of the runs within the context of one anchor."""
+    h = gram_hashes(np.frombuffer(context, np.uint8))
+    own = np.array([anchor], np.int64).view(np.uint64)[0]
+    least = extremes(np.where(h == own, TOP, h), span - GRAM + 1, np.minimum, TOP)
+    first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    pair = (least[first] ^ (own >> np.uint64(17))) * np.uint64(MIX[0])
+    return pair.view(np.int64), first, np.diff(np.append(first, len(least)))
+
+
 def repeated_starts(contexts: list[bytes], scratch: Scratch, span: int = SPAN) -> list[np.ndarray]:
     """For each distinct context, which of its starts have a string that another start of any context has."""
     sizes = np.array([len(c) for c in contexts], np.int64)
@@ -76,18 +94,23 @@ def repeated_starts(contexts: list[bytes], scratch: Scratch, span: int = SPAN) -
     ends = np.cumsum(sizes)
     for c, end in zip(contexts, ends.tolist(), strict=True):
         text[end - len(c) : end] = np.frombuffer(c, np.uint8)
-    order, lcp = sorted_suffixes(text, span, scratch)
-    valid = np.ones(len(text), bool)
-    for end in ends.tolist():
-        valid[end - span + 1 : end] = False
-    k = np.flatnonzero(valid[order])
-    # Between valid neighbours the common prefix is the least over those that stand between.
-    low = np.minimum.reduceat(lcp[: k[-1] + 1], k[:-1] + 1) if len(k) > 1 else np.zeros(0, lcp.dtype)
-    same = low >= span
-    at = order[k]
-    repeats = np.zeros(len(text), bool)
-    repeats[at[1:][same]] = True
-    repeats[at[:-1][same]] = True
+    valid, repeats = scratch.array(len(text), bool), scratch.array(len(text), bool)
+    for end, size in zip(ends.tolist(), sizes.tolist(), strict=True):
+        valid[end - size : end - span + 1] = True
+    last, low = -1, span  # the valid start before, and the least common prefix since
+    for at, lcp in suffix_chunks(text, 256, span, scratch):
+        k = np.flatnonzero(valid[at])
+        if not len(k):
+            low = min(low, int(lcp.min()))
+            continue
+        # Between valid neighbours the common prefix is the least over those that stand between.
+        common = np.minimum.reduceat(lcp[: k[-1] + 1], np.append(0, k[:-1] + 1))
+        common[0] = min(common[0], low) if last >= 0 else 0
+        now = at[k]
+        same = common >= span
+        repeats[now[same]] = True
+        repeats[np.append(last, now[:-1])[same]] = True
+        last, low = int(now[-1]), int(min(span, lcp[k[-1] + 1 :].min(initial=span)))
     return [repeats[end - size : end - span + 1] for end, size in zip(ends.tolist(), sizes.tolist(), strict=True)]
 
 
@@ -119,6 +142,7 @@ def sort_shard(rows: pd.DataFrame, span: int = SPAN) -> pd.DataFrame:
 
 
 ROWS = "id bigint, mark bigint, a bigint, b bigint"
+PARTS = ["anchor", "id", "mark", "start", "bytes"]
 
 
 def anchor_rows(docs: DataFrame) -> DataFrame:
@@ -152,9 +176,9 @@ def contexts_of(docs: DataFrame) -> DataFrame:
                     a = int(first[i])
                     out.append((int(h[i]), id_, mark, a, raw[a : a + int(n[i]) + SPAN - 1]))
                 if len(out) > 20_000:
-                    yield pd.DataFrame(out, columns=["anchor", "id", "mark", "start", "bytes"]).astype({"id": "Int64"})
+                    yield pd.DataFrame(out, columns=PARTS).astype({"id": "Int64"})
                     out = []
-            yield pd.DataFrame(out, columns=["anchor", "id", "mark", "start", "bytes"]).astype({"id": "Int64"})
+            yield pd.DataFrame(out, columns=PARTS).astype({"id": "Int64"})
 
     return docs.mapInPandas(cut, "anchor bigint, id bigint, mark bigint, start bigint, bytes binary")
 
@@ -179,25 +203,39 @@ def sorted_ranges(contexts: DataFrame) -> DataFrame:
         if held and sum(map(len, held)):
             yield sort_shard(pd.concat(held).reset_index(drop=True)).astype({"id": "Int64"})
 
-    return contexts.repartition("anchor").sortWithinPartitions("anchor").select("anchor", "id", "mark", "start", "bytes").mapInPandas(shard, ROWS)
+    return contexts.repartition("anchor").sortWithinPartitions("anchor").select(*PARTS).mapInPandas(shard, ROWS)
 
 
 #: Bytes of contexts that are sorted together at least, where a partition has as many.
 PART_BYTES = 8 << 20
 
 
-def digest_ranges(contexts: DataFrame) -> DataFrame:
-    """Ranges from contexts of hot anchors: one row for each string, counted by digest over all tasks."""
+def split_ranges(contexts: DataFrame) -> DataFrame:
+    """Ranges from contexts of hot anchors, split by second anchors. Equal ones are counted, and one of each is sorted."""
 
-    def strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for id_, mark, start, raw in zip(batch["id"], batch["mark"], batch["start"], batch["bytes"], strict=True):
-                n = len(raw) - SPAN + 1
-                yield pd.DataFrame({"id": pd.array([id_] * n, "Int64"), "mark": mark, "a": np.arange(start, start + n), "digest": [hashlib.blake2b(raw[i : i + SPAN], digest_size=16).digest() for i in range(n)]})
+            out = []
+            for anchor, id_, mark, start, raw in zip(batch["anchor"], batch["id"], batch["mark"], batch["start"], batch["bytes"], strict=True):
+                for pair, first, n in zip(*(x.tolist() for x in second_anchors(raw, anchor)), strict=True):
+                    part = raw[first : first + n + SPAN - 1]
+                    out.append((pair, id_, mark, start + first, part, hashlib.blake2b(part, digest_size=16).digest()))
+                if len(out) > 20_000:
+                    yield pd.DataFrame(out, columns=[*PARTS, "digest"]).astype({"id": "Int64"})
+                    out = []
+            yield pd.DataFrame(out, columns=[*PARTS, "digest"]).astype({"id": "Int64"})
 
-    rows = contexts.select("id", "mark", "start", "bytes").mapInPandas(strings, "id bigint, mark bigint, a bigint, digest binary")
-    often = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
-    return rows.join(often, "digest").select("id", "mark", "a", (F.col("a") + SPAN).alias("b"))
+    own = stored(contexts.mapInPandas(cut, "anchor bigint, id bigint, mark bigint, start bigint, bytes binary, digest binary"))
+    counted = stored(own.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("n"), F.first("bytes").alias("bytes")))
+    copies = counted.where("n > 1").select("digest", F.array(F.struct(F.lit(0).cast("long").alias("a"), F.octet_length("bytes").cast("long").alias("b"))).alias("ranges"))
+    # One of each is told by a number that stands for its digest.
+    single = counted.withColumn("id", F.xxhash64("digest")).withColumn("mark", F.xxhash64(F.lit(1), "digest"))
+    sorted_ = sorted_ranges(single.select("anchor", "id", "mark", F.lit(0).cast("long").alias("start"), "bytes"))
+    found = sorted_.groupBy("id", "mark").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+    found = single.where("n = 1").select("digest", "id", "mark").join(found, ["id", "mark"]).select("digest", "ranges")
+    ranges = stored(copies.unionByName(found))
+    every = own.select("id", "mark", "start", "digest").join(ranges, "digest").select("id", "mark", "start", F.explode("ranges").alias("r"))
+    return every.select("id", "mark", (F.col("start") + F.col("r.a")).alias("a"), (F.col("start") + F.col("r.b")).alias("b"))
 
 
 def removed(docs: DataFrame) -> DataFrame:
@@ -246,7 +284,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", row_id: str = "doc_id",
 
     ranges = sorted_ranges(contexts(often.where(F.col("n") <= hot)))
     if not often.where(F.col("n") > hot).isEmpty():
-        ranges = ranges.unionByName(digest_ranges(stored(contexts(often.where(F.col("n") > hot)))))
+        ranges = ranges.unionByName(split_ranges(contexts(often.where(F.col("n") > hot))))
     ranges = ranges.groupBy("id", "mark").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
     ranges = ranges.select(F.col("id").alias("_id"), F.col("mark").alias("_mark"), "ranges")
     return removed(rows.join(ranges, same, "left").select("id", "text", "ranges"))

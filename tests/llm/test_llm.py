@@ -4,8 +4,11 @@ import hashlib
 import math
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -73,7 +76,7 @@ def test_suffixes_and_common_prefixes(tmp_path):
         cap = rnd.choice([2, 9, 200])
         folder = tmp_path / str(case)
         folder.mkdir()
-        order, lcp = suffix.sorted_suffixes(np.frombuffer(text, np.uint8), cap, suffix.Scratch(str(folder), rnd.choice([8, 10**9]), rnd.choice([64, 10**9])))
+        order, lcp = suffix.sorted_suffixes(np.frombuffer(text, np.uint8), cap, suffix.Scratch(str(folder), rnd.choice([8, 10**9]), rnd.choice([64, 10**9]), rnd.choice([3, 17, 10**6]), rnd.choice([1, 5, 10**6])))
         assert sorted(order.tolist()) == list(range(len(text)))
         for i in range(1, len(text)):
             a, b = text[order[i - 1] :], text[order[i] :]
@@ -81,6 +84,38 @@ def test_suffixes_and_common_prefixes(tmp_path):
             assert a[:cap] <= b[:cap] and lcp[i] == min(cap, shared)
 
 
+LIMITED = """
+import resource, sys
+import numpy as np
+from docketry.llm import suffix
+rnd = np.random.default_rng(5)
+words = [bytes(rnd.integers(97, 123, rnd.integers(2, 9), np.uint8)) for _ in range(3000)]
+n = int(sys.argv[2])
+text = np.memmap(sys.argv[1] + "/text", np.uint8, "w+", shape=(n,))
+for a in range(0, n, 1 << 16):
+    part = b" ".join(words[i] for i in rnd.integers(0, 3000, 20000))[: min(1 << 16, n - a)]
+    text[a : a + len(part)] = np.frombuffer(part, np.uint8)
+held = next(int(x.split()[1]) for x in open("/proc/self/status") if x.startswith("VmData")) << 10
+resource.setrlimit(resource.RLIMIT_DATA, (held + int(sys.argv[3]), held + int(sys.argv[3])))
+scratch = suffix.Scratch(sys.argv[1], 1 << 16, 1 << 20, 1 << 15, 200_000)
+done, last = 0, None
+for at, lcp in suffix.suffix_chunks(text, 256, 200, scratch):
+    for i in range(0, len(at), 997):
+        if i:
+            a, b = (bytes(text[p : p + 200]) for p in at[i - 1 : i + 1])
+            assert a <= b and lcp[i] == next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    done += len(at)
+assert done == n
+"""
+
+
+def test_a_shard_larger_than_memory_is_sorted(tmp_path):
+    """Arrays in memory would take over 20 bytes for each byte of the text; the limit leaves 20 in all."""
+    n, limit = 1 << 20, 20 << 20
+    ran = subprocess.run([sys.executable, "-c", LIMITED, str(tmp_path), str(n), str(limit)], cwd=Path(__file__).parents[2], capture_output=True, text=True, env={"OPENBLAS_NUM_THREADS": "1", "PATH": "/usr/bin"})
+    assert ran.returncode == 0, ran.stderr[-2000:]
+
+
 def cut_by_force(every, span=200):
     raws = [(t or "").encode() for t in every]
     seen = Counter(r[i : i + span] for r in raws for i in range(len(r) - span + 1))
@@ -249,8 +284,6 @@ def test_an_id_that_repeats_teaches_once(spark):
 
 
 def test_accuracy_on_rows_held_out(spark):
-    from pathlib import Path
-
     sf = "/root/testdata/sf0.1"
     if not Path(sf).exists():
         pytest.skip("no tables")
@@ -481,8 +514,6 @@ def test_ranges_of_any_size_give_the_same_mix(spark, docs):
 
 
 def test_pipeline(spark, tmp_path):
-    from pathlib import Path
-
     import corpus_pipeline
 
     sf = "/root/testdata/sf0.001"

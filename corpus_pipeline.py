@@ -10,13 +10,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docketry.llm import decontaminate, mixing, quality, sharding, simhash
-from docketry.llm.common import SOLID, stored, table
+from docketry.llm.common import SOLID, copies, discard, stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score reaches the threshold. The model is fitted on these documents' labels."""
+    """Documents whose quality score reaches the threshold. The model is fitted on these documents' labels.
+
+    Null and empty texts have a score like any other. Rows that repeat have one score; ids are never looked at but for
+    their labels. Without labels all stay, as all scores are 0.5. Other columns drop out; an empty table gives none.
+    """
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     return quality.scored(docs.select(*COLUMNS), model).where(F.col("_score") >= quality.THRESHOLD).select(*COLUMNS)
 
@@ -41,39 +45,43 @@ def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs."""
+    """Documents in which no window of a benchmark item occurs.
+
+    Null and empty texts have no words and stay; rows that repeat stay or go together. With an empty benchmark all
+    stay. Other columns drop out; an empty table gives none.
+    """
     return decontaminate.contaminated(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark")).where("n_hit = 0").select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: each document as often as it is taken whole, and the one that the budget cuts with its first words.
 
-    Rows that share id, source and size are told apart by number alone, so that each is taken as one of them is. What
-    is taken of them is at most a few different numbers of words, each with the rows that it holds for.
+    Documents stand in the order of their ids and digests. Rows that are equal in all columns are as good as each
+    other: they are mixed one by one, and one of them is written as often as all together are taken. Null and empty
+    texts have no words and aren't taken; a null source is one source. An empty table gives none.
     """
-    slim = docs.select(F.col("doc_id").alias("key"), mixing.word_count(F.col("text")).alias("size"), F.col("source").cast("string").alias("source"))
-    same = [F.col("key").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")]
-    taken = mixing.fair_mix(stored(slim)).groupBy(*same, "taken").agg(F.count(F.lit(1)).alias("n"))
-    taken = taken.groupBy("_id", "_source", "_size").agg(F.sort_array(F.collect_list(F.struct("taken", "n")), asc=False).alias("_parts"))
-    taken = stored(taken.where(F.get("_parts", F.lit(0))["taken"] > 0))
-    rows = docs.select(*COLUMNS).withColumn("_w", mixing.word_count(F.col("text")))
-    rows = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source")) & (F.col("_w") == F.col("_size")))
-    number = F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy(digest()))
-    upto = lambda i: F.aggregate(F.slice("_parts", F.lit(1), i + 1), F.lit(0).cast("long"), lambda m, p: m + p["n"])
-    own = F.get(F.filter("_parts", lambda p, i: upto(i) >= F.col("_n")), F.lit(0))["taken"]
-    one = rows.where(F.size("_parts") == 1).withColumn("taken", F.get("_parts", F.lit(0))["taken"])
-    more = rows.where(F.size("_parts") > 1).withColumn("_n", number).withColumn("taken", own).where("taken > 0").drop("_n")
-    rows = one.unionByName(more)
-    copies = F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("_size")).cast("int") - 1)
-    rows = rows.withColumn("_left", F.explode(F.transform(copies, lambda i: F.least(F.col("_size"), F.col("taken") - i * F.col("_size")))))
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(SOLID), F.lit(0)), 1, F.col("_left").cast("int")), " ")
-    rows = rows.withColumn("text", F.when(F.col("_left") < F.col("_size"), cut).otherwise(F.col("text")))
-    return rows.withColumn("n_chars", F.when(F.col("_left") < F.col("_size"), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+    rows = docs.select(*COLUMNS, F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), digest().cast("string")).alias("key"))
+    slim = rows.select("key", mixing.word_count(F.col("text")).alias("size"), F.col("source").cast("string").alias("source"))
+    taken = mixing.fair_mix(stored(slim)).where("taken > 0")
+    taken = taken.groupBy("key", "size").agg(F.sum(F.floor(F.col("taken") / F.col("size"))).alias("full"), F.max(F.col("taken") % F.col("size")).alias("rest"))
+    taken = stored(taken.withColumn("times", F.col("full") + (F.col("rest") > 0).cast("long")))
+    often = stored(slim.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
+    one = rows.join(often, "key", "left_semi").groupBy("key").agg(F.first(F.struct(*COLUMNS)).alias("row")).select("row.*", "key")
+    rows = rows.join(often, "key", "left_anti").select(*COLUMNS, "key").unionByName(one)
+    out = copies(rows.join(taken, "key"), "times", "copy")
+    left = F.when(F.col("copy") < F.col("full"), F.col("size")).otherwise(F.col("rest"))
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(SOLID), F.lit(0)), 1, left.cast("int")), " ")
+    out = out.withColumn("_left", left).withColumn("text", F.when(F.col("_left") < F.col("size"), cut).otherwise(F.col("text")))
+    return out.withColumn("n_chars", F.when(F.col("_left") < F.col("size"), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every record with its shard and slot, as `shard_documents` reports them."""
-    return sharding.shard_documents(docs)
+    """Every document with its size, checksum, shard and slot there, and its shard with one shard more.
+
+    Rows that repeat an id, or have none, share a shard and have a slot each; null text is an empty one of size 16 and
+    stays null. An empty table gives none.
+    """
+    return sharding.placed_documents(docs.select(*COLUMNS))
 
 
 STAGES = [("quality", keep_quality), ("near_duplicates", one_of_near_duplicates), ("decontamination", without_benchmark), ("mixing", mixed), ("sharding", sharded)]
@@ -83,8 +91,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`."""
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir))
+    """All stages over `documents`. A stage's table goes when the next one's stands."""
+    docs = stored(STAGES[0][1](spark, table(spark, sf_dir, "documents"), sf_dir))
+    for _, stage in STAGES[1:]:
+        after = stored(stage(spark, docs, sf_dir))
+        discard(docs)
+        docs = after
     return docs

@@ -19,6 +19,9 @@ from docketry.llm.common import copies, stored
 BUCKET_BYTES, BUCKET_ROWS, TASKS = 32 << 20, 32768, 8192
 
 
+PLACED = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+
+
 def rendezvous(key: Column, shards: int, seed: int = 17) -> Column:
     """The shard from 0 to shards - 1 whose seeded hash with the key is largest."""
     scores = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda j: F.struct(F.xxhash64(F.lit(seed), key, j).alias("h"), j.alias("j")))
@@ -83,12 +86,18 @@ def write_shards(records: DataFrame, path: str, key: str, size: str, **options)
     placed.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
-def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
-    """One row per document: (doc_id, size, text_crc32, law, shard, slot, grown_shard) by the law `key`.
+def placed_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
+    """All columns of `docs` plus (size, text_crc32, law, shard, slot, grown_shard) by the law `key`.
 
-    Null text has no bytes and the checksum of the empty string. Rows that repeat a doc_id, or have none, share a
-    shard and each has a slot of its own there. Columns beyond doc_id and text aren't read. Empty in, empty out.
+    These six replace columns of their names. Null text has no bytes and the checksum of the empty string. Rows that
+    repeat a doc_id, or have none, share a shard and each has a slot of its own there. Empty in, empty out.
     """
+    names = [c for c in docs.columns if c not in PLACED]
+    rows = docs.select(*[f"`{c}`" for c in names], record_bytes(F.col("text")).alias("size"), F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32"))
+    return shuffled_shards(stored(rows), "doc_id", "size", shards).withColumn("law", F.lit("key")).select(*[f"`{c}`" for c in names], *PLACED)
+
+
+def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
+    """The same of doc_id alone: (doc_id, size, text_crc32, law, shard, slot, grown_shard). Texts aren't shuffled."""
     slim = docs.select("doc_id", record_bytes(F.col("text")).alias("size"), F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32"))
-    placed = shuffled_shards(stored(slim), "doc_id", "size", shards)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+    return shuffled_shards(stored(slim), "doc_id", "size", shards).withColumn("law", F.lit("key")).select("doc_id", *PLACED)

@@ -560,6 +560,42 @@ def test_pipeline_keeps_a_row_of_each_component_and_mixes_rows(spark):
     words = lambda df: sum(len((r["text"] or "").split()) for r in df.collect())
     assert words(mix) == math.floor(1.5 * words(kept))
     taken = Counter()
-    for r in mixing.fair_mix(common.stored(kept.select(kept.doc_id.alias("key"), mixing.word_count(kept.text).alias("size"), "source"))).collect():
+    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), corpus_pipeline.digest().cast("string")).alias("key")
+    for r in mixing.fair_mix(common.stored(kept.select(key, mixing.word_count(kept.text).alias("size"), "source"))).collect():
         taken[r["source"]] += r["taken"]
     assert +taken == Counter({s: n for s in ("s1", "s2", None) if (n := words(mix.where(mix.source.eqNullSafe(s))))})
+
+
+def test_stages_with_nulls_repeats_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    rnd = random.Random(13)
+    prose = lambda n: " ".join(rnd.choice(VOCABULARY) + str(rnd.randint(0, 999)) for _ in range(n))
+    leak, same = prose(14), prose(50)
+    texts_ = [None, "", leak, f"see {leak} end", *[same] * 6, *[prose(30) for _ in range(8)]]
+    cases = [(None if k % 4 == 0 else k if k < 12 else 5, t, None, ["s1", None][k % 2], None, 7) for k, t in enumerate(texts_)]
+    cases += [(9, same, None, "s1", None, 7)] * 5
+    docs = spark.createDataFrame(cases, "doc_id long, text string, lang string, source string, n_chars long, shard int")
+    sf = str(tmp_path)
+    spark.createDataFrame([(1, 1, 0), (2, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(1, leak), (None, None)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    plain = Counter((r[0], r[1]) for r in cases)
+    good = by_rows(corpus_pipeline.keep_quality(spark, docs, sf))
+    assert not good - plain
+    clean = by_rows(corpus_pipeline.without_benchmark(spark, docs, sf))
+    assert clean == Counter({k: n for k, n in plain.items() if leak not in (k[1] or "")})
+    mix = corpus_pipeline.mixed(spark, docs, sf).collect()
+    size = lambda rows: sum(len((t or "").split()) for t in rows)
+    assert size(r["text"] for r in mix) == math.floor(1.5 * size(r[1] for r in cases))
+    copies = Counter((r["doc_id"], r["source"], r["text"]) for r in mix)
+    whole = Counter((r[0], r[3], r[1]) for r in cases)
+    cut = [k for k in copies if k not in whole]
+    assert len(cut) <= 1 and all(n <= 2 * whole[k] for k, n in copies.items() if k not in cut)
+    placed = corpus_pipeline.sharded(spark, docs, sf).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in placed) == plain and len({(r["shard"], r["slot"]) for r in placed}) == len(cases)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf).collect() == []
+
+
+def by_rows(df):
+    return Counter((r["doc_id"], r["text"]) for r in df.collect())

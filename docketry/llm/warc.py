@@ -9,26 +9,43 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import re
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Elements whose content is no text, those that end a line, and the five entities that are read.
-SILENT = r"(?is)<!--.*?-->|<(script|style|noscript|template|nav|head)\b.*?</\1\s*>"
-BLOCKS = r"(?i)<(?:/?(?:p|div|h[1-6]|ul|ol|li|table|tr|article|section|header|footer|blockquote|pre)\b[^>]*|br\b[^>]*)>"
+#: Elements whose content is no text, those that end a line.
+SILENT = r"(?is)<!--.*?-->|<(script|style|noscript|template|head)\b.*?</\1\s*>"
+BLOCKS = r"(?i)<(?:/?(?:p|div|h[1-6]|ul|ol|li|table|tr|article|section|header|footer|nav|blockquote|pre)\b[^>]*|br\b[^>]*)>"
 TAGS = r"<[^>]*>"
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
-LINKS = r"(?i)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"'<>]*)[\"']"
+#: Named references that are read beside all numeric ones.
+ENTITIES = {
+    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "©", "reg": "®", "trade": "™", "middot": "·", "bull": "•", "hellip": "…", "ndash": "–", "mdash": "—",
+    "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "laquo": "«", "raquo": "»", "euro": "€", "pound": "£", "sect": "§", "deg": "°", "times": "×",
+}
+REFERENCE = "^(#[0-9]{1,6}|#[xX][0-9a-fA-F]{1,5}|[a-zA-Z]{2,6});"
+#: An href in double quotes, single quotes or none.
+LINKS = r"(?i)<a\b[^>]*?\bhref\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
 TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
-COLUMNS = ("record_id", "record_type", "target_uri", "date", "headers", "payload")
+CRLF = "\r\n"
 
 
 def decoded(text: Column) -> Column:
-    for entity, c in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(c))
-    return text
+    """Text with its character references read, each once; others stay as they stand."""
+    named = F.create_map(*[F.lit(x) for kv in ENTITIES.items() for x in kv])
+
+    def read(p: Column) -> Column:
+        name = F.regexp_extract(p, REFERENCE, 1)
+        code = F.when(name.rlike("^#[xX]"), F.conv(F.substr(name, F.lit(3)), 16, 10)).when(name.startswith("#"), F.substr(name, F.lit(2))).cast("int")
+        # A character outside Unicode's first plane, or none, stays as it stands.
+        c = F.when(code.between(1, 55295) | code.between(57344, 65535), F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")).when(~name.startswith("#"), named[name])
+        return F.when((name == "") | c.isNull(), F.concat(F.lit("&"), p)).otherwise(F.concat(c, F.substr(p, F.length(name) + 2)))
+
+    part = lambda p, i: F.when(i == 0, p).when(p.startswith("amp;"), F.concat(F.lit("&"), F.substr(p, F.lit(5)))).otherwise(read(p))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(F.split(text, "&", -1), part), "")).otherwise(text)
 
 
 def plain_text(html: Column) -> Column:
@@ -44,7 +61,8 @@ def title_of(html: Column) -> Column:
 
 def links(html: Column) -> Column:
     """Targets of the anchors in order, repeats included."""
-    return F.transform(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(LINKS), F.lit(1)), decoded)
+    bare = lambda x: F.when(x.startswith('"') | x.startswith("'"), F.substr(x, F.lit(2), F.length(x) - 2)).otherwise(x)
+    return F.transform(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(LINKS), F.lit(1)), lambda x: decoded(bare(x)))
 
 
 def record_id(*parts: Column) -> Column:
@@ -58,34 +76,46 @@ def digest(payload: Column) -> Column:
 
 
 def responses(pages: DataFrame, row_id: str = "page_id") -> DataFrame:
-    """Response records of a table of (page_id, url, html). Null html is an empty payload, a null url stays null."""
+    """Response records of a table of (page_id, url, html). Null html is an empty payload, a null url stays null.
+
+    The headers say what the table knows: the type and the length. It knows no date.
+    """
+    html = F.coalesce("html", F.lit(""))
     return pages.select(
         F.col(row_id).alias("source_id"),
         record_id(F.lit("response"), F.col(row_id), F.col("url")).alias("record_id"),
         F.lit("response").alias("record_type"),
         F.col("url").alias("target_uri"),
-        F.lit("content-type: text/html; charset=utf-8").alias("headers"),
-        F.coalesce("html", F.lit("")).alias("payload"),
+        F.lit(None).cast("string").alias("date"),
+        F.concat(F.lit(f"content-type: text/html; charset=utf-8{CRLF}content-length: "), F.octet_length(html).cast("string")).alias("headers"),
+        digest(html).alias("payload_digest"),
+        html.alias("payload"),
     )
 
 
 def derivatives(records: DataFrame) -> DataFrame:
     """A conversion and a metadata record for each response: (source_id, record_type, record_id, refers_to, target_uri,
-    content_type, source_headers, source_digest, payload_digest, content_length, n_links, payload).
+    date, content_type, source_headers, source_digest, payload_digest, content_length, n_links, payload).
 
-    Other record types are passed over. Repeated responses give repeated records. Empty in, empty out.
+    Identifier, date, headers and digest of the source are kept as they stand; a source without a digest gets that of
+    its text. Both records share the source's date. Other record types are passed over. Repeated responses give
+    repeated records; null or empty payloads give an empty text. Columns beyond those of `responses` aren't read. Empty
+    in, empty out.
     """
     r = records.where(F.col("record_type") == "response")
-    r = r.select("source_id", F.col("record_id").alias("refers_to"), "target_uri", F.col("headers").alias("source_headers"), digest(F.col("payload")).alias("source_digest"), title_of(F.col("payload")).alias("title"), links(F.col("payload")).alias("links"), plain_text(F.col("payload")).alias("text"))
-    meta = F.concat_ws("\r\n", F.concat(F.lit("title: "), F.col("title")), F.concat(F.lit("source-digest: "), F.col("source_digest")), F.concat(F.lit("source-header: "), F.col("source_headers")), F.transform("links", lambda x: F.concat(F.lit("outlink: "), x)))
+    own = F.coalesce("payload", F.lit(""))
+    r = r.select("source_id", F.col("record_id").alias("refers_to"), "target_uri", "date", F.coalesce("headers", F.lit("")).alias("source_headers"), F.coalesce(F.col("payload_digest"), digest(own)).alias("source_digest"), title_of(own).alias("title"), links(own).alias("links"), plain_text(own).alias("text"))
+    lines = F.transform(F.filter(F.split("source_headers", CRLF), lambda x: x != ""), lambda x: F.concat(F.lit("source-header: "), x))
+    meta = F.concat_ws(CRLF, F.concat(F.lit("title: "), F.col("title")), F.concat(F.lit("source-digest: "), F.col("source_digest")), lines, F.transform("links", lambda x: F.concat(F.lit("outlink: "), x)))
     made = F.array(F.struct(F.lit("conversion").alias("record_type"), F.lit("text/plain").alias("content_type"), F.col("text").alias("payload")), F.struct(F.lit("metadata").alias("record_type"), F.lit("application/warc-fields").alias("content_type"), meta.alias("payload")))
-    out = r.select("source_id", "refers_to", "target_uri", "source_headers", "source_digest", F.size("links").cast("long").alias("n_links"), F.explode(made).alias("d"))
+    out = r.select("source_id", "refers_to", "target_uri", "date", "source_headers", "source_digest", F.size("links").cast("long").alias("n_links"), F.explode(made).alias("d"))
     return out.select(
         "source_id",
         F.col("d.record_type").alias("record_type"),
         record_id(F.col("d.record_type"), F.col("refers_to")).alias("record_id"),
         "refers_to",
         "target_uri",
+        "date",
         F.col("d.content_type").alias("content_type"),
         "source_headers",
         "source_digest",
@@ -116,8 +146,40 @@ def parse_warc(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = end + 4 + size
 
 
+def http_body(headers: dict[str, str], body: bytes) -> str:
+    """The text of a response's body: chunks joined, compression undone, in the charset that the headers or the page name."""
+    if "chunked" in headers.get("transfer-encoding", "").lower():
+        out, at = [], 0
+        while (end := body.find(b"\r\n", at)) >= 0:
+            try:
+                size = int(body[at:end].split(b";")[0], 16)
+            except ValueError:
+                break
+            if not size:
+                break
+            out.append(body[end + 2 : end + 2 + size])
+            at = end + 4 + size
+        body = b"".join(out) or body
+    try:
+        match headers.get("content-encoding", "").strip().lower():
+            case "gzip" | "x-gzip":
+                body = gzip.decompress(body)
+            case "deflate":
+                body = zlib.decompress(body, -zlib.MAX_WBITS if body[:1] not in (b"\x78", b"\x58") else zlib.MAX_WBITS)
+    except (OSError, EOFError, zlib.error):
+        pass  # said to be compressed, but isn't: as it stands
+    told = re.search(r"charset=[\"']?([\w.:-]+)", headers.get("content-type", "")) or re.search(r"charset=[\"']?([\w.:-]+)", body[:2048].decode("latin-1"))
+    try:
+        return body.decode(told[1] if told else "utf-8", "replace")
+    except LookupError:
+        return body.decode("utf-8", "replace")
+
+
 def read_responses(files: DataFrame) -> DataFrame:
-    """Response records of WARC files, from rows of `spark.read.format("binaryFile")`, one file in memory at a time."""
+    """Response records of WARC files, from rows of `spark.read.format("binaryFile")`, one file in memory at a time.
+
+    WARC-Date and WARC-Payload-Digest are the file's own; a record without a digest gets that of its raw body.
+    """
 
     def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -125,23 +187,25 @@ def read_responses(files: DataFrame) -> DataFrame:
                 rows = []
                 for i, (fields, block) in enumerate(parse_warc(raw)):
                     head, _, body = block.partition(b"\r\n\r\n") if fields.get("warc-type") == "response" else (b"", b"", block)
-                    headers = "\r\n".join(head.decode("utf-8", "replace").split("\r\n")[1:])
+                    lines = head.decode("latin-1").split(CRLF)[1:]
+                    headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
                     name = fields.get("warc-record-id") or f"<urn:sha256:{hashlib.sha256(f'{path}#{i}'.encode()).hexdigest()}>"
-                    rows.append((f"{path}#{i}", name, fields.get("warc-type"), fields.get("warc-target-uri"), headers, body.decode("utf-8", "replace")))
-                yield pd.DataFrame(rows, columns=["source_id", "record_id", "record_type", "target_uri", "headers", "payload"])
-
-    return files.select("path", "content").mapInPandas(records, "source_id string, record_id string, record_type string, target_uri string, headers string, payload string")
+                    own = fields.get("warc-payload-digest") or f"sha256:{hashlib.sha256(body).hexdigest()}"
+                    rows.append((f"{path}#{i}", name, fields.get("warc-type"), fields.get("warc-target-uri"), fields.get("warc-date"), CRLF.join(lines), own, http_body(headers, body)))
+                yield pd.DataFrame(rows, columns=["source_id", "record_id", "record_type", "target_uri", "date", "headers", "payload_digest", "payload"])
 
+    return files.select("path", "content").mapInPandas(records, "source_id string, record_id string, record_type string, target_uri string, date string, headers string, payload_digest string, payload string")
 
-def write_derivatives(records: DataFrame, path: str) -> None:
-    """The derivatives as rows with their bytes in the file format, from which a copy makes WARC files."""
 
-    @F.pandas_udf("binary")
-    def packed(rows: pd.DataFrame) -> pd.Series:
-        return rows.apply(lambda r: warc_bytes({"WARC-Type": r["record_type"], "WARC-Record-ID": r["record_id"], "WARC-Refers-To": r["refers_to"], "WARC-Target-URI": r["target_uri"], "WARC-Payload-Digest": r["payload_digest"], "Content-Type": r["content_type"]}, r["payload"].encode()), axis=1)
+def write_derivatives(records: DataFrame, path: str, **options) -> None:
+    """The derivatives as WARC files, one for each partition. Options are those of Spark's text sink, such as compression.
 
-    names = ["record_type", "record_id", "refers_to", "target_uri", "payload_digest", "content_type", "payload"]
-    records.select("source_id", *names, packed(F.struct(*names)).alias("record")).write.parquet(path)
+    A record ends in two line breaks, which the sink writes between its rows and after the last.
+    """
+    line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
+    fields = [("WARC-Type", "record_type"), ("WARC-Record-ID", "record_id"), ("WARC-Date", "date"), ("WARC-Refers-To", "refers_to"), ("WARC-Refers-To-Date", "date"), ("WARC-Target-URI", "target_uri"), ("WARC-Payload-Digest", "payload_digest"), ("Content-Type", "content_type")]
+    head = F.concat(F.lit(f"WARC/1.1{CRLF}"), *[F.coalesce(line(name, F.col(column)), F.lit("")) for name, column in fields], line("Content-Length", F.octet_length("payload").cast("string")), F.lit(CRLF))
+    records.select(F.concat(head, F.col("payload")).alias("value")).write.options(**options).option("lineSep", CRLF * 2).text(path)
 
 
 def oracle() -> str:
@@ -150,12 +214,17 @@ def oracle() -> str:
     def q(pattern: str) -> str:
         return pattern.replace("'", "''")
 
-    def dec(x: str) -> str:
-        for entity, c in ENTITIES:
-            x = f"replace({x}, '{q(entity)}', '{q(c)}')"
-        return x
+    names = ", ".join(f"'{k}': '{q(v)}'" for k, v in ENTITIES.items())
 
-    silent = [r"(?is)<!--.*?-->", *(rf"(?is)<{t}\b.*?</{t}\s*>" for t in ("script", "style", "noscript", "template", "nav", "head"))]
+    def dec(x: str) -> str:
+        """References read as `decoded` reads them."""
+        name = f"regexp_extract(p, '{REFERENCE}', 1)"
+        code = f"CASE WHEN regexp_matches({name}, '^#[xX]') THEN CAST('0x' || substr({name}, 3) AS INTEGER) WHEN {name} LIKE '#%' THEN CAST(substr({name}, 2) AS INTEGER) END"
+        c = f"CASE WHEN {code} BETWEEN 1 AND 55295 OR {code} BETWEEN 57344 AND 65535 THEN chr({code}) WHEN {name} NOT LIKE '#%' THEN MAP {{{names}}}[{name}] END"
+        part = f"CASE WHEN i = 1 THEN p WHEN starts_with(p, 'amp;') THEN '&' || substr(p, 5) WHEN {name} = '' OR ({c}) IS NULL THEN '&' || p ELSE ({c}) || substr(p, length({name}) + 2) END"
+        return f"array_to_string(list_transform(string_split({x}, '&'), lambda p, i: {part}), '')"
+
+    silent = [r"(?is)<!--.*?-->", *(rf"(?is)<{t}\b.*?</{t}\s*>" for t in ("script", "style", "noscript", "template", "head"))]
     text = f"regexp_replace(html, '{q('|'.join(x.replace('(?is)', '(?:') + ')' for x in silent))}', ' ', 'gis')"
     text = f"regexp_replace(regexp_replace({text}, '[ \\t\\r\\n]+', ' ', 'g'), '{q(BLOCKS.replace('(?i)', ''))}', chr(10), 'gi')"
     text = f"regexp_replace(regexp_replace({dec(f"regexp_replace({text}, '{TAGS}', '', 'g')")}, '[ \\t]+', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g')"
@@ -164,16 +233,16 @@ def oracle() -> str:
     return f"""
 WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, md5('response|' || coalesce(CAST(page_id AS VARCHAR), '') || '|' || coalesce(url, '')) AS h FROM pages),
 r AS (
-  SELECT page_id AS source_id, {uid} AS refers_to, url AS target_uri, 'content-type: text/html; charset=utf-8' AS source_headers,
+  SELECT html, page_id AS source_id, {uid} AS refers_to, url AS target_uri, 'content-type: text/html; charset=utf-8' || chr(13) || chr(10) || 'content-length: ' || strlen(html) AS source_headers,
          'sha256:' || sha256(html) AS source_digest, trim({dec(f"regexp_extract(html, '{q(TITLE)}', 1)")}) AS title,
-         list_transform(regexp_extract_all(html, '{q(LINKS)}', 1), lambda x: {dec('x')}) AS links, {text} AS text FROM p),
+         list_transform(regexp_extract_all(html, '{q(LINKS)}', 1), lambda x: {dec("CASE WHEN x[1] IN ('\"', ) THEN x[2:-2] ELSE x END")}) AS links, {text} AS text FROM p),
 d AS (
   SELECT *, 'conversion' AS record_type, 'text/plain' AS content_type, text AS payload FROM r
   UNION ALL
-  SELECT *, 'metadata', 'application/warc-fields', 'title: ' || title || chr(13) || chr(10) || 'source-digest: ' || source_digest || chr(13) || chr(10) || 'source-header: ' || source_headers
+  SELECT *, 'metadata', 'application/warc-fields', 'title: ' || title || chr(13) || chr(10) || 'source-digest: ' || source_digest || chr(13) || chr(10) || 'source-header: content-type: text/html; charset=utf-8' || chr(13) || chr(10) || 'source-header: content-length: ' || strlen(html)
          || coalesce(list_reduce(list_transform(links, lambda x: chr(13) || chr(10) || 'outlink: ' || x), lambda a, b: a || b, ''), '') FROM r),
 e AS (SELECT *, md5(record_type || '|' || refers_to) AS h FROM d)
-SELECT source_id, record_type, {uid} AS record_id, refers_to, target_uri, content_type, source_headers, source_digest,
+SELECT source_id, record_type, {uid} AS record_id, refers_to, target_uri, CAST(NULL AS VARCHAR) AS date, content_type, source_headers, source_digest,
        'sha256:' || sha256(payload) AS payload_digest, CAST(strlen(payload) AS BIGINT) AS content_length, CAST(len(links) AS BIGINT) AS n_links, payload
 FROM e
 """

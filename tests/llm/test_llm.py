@@ -1,5 +1,6 @@
 """The operators against brute force on small fixtures with nulls, empty and long texts, repeats and clashing columns."""
 
+import gzip
 import hashlib
 import math
 import random
@@ -166,8 +167,38 @@ def test_warc_files_round_trip(spark, tmp_path):
     got = warc.derivatives(warc.read_responses(spark.read.format("binaryFile").load(str(tmp_path)))).collect()
     assert {(r["refers_to"], r["target_uri"], r["source_headers"]) for r in got} == {("<b>", "http://e/", "Content-Type: text/html")} and len(got) == 2
     warc.write_derivatives(warc.derivatives(warc.read_responses(spark.read.format("binaryFile").load(str(tmp_path)))), str(tmp_path / "out"))
-    back = [f for r in spark.read.parquet(str(tmp_path / "out")).collect() for f, _ in warc.parse_warc(r["record"])]
-    assert {f["warc-refers-to"] for f in back} == {"<b>"}
+    back = [(f, block) for file in (tmp_path / "out").glob("part-*") for f, block in warc.parse_warc(file.read_bytes())]
+    assert {f["warc-refers-to"] for f, _ in back} == {"<b>"} and sorted(f["warc-type"] for f, _ in back) == ["conversion", "metadata"]
+    assert all(f["warc-payload-digest"] == "sha256:" + hashlib.sha256(block).hexdigest() for f, block in back)
+
+
+def test_warc_keeps_dates_and_digests_and_reads_encodings(spark, tmp_path):
+    page = "<p>Größe &#233; &#x20AC; &copy; &unknown; &amp;lt;</p><nav>menu</nav>"
+    chunked = b"".join(b"%x\r\n%s\r\n" % (len(c), c) for c in (page[:9].encode("latin-1"), page[9:].encode("latin-1"))) + b"0\r\n\r\n"
+    bodies = [
+        (b"Content-Type: text/html; charset=ISO-8859-1\r\nTransfer-Encoding: chunked", chunked),
+        (b"Content-Type: text/html\r\nContent-Encoding: gzip\r\nX-Of: two", gzip.compress(page.encode())),
+        (b"Content-Type: text/html; charset=nonsense\r\nContent-Encoding: gzip", page.encode()),
+    ]
+    raw = b""
+    for i, (head, body) in enumerate(bodies):
+        told = {"WARC-Payload-Digest": "sha1:OWN"} if i == 1 else {}
+        raw += warc.warc_bytes({"WARC-Type": "response", "WARC-Record-ID": f"<{i}>", "WARC-Date": "2026-01-02T03:04:05Z", "WARC-Target-URI": "http://e/", **told}, b"HTTP/1.1 200 OK\r\n" + head + b"\r\n\r\n" + body)
+    (tmp_path / "a.warc").write_bytes(raw)
+    got = {(r["refers_to"], r["record_type"]): r for r in warc.derivatives(warc.read_responses(spark.read.format("binaryFile").load(str(tmp_path / "a.warc")))).collect()}
+    assert {r["payload"] for (_, kind), r in got.items() if kind == "conversion"} == {"Größe é € © &unknown; &lt;\nmenu"} and {r["date"] for r in got.values()} == {"2026-01-02T03:04:05Z"}
+    assert [got[f"<{i}>", "conversion"]["source_digest"] for i in range(3)] == ["sha256:" + hashlib.sha256(chunked).hexdigest(), "sha1:OWN", "sha256:" + hashlib.sha256(page.encode()).hexdigest()]
+    assert "source-header: X-Of: two" in got["<1>", "metadata"]["payload"].split("\r\n")
+
+
+def test_warc_repeats_long_pages_and_clashing_columns(spark):
+    html = '<a href=/bare>x</a><a href="/o\'brien">y</a><a class=c href=\'/q"\'>z</a>' + "<p>word</p>" * 20_000
+    pages = spark.createDataFrame([(1, "u", html, 1, "x"), (1, "u", html, 2, "y"), (None, None, None, 3, "z")], "page_id long, url string, html string, payload long, headers string")
+    made = warc.derivatives(warc.responses(pages)).collect()
+    assert len(made) == 6 and Counter(r["record_id"] for r in made if r["source_id"] == 1).most_common(1)[0][1] == 2
+    meta = next(r for r in made if r["source_id"] == 1 and r["record_type"] == "metadata")
+    assert [x for x in meta["payload"].split("\r\n") if x.startswith("outlink")] == ["outlink: /bare", "outlink: /o'brien", 'outlink: /q"']
+    assert all(r["payload"].count("word") == 20_000 for r in made if r["source_id"] == 1 and r["record_type"] == "conversion")
 
 
 # 3 and 9

@@ -67,9 +67,9 @@ def copies(counted: DataFrame, n: str, copy: str, chunk: int = 1 << 16) -> DataF
     return few.unionByName(many.drop("_c"))
 
 
-def broadcast_up_to(df: DataFrame, rows: int, limit: int) -> DataFrame:
-    """A broadcast hint only where the counted rows are within the limit; beyond it Spark's shuffled join serves."""
-    return F.broadcast(df) if rows <= limit else df
+def broadcast_up_to(df: DataFrame, size: int, limit: int) -> DataFrame:
+    """A broadcast hint only where the measured size is within the limit; beyond it Spark's shuffled join serves."""
+    return F.broadcast(df) if size <= limit else df
 
 
 def seeded(column: Column, seed: str) -> Column:

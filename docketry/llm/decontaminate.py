@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from docketry.llm.common import ALNUM, ascii_lower, broadcast_up_to, stored, words
 
-#: Words of a window, words of a shingle at most, and rows of the benchmark's tables up to which they are broadcast.
-WINDOW, SHINGLE, BROADCAST_ROWS = 10, 3, 500_000
+#: Words of a window, words of a shingle at most, and bytes of a benchmark table up to which it is broadcast.
+WINDOW, SHINGLE, BROADCAST_BYTES = 10, 3, 64 << 20
 
 
 def shingles(ws: Column, size: Column, n: int) -> Column:
@@ -35,12 +35,14 @@ def windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     return starts.select("item_id", F.slice("ws", F.col("s") + 1, window).alias("ws")).distinct().withColumn("n", F.size("ws"))
 
 
-def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """All columns of `docs` (doc_id, text and any others) plus (n_words, n_hit, n_items, items_sha256).
 
     A document word is hit where it lies in an occurrence of a window. Null text or item has no words; an item of
     fewer words than a window is one window. Rows that repeat have the same result each. An item_id that repeats
-    counts once. Empty documents give an empty result, an empty benchmark no hits.
+    counts once. Empty documents give an empty result, an empty benchmark no hits. A window is compared by 64-bit
+    hashes of all its shingles, so that words are told apart but for collisions of each of them at once. Tables of the
+    benchmark of more than `broadcast_bytes` are shuffled instead.
     """
     names = docs.columns
     w = windows(items, window)
@@ -52,7 +54,9 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Dat
     w = w.select("item_id", "n", parts.alias("parts")).groupBy("n", "parts").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     w = stored(w.withColumn("window", F.xxhash64("n", "parts")))
     known = w.select(F.explode("parts").alias("part")).distinct()
-    n_known, n_windows = known.count(), w.count()
+    names_of = F.aggregate("items", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x) + 16)
+    sizes = w.agg(F.sum(F.size("parts") * 8 + 64).alias("parts"), F.sum(names_of + 64).alias("items")).first()  # measured, so that no broadcast grows unseen
+    of_parts, of_items = sizes["parts"] or 0, sizes["items"] or 0
 
     # Every place in a document where a shingle of the benchmark stands. The documents' words are read once for it.
     doc = docs.select(text_mark().alias("mark"), F.col("doc_id").alias("id"), words(F.col("text"), ALNUM).alias("ws")).withColumn("m", F.size("ws"))
@@ -63,12 +67,12 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Dat
     if found is None:
         hit = docs.sparkSession.createDataFrame([], "mark bigint, id bigint, n_hit int, items array<string>")
     else:
-        places = stored(found.join(broadcast_up_to(known, n_known, BROADCAST_ROWS), "part").distinct())
+        places = stored(found.join(broadcast_up_to(known, 4 * of_parts, broadcast_bytes), "part").distinct())
         seen = places.groupBy("part").agg(F.count(F.lit(1)).alias("seen"))
         tokens = w.select("window", F.posexplode("parts").alias("offset", "part")).join(seen, "part", "left")
         rarest = Window.partitionBy("window").orderBy(F.coalesce("seen", F.lit(0)), "part", "offset")
         prefix = tokens.withColumn("r", F.row_number().over(rarest)).where("r = 1").select("window", "offset", "part")
-        prefix = broadcast_up_to(prefix.join(w.select("window", "n", "parts"), "window"), n_windows, BROADCAST_ROWS)
+        prefix = broadcast_up_to(prefix.join(w.select("window", "n", "parts"), "window"), of_parts, broadcast_bytes)
         starts = places.join(prefix, "part").withColumn("start", F.col("at") - F.col("offset"))
         starts = starts.where((F.col("start") >= 0) & (F.col("start") + F.col("n") <= F.col("m")))
         need = starts.select("mark", "id", "start", "n", "window", F.size("parts").alias("of"), F.posexplode("parts").alias("k", "part"))
@@ -76,7 +80,7 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Dat
         there = places.select("mark", "id", "at", "part").alias("there")
         same = (F.col("need.mark") == F.col("there.mark")) & F.col("need.id").eqNullSafe(F.col("there.id")) & (F.col("need.at") == F.col("there.at")) & (F.col("need.part") == F.col("there.part"))
         whole = need.join(there, same).select("need.*").groupBy("mark", "id", "start", "n", "window", "of").agg(F.count(F.lit(1)).alias("have")).where("have = of")
-        whole = whole.join(broadcast_up_to(w.select("window", "items"), n_windows, BROADCAST_ROWS), "window")
+        whole = whole.join(broadcast_up_to(w.select("window", "items"), of_items, broadcast_bytes), "window")
         hit = whole.groupBy("mark", "id").agg(
             F.collect_set(F.struct("start", "n")).alias("spans"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
@@ -95,7 +99,7 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Dat
     )
 
 
-def decontaminate_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """One row per document: (doc_id, n_words, n_hit, n_items, items_sha256, contaminated)."""
-    found = contaminated(docs.select("doc_id", "text"), items)
+def decontaminate_documents(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """One row per document: (doc_id, n_words, n_hit, n_items, items_sha256, contaminated); options as of `contaminated`."""
+    found = contaminated(docs.select("doc_id", "text"), items, **options)
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))

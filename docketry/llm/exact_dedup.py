@@ -14,14 +14,16 @@ from pyspark.sql import functions as F
 from docketry.llm.common import stored
 
 #: Digests that the sketch may report, counters that it holds, and the share of rows from which a digest is frequent.
-WINNERS, COUNTERS, SHARE = 256, 4096, 1 / 1000
+WINNERS, COUNTERS, SHARE = 1024, 8192, 1 / 1000
 
 
 def frequent_digests(rows: DataFrame, winners: int = WINNERS, counters: int = COUNTERS, share: float = SHARE) -> DataFrame:
     """Digests of at least the share of all rows, with exact counts: (digest, group_size, keep_id), `winners` rows at most.
 
-    The sketch over-estimates by rows / counters at most, so none of the share is missed; the exact count that
-    follows drops the digests that fall short. An empty table has no frequent digest.
+    The sketch's estimates are never below the true counts, and over by 3.5 * rows / counters at most, which is less
+    than the share. At most 1 / share digests reach the share; as `winners` is more, none of them is missed unless
+    over-estimated ones crowd it out, and one that is missed only goes by the ordinary shuffle. The exact count drops
+    those that fall short. An empty table has no frequent digest.
     """
     top = rows.agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(mark, {winners}, {counters})").alias("top")).first()
     least = max(2.0, share * top["n"])

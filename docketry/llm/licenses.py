@@ -8,8 +8,6 @@ mandatory key phrases must stand in the file, word for word at that position.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,7 +77,8 @@ def labelled_start(label: str):
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All columns of `docs` plus _n_words, _base (array of (start, label)) and _found (array of (label, start, cover)).
+    """All columns of `docs` plus _n_words, _base (array of (start, label)) and _found (array of (label, start, cover)),
+    which replace columns of their names.
 
     A found notice has `cover`, the share of its template's words that stand at their places. Null text has no words.
     Everything but the count of documents is done row by row, without a shuffle.
@@ -131,12 +130,9 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
         return F.struct(size.cast("long").alias("n"), base.alias("base"), F.element_at(kept, 1).alias("found"))
 
     one = F.element_at(F.transform(F.array(words(F.col(text), ALNUM)), report), 1)
-    return docs.withColumn("_r", one).select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_r.n").alias("_n_words"), F.col("_r.base").alias("_base"), F.col("_r.found").alias("_found"))
-
-
-def idf(df: dict[str, int], rows: int) -> dict[str, float]:
-    """Smoothed inverse document frequencies of the licence words."""
-    return {w: math.log((rows + 1) / (df.get(w, 0) + 1)) for w in vocabulary()}
+    names = [c for c in docs.columns if c not in ("_n_words", "_base", "_found")]
+    r = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), one.alias("r"))
+    return r.select(*[F.col("row")[c].alias(c) for c in names], F.col("r.n").alias("_n_words"), F.col("r.base").alias("_base"), F.col("r.found").alias("_found"))
 
 
 def scan_documents(docs: DataFrame) -> DataFrame:

@@ -412,6 +412,33 @@ def test_license_scan(spark, nothing):
     assert show(7)[4:6] == ("gpl", "gpl,gpl-3.0") and show(8)[5] == show(9)[5] == "" and licenses.scan_documents(nothing).collect() == []
 
 
+def test_scans_of_repeats_long_texts_and_clashing_columns(spark):
+    long = "word " * 30_000 + "Released under the MIT License" + " word" * 30_000
+    rows = spark.createDataFrame([(1, long, "x", 5), (1, long, "y", 6), (None, "apache license", "z", 7)], "doc_id long, text string, _r string, _n_words int")
+    got = [tuple(r)[1:] for r in licenses.scan_documents(rows).collect()]
+    assert got.count((60_005, 1, 30_003, 30_003, "mit", "mit", 1.0)) == 2 and len(got) == 3
+    assert {r["_r"] for r in licenses.scan(rows).collect()} == {"x", "y", "z"}
+
+
+def test_exact_groups_with_null_and_repeated_ids(spark):
+    rows = spark.createDataFrame([(None, "a"), (None, "a"), (3, "b"), (3, "b"), (1, "b"), (None, "b"), (None, None), (7, "")], "doc_id long, text string")
+    got = Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_groups(rows).collect())
+    assert got == Counter([(None, None, 2, True)] * 2 + [(3, 3, 4, True)] * 2 + [(1, 3, 4, False), (None, 3, 4, False), (None, 7, 2, False), (7, 7, 2, True)])
+
+
+def test_null_and_repeated_ids_in_mixing_fingerprints_and_leaks(spark):
+    rows = [(None, "a b c d e", "s"), (None, "a b c d e", "s"), (4, "a b c d e", "s"), (4, "q r", "s"), (None, None, None), (None, "", "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mix = mixing.mix_documents(docs).collect()
+    assert sum(r["taken"] for r in mix) == math.floor(1.5 * 17) and all(r["taken"] <= 2 * r["size"] for r in mix) and len(mix) == 6
+    one = mixing.mix_documents(docs.where("source = 's'")).collect()
+    assert {r["target"] for r in one} == {1.5 * 17}
+    near = Counter((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(docs).collect())
+    assert near == Counter([(None, 4), (None, 4), (4, 4), (4, 4), (None, None), (None, None)])
+    hit = Counter((r["doc_id"], r["n_hit"]) for r in decontaminate.decontaminate_documents(docs, spark.createDataFrame([(1, "q R")], "item_id long, text string")).collect())
+    assert hit == Counter([(None, 0)] * 4 + [(4, 0), (4, 2)])
+
+
 def test_a_file_of_all_notices_has_all_labels(spark):
     notices = [(label, notice) for label, notice, _ in licenses.TEMPLATES]
     every = " . ".join(notice for _, notice in notices)
@@ -437,13 +464,14 @@ def hits_by_force(text, items, window=10):
     return len(ws), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
 
 
-def test_decontamination(spark, docs, rows, nothing):
+@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_BYTES, 0])
+def test_decontamination(spark, docs, rows, nothing, limit):
     source = rows[29][1].split()
     items = [(1, " ".join(source[:25])), (10, " ".join(source[3:14]).upper()), (2, "levy levy"), (3, "a"), (4, None), (5, ""), (6, " ".join(VOCABULARY)), (7, "x y z " * 10), (1, " ".join(rows[2][1].split()[:12]))]
     extra = [(9001, "x y z " * 7, "en", "s", 1, 1, 2, 3.0, 4), (9002, "say levy levy levy a", "en", "s", 1, 1, 2, 3.0, 4), (9002, "say levy levy levy a", "en", "s", 1, 1, 2, 3.0, 4), (9003, " ".join(source[2:15]), "en", "s", 1, 1, 2, 3.0, 4)]
     every = docs.unionByName(spark.createDataFrame(extra, SCHEMA))
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate.decontaminate_documents(every, bench).collect()
+    got = decontaminate.decontaminate_documents(every, bench, broadcast_bytes=limit).collect()
     assert len(got) == len(rows) + 4
     text = {r[0]: r[1] for r in [*rows, *extra]}
     assert all(tuple(r)[1:] == hits_by_force(text[r["doc_id"]], items) for r in got)

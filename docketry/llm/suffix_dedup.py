@@ -273,7 +273,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", row_id: str = "doc_id",
     """
     rows = docs.select(F.col(row_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.select("id", F.xxhash64("text").alias("mark"), "text")
-    found = anchor_rows(rows)
+    found = stored(anchor_rows(rows))
     often = stored(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))
 

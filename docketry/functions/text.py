@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from decimal import ROUND_HALF_UP, Decimal
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,20 +62,36 @@ def fixed(value: float, digits: int) -> str:
     return str(Decimal(value).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
 
 
-def format_number(value: float | None, kind: str, precision: int | None = None) -> str:
-    """A value as its cell shows it: currency, number, fte, percent, integer or text."""
-    if value is None:
+def format_number(value: float | None, kind: str | None, precision: int | None = None) -> str:
+    """A value as its cell shows it: money, money-thousands, fte, int, pct, or else up to two decimals."""
+    if value is None or value != value:
         return ""
-    if kind == "fte":
-        return fixed(value, 1 if precision is None else precision)
-    if kind == "percent":
-        return f"{fixed(value, 1 if precision is None else precision)}%"
-    digits = precision or 0
-    body = f"{Decimal(fixed(abs(value), digits)):,}"
-    negative = value < 0 and Decimal(fixed(abs(value), digits)) != 0
-    if kind == "currency":
-        return f"({'$' + body})" if negative else f"${body}"
-    return f"({body})" if negative else body
+    size = abs(value)
+    match kind:
+        case "money" | "money-thousands" | "int":
+            shown = f"{int(size + 0.5):,}"
+        case "fte" | "pct":
+            shown = fixed(size, 1 if precision is None else precision) + ("%" if kind == "pct" else "")
+        case _:
+            shown = f"{Decimal(fixed(size, 2)):,}"
+            shown = shown.rstrip("0").rstrip(".") if "." in shown else shown
+    shown = "$" + shown if kind == "money-thousands" else shown
+    return shown if value >= 0 else "-" + shown if kind in ("int", "pct") else f"({shown})"
+
+
+def format_column(value: Column, kind: str | None, precision: int | None = None) -> Column:
+    """The same of a column of doubles. Whole amounts are native; decimals take the exact binary value, so they go by Arrow."""
+    if kind in ("money", "money-thousands", "int"):
+        shown = F.format_number(F.floor(F.abs(value) + 0.5), 0)
+        shown = F.concat(F.lit("$"), shown) if kind == "money-thousands" else shown
+        below = F.concat(F.lit("-"), shown) if kind == "int" else F.concat(F.lit("("), shown, F.lit(")"))
+        return F.when(value.isNull() | F.isnan(value), "").when(value < 0, below).otherwise(shown)
+
+    @F.pandas_udf("string")
+    def shown_values(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: format_number(v, kind, precision))
+
+    return shown_values(value)
 
 
 def format_whole(value: Column) -> Column:
@@ -111,11 +128,13 @@ def direction(value: Column) -> Column:
 
 
 def millions(value: Column) -> Column:
-    return F.round(value / 1_000_000, 1)
+    """As $1.2 million, without a sign; null for null. Tenths of the exact value, halves up."""
+    return F.concat(F.lit("$"), F.format_string("%.1f", F.round((F.abs(value) / 1_000_000).cast("decimal(38,12)"), 1).cast("double")), F.lit(" million"))
 
 
 def thousands(value: Column) -> Column:
-    return F.round(value / 1000, 0)
+    """As $1,235,000, without a sign; null for null."""
+    return F.concat(F.lit("$"), F.format_number(F.floor(F.abs(value) / 1000 + 0.5), 0), F.lit(",000"))
 
 
 def floor_action(text: Column) -> Column:

@@ -15,11 +15,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketry.operators.formula import key_of, number
+from docketry.operators.formula import evaluate, key_of, number
 from docketry.operators.relational import pair_sum
 
 # Tolerances of money and of staff.
 MONEY_EPS, STAFF_EPS = 0.5, 0.051
+# Roles of a note's tables.
+ACCOUNTS, RECEIPTS, OBJECTS, CLASSES, TEN_YEARS = "expenditures-by-account", "cash-receipts", "expenditures-by-object", "fte-by-class", "ten-year-analysis"
+#: Rows that aren't entries of a table, and fiscal years that rules look at.
+NO_ENTRY, YEARS = ("total", "fte", "footer"), 6
 
 
 def walk(node: dict[str, Any], parent: int | None = None, depth: int = 0, rows: list | None = None) -> list[dict]:
@@ -98,7 +102,7 @@ def facts(doc: dict[str, Any], key: str) -> list[dict]:
                 year = re.search(r"fy(\d+)$", str(c.get("col") or c.get("slot") or ""))
                 value = c.get("value") if isinstance(c.get("value"), int | float) else number(node_text(cell).strip() or None)
                 if year:
-                    out.append({"doc_id": key, "part": role, "row_kind": a.get("rowKind") or "row", "row_key": str(a.get("key") or a.get("account") or a.get("object") or ""), "fy": int(year[1]), "value": None if value is None else float(value)})
+                    out.append({"doc_id": key, "part": role, "row_kind": a.get("rowKind") or ("footer" if a.get("footer") else "row"), "row_key": str(a.get("key") or a.get("account") or a.get("object") or ""), "fy": int(year[1]), "value": None if value is None else float(value)})
 
     def visit(node: dict) -> None:
         if node["type"] == "noteTable":
@@ -129,7 +133,7 @@ def biennia(facts: DataFrame) -> DataFrame:
     pair = facts.withColumn("bien", F.ceil(F.col("fy") / 2).cast("int")).groupBy("doc_id", "part", "row_kind", "row_key", "bien")
     both = pair.agg(F.sum(F.when(F.col("fy") % 2 == 1, F.col("value"))).alias("a"), F.sum(F.when(F.col("fy") % 2 == 0, F.col("value"))).alias("b"))
     total = pair_sum(F.col("a"), F.col("b"))
-    return both.select("doc_id", "part", "row_kind", "row_key", "bien", F.when((F.col("part") == "fte") | (F.col("row_kind") == "fte"), total / 2).otherwise(total).alias("value"))
+    return both.select("doc_id", "part", "row_kind", "row_key", "bien", F.when((F.col("part") == CLASSES) | (F.col("row_kind") == "fte"), total / 2).otherwise(total).alias("value"))
 
 
 def ten_year(facts: DataFrame) -> DataFrame:
@@ -140,20 +144,74 @@ def off_by(a: Column, b: Column, eps: float) -> Column:
     return F.abs(a - b) > F.lit(eps)
 
 
+def entries(part: str) -> Column:
+    """Values of a table's entries alone."""
+    return F.when((F.col("part") == part) & ~F.col("row_kind").isin(*NO_ENTRY), F.col("value"))
+
+
 def total_errors(facts: DataFrame) -> DataFrame:
-    """Total rows that differ from the sum of their accounts: (doc_id, part, fy, stated, summed)."""
-    by = facts.groupBy("doc_id", "part", "fy").agg(F.sum(F.when(F.col("row_kind") == "total", F.col("value"))).alias("stated"), F.sum(F.when(F.col("row_kind") == "account", F.col("value"))).alias("summed"))
+    """Total cells of accounts and receipts that differ from the sum of their entries, none being 0: (doc_id, part, fy, stated, summed)."""
+    own = facts.where(F.col("part").isin(ACCOUNTS, RECEIPTS))
+    by = own.groupBy("doc_id", "part", "fy").agg(F.sum(F.when(F.col("row_kind") == "total", F.col("value"))).alias("stated"), F.coalesce(F.sum(F.when(~F.col("row_kind").isin(*NO_ENTRY), F.col("value"))), F.lit(0.0)).alias("summed"))
     return by.where(off_by(F.col("stated"), F.col("summed"), MONEY_EPS))
 
 
 def object_errors(facts: DataFrame) -> DataFrame:
-    """Years whose expenditures differ from the objects, where a document gives both: (doc_id, fy, stated, summed)."""
-    part = lambda p: F.sum(F.when((F.col("part") == p) & (F.col("row_kind") != "total"), F.col("value")))
-    both = facts.groupBy("doc_id", "fy").agg(part("expenditures").alias("stated"), part("objects").alias("summed"))
-    return both.where(off_by(F.col("stated"), F.col("summed"), MONEY_EPS))
+    """Years whose expenditures differ from the objects, where a document has both tables: (doc_id, fy, stated, summed).
+
+    A year that one of them leaves out counts as 0 there.
+    """
+    both = facts.where(F.col("part").isin(ACCOUNTS, OBJECTS) & ~F.col("row_kind").isin(*NO_ENTRY))
+    has = both.groupBy("doc_id").agg(F.count_distinct("part").alias("n")).where("n = 2").select("doc_id")
+    by = both.where(F.col("fy").between(1, YEARS)).groupBy("doc_id", "fy").agg(F.coalesce(F.sum(entries(ACCOUNTS)), F.lit(0.0)).alias("stated"), F.coalesce(F.sum(entries(OBJECTS)), F.lit(0.0)).alias("summed"))
+    return by.join(has, "doc_id", "left_semi").where(off_by(F.col("stated"), F.col("summed"), MONEY_EPS))
 
 
 def staff_errors(facts: DataFrame) -> DataFrame:
-    """Staff rows that differ from the sum of their classes."""
-    by = facts.groupBy("doc_id", "fy").agg(F.sum(F.when(F.col("row_kind") == "fte", F.col("value"))).alias("stated"), F.sum(F.when(F.col("row_kind") == "fteClass", F.col("value"))).alias("summed"))
+    """Staff cells beside the accounts that differ from the sum of the classes, where both are given: (doc_id, fy, stated, summed)."""
+    stated = F.sum(F.when((F.col("part") == ACCOUNTS) & (F.col("row_kind") == "fte"), F.col("value")))
+    by = facts.where(F.col("fy").between(1, YEARS)).groupBy("doc_id", "fy").agg(stated.alias("stated"), F.sum(entries(CLASSES)).alias("summed"))
     return by.where(off_by(F.col("stated"), F.col("summed"), STAFF_EPS))
+
+
+def computed_errors(docs: DataFrame, key: str, column: str) -> DataFrame:
+    """Computed cells that don't show what their expression yields: (doc_id, code, path, expected, actual).
+
+    An expression that yields no number is passed over. Staff and averages may be STAFF_EPS off, all else MONEY_EPS; a
+    blank cell is an error.
+    """
+    shape = pa.schema([("doc_id", pa.string()), ("code", pa.string()), ("path", pa.string()), ("expected", pa.float64()), ("actual", pa.float64())])
+
+    def errors(doc: dict[str, Any], name: str) -> Iterator[dict]:
+        values = slot_values(doc)
+        for table in nodes_of(doc, "noteTable"):
+            own = table.get("attrs") or {}
+            for row in table.get("content") or []:
+                at = row.get("attrs") or {}
+                for cell in row.get("content") or []:
+                    c = cell.get("attrs") or {}
+                    rule = c.get("computed")
+                    expected = evaluate(rule, values) if rule else None
+                    if isinstance(expected, bool) or not isinstance(expected, int | float):
+                        continue
+                    actual = c["value"] if isinstance(c.get("value"), int | float) else number(node_text(cell).strip() or None)
+                    average = rule.startswith("avg(")
+                    eps = STAFF_EPS if average or c.get("slotType") == "fte" or own.get("unit") == "fte" else MONEY_EPS
+                    if actual is None or abs(actual - expected) > eps:
+                        code = "fte_biennium_average" if average else "biennium_sum" if rule.startswith("sum(") and "," in rule and "*" not in rule else "computed_mismatch"
+                        path = "/".join(str(x or "") for x in (own.get("role"), at.get("key") or at.get("rowKind"), c.get("col")))
+                        yield {"doc_id": name, "code": code, "path": path, "expected": float(expected), "actual": None if actual is None else float(actual)}
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pylist([e for k, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if d for e in errors(json.loads(d), k)], schema=shape)
+
+    return docs.select(F.col(key).cast("string"), F.col(column)).mapInArrow(rows, "doc_id string, code string, path string, expected double, actual double")
+
+
+def nodes_of(node: dict[str, Any], kind: str) -> Iterator[dict[str, Any]]:
+    """Nodes of a kind in pre-order."""
+    if node["type"] == kind:
+        yield node
+    for child in node.get("content") or []:
+        yield from nodes_of(child, kind)

@@ -30,11 +30,18 @@ def save_all(saves: Iterable[dict], head: int = 0) -> tuple[list[dict], int]:
     return out, head
 
 
-def export_version(roles: Column, published: Column, asked: Column, head: Column) -> Column:
-    """Struct (status, version): a viewer gets the published version alone; others any, the head unless they ask."""
-    viewer = F.array_contains(roles, "viewer") & ~F.arrays_overlap(roles, F.array(F.lit("drafter"), F.lit("reviewer"), F.lit("admin")))
-    status = F.when(viewer & published.isNull(), 404).when(viewer & (F.coalesce(asked, published) != published), 403).otherwise(200)
-    return F.struct(status.alias("status"), F.when(status == 200, F.when(viewer, published).otherwise(F.coalesce(asked, head))).alias("version"))
+def export_version(roles: Column, state: Column, approved: Column, published: Column, asked: Column, head: Column) -> Column:
+    """Struct (status, version) of an export.
+
+    Drafters, reviewers and admins get the version that they ask for, else the published one of a published note, the
+    approved one of an approved note, else the head. Others get the published version of a published note alone.
+    """
+    part = F.coalesce(F.arrays_overlap(roles, F.array(*map(F.lit, ("drafter", "reviewer", "admin")))), F.lit(False))
+    public = F.coalesce(state == "published", F.lit(False))
+    frozen = F.when(public, published).when(state == "approved", approved)
+    wanted = F.coalesce(asked, F.when(part, F.coalesce(frozen, head)).otherwise(published))
+    status = F.when((~part & ~public) | wanted.isNull(), 404).when(~part & ~wanted.eqNullSafe(published), 403).otherwise(200)
+    return F.struct(status.alias("status"), F.when(status == 200, wanted).alias("version"))
 
 
 def encode_cursor(at: str, key: str) -> str:

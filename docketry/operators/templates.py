@@ -11,13 +11,24 @@ from docketry.operators.estimate import node_text
 from docketry.operators.formula import evaluate, truthy
 
 
-def session_labels(year: int) -> dict[str, list[str]]:
-    """Ten fiscal years, three biennia and six calendar years from a session's year on."""
-    return {"fy": [f"FY {year + 1 + i}" for i in range(10)], "bien": [f"{year + 2 * i}-{(year + 2 * i + 2) % 100:02d}" for i in range(3)], "cy": [f"CY {year + i}" for i in range(6)]}
+def session_labels(session: int) -> dict[str, Any]:
+    """Ten fiscal years (label, year, yy), three biennia, six calendar years and the biennium of a session's year.
+
+    The first fiscal year is the even one of the session or after it; biennia begin with the current one.
+    """
+    even, odd = session + session % 2, session - (session + 1) % 2
+    years = range(even, even + 10)
+    return {
+        "fy": [{"label": f"FY {y}", "year": y, "yy": f"{y % 100:02d}"} for y in years],
+        "bien": [f"{y}-{(y + 2) % 100:02d}" for y in range(odd, odd + 5, 2)],
+        "cy": [f"CY {y}" for y in years[:6]],
+        "biennium": f"{odd}-{(odd + 1) % 100:02d}",
+    }
 
 
 def resolve_token(path: str, context: Mapping[str, Any]) -> Any:
-    """Value of a dotted path; indexes in brackets are from 0, the numbers after fy, bien and cy from 1."""
+    """Value of a dotted path; indexes in brackets are from 0, the numbers after fy, bien and cy from 1. A fiscal year
+    shows its label unless its year or yy is asked for."""
     now: Any = context
     parts = re.sub(r"\[(\d+)\]", r".\1", path.strip()).split(".")
     for i, part in enumerate(parts):
@@ -28,7 +39,7 @@ def resolve_token(path: str, context: Mapping[str, Any]) -> Any:
             now = now.get(part)
         else:
             return None
-    return now
+    return now["label"] if parts[0] == "fy" and len(parts) == 2 and isinstance(now, Mapping) else now
 
 
 def substitute(source: str, context: Mapping[str, Any]) -> tuple[str, list[str]]:
@@ -40,7 +51,7 @@ def substitute(source: str, context: Mapping[str, Any]) -> tuple[str, list[str]]
         if value is None:
             unknown.append(m[1].strip())
             return m[0]
-        return html.escape(str(value), quote=False)
+        return html.escape(str(value), quote=True).replace("&#x27;", "'")
 
     return re.sub(r"\{\{\s*([\w.\[\]]+)\s*\}\}", one, source), unknown
 
@@ -120,6 +131,3 @@ def export_xml(doc: Mapping[str, Any], header: Mapping[str, Any]) -> str:
     visit(doc)
     return '<?xml version="1.0" encoding="UTF-8"?><FiscalNote><Header>' + "".join(field(k, v) for k, v in header.items() if v is not None) + "</Header><Fields>" + "".join(rows) + "</Fields></FiscalNote>"
 
-
-def export_name(bill_id: str, code: str, form: str) -> str:
-    return f"{bill_id}-{code}-fiscal-note.{form}".replace(" ", "")

@@ -113,26 +113,40 @@ def judge(requests: DataFrame, state: str = "state", event: str = "event") -> Da
     return joined.withColumn("reason", reason).withColumn("to_state", F.when(F.col("reason").isNull(), F.col("_to"))).drop("_from", "_event", "_to", "who", "needs_message")
 
 
-def can(action: str, roles: Sequence[str], user: str, state: Column, drafter: Column, participants: Column, published: Column) -> Column:
-    """Whether a user may do an action on a note: read, comment, edit, review, publish or export."""
-    drafts, reviews, admin, views = ("drafter" in roles), ("reviewer" in roles), ("admin" in roles), ("viewer" in roles)
-    own = F.coalesce(drafter == user, F.lit(False))
-    part = own | F.coalesce(F.array_contains(participants, user), F.lit(False))
-    public = F.coalesce(published, F.lit(False))
-    match action:
-        case "edit":
-            return F.lit(drafts) & own & state.isin(*EDITABLE)
-        case "review":
-            return F.lit(reviews) & ~own & (state == "in_review")
-        case "publish":
-            return F.lit(reviews) & ~own & (state == "approved")
-        case "read":
-            return F.lit(admin) | F.lit(reviews) | (F.lit(drafts) & part) | (F.lit(views) & public)
-        case "comment":
-            return (F.lit(reviews) & ~public) | (F.lit(drafts) & part & ~public)
-        case "export":
-            return F.lit(admin) | F.lit(reviews) | (F.lit(drafts) & part) | (F.lit(views) & public)
-    return F.lit(admin)
+ACTIONS = ("bill.read", "template.read", "search.reindex", "note.create", "note.read", "note.export", "note.comment", "note.edit", "note.submit", "note.review", "note.publish")
+
+
+def can(action: str, roles: Column, user: Column, state: Column | None = None, drafter: Column | None = None, reviewer: Column | None = None, participants: Column | None = None) -> Column:
+    """Whether a user with these roles may do an action, as a boolean column that is never null.
+
+    Without a note (state is None) only an admin may do what is done to notes; `drafter` is then whom a new note is
+    meant for. Everyone reads bills, templates and published notes.
+    """
+    has = lambda *names: F.coalesce(F.arrays_overlap(roles, F.array(*map(F.lit, names))), F.lit(False))
+    null = F.lit(None).cast("string")
+    drafts = F.coalesce((null if drafter is None else drafter) == user, F.lit(False))
+    if action in ("bill.read", "template.read"):
+        return F.lit(True)
+    if action == "note.create":
+        free = F.coalesce(null if drafter is None else drafter, F.lit("")) == ""
+        return has("admin", "reviewer") | (has("drafter") & (free | drafts))
+    if action == "search.reindex" or state is None:
+        return has("admin")
+    own = drafts | F.coalesce((null if reviewer is None else reviewer) == user, F.lit(False))
+    if participants is not None:
+        own = own | F.coalesce(F.array_contains(participants, user), F.lit(False))
+    reads = has("admin", "reviewer") | F.coalesce(state == "published", F.lit(False)) | (has("drafter") & own)
+    in_state = lambda *states: F.coalesce(state.isin(*states), F.lit(False))
+    by_action = {
+        "note.read": reads,
+        "note.export": reads,
+        "note.comment": reads & has("drafter", "reviewer", "admin"),
+        "note.edit": in_state(*EDITABLE) & drafts,
+        "note.submit": in_state(*EDITABLE) & drafts,
+        "note.review": in_state("in_review") & has("reviewer") & ~drafts,
+        "note.publish": in_state("approved") & has("reviewer") & ~drafts,
+    }
+    return by_action.get(action, F.lit(False))
 
 
 def change_requests(steps: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # Marks of amended text and how struck text is bracketed.
 STRUCK = {"strike": ("((", "))"), "strikemarkleft": ("((", ""), "strikemarkright": ("", "))"), "strikemarknone": ("", "")}
@@ -158,13 +159,37 @@ def blocks(section_id: str, paragraphs: list[list[dict]]) -> list[dict]:
     return out
 
 
+# Kinds of new sections and the prose that tells them, in order of precedence.
+KINDS = (
+    ("emergency", r"takes? effect immediately|immediate preservation of the public peace"),
+    ("severability", r"held invalid, the remainder|severab"),
+    ("expiration", r"\bexpires?\b.*\bof this act\b|\bof this act\b.*\bexpires?\b"),
+    ("contingent", r"takes? effect .*(?:contingent|only if|if\b)|null and void"),
+    ("appropriation", r"the sum of \$|is appropriated|appropriations? (?:is|are) made"),
+    ("intent", r"legislature finds|legislature intends|it is the intent|the intent of the legislature"),
+)
+
+
+# Kinds that a section's marked action tells, whatever its prose.
+ACTION_KINDS = {"amend": "amendatory", "remd": "amendatory", "amenduncod": "amendatory", "addsect": "new", "addchap": "new", "repeal": "repealer", "effdate": "effective-date", "emerg": "emergency", "expdate": "expiration"}
+
+
+def kind_by_source(source: str, action: str | None, text: str) -> str:
+    """Kind of a section by its action, else its type; only new sections without an action go by their prose."""
+    if action:
+        return ACTION_KINDS.get(action, "other")
+    return {"amendatory": "amendatory", "new": kind_of(text)}.get(source, "other")
+
+
 def kind_of(text: str) -> str:
     """Kind of a new section by its prose, the first rule that fits."""
-    rules = (
-        ("repealer", r"are each repealed|is repealed"), ("effective-date", r"takes? effect"), ("emergency", r"immediate preservation of the public peace"), ("expiration", r"expires? "), ("severability", r"is held invalid"),
-        ("codification", r"constitutes? a new chapter|are each added to chapter"), ("short-title", r"may be known and cited as"), ("intent", r"legislature (finds|intends|declares)"), ("appropriation", r"is appropriated"), ("null-and-void", r"null and void"),
-    )
-    return next((kind for kind, rule in rules if re.search(rule, text, re.I)), "new")
+    return next((kind for kind, told in KINDS if re.search(told, text.lower())), "new")
+
+
+def kind_column(text):
+    """The same of a column, in built-in expressions."""
+    low = F.lower(text)
+    return F.coalesce(*[F.when(low.rlike(told), F.lit(kind)) for kind, told in KINDS], F.lit("new"))
 
 
 def identity(section: dict, ordinals: dict[str, int]) -> str:
@@ -197,7 +222,7 @@ def bill_section(node: ET.Element, ordinal: int, part: str | None, ordinals: dic
     action, source = node.get("action"), node.get("type", "new")
     section = {
         "ordinal": ordinal, "section_id": section_id, "num": int(number) if number.isdigit() else None, "part": part, "source_kind": source, "action": action, "cite": cite, "caption": re.sub(r"^[\s-]+|[\s.-]+$", "", text_of(first(header, "Caption"))) or None,
-        "history": text_of(first(node, "History")) or None, "kind": "amendatory" if source == "amendatory" else "repealer" if action == "repeal" else kind_of(f"{effective(runs(header))} {text}"), "text": text, "text_hash": digest(clean(text)), "veto": any(x.get("lineVeto") for x in node.iter()),
+        "history": text_of(first(node, "History")) or None, "kind": kind_by_source(source, action, text), "text": text, "text_hash": digest(clean(text)), "veto": any(x.get("lineVeto") for x in node.iter()),
         "repealed": [m for p in paragraphs for m in re.findall(r"RCW\s+(\d+[A-Z]?\.\d+[A-Z]?\.\d+)", "".join(p.itertext()))] if action == "repeal" else [], "blocks": made,
         "ins_words": sum(len(b["inserted"].split()) for b in made), "del_words": sum(len(b["struck"].strip("()").split()) for b in made),
     }

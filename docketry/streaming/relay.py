@@ -18,6 +18,21 @@ from pyspark.sql import types as T
 CLAIM = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("consumer", T.StringType()), T.StructField("batch", T.StringType())])
 
 
+FAILURE = T.StructType([T.StructField("consumer", T.StringType()), T.StructField("batch", T.StringType()), T.StructField("error", T.StringType())])
+
+
+def failure_log(log: str) -> str:
+    return f"{log.rstrip('/')}-failures"
+
+
+def failures(spark: SparkSession, log: str) -> DataFrame:
+    """(consumer, batch, error, at) of handlers that failed; with the claims of a batch, the events that it was for."""
+    try:
+        return spark.read.schema(T.StructType([*FAILURE.fields, T.StructField("at", T.TimestampType())])).parquet(failure_log(log))
+    except AnalysisException:
+        return spark.createDataFrame([], FAILURE).withColumn("at", F.lit(None).cast("timestamp"))
+
+
 def claims(spark: SparkSession, log: str) -> DataFrame:
     """The consumption log, empty before the first batch."""
     try:
@@ -27,8 +42,8 @@ def claims(spark: SparkSession, log: str) -> DataFrame:
 
 
 def deliver(batch: DataFrame, consumer: str, log: str, handler: Callable[[DataFrame], None], types: Sequence[str] | None = None, kind: str = "event_type") -> str | None:
-    """Claims the batch's unclaimed events of the types (all without any), runs the handler on them in order, and
-    returns the error of a handler that failed."""
+    """Claims the batch's unclaimed events of the types (all without any), runs the handler on them and returns the
+    error of a handler that failed, which is recorded beside the claims and not tried again."""
     spark = batch.sparkSession
     own = claims(spark, log).where(F.col("consumer") == consumer).select("event_id")
     mine = batch if not types or "*" in types else batch.where(F.col(kind).isin(list(types)))
@@ -39,6 +54,7 @@ def deliver(batch: DataFrame, consumer: str, log: str, handler: Callable[[DataFr
     try:
         handler(mine.join(claimed, "event_id", "left_semi"))
     except Exception as error:  # a consumer's failure is its own: it is recorded, and the log goes on
+        spark.createDataFrame([(consumer, name, f"{type(error).__name__}: {error}")], FAILURE).withColumn("at", F.current_timestamp()).write.mode("append").parquet(failure_log(log))
         return str(error)
     return None
 

@@ -109,7 +109,7 @@ def test_pages_join_to_the_whole_order(spark):
     assert [(r["at"], r["id"]) for r in pages] == sorted(((i % 4, i) for i in range(23)), reverse=True)
 
 
-@pytest.mark.parametrize("value,kind,shown", [(1234567.0, "money", "1,234,567"), (-2.5, "money", "(3)"), (0.845, "fte", "0.8"), (1.005, "percent", "1.0%"), (-5.0, "currency", "($5)"), (None, "money", "")])
+@pytest.mark.parametrize("value,kind,shown", [(1234567.0, "money", "1,234,567"), (-2.5, "money", "(3)"), (0.845, "fte", "0.8"), (-0.8, "fte", "(0.8)"), (1.005, "pct", "1.0%"), (-1.25, "pct", "-1.3%"), (-5.0, "money-thousands", "($5)"), (-5.0, "int", "-5"), (1234.5, None, "1,234.5"), (-7.0, "text", "(7)"), (None, "money", "")])
 def test_format_number(value, kind, shown):
     assert format_number(value, kind) == shown
 
@@ -124,3 +124,55 @@ def test_no_similar_pair_is_lost(spark):
     assert sorted(map(tuple, got.collect())) == sorted(p for p in force if p[2] >= 0.1)
     assert (7, "x", 1.0) in force and got.limit(0).columns == ["doc_id", "item_id", "score"]
     assert relational.similar_pairs(spark.createDataFrame(left, "doc_id long, a array<string>"), spark.createDataFrame([], "item_id string, b array<string>"), 0.1).collect() == []
+
+
+def test_permissions(spark):
+    from pyspark.sql import functions as F
+
+    people = {"d": ["drafter"], "e": ["drafter"], "r": ["reviewer"], "a": ["admin"], "v": ["viewer"], "dr": ["drafter", "reviewer"]}
+    states = ["draft", "in_review", "approved", "published"]
+    df = spark.createDataFrame([(u, r, s, "dr" if u == "dr" else "d", "r", ["e"] if s == "approved" else None) for u, r in people.items() for s in states], "u string, roles array<string>, state string, drafter string, reviewer string, parts array<string>")
+    allow = {(a, r["u"], r["state"]) for a in workflow.ACTIONS for r in df.where(workflow.can(a, F.col("roles"), F.col("u"), F.col("state"), F.col("drafter"), F.col("reviewer"), F.col("parts"))).collect()}
+    who = lambda action, state: {u for a, u, s in allow if (a, s) == (action, state)}
+    assert who("note.read", "published") == set(people) and who("note.read", "draft") == {"d", "r", "a", "dr"} and "e" in who("note.read", "approved")
+    assert who("note.comment", "published") == set(people) - {"v"} and who("note.edit", "draft") == who("note.submit", "draft") == {"d", "dr"}
+    assert who("note.review", "in_review") == {"r"} and who("note.publish", "approved") == {"r"} and not who("note.review", "draft")
+    assert who("search.reindex", "draft") == {"a"} and who("note.create", "draft") == {"d", "r", "a", "dr"} and who("bill.read", "draft") == set(people)
+
+
+def test_shown_amounts(spark):
+    from pyspark.sql import functions as F
+
+    from docketry.functions import text
+
+    values = [0.0, -2.5, 1250000.0, 1234567.0, -999.5, None]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for kind in ("money", "money-thousands", "int", "fte", "pct", None):
+        assert [r[0] for r in df.select(text.format_column(F.col("v"), kind)).collect()] == [text.format_number(v, kind) for v in values]
+    assert [tuple(r) for r in df.select(text.millions(F.col("v")), text.thousands(F.col("v"))).collect()][2:4] == [("$1.3 million", "$1,250,000"), ("$1.2 million", "$1,235,000")]
+
+
+def test_a_failed_consumer_is_recorded(spark, tmp_path):
+    from docketry.streaming import relay
+
+    batch = spark.createDataFrame([(1, "a"), (2, "b")], "event_id long, event_type string")
+
+    def broken(_):
+        raise RuntimeError("no index")
+
+    log = f"file://{tmp_path}/log"
+    assert relay.deliver(batch, "index", log, broken) == "no index"
+    (row,) = relay.failures(spark, log).collect()
+    assert (row["consumer"], row["error"]) == ("index", "RuntimeError: no index") and relay.claims(spark, log).where(f"batch = '{row['batch']}'").count() == 2
+    seen = []
+    relay.deliver(batch, "index", log, lambda df: seen.extend(df.collect()))
+    assert seen == [] and relay.failures(spark, log).count() == 1
+
+
+@pytest.mark.parametrize("text,kind", [("This act is necessary for the immediate preservation of the public peace and takes effect immediately.", "emergency"), ("If any provision is held invalid, the remainder is not affected.", "severability"), ("Section 3 of this act expires July 1, 2030.", "expiration"), ("takes effect only if SB 1 is enacted", "contingent"), ("The sum of $5 is", "appropriation"), ("The legislature finds that", "intent"), ("This act takes effect July 1.", "new")])
+def test_kinds_of_sections(spark, text, kind):
+    from pyspark.sql import functions as F
+
+    from docketry.sources import documents
+
+    assert documents.kind_of(text) == kind == spark.createDataFrame([(text,)], "t string").select(documents.kind_column(F.col("t"))).first()[0]

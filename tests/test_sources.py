@@ -11,7 +11,7 @@ BILL = """<Bill type="bill" xmlns="http://x/"><BillHeading><ShortBillId>HB 1500<
 <BillBody><BillTitle>AN ACT Relating to fish; amending RCW 77.04.010.</BillTitle>
 <BillSection type="amendatory" action="amend"><BillSectionHeader><BillSectionNumber><Value>1</Value></BillSectionNumber><SectionCite><TextRun>RCW </TextRun><TitleNumber>77</TitleNumber>.<ChapterNumber>04</ChapterNumber>.<SectionNumber>010</SectionNumber></SectionCite> is amended<Caption>Fish.</Caption></BillSectionHeader>
 <P>(1) Fish are <TextRun amendingStyle="strike">bad</TextRun> <TextRun amendingStyle="add">very good</TextRun>.</P><P>(a)(i) First.</P><P>(ii) Second.</P><P>(b) Third.</P><P>(2) Last.</P></BillSection>
-<BillSection type="new"><BillSectionHeader><BillSectionNumber><Value>2</Value></BillSectionNumber></BillSectionHeader><P>This act takes effect July 1, 2026.</P></BillSection></BillBody></Bill>"""
+<BillSection type="new" action="effdate"><BillSectionHeader><BillSectionNumber><Value>2</Value></BillSectionNumber></BillSectionHeader><P>This act takes effect July 1, 2026.</P></BillSection></BillBody></Bill>"""
 
 
 def test_bill_xml():

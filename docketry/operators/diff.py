@@ -1,14 +1,15 @@
 """Version diffs: lines aligned by Myers' shortest edit script, then words within paired lines; sections by identity.
 
-All sections of a pair of versions are one grouped map; those of equal hashes are not diffed by line.
+All sections of a pair of versions are aligned together; those of equal hashes are not diffed by line.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Hashable, Sequence
+from collections.abc import Hashable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -144,19 +145,26 @@ def align_sections(before: Sequence[dict], after: Sequence[dict]) -> list[tuple[
     for i, s in enumerate(before):
         first.setdefault(s["identity"], i)
     match: dict[int, int] = {}
-    for j, s in enumerate(after):
-        i = first.get(s["identity"])
-        if i is not None and i not in match.values():
+    used: set[int] = set()
+
+    def join(j: int, i: int) -> None:
+        if j not in match and i not in used:
             match[j] = i
-    free = lambda: [i for i in range(len(before)) if i not in match.values()]
+            used.add(i)
+
+    for j, s in enumerate(after):
+        if (i := first.get(s["identity"])) is not None:
+            join(j, i)
+    free = lambda: [i for i in range(len(before)) if i not in used]
     scores = {(j, i): similarity(after[j]["text"], before[i]["text"]) for j in range(len(after)) if j not in match for i in free()}
     for j, i in sorted(scores, key=lambda p: -scores[p]):
-        if scores[j, i] >= SIMILAR and j not in match and i not in match.values():
-            match[j] = i
+        if scores[j, i] >= SIMILAR:
+            join(j, i)
     for j in range(len(after)):
         if j not in match:
             same = (i for i in free() if before[i]["num"] == after[j]["num"] and before[i]["kind"] == after[j]["kind"] and scores[j, i] >= SAME_PLACE)
-            match |= {j: i for i in [next(same, None)] if i is not None}
+            if (i := next(same, None)) is not None:
+                join(j, i)
     out: list[tuple[int | None, int | None]] = []
     gone = free()
     for j in range(len(after)):
@@ -196,18 +204,25 @@ def line_diff_columns(df: DataFrame, before: str, after: str) -> DataFrame:
 
 
 def diff_versions(sections: DataFrame, frm: str, to: str) -> DataFrame:
-    """Section diffs of two versions of every bill, from (bill_key, version_code, ordinal, identity, num, kind, text, text_hash)."""
-    schema = "bill_key string, place int, identity string, from_num int, to_num int, status string, changed int, inserted int, deleted int"
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ordinal")
-        side = lambda code: rows[rows["version_code"] == code].to_dict("records")
-        out = pd.DataFrame(diff_sections(side(frm), side(to))).drop(columns="lines", errors="ignore")
-        out.insert(0, "place", range(len(out)))
-        out.insert(0, "bill_key", rows["bill_key"].iloc[0])
-        return out.astype({"from_num": "Int32", "to_num": "Int32"})
+    """Section diffs of two versions of every bill, from (bill_key, version_code, ordinal, identity, num, kind, text, text_hash).
 
-    return sections.where(F.col("version_code").isin(frm, to)).groupBy("bill_key").applyInPandas(one, schema)
+    A bill's sections travel as one array, many bills to a batch.
+    """
+    names = ["bill_key", "place", "identity", "from_num", "to_num", "status", "changed", "inserted", "deleted"]
+    schema = "bill_key string, place int, identity string, from_num int, to_num int, status string, changed int, inserted int, deleted int"
+    shape = pa.schema([(n, pa.string() if n in ("bill_key", "identity", "status") else pa.int32()) for n in names])
+    row = F.struct("ordinal", "version_code", "identity", "num", "kind", "text", "text_hash")
+
+    def diffs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for bill, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                before, after = ([r for r in rows if r["version_code"] == code] for code in (frm, to))
+                out += [{"bill_key": bill, "place": i, **d} for i, d in enumerate(diff_sections(before, after))]
+            yield pa.RecordBatch.from_pylist([{n: r[n] for n in names} for r in out], schema=shape)
+
+    both = sections.where(F.col("version_code").isin(frm, to)).groupBy("bill_key").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    return both.mapInArrow(diffs, schema)
 
 
 def summary(diffs: DataFrame) -> DataFrame:

@@ -1,16 +1,19 @@
 """The review workflow: a table of rules, a fold of commands into states, and a permission matrix.
 
-A fold needs the commands of one instance in order and nothing else, so it is one grouped map; its state is a small
-tuple, and the same function serves the stream.
+A fold needs the commands of one instance in order and nothing else; its state is a small tuple, and the same function
+serves the stream.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 # Fixed values: (from, event, who, to, whether a message is needed), and states.
 RULES = (
@@ -82,21 +85,31 @@ def fold(commands: Iterable[dict], start: dict | None = None) -> tuple[list[dict
     return steps, now
 
 
-def _commands(rows: pd.DataFrame) -> list[dict]:
-    return [{k: (None if v is None or v is pd.NA or (isinstance(v, float) and v != v) else v) for k, v in r.items()} for r in rows.to_dict("records")]
+COMMAND = ["instance_id", "arrival", "event", "actor_id", "actor_roles", "drafter_id", "message", "expected_version", "head_version"]
 
 
 def fold_workflow(commands: DataFrame) -> DataFrame:
     """Steps of every instance, from (instance_id, arrival, event, actor_id, actor_roles, drafter_id, message,
-    expected_version, head_version): one grouped map on the instance, whose log is a person's work and so is small."""
+    expected_version, head_version).
 
-    def steps(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("arrival", kind="stable")
-        out = pd.DataFrame(fold(_commands(rows))[0])
-        out.insert(0, "instance_id", rows["instance_id"].iloc[0])
-        return out[[x.split()[0] for x in STEP.split(", ")]].astype({"version": "Int32", "approved_version": "Int32", "published_version": "Int32"})
-
-    return commands.groupBy("instance_id").applyInPandas(steps, STEP)
+    Instances are dealt out by id and their commands laid in order; a task then folds them as they stream by, keeping
+    the state of one instance at a time, so that a log of any length takes no more memory. Commands without an
+    instance are one instance.
+    """
+    shape = to_arrow_schema(StructType.fromDDL(STEP))
+
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = None, None
+        for batch in batches:
+            out = []
+            for instance, rows in groupby(batch.to_pylist(), key=lambda r: r["instance_id"]):
+                made, state = fold(rows, state if state is not None and instance == last else None)
+                last = instance
+                out += [{"instance_id": instance, **m} for m in made]
+            yield pa.RecordBatch.from_pylist(out, schema=shape)
+
+    dealt = commands.select(*COMMAND).repartition("instance_id").sortWithinPartitions("instance_id", "arrival")
+    return dealt.mapInArrow(steps, STEP)
 
 
 def rules_table(spark: SparkSession) -> DataFrame:

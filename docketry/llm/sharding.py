@@ -69,10 +69,10 @@ def shuffled_shards(records: DataFrame, key: str, size: str, shards: int = 40, s
     of_shard = lambda numbers: F.get(F.array(*map(F.lit, numbers)), F.col("shard"))
     scattered = told_apart(records, seed + 1, bucket_rows).select("record", rendezvous(k, shards, seed).alias("shard"), rendezvous(k, shards + 1, seed).alias("grown_shard"), "h")
     scattered = scattered.withColumn("bucket", (of_shard([sum(buckets[:i]) for i in range(shards)]) + F.pmod(F.col("h"), of_shard(buckets))).cast("int"))
-    packed = stored(scattered.groupBy("shard", "bucket").agg(F.sort_array(F.collect_list(F.struct("h", "record", "grown_shard"))).alias("rows")))
+    tasks = min(TASKS, sum(buckets))
+    packed = stored(scattered.repartition(tasks, "bucket").groupBy("shard", "bucket").agg(F.sort_array(F.collect_list(F.struct("h", "record", "grown_shard"))).alias("rows")))
     begins = packed.select("shard", "bucket", F.size("rows").alias("n"))
     begins = begins.select("bucket", (F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")).alias("begin"))
-    tasks = min(TASKS, sum(buckets))
     # A partition's number and the order within it are fixed, and with them the seeds of the Fisher-Yates shuffles.
     placed = packed.repartitionById(tasks, F.pmod(F.col("bucket"), F.lit(tasks)).cast("int")).sortWithinPartitions("bucket")
     mixed = placed.select("shard", "bucket", F.expr(f"shuffle(rows, {seed})").alias("rows"))

@@ -98,7 +98,7 @@ def star_links(marks: DataFrame, radius: int) -> DataFrame:
 
 
 def near_pairs(marks: DataFrame, radius: int = RADIUS, many: int = MANY) -> DataFrame:
-    """Pairs (a, b), once in either order, of distinct fingerprints that differ in 1 to `radius` bits and have different roots.
+    """Pairs (a, b, ra, rb), a below b, of distinct fingerprints that differ in 1 to `radius` bits, and their different roots.
 
     `marks` is (fingerprint, root); without a root every pair counts. Each fingerprint visits, for every segment, the
     values in the ball of its own. The members of a value that share its commonest root are only met by visitors of
@@ -121,26 +121,30 @@ def near_pairs(marks: DataFrame, radius: int = RADIUS, many: int = MANY) -> Data
     other = visits.join(told.where(F.col("major").isNull() | (F.col("rb") != F.col("major"))).select("key", "b", "rb"), "key").where(met)
     strange = visits.join(major, "key").where(F.col("ra") != F.col("major")).select("key", "a", "ra")
     same = strange.join(told.where(F.col("rb") == F.col("major")).select("key", "b", "rb"), "key").where(met)
-    found = other.select("a", "b").unionByName(same.select("a", "b"))
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = other.select("a", "b", "ra", "rb").unionByName(same.select("a", "b", "ra", "rb"))
+    pair = F.when(F.col("a") < F.col("b"), F.struct("a", "b", "ra", "rb")).otherwise(F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("rb").alias("ra"), F.col("ra").alias("rb")))
+    return found.select(pair.alias("p")).select("p.*").distinct()
 
 
 def rooted(nodes: DataFrame, radius: int = RADIUS, many: int = MANY) -> DataFrame:
     """(fingerprint, first, root) from (fingerprint, first) of distinct fingerprints: root is the least `first` of the component.
 
-    `first` is an ordered struct that no two nodes share. Stars come first; then whatever they left apart is sought.
+    `first` is an ordered struct with the fingerprint in it. Stars come first; then whatever they left apart is sought,
+    and only the roots of such pairs are joined further.
     """
 
-    def linked(links: DataFrame) -> DataFrame:
-        of = lambda c: nodes.select(F.col("fingerprint").alias(c), F.col("first").alias(f"first_{c}"))
-        ends = links.join(of("a"), "a").join(of("b"), "b")
-        roots = components(ends.select(F.col("first_a").alias("a"), F.col("first_b").alias("b")))
-        return stored(nodes.join(roots, nodes["first"] == roots["node"], "left").select("fingerprint", "first", F.coalesce("root", "first").alias("root")))
+    def linked(of: DataFrame, links: DataFrame, a: str, b: str) -> DataFrame:
+        """(node, root) of the `first`s whose fingerprints the links join."""
+        end = lambda c, name: of.select(F.col("fingerprint").alias(c), F.col("first").alias(name))
+        return components(links.select(a, b).distinct().join(end(a, "_a"), a).join(end(b, "_b"), b).select(F.col("_a").alias("a"), F.col("_b").alias("b")))
 
-    stars = stored(star_links(nodes, radius))
-    by_star = linked(stars)
+    by_star = linked(nodes, star_links(nodes, radius), "a", "b")
+    by_star = stored(nodes.join(by_star, nodes["first"] == by_star["node"], "left").select("fingerprint", "first", F.coalesce("root", "first").alias("root")))
     pairs = stored(near_pairs(by_star.select("fingerprint", F.col("root.fingerprint").alias("root")), radius, many))
-    return linked(stars.unionByName(pairs))
+    if pairs.isEmpty():
+        return by_star
+    joined = linked(by_star.where("first = root"), pairs, "ra", "rb").select("node", F.col("root").alias("least"))
+    return stored(by_star.join(joined, by_star["root"] == joined["node"], "left").select("fingerprint", "first", F.coalesce("least", "root").alias("root")))
 
 
 def one_of_each(docs: DataFrame, digest: Column, radius: int = RADIUS) -> DataFrame:

@@ -247,18 +247,19 @@ def rollup_path(spark, sf_dir):
     return op.prefix_rollup(read(spark, sf_dir, "part"), F.col("p_type"), " ", ["one", "two", "three"])
 
 
-_CITES = ["82.04.4496", "9.2", "82.08", "9.10", "9A.36.021", "82.04.050", "82", "70A.15.2200"]
+_CITE = "(l_suppkey % 40 + 1) || '.' || (l_partkey % 30) || '.' || (l_partkey % 900 + 5)"
 
 
 @query(f"""
-SELECT cite, CAST(row_number() OVER (ORDER BY array_to_string(list_transform(string_split(cite, '.'), lambda p: lpad(p, 6, '0')), '.')) AS INTEGER) AS place
-FROM (SELECT unnest({_CITES!r}) AS cite)
+SELECT cite, CAST(row_number() OVER (PARTITION BY flag ORDER BY array_to_string(list_transform(string_split(cite, '.'), lambda p: lpad(p, 6, '0')), '.')) AS INTEGER) AS place, flag
+FROM (SELECT DISTINCT {_CITE} AS cite, l_returnflag AS flag FROM lineitem)
 """)
 def dotted_sort(spark, sf_dir):
     from pyspark.sql import Window
 
-    cites = spark.createDataFrame([(c,) for c in _CITES], "cite string")
-    return cites.withColumn("place", F.row_number().over(Window.orderBy(op.dotted_key(F.col("cite")))))
+    cite = F.concat_ws(".", F.col("l_suppkey") % 40 + 1, F.col("l_partkey") % 30, F.col("l_partkey") % 900 + 5)
+    cites = read(spark, sf_dir, "lineitem").select(cite.alias("cite"), F.col("l_returnflag").alias("flag")).distinct()
+    return cites.withColumn("place", F.row_number().over(Window.partitionBy("flag").orderBy(op.dotted_key(F.col("cite")))))
 
 
 @query("SELECT json_extract_string(props, '$.k') AS k, count(*) AS n FROM events GROUP BY 1")
@@ -266,19 +267,30 @@ def json_project(spark, sf_dir):
     return read(spark, sf_dir, "events").groupBy(F.get_json_object("props", "$.k").alias("k")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_SENTENCES = {1: "amending RCW 82.04.4496, 82.04.050 and 9A.36.021; reenacting chapter 70A.15 RCW", 2: "relating to Title 82 RCW and chapter 9.94A RCW", 3: "no citation 12.34.567 here"}
+_NO = "lpad(CAST(p_partkey % 900 + 100 AS VARCHAR), 3, '0')"
 
 
-@query("SELECT * FROM (VALUES (1, '82.04.4496,82.04.050,9A.36.021,70A.15'), (2, '82,9.94A'), (3, '')) AS t(id, cites)")
+@query(f"""
+SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN '82.04.' || {_NO} || ',82.08.' || {_NO} || ',9A.36.021,70A.15' WHEN 1 THEN p_size || ',9.94A' WHEN 2 THEN '77.15' ELSE '' END AS cites FROM part
+""")
 def cite_extract(spark, sf_dir):
-    rows = spark.createDataFrame(list(_SENTENCES.items()), "id int, sentence string")
-    return rows.select("id", F.array_join(text.cites_in(F.col("sentence")), ",").alias("cites"))
+    """Citations in sentences about every part: lists after one keyword, chapters, titles, and numbers that cite nothing."""
+    k, no = F.col("p_size") % 4, F.lpad((F.col("p_partkey") % 900 + 100).cast("string"), 3, "0")
+    one = F.concat(F.lit("amending RCW 82.04."), no, F.lit(", 82.08."), no, F.lit(" and 9A.36.021; reenacting chapter 70A.15 RCW of "), F.col("p_name"))
+    two = F.concat(F.lit("relating to Title "), F.col("p_size"), F.lit(" RCW and chapter 9.94A RCW"))
+    sentence = F.when(k == 0, one).when(k == 1, two).when(k == 2, F.concat(F.col("p_name"), F.lit(" under chapter 77.15 RCW and RCW 77.15"))).otherwise(F.concat(F.lit("no citation 12.34.567 here: "), F.col("p_retailprice")))
+    return read(spark, sf_dir, "part").select("p_partkey", F.array_join(text.cites_in(sentence), ",").alias("cites"))
 
 
-@query("SELECT * FROM (VALUES ('$(1,250,000)', -1250000.0::DOUBLE), ('1,234.5', 1234.5), ('-', NULL), ('', NULL), ('12%', 12.0), ('n/a', NULL), ('-7', -7.0)) AS t(cell, value)")
+@query("""
+SELECT l_orderkey, l_linenumber, l_quantity, CASE l_linenumber % 6 WHEN 0 THEN -CAST(floor(l_extendedprice) AS DOUBLE) WHEN 1 THEN CAST(floor(l_extendedprice) AS DOUBLE) WHEN 2 THEN NULL WHEN 3 THEN CAST(l_quantity AS DOUBLE) WHEN 4 THEN -CAST(l_quantity AS DOUBLE) END AS value FROM lineitem
+""")
 def num_parse(spark, sf_dir):
-    rows = spark.createDataFrame([(x,) for x in ("$(1,250,000)", "1,234.5", "-", "", "12%", "n/a", "-7")], "cell string")
-    return rows.select("cell", text.parse_number(F.col("cell")).alias("value"))
+    """Amounts of every line as cells show them: in parentheses, with separators, blank, in per cent, negative, or no number."""
+    n, q = F.col("l_linenumber") % 6, F.col("l_quantity").cast("string")
+    whole = F.format_number(F.floor(F.col("l_extendedprice")), 0)
+    cell = F.when(n == 0, F.concat(F.lit("$("), whole, F.lit(")"))).when(n == 1, F.concat(F.lit(" $"), whole)).when(n == 2, "-").when(n == 3, F.concat(q, F.lit("%"))).when(n == 4, F.concat(F.lit("-"), q)).otherwise(F.concat(q, F.lit(" n/a")))
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", text.parse_number(cell).alias("value"))
 
 
 @query("SELECT o_orderkey, format('{:,}', CAST(round(o_totalprice) AS BIGINT)) AS shown FROM orders")
@@ -286,33 +298,46 @@ def num_format(spark, sf_dir):
     return read(spark, sf_dir, "orders").select("o_orderkey", text.format_whole(F.col("o_totalprice")).alias("shown"))
 
 
-@query("""
-SELECT * FROM (VALUES ('2026-01-15 08:00:00', TIMESTAMP '2026-01-15 16:00:00'), ('2026-07-01 13:30:00', TIMESTAMP '2026-07-01 20:30:00'),
-  ('2026-03-08 02:30:00', TIMESTAMP '2026-03-08 09:30:00'), ('2026-11-01 01:30:00', TIMESTAMP '2026-11-01 08:30:00')) AS t(local, utc)
-""")
-def pacific_utc(spark, sf_dir):
-    rows = spark.createDataFrame([(x,) for x in ("2026-01-15 08:00:00", "2026-07-01 13:30:00", "2026-03-08 02:30:00", "2026-11-01 01:30:00")], "local string")
-    return rows.select("local", text.pacific_to_utc(F.to_timestamp("local")).alias("utc"))
+# Clocks from 2007 on: summer time from the second Sunday of March to the first of November, at two in the morning.
+_SPRING, _FALL = "make_date(2026, 3, 8) + INTERVAL 2 HOUR", "make_date(2026, 11, 1) + INTERVAL 2 HOUR"
 
 
-_REFS = ["HB 1234", "E2SSB 5001", "chapter 43.88 RCW", "1941.SL", "2025", "ch 12, Laws of 2023 PV", "I-940", "SB 5001 amendment S4812.1", "hello"]
+@query(f"""
+WITH e AS (SELECT event_id, TIMESTAMP '2026-01-01 00:00:00' + INTERVAL (event_id * 37 % 525600) MINUTE AS local FROM events)
+SELECT event_id, local + CASE WHEN local >= {_SPRING} AND local < {_FALL} THEN INTERVAL 7 HOUR ELSE INTERVAL 8 HOUR END AS utc FROM e
+""")
+def pacific_utc(spark, sf_dir):
+    """A minute of 2026 for every event, both changes of clocks among them."""
+    minute = (F.col("event_id") * 37 % 525600).cast("int")
+    local = F.to_timestamp_ntz(F.lit("2026-01-01 00:00:00")) + F.make_interval(mins=minute)
+    return read(spark, sf_dir, "events").select("event_id", text.pacific_to_utc(local).alias("utc"))
 
 
 @query("""
-SELECT * FROM (VALUES ('HB 1234', 'bill', 'WA:2025-26:HB1234', 'I'), ('E2SSB 5001', 'bill', 'WA:2025-26:SB5001', 'S2.E'), ('chapter 43.88 RCW', 'rcw', '43.88', NULL),
-  ('1941.SL', 'bill', 'WA:2025-26:HB1941', 'SL'), ('2025', 'bill', 'WA:2025-26:HB2025', 'I'), ('ch 12, Laws of 2023 PV', 'session_law', '2023 c 12', NULL),
-  ('I-940', 'initiative', 'I-940', NULL), ('SB 5001 amendment S4812.1', 'bill', 'WA:2025-26:SB5001', 'I'), ('hello', NULL, NULL, NULL)) AS t(input, kind, target, version_code)
+WITH o AS (SELECT o_orderkey, o_orderkey % 10 AS k, o_orderkey % 4000 + 1000 AS h, o_orderkey % 3000 + 5000 AS s, year(o_orderdate) - (year(o_orderdate) + 1) % 2 AS y FROM orders)
+SELECT o_orderkey, CASE WHEN k <= 4 THEN 'bill' WHEN k = 5 THEN 'rcw' WHEN k = 6 THEN 'session_law' WHEN k = 7 THEN 'initiative' WHEN k = 8 THEN 'fiscal_note_package' END AS kind,
+  CASE k WHEN 0 THEN 'WA:2025-26:HB' || h WHEN 1 THEN 'WA:2025-26:SB' || s WHEN 2 THEN 'WA:' || y || '-' || lpad(CAST((y + 1) % 100 AS VARCHAR), 2, '0') || ':SJR' || s WHEN 3 THEN 'WA:2025-26:SB' || s WHEN 4 THEN 'WA:2025-26:SB' || s
+    WHEN 5 THEN '43.88.' || lpad(CAST(o_orderkey % 900 + 100 AS VARCHAR), 3, '0') WHEN 6 THEN '2023 c ' || o_orderkey % 500 WHEN 7 THEN 'I-' || o_orderkey % 9000 + 100 WHEN 8 THEN 'P' || o_orderkey % 90000 + 100 END AS target,
+  CASE k WHEN 0 THEN 'I' WHEN 1 THEN 'S2.E' WHEN 2 THEN 'S' WHEN 3 THEN 'S2.E' WHEN 4 THEN 'I' END AS version_code, CASE WHEN k = 4 THEN 'S4812.1' END AS drafter FROM o
 """)
 def ref_parse(spark, sf_dir):
-    rows = spark.createDataFrame([(x,) for x in _REFS], "input string").withColumn("r", refs.parse_column("input", "2025-26"))
+    """A reference about every order, in ten spellings."""
+    key, k, h, s = F.col("o_orderkey"), F.col("o_orderkey") % 10, (F.col("o_orderkey") % 4000 + 1000).cast("string"), (F.col("o_orderkey") % 3000 + 5000).cast("string")
+    forms = [
+        (F.lit("H.B. "), h), (F.lit("engrossed second substitute senate bill "), s), (F.lit("SSJR "), s, F.lit(" ("), F.year("o_orderdate"), F.lit(")")), (F.lit(""), s, F.lit("-S2.E")), (F.lit("SB "), s, F.lit(" amendment S-4812.1")),
+        (F.lit("rcw 43.88."), F.lpad((key % 900 + 100).cast("string"), 3, "0")), (F.lit("Chapter "), key % 500, F.lit(", Laws of 2023 PV")), (F.lit("Initiative Measure No. "), key % 9000 + 100), (F.lit("fiscal note package # "), key % 90000 + 100), (F.lit("hello "), F.col("o_orderstatus")),
+    ]
+    written = F.element_at(F.array(*[F.concat(*f) for f in forms]), (k + 1).cast("int"))
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", refs.parse_column(written, "2025-26").alias("r"))
     r = F.col("r")
     target = (
         F.when(r["kind"] == "bill", F.concat(F.lit("WA:"), r["biennium"], F.lit(":"), r["type"], r["number"]))
         .when(r["kind"] == "rcw", r["cite"])
         .when(r["kind"] == "session_law", F.concat(r["year"], F.lit(" c "), r["chapter"]))
         .when(r["kind"] == "initiative", F.concat(F.lit("I-"), r["number"]))
+        .when(r["kind"] == "fiscal_note_package", F.concat(F.lit("P"), r["number"]))
     )
-    return rows.select("input", r["kind"].alias("kind"), target.alias("target"), r["version_code"].alias("version_code"))
+    return rows.select("o_orderkey", r["kind"].alias("kind"), target.alias("target"), r["version_code"].alias("version_code"), r["drafter_number"].alias("drafter"))
 
 
 @query(r"SELECT doc_id, 'sha256:' || sha256(regexp_replace(regexp_replace(coalesce(text, ''), '[\s\p{Z}\x{FEFF}]+', ' ', 'g'), '^ | $', '', 'g')) AS text_hash FROM documents")

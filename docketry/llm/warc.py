@@ -42,10 +42,14 @@ def decoded(text: Column) -> Column:
         code = F.when(name.rlike("^#[xX]"), F.conv(F.substr(name, F.lit(3)), 16, 10)).when(name.startswith("#"), F.substr(name, F.lit(2))).cast("int")
         # A character outside Unicode's first plane, or none, stays as it stands.
         c = F.when(code.between(1, 55295) | code.between(57344, 65535), F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")).when(~name.startswith("#"), named[name])
-        return F.when((name == "") | c.isNull(), F.concat(F.lit("&"), p)).otherwise(F.concat(c, F.substr(p, F.length(name) + 2)))
-
-    part = lambda p, i: F.when(i == 0, p).when(p.startswith("amp;"), F.concat(F.lit("&"), F.substr(p, F.lit(5)))).otherwise(read(p))
-    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(F.split(text, "&", -1), part), "")).otherwise(text)
+        return F.when((name == "") | c.isNull(), F.concat(F.lit("&"), plain(p))).otherwise(F.concat(c, plain(F.substr(p, F.length(name) + 2))))
+
+    # Most references are to the ampersand itself: only the others part the text.
+    plain = lambda p: F.replace(p, F.lit("&amp;"), F.lit("&"))
+    part = lambda p, i: F.when(i == 0, plain(p)).otherwise(read(p))
+    whole = lambda t: F.when(F.contains(t, F.lit("&")), F.array_join(F.transform(F.split(t, "&(?!amp;)", -1), part), "")).otherwise(t)
+    # The text is computed once: as the only element of an array that a lambda takes.
+    return F.element_at(F.transform(F.array(text), whole), 1)
 
 
 def plain_text(html: Column) -> Column:

@@ -30,6 +30,11 @@ def escape_html(text: Column) -> Column:
     return text
 
 
+def safe_headline(text: Column) -> Column:
+    """A headline as HTML in which nothing but <mark> is markup."""
+    return F.replace(F.replace(escape_html(text), F.lit("&lt;mark&gt;"), F.lit("<mark>")), F.lit("&lt;/mark&gt;"), F.lit("</mark>"))
+
+
 CITE = r"\d+[A-Z]?(?:\.\d+[A-Z]?){0,2}"
 
 

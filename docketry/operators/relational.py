@@ -40,6 +40,40 @@ def contains_ignoring_case(column: str, part: str | None) -> Column | None:
     return None if part is None else F.contains(F.lower(F.col(column)), F.lit(part.lower()))
 
 
+def any_contains(columns: Sequence[str], part: str | None) -> Column | None:
+    """Substring in any of the columns without regard to case; a null column has none."""
+    return None if part is None else reduce(lambda a, b: a | b, [F.coalesce(contains_ignoring_case(c, part), F.lit(False)) for c in columns])
+
+
+def tagged(column: str, prefix: str, value: str | None) -> Column | None:
+    """Whether an array of tags has a value, with its prefix or bare."""
+    return None if value is None else F.coalesce(F.arrays_overlap(F.col(column), F.array(F.lit(f"{prefix}:{value}"), F.lit(value))), F.lit(False))
+
+
+def sponsored(sponsors: str, who: str | int | None) -> Column | None:
+    """Bills of a sponsor: of an id, or of an exact last name or a part of the joined names, without regard to case."""
+    if who is None:
+        return None
+    if isinstance(who, int):
+        return F.exists(F.transform(sponsors, lambda s: s["people_id"]), lambda i: i == who)
+    names = F.lower(F.array_join(F.transform(sponsors, lambda s: s["name"]), ", "))
+    return F.exists(sponsors, lambda s: F.lower(s["last_name"]) == who.lower()) | F.contains(names, F.lit(who.lower()))
+
+
+def without_forbidden(asked: Mapping[str, object], forbidden: Sequence[str] = ("visibility", "allowed_roles", "allowed_users")) -> Mapping[str, object]:
+    """The caller's arguments; those that would set permissions raise ValueError."""
+    wrong = sorted(set(asked) & set(forbidden))
+    if wrong:
+        raise ValueError(f"not for callers to say: {', '.join(wrong)}")
+    return asked
+
+
+def merged_hits(parts: Sequence[DataFrame], score: str, key: str, size: int) -> DataFrame:
+    """The best hits of several searches together; one that several found counts once, with its best score."""
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return page(collapse(every, [key], [F.col(score).desc()]), [F.col(score).desc(), F.col(key)], size)
+
+
 def within(column: str, first: object | None, last: object | None) -> Column:
     """Inclusive range with either end open."""
     return all_of([None if first is None else F.col(column) >= F.lit(first), None if last is None else F.col(column) <= F.lit(last)])

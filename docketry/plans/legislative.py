@@ -427,3 +427,105 @@ def template_history(spark, sf_dir):
     one = bill_ops.template_versions(stored, part.drop("p_partkey")).drop("current")
     changed = part.select("id", F.when(F.col("p_partkey") % 3 == 0, F.concat("html", F.lit("!"))).otherwise(F.col("html")).alias("html"))
     return bill_ops.template_versions(one, changed).select("id", "version", "digest", "current")
+
+
+@query("""
+WITH c AS (SELECT l_orderkey AS note_id, l_orderkey * 10 + l_linenumber AS comment_id, CASE WHEN l_linenumber % 3 > 0 THEN l_partkey END AS pos FROM {LINEITEM})
+SELECT note_id, comment_id, CAST(row_number() OVER (PARTITION BY note_id ORDER BY pos NULLS LAST, comment_id) AS INTEGER) AS place, CASE WHEN comment_id % 2 = 0 THEN 'one,two' ELSE '' END AS said FROM c
+""".replace("{LINEITEM}", LINEITEM))
+def comment_threads(spark, sf_dir):
+    """Lines as comments on their order's note, every second with two messages."""
+    comments = line_comments(spark, sf_dir)
+    said = comments.where(F.col("comment_id") % 2 == 0).select("comment_id", F.explode(F.array(F.struct(F.lit(2).alias("at"), F.lit("two").alias("body")), F.struct(F.lit(1).alias("at"), F.lit("one").alias("body")))).alias("m"))
+    messages = said.select("comment_id", "m.at", F.concat_ws("-", "comment_id", "m.at").alias("message_id"), "m.body")
+    return notes.threads(comments, messages).select("note_id", "comment_id", "place", F.array_join(F.transform("messages", lambda m: m["body"]), ",").alias("said"))
+
+
+def line_comments(spark, sf_dir):
+    n = F.col("l_linenumber")
+    return lines(spark, sf_dir).select(F.col("l_orderkey").alias("note_id"), (F.col("l_orderkey") * 10 + n).alias("comment_id"), F.when(n % 3 > 0, F.col("l_partkey")).alias("pos"), F.when(F.col("l_returnflag") == "R", "open").otherwise("resolved").alias("status"))
+
+
+@query(f"SELECT l_orderkey AS note_id, count(*) FILTER (l_returnflag = 'R') AS open FROM {LINEITEM} GROUP BY 1")
+def open_threads(spark, sf_dir):
+    return notes.open_threads(line_comments(spark, sf_dir))
+
+
+@query(f"SELECT 'b' || l_suppkey AS bill_key, l_returnflag AS version_code, 'sec-' || l_linenumber AS section_id, count(*) AS n FROM {LINEITEM} GROUP BY ALL")
+def annotation_counts(spark, sf_dir):
+    return notes.counts_by_section(lines(spark, sf_dir).select(F.concat(F.lit("b"), "l_suppkey").alias("bill_key"), F.col("l_returnflag").alias("version_code"), F.concat(F.lit("sec-"), "l_linenumber").alias("section_id")))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN 0 ELSE CAST(o_orderkey % 4 AS INTEGER) END AS n_errors, coalesce(c_name, 'System') AS author FROM orders LEFT JOIN customer ON CASE WHEN o_orderkey % 5 > 0 THEN o_custkey END = c_custkey")
+def version_errors(spark, sf_dir):
+    """Numbers of errors of every order, three in four of which have a list of them, and who wrote it."""
+    k = F.col("o_orderkey")
+    versions = read(spark, sf_dir, "orders").select("o_orderkey", F.when(k % 5 > 0, F.col("o_custkey")).alias("author_id"), F.when(k % 4 < 3, F.slice(F.array(F.lit("a"), F.lit("b")), 1, (k % 4).cast("int"))).alias("errors"))
+    users = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("name"))
+    return notes.with_people(notes.error_counts(versions), "author_id", users, "author").select("o_orderkey", "n_errors", "author")
+
+
+@query("SELECT state, count(*) AS n, CAST(nullif(list_position(['draft', 'in_review', 'changes_requested', 'approved', 'published'], state), 0) AS INTEGER) AS place FROM (SELECT CASE o_orderstatus WHEN 'F' THEN 'published' WHEN 'O' THEN 'draft' ELSE 'in_review' END AS state FROM orders) GROUP BY state")
+def notes_by_status(spark, sf_dir):
+    state = F.when(F.col("o_orderstatus") == "F", "published").when(F.col("o_orderstatus") == "O", "draft").otherwise("in_review")
+    return notes.by_status(read(spark, sf_dir, "orders").select(state.alias("state")))
+
+
+@query("SELECT event_id AS seq, event_type FROM events WHERE CAST(user_id AS VARCHAR) = '7' AND event_id < 900000 ORDER BY seq DESC LIMIT 500")
+def transition_history(spark, sf_dir):
+    log = read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("instance_id"), F.col("event_id").alias("seq"), "event_type")
+    return notes.history_page(log, "7", 900_000, 10_000).select("seq", "event_type")
+
+
+@query("SELECT CASE WHEN c_custkey % 2 = 0 THEN 'dev-' ELSE 'u-' END || c_custkey AS user_id, CASE WHEN c_custkey % 3 = 0 THEN 'seed' ELSE c_name END AS name FROM customer WHERE c_custkey % 2 = 1 OR c_custkey % 3 = 0")
+def seed_users(spark, sf_dir):
+    k = F.col("c_custkey")
+    users = read(spark, sf_dir, "customer").select(F.concat(F.when(k % 2 == 0, "dev-").otherwise("u-"), k).alias("user_id"), F.col("c_name").alias("name"), k.alias("k"))
+    seeds = users.where("k % 3 = 0").select("user_id", F.lit("seed").alias("name"))
+    return notes.seeded_users(users.drop("k"), seeds)
+
+
+@query("""
+SELECT o_orderkey FROM orders WHERE o_orderkey % 6 = 1 OR o_orderkey % 7 = 2
+""")
+def sponsor_filter(spark, sf_dir):
+    """Bills of one sponsor by last name or part of a name, and of another by number."""
+    k = F.col("o_orderkey")
+    who = F.struct((k % 7).cast("long").alias("people_id"), F.when(k % 6 == 1, "Ann Lee").otherwise("Bo Ray").alias("name"), F.when(k % 6 == 1, "Lee").otherwise("Ray").alias("last_name"))
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", F.array(who).alias("sponsors"))
+    one = rows.where(op.all_of([op.sponsored("sponsors", "LEE"), op.sponsored("sponsors", "nn le"), op.sponsored("sponsors", None)]))
+    return one.unionByName(rows.where(op.sponsored("sponsors", 2))).select("o_orderkey").distinct()
+
+
+@query("SELECT p_partkey FROM part WHERE (p_size % 2 = 0 OR p_size % 3 = 0) AND (contains(lower(p_name), 'wid') OR contains(lower(p_type), 'wid') OR contains(lower(p_brand), 'wid'))")
+def template_filter(spark, sf_dir):
+    """Parts as templates: a tag with its prefix or bare, and free text over name, type and brand."""
+    tags = F.when(F.col("p_size") % 2 == 0, F.array(F.lit("tax:sales"))).when(F.col("p_size") % 3 == 0, F.array(F.lit("sales"), F.lit("x")))
+    rows = read(spark, sf_dir, "part").withColumn("tags", tags)
+    return rows.where(op.all_of([op.tagged("tags", "tax", "sales"), op.tagged("tags", "impact", None), op.any_contains(["p_name", "p_type", "p_brand"], "WID")])).select("p_partkey")
+
+
+@query("""
+WITH h AS (SELECT o_orderkey AS id, o_totalprice AS score FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey, o_totalprice * 1.5 FROM orders WHERE o_orderpriority = '1-URGENT')
+SELECT id, max(score) AS score FROM h GROUP BY id ORDER BY score DESC, id LIMIT 40
+""")
+def merged_search(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("score"), "o_orderstatus", "o_orderpriority")
+    hits = [o.where("o_orderstatus = 'F'").select("id", "score"), o.where("o_orderpriority = '1-URGENT'").select("id", (F.col("score") * 1.5).alias("score"))]
+    return op.merged_hits(hits, "score", "id", 40)
+
+
+@query("SELECT p_partkey, '<mark>' || p_name || '</mark> &lt;b&gt; &amp;' AS headline, p_brand || '||' || p_size AS key FROM part")
+def safe_headlines(spark, sf_dir):
+    shown = text.safe_headline(F.concat(F.lit("<mark>"), "p_name", F.lit("</mark> <b> &")))
+    return read(spark, sf_dir, "part").select("p_partkey", shown.alias("headline"), notes.cite_key(F.col("p_brand"), F.lit(None), F.col("p_size")).alias("key"))
+
+
+@query(f"""
+WITH e AS (SELECT o_orderkey % 4 AS k, {STATUS} AS now, o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)), l AS (SELECT l_orderkey % 4 AS k, * FROM {LINEITEM} WHERE l_orderkey IN (SELECT o_orderkey FROM orders)),
+c AS (SELECT (SELECT count(*) FROM e WHERE k = 3) AS created, (SELECT count(*) FROM e WHERE k = 2 AND now <> 'introduced') AS changed, (SELECT count(*) FROM l WHERE k = 3 OR (k = 2 AND l_linenumber = 3)) AS versions, (SELECT count(*) FROM l WHERE k = 3 AND l_returnflag = 'R') AS amendments, (SELECT count(*) FROM l WHERE k >= 2) AS hearings)
+SELECT *, created + changed + versions + amendments + hearings AS events FROM c
+""")
+def reload_counters(spark, sf_dir):
+    """The counters of the reload that `reload_events` lists."""
+    return notes.ingest_counters(reload_events(spark, sf_dir))

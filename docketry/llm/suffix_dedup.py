@@ -29,6 +29,8 @@ from docketry.llm.suffix import Scratch, suffix_chunks
 SPAN, GRAM = 200, 32
 #: Contexts of one anchor beyond which a second anchor splits them.
 HOT = 20_000
+#: Bytes of contexts that are sorted together at least, where a partition has as many; anchors aren't parted.
+PART_BYTES = 2 << 20
 #: Odd multipliers of the gram hash.
 MIX = (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x9E3779B97F4A7C15)
 
@@ -183,33 +185,27 @@ def contexts_of(docs: DataFrame) -> DataFrame:
     return docs.mapInPandas(cut, "anchor bigint, id bigint, mark bigint, start bigint, bytes binary")
 
 
-def sorted_ranges(contexts: DataFrame) -> DataFrame:
+def sorted_ranges(contexts: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """Ranges from contexts dealt out by anchor: each partition is a shard, taken in parts that hold whole anchors."""
 
     def shard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        size = 0
+        held = None
         for batch in batches:
-            held.append(batch)
-            size += batch["bytes"].map(len).sum()
-            if size > PART_BYTES:
-                rows = pd.concat(held)
-                last = rows["anchor"].iloc[-1]
-                whole = rows["anchor"] != last
-                if whole.any():
-                    yield sort_shard(rows[whole].reset_index(drop=True)).astype({"id": "Int64"})
-                held = [rows[~whole]]
-                size = held[0]["bytes"].map(len).sum()
-        if held and sum(map(len, held)):
-            yield sort_shard(pd.concat(held).reset_index(drop=True)).astype({"id": "Int64"})
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            upto = np.append(0, np.cumsum(rows["bytes"].map(len).to_numpy(np.int64)))
+            anchor = rows["anchor"].to_numpy()
+            begins = np.flatnonzero(anchor[1:] != anchor[:-1]) + 1
+            at = 0
+            while len(cut := begins[(begins > at) & (upto[begins] - upto[at] >= part_bytes)]):
+                yield sort_shard(rows[at : cut[0]].reset_index(drop=True)).astype({"id": "Int64"})
+                at = int(cut[0])
+            held = rows[at:].reset_index(drop=True)
+        if held is not None and len(held):
+            yield sort_shard(held).astype({"id": "Int64"})
 
     return contexts.repartition("anchor").sortWithinPartitions("anchor").select(*PARTS).mapInPandas(shard, ROWS)
 
 
-#: Bytes of contexts that are sorted together at least, where a partition has as many.
-PART_BYTES = 8 << 20
-
-
 def split_ranges(contexts: DataFrame) -> DataFrame:
     """Ranges from contexts of hot anchors, split by second anchors. Equal ones are counted, and one of each is sorted."""
 

@@ -221,6 +221,29 @@ def test_trees_learn_and_walk_like_the_tree():
     assert quality.fit(x[:3], np.ones(3)).score(x).tolist() == [0.8] * len(x)
 
 
+def test_the_first_split_is_the_best_of_all(spark):
+    rnd = np.random.default_rng(7)
+    x = rnd.integers(0, 12, (300, 4)).astype(float)
+    y = (x[:, 2] + rnd.normal(size=300) > 6).astype(float)
+    model = quality.fit(x, y, trees=1, depth=1)
+    p = (y.sum() + 1) / (len(y) + 2)
+    grad, weight = y - p, np.full(len(y), p * (1 - p))
+    score = lambda on: grad[on].sum() ** 2 / (weight[on].sum() + quality.RIDGE)
+    gains = {(j, t): score(x[:, j] <= t) + score(x[:, j] > t) for j in range(4) for t in np.unique(x[:, j])[:-1]}
+    best = max(gains.values())
+    assert math.isclose(gains[model.feature[0], model.threshold[0]], best)
+    left = x[:, model.feature[0]] <= model.threshold[0]
+    for at, on in ((1, left), (2, ~left)):
+        assert math.isclose(model.value[at], quality.RATE * grad[on].sum() / (weight[on].sum() + quality.RIDGE))
+
+
+def test_statistics_of_texts():
+    names = ["bytes", "words", "upper", "lower", "digits", "blanks", "lines"]
+    got = dict(zip(names, quality.statistics("Aa bb bb 7\n."), strict=False))
+    assert got == pytest.approx({"bytes": np.log1p(12), "words": np.log1p(5), "upper": 1 / 12, "lower": 5 / 12, "digits": 1 / 12, "blanks": 3 / 12, "lines": 1 / 12})
+    assert quality.statistics(None) == quality.statistics("") and not any(quality.statistics("")) and len(quality.statistics("x y " * 50_000)) == len(quality.statistics(""))
+
+
 @pytest.fixture(scope="module")
 def labels(spark, rows):
     return spark.createDataFrame([(r[0], int((r[1] or "").count(" ") > 40), int("tax" in (r[1] or ""))) for r in rows if r[0] % 2 == 0] + [(None, 1, 1), (10**9, 0, 0)], "doc_id long, quality int, toxic int")

@@ -228,3 +228,12 @@ def diff_versions(sections: DataFrame, frm: str, to: str) -> DataFrame:
 def summary(diffs: DataFrame) -> DataFrame:
     """Totals for each bill; a renumbered section counts as changed."""
     return diffs.groupBy("bill_key").agg(F.sum("changed").alias("changed"), F.sum("inserted").alias("inserted"), F.sum("deleted").alias("deleted"), F.count_if(F.col("status") != "equal").alias("sections_changed"))
+
+
+def with_striking(sections: DataFrame, amendments: DataFrame) -> DataFrame:
+    """Sections of versions and, as further versions named by their drafter's number, of striking amendments.
+
+    `amendments` is like `sections`, with drafter_number and striking instead of version_code; others are left out.
+    """
+    own = amendments.where("striking").withColumn("version_code", F.concat(F.lit("AMD:"), "drafter_number"))
+    return sections.unionByName(own.select(*sections.columns))

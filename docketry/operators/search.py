@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docketry.functions import refs
 from docketry.functions.stem import STOP, stem, tokens
 from docketry.operators import relational as op
 
@@ -212,3 +213,57 @@ def suggest(docs: DataFrame, text: str, title: str, forms: str, size: int = 10,
 def number_forms(bill_type: str, number: int, labels: Sequence[str] = ()) -> list[str]:
     """Spellings under which a bill's number is looked for."""
     return list(dict.fromkeys([f"{bill_type} {number}", f"{bill_type}{number}", str(number), *labels, *(x.replace(" ", "") for x in labels)]))
+
+
+#: Most amendments and notes that are listed beside a bill.
+RELATED = {"amendment": 20, "note": 10}
+
+
+def asked(text: str, biennium: str) -> dict:
+    """What a search asks for: the reference at its start with its address, the text to search for and the filters.
+
+    A bill is a direct hit, and a filter where text follows it; a statute is a filter of its level; a session law is
+    searched for by its name. `search` tells whether text or filters are left to search by.
+    """
+    ref, rest = refs.parse(text, biennium)
+    out = {"ref": ref, "url": refs.url_for(ref) if ref else None, "text": rest if ref else text.strip(), "filters": {}}
+    match ref and ref["kind"]:
+        case "bill" if out["text"]:
+            out["filters"] = {"bill_key": refs.bill_key(ref["biennium"], ref["type"], ref["number"])}
+        case "rcw":
+            level = "section" if "section" in ref else "chapter" if "chapter" in ref else "title"
+            out["filters"] = {{"section": "rcw_cites", "chapter": "rcw_chapters", "title": "rcw_titles"}[level]: ref[level]}
+        case "session_law":
+            out["text"] = f"Chapter {ref['chapter']}, {ref['year']} Laws"
+    return out | {"search": bool(out["text"] or out["filters"]) or ref is None}
+
+
+def most_specific(cites: DataFrame, key: str, cite: str) -> DataFrame:
+    """Citations of each key without those that are a title or chapter of another one of it."""
+    parts = F.split(cite, "[.]")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "."))
+    broader = cites.where(F.size(parts) > 1).select(key, F.explode(above).alias(cite)).distinct()
+    return cites.join(broader, [key, cite], "left_anti")
+
+
+def related(bills: DataFrame, amendments: DataFrame, notes: DataFrame, statutes: DataFrame) -> DataFrame:
+    """(bill_key, kind, id, place) of what stands beside each bill: its latest amendments and notes, its companion, and
+    the statutes that it touches, the most specific alone."""
+
+    def latest(rows: DataFrame, kind: str) -> DataFrame:
+        best = op.collapse(rows.select("bill_key", F.col("id").cast("string").alias("id"), "date"), ["bill_key"], [F.col("date").desc_nulls_last(), F.col("id")], RELATED[kind], "place")
+        return best.select("bill_key", F.lit(kind).alias("kind"), "id", "place")
+
+    parts = [
+        latest(amendments, "amendment"),
+        latest(notes, "note"),
+        bills.where("companion IS NOT NULL").select("bill_key", F.lit("companion").alias("kind"), F.col("companion").alias("id"), F.lit(1).alias("place")),
+        op.running_occurrence(most_specific(statutes.select("bill_key", "cite").distinct(), "bill_key", "cite"), ["bill_key"], [op.dotted_key(F.col("cite")), F.col("cite")], "place").select("bill_key", F.lit("statute").alias("kind"), F.col("cite").alias("id"), "place"),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+def reindexed(index: DataFrame, events: DataFrame, rebuilt: DataFrame) -> DataFrame:
+    """An index in which the documents of all bills that events name are those of `rebuilt`, or none."""
+    named = events.select("bill_key").where("bill_key IS NOT NULL").distinct()
+    return index.join(named, "bill_key", "left_anti").unionByName(rebuilt.join(named, "bill_key", "left_semi"), allowMissingColumns=True)

@@ -529,3 +529,31 @@ SELECT *, created + changed + versions + amendments + hearings AS events FROM c
 def reload_counters(spark, sf_dir):
     """The counters of the reload that `reload_events` lists."""
     return notes.ingest_counters(reload_events(spark, sf_dir))
+
+
+LEVELLED = "CASE l_linenumber % 3 WHEN 0 THEN CAST(l_suppkey % 4 + 1 AS VARCHAR) WHEN 1 THEN (l_suppkey % 4 + 1) || '.' || l_partkey % 3 ELSE (l_suppkey % 4 + 1) || '.' || l_partkey % 3 || '.' || l_partkey % 50 END"
+
+
+@query(f"""
+WITH l AS (SELECT 'b' || l_orderkey % 200 AS bill_key, *, {LEVELLED} AS cite FROM {LINEITEM}), c AS (SELECT DISTINCT bill_key, cite FROM l),
+s AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM c AS d WHERE d.bill_key = c.bill_key AND starts_with(d.cite, c.cite || '.'))),
+a AS (SELECT bill_key, CAST(l_orderkey * 10 + l_linenumber AS VARCHAR) AS id, l_shipdate AS date, l_returnflag = 'R' AS amends FROM l)
+SELECT bill_key, 'amendment' AS kind, id, CAST(n AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY bill_key ORDER BY date DESC, id) AS n FROM a WHERE amends) WHERE n <= 20
+UNION ALL SELECT bill_key, 'note', id, CAST(n AS INTEGER) FROM (SELECT *, row_number() OVER (PARTITION BY bill_key ORDER BY date DESC, id) AS n FROM a WHERE NOT amends) WHERE n <= 10
+UNION ALL SELECT DISTINCT bill_key, 'companion', 'SB' || bill_key, 1 FROM l WHERE l_orderkey % 200 < 50
+UNION ALL SELECT bill_key, 'statute', cite, CAST(row_number() OVER (PARTITION BY bill_key ORDER BY array_to_string(list_transform(string_split(cite, '.'), lambda p: lpad(p, 6, '0')), '.'), cite) AS INTEGER) FROM s
+""")
+def related_items(spark, sf_dir):
+    """Lines as amendments, notes and statutes of two hundred bills."""
+    part = lambda n: F.when(n == 0, F.concat_ws(".", F.col("l_suppkey") % 4 + 1)).when(n == 1, F.concat_ws(".", F.col("l_suppkey") % 4 + 1, F.col("l_partkey") % 3)).otherwise(F.concat_ws(".", F.col("l_suppkey") % 4 + 1, F.col("l_partkey") % 3, F.col("l_partkey") % 50))
+    rows = lines(spark, sf_dir).select(F.concat(F.lit("b"), F.col("l_orderkey") % 200).alias("bill_key"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_shipdate").alias("date"), (F.col("l_returnflag") == "R").alias("amends"), part(F.col("l_linenumber") % 3).alias("cite"), (F.col("l_orderkey") % 200 < 50).alias("pair"))
+    companions = rows.select("bill_key", F.when(F.col("pair"), F.concat(F.lit("SB"), "bill_key")).alias("companion")).distinct()
+    return search.related(companions, rows.where("amends"), rows.where("NOT amends"), rows)
+
+
+@query("SELECT 'b' || l_orderkey AS bill_key, l_linenumber AS n, CASE WHEN l_orderkey % 4 = 1 THEN 'new' ELSE 'old' END AS body FROM {LINEITEM} WHERE l_orderkey % 4 <> 2".replace("{LINEITEM}", LINEITEM))
+def reindex_events(spark, sf_dir):
+    """Events name half of all bills; of those, the index is rebuilt for one half and lost for the other."""
+    index = lines(spark, sf_dir).select(F.concat(F.lit("b"), "l_orderkey").alias("bill_key"), F.col("l_linenumber").alias("n"), F.lit("old").alias("body"), (F.col("l_orderkey") % 4).alias("k"))
+    events = index.where("k IN (1, 2)").select("bill_key")
+    return search.reindexed(index.drop("k"), events, index.where("k IN (0, 1)").drop("k").withColumn("body", F.lit("new")))

@@ -176,3 +176,23 @@ def test_kinds_of_sections(spark, text, kind):
     from docketry.sources import documents
 
     assert documents.kind_of(text) == kind == spark.createDataFrame([(text,)], "t string").select(documents.kind_column(F.col("t"))).first()[0]
+
+
+@pytest.mark.parametrize("text,filters,rest,searched", [("HB 1500", {}, "", False), ("SB 5900 salmon", {"bill_key": "WA:2025-26:SB5900"}, "SALMON", True), ("RCW 82.04.050", {"rcw_cites": "82.04.050"}, "", True), ("chapter 82.04 RCW", {"rcw_chapters": "82.04"}, "", True), ("2019 c 7", {}, "Chapter 7, 2019 Laws", True), ("salmon", {}, "salmon", True)])
+def test_what_a_search_asks_for(text, filters, rest, searched):
+    from docketry.operators import search
+
+    got = search.asked(text, "2025-26")
+    assert (got["filters"], got["text"], got["search"]) == (filters, rest, searched)
+
+
+def test_striking_amendments_are_versions(spark):
+    sections = spark.createDataFrame([("b", "I", "one")], "bill_key string, version_code string, text string")
+    amendments = spark.createDataFrame([("b", "S4812.1", True, "two"), ("b", "S4813.1", False, "three")], "bill_key string, drafter_number string, striking boolean, text string")
+    assert {tuple(r) for r in diff.with_striking(sections, amendments).collect()} == {("b", "I", "one"), ("b", "AMD:S4812.1", "two")}
+
+
+def test_permission_fields_are_not_for_callers():
+    assert relational.without_forbidden({"q": 1}) == {"q": 1}
+    with pytest.raises(ValueError, match="visibility"):
+        relational.without_forbidden({"q": 1, "visibility": "public"})

@@ -14,8 +14,12 @@ from docketry.streaming import relay
 
 
 def scratch(spark) -> str:
-    """A new folder below the one that the cluster shares, or a local one where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='docketry-')}"
+    """A new folder below the one that driver and executors share; a local master may do without and gets one of its own."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = f"file://{tempfile.mkdtemp(prefix='docketry-')}"
     return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
 
 

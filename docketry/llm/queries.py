@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docketry.llm.bond import hard_negatives, relabelled
 from docketry.llm.common import table
 from docketry.llm.decontaminate import decontaminate_documents
 from docketry.llm.exact_dedup import exact_groups
@@ -13,6 +14,7 @@ from docketry.llm.licenses import oracle as license_oracle
 from docketry.llm.licenses import scan_documents
 from docketry.llm.mixing import mix_documents
 from docketry.llm.quality import score_documents as score_quality
+from docketry.llm.setsketch import near_sets
 from docketry.llm.sharding import shard_documents
 from docketry.llm.simhash import near_duplicates
 from docketry.llm.suffix_dedup import dedup_documents
@@ -61,8 +63,16 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_bond(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(relabelled(table(spark, sf_dir, "embeddings")))
+
+
+def op12_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_sets(table(spark, sf_dir, "documents"), shingle=4)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = [op1_suffix_dedup, op2_warc, op3_quality, op4_sharding, op5_exact_dedup, op6_licenses, op7_decontamination, op8_simhash, op9_toxicity, op10_mixing]
+    every = [op1_suffix_dedup, op2_warc, op3_quality, op4_sharding, op5_exact_dedup, op6_licenses, op7_decontamination, op8_simhash, op9_toxicity, op10_mixing, op11_bond, op12_setsketch]
     return {f.__name__: f for f in every}
 
 
@@ -118,6 +128,37 @@ k AS (SELECT rank, place, CAST(sum(greatest(0, least(size, budget - cum + size))
 SELECT o.doc_id, o.size, o.source_size, o.target, coalesce(k.taken, 0) AS taken FROM o LEFT JOIN k USING (rank, place)
 """
 
+OP11 = """
+WITH r AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 256)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM r a JOIN r b ON a.id % 100 = 0 AND a.id <> b.id),
+p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, positive_id, id AS negative_id, positive_score, score AS negative_score,
+       CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+OP12 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, ws[i : i + 3] AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 2))) AS i FROM d WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+l AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS same FROM g x JOIN g y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL) s
+  JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * same >= 80 * (p.n + q.n - same)),
+c AS (SELECT doc_id AS a, doc_id AS r FROM d UNION SELECT l.b, c.r FROM c JOIN l ON c.a = l.a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(r) AS component_id FROM c GROUP BY a) USING (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": warc_oracle(), "op5_exact_dedup": OP5, "op6_licenses": license_oracle(), "op7_decontamination": OP7, "op10_mixing": OP10}
+    return {"op2_warc": warc_oracle(), "op5_exact_dedup": OP5, "op6_licenses": license_oracle(), "op7_decontamination": OP7, "op10_mixing": OP10, "op11_bond": OP11, "op12_setsketch": OP12}

@@ -13,6 +13,7 @@ from docketry.llm.exact_dedup import exact_groups
 from docketry.llm.licenses import oracle as license_oracle
 from docketry.llm.licenses import scan_documents
 from docketry.llm.mixing import mix_documents
+from docketry.llm.prefix_trie import prefix_trie
 from docketry.llm.quality import score_documents as score_quality
 from docketry.llm.setsketch import near_sets
 from docketry.llm.sharding import shard_documents
@@ -71,8 +72,12 @@ def op12_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_sets(table(spark, sf_dir, "documents"), shingle=4)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = [op1_suffix_dedup, op2_warc, op3_quality, op4_sharding, op5_exact_dedup, op6_licenses, op7_decontamination, op8_simhash, op9_toxicity, op10_mixing, op11_bond, op12_setsketch]
+    every = [op1_suffix_dedup, op2_warc, op3_quality, op4_sharding, op5_exact_dedup, op6_licenses, op7_decontamination, op8_simhash, op9_toxicity, op10_mixing, op11_bond, op12_setsketch, op13_prefix_trie]
     return {f.__name__: f for f in every}
 
 
@@ -159,6 +164,30 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(r) AS component_id FROM c GROUP BY a) USING (doc_id)
 """
 
+OP13 = """
+WITH t AS (
+  SELECT conv_id AS c, {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS said,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS r
+  FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT c, list(said ORDER BY r) AS said FROM t GROUP BY c),
+h AS (
+  SELECT *, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: list_transform(range(8), lambda b: (ascii(x) >> b) & 1)))),
+                            lambda s, b: xor(s >> 1, 3988292384 * (xor(s, b) & 1))), CAST(4294967295 AS BIGINT)) % 9 AS h FROM k),
+b AS (SELECT h.c, list_concat(coalesce(p.said, [])[1 : h], h.said[h + 1 :]) AS said FROM h LEFT JOIN k p ON p.c = h.c - h.c % 5),
+x AS (SELECT c, said[1 : d] AS path, d, len(said) = d AS ends FROM (SELECT c, said, unnest(range(len(said) + 1)) AS d FROM b)),
+n AS (
+  SELECT path, d, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256,
+         CASE WHEN d > 0 THEN path[1 : d - 1] END AS up, CASE WHEN d > 0 THEN octet_length(encode(path[d].text)) ELSE 0 END AS bytes
+  FROM x GROUP BY path, d),
+g AS (SELECT up, count(*) AS n_children FROM n WHERE up IS NOT NULL GROUP BY up),
+m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN g ON n.path = g.up),
+s AS (
+  SELECT top, CAST(sum((n_children = 0)::INT) AS BIGINT) AS n_leaves, CAST(sum((n_convs - 1) * bytes) AS BIGINT) AS saved_tokens
+  FROM (SELECT *, path[1 : unnest(range(d + 1))] AS top FROM m) GROUP BY top)
+SELECT m.conv_id, m.d AS depth, u.conv_id AS parent_conv_id, m.n_convs, m.n_children, s.n_leaves, s.saved_tokens, m.ends_sha256
+FROM m JOIN s ON s.top = m.path LEFT JOIN n u ON u.path = m.up
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": warc_oracle(), "op5_exact_dedup": OP5, "op6_licenses": license_oracle(), "op7_decontamination": OP7, "op10_mixing": OP10, "op11_bond": OP11, "op12_setsketch": OP12}
+    return {"op2_warc": warc_oracle(), "op5_exact_dedup": OP5, "op6_licenses": license_oracle(), "op7_decontamination": OP7, "op10_mixing": OP10, "op11_bond": OP11, "op12_setsketch": OP12, "op13_prefix_trie": OP13}

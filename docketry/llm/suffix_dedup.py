@@ -8,7 +8,7 @@ one context, the bytes that their strings cover. A shard sorts the suffixes of i
 induction (see `suffix`); starts whose common prefix with a neighbour reaches SPAN, or whose context comes twice,
 repeat. Where an anchor has more contexts than HOT, a second anchor, the least hash but for the first, splits each into
 smaller ones, and equal ones are counted first, so that one of each is sorted. What is sorted together may be larger
-than memory.
+than memory. Equal texts are one text with a count.
 """
 
 from __future__ import annotations
@@ -123,7 +123,7 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sort_shard(rows: pd.DataFrame, span: int = SPAN) -> pd.DataFrame:
-    """(id, mark, a, b): ranges of bytes to remove, from the contexts (id, mark, start, bytes) of one shard."""
+    """(doc, a, b): ranges of bytes to remove, from the contexts (doc, start, bytes) of one shard."""
     digest = [hashlib.blake2b(c, digest_size=16).digest() for c in rows["bytes"]]
     which, _ = pd.factorize(pd.Series(digest))
     first = np.flatnonzero(~pd.Series(digest).duplicated())
@@ -140,49 +140,45 @@ def sort_shard(rows: pd.DataFrame, span: int = SPAN) -> pd.DataFrame:
             out_a.append(a + start)
             out_b.append(b + start + span - 1)
     k = np.concatenate(out_row) if out_row else np.zeros(0, np.int64)
-    return pd.DataFrame({"id": rows["id"].to_numpy()[k], "mark": rows["mark"].to_numpy()[k], "a": np.concatenate([np.zeros(0, np.int64), *out_a]), "b": np.concatenate([np.zeros(0, np.int64), *out_b])})
+    return pd.DataFrame({"doc": rows["doc"].to_numpy()[k], "a": np.concatenate([np.zeros(0, np.int64), *out_a]), "b": np.concatenate([np.zeros(0, np.int64), *out_b])})
 
 
-ROWS = "id bigint, mark bigint, a bigint, b bigint"
-PARTS = ["anchor", "id", "mark", "start", "bytes"]
+ROWS = "doc binary, a bigint, b bigint"
+PARTS = ["anchor", "doc", "start", "bytes"]
 
 
 def anchor_rows(docs: DataFrame) -> DataFrame:
-    """(anchor, id, mark, start) of every run of starts of every text; twice where the anchor comes twice in it."""
+    """(anchor, doc, start, twice) of every run of starts of every text (doc, text), and whether the anchor comes twice near it."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts: list[tuple] = []
-            for id_, mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                h, first, _, twice = anchors(text.as_py().encode())
-                times = 1 + twice
-                parts.append((h.repeat(times), id_, mark, first.repeat(times)))
+            parts = [anchors(text.as_py().encode()) for text in batch.column(1)]
             sizes = [len(p[0]) for p in parts]
-            ids = pa.array([p[1] for p in parts], pa.int64()).take(pa.array(np.repeat(np.arange(len(parts)), sizes)))
-            marks = np.repeat(np.array([p[2] for p in parts], np.int64), sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *(p[0] for p in parts)])), ids, pa.array(marks), pa.array(np.concatenate([np.zeros(0, np.int64), *(p[3] for p in parts)]))], names=["anchor", "id", "mark", "start"])
+            each = pa.array(np.repeat(np.arange(len(parts)), sizes))
+            joined = lambda i, kind: pa.array(np.concatenate([np.zeros(0, kind), *(p[i] for p in parts)]))
+            yield pa.RecordBatch.from_arrays([joined(0, np.int64), batch.column(0).take(each), joined(1, np.int64), joined(3, bool)], names=["anchor", "doc", "start", "twice"])
 
-    return docs.mapInArrow(found, "anchor bigint, id bigint, mark bigint, start bigint")
+    return docs.mapInArrow(found, "anchor bigint, doc binary, start bigint, twice boolean")
 
 
 def contexts_of(docs: DataFrame) -> DataFrame:
-    """(anchor, id, mark, start, bytes) from (id, mark, text, picks), picks being the first starts of repeated anchors."""
+    """(anchor, doc, start, bytes) from (doc, text, picks), picks being the first starts of repeated anchors."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out: list[tuple] = []
-            for id_, mark, text, picks in zip(batch["id"], batch["mark"], batch["text"], batch["picks"], strict=True):
+            for doc, text, picks in zip(batch["doc"], batch["text"], batch["picks"], strict=True):
                 raw = text.encode()
                 h, first, n, _ = anchors(raw)
                 for i in np.flatnonzero(np.isin(first, picks)).tolist():
                     a = int(first[i])
-                    out.append((int(h[i]), id_, mark, a, raw[a : a + int(n[i]) + SPAN - 1]))
+                    out.append((int(h[i]), doc, a, raw[a : a + int(n[i]) + SPAN - 1]))
                 if len(out) > 20_000:
-                    yield pd.DataFrame(out, columns=PARTS).astype({"id": "Int64"})
+                    yield pd.DataFrame(out, columns=PARTS)
                     out = []
-            yield pd.DataFrame(out, columns=PARTS).astype({"id": "Int64"})
+            yield pd.DataFrame(out, columns=PARTS)
 
-    return docs.mapInPandas(cut, "anchor bigint, id bigint, mark bigint, start bigint, bytes binary")
+    return docs.mapInPandas(cut, "anchor bigint, doc binary, start bigint, bytes binary")
 
 
 def sorted_ranges(contexts: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
@@ -197,11 +193,11 @@ def sorted_ranges(contexts: DataFrame, part_bytes: int = PART_BYTES) -> DataFram
             begins = np.flatnonzero(anchor[1:] != anchor[:-1]) + 1
             at = 0
             while len(cut := begins[(begins > at) & (upto[begins] - upto[at] >= part_bytes)]):
-                yield sort_shard(rows[at : cut[0]].reset_index(drop=True)).astype({"id": "Int64"})
+                yield sort_shard(rows[at : cut[0]].reset_index(drop=True))
                 at = int(cut[0])
             held = rows[at:].reset_index(drop=True)
         if held is not None and len(held):
-            yield sort_shard(held).astype({"id": "Int64"})
+            yield sort_shard(held)
 
     return contexts.repartition("anchor").sortWithinPartitions("anchor").select(*PARTS).mapInPandas(shard, ROWS)
 
@@ -212,37 +208,35 @@ def split_ranges(contexts: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for anchor, id_, mark, start, raw in zip(batch["anchor"], batch["id"], batch["mark"], batch["start"], batch["bytes"], strict=True):
+            for anchor, doc, start, raw in zip(batch["anchor"], batch["doc"], batch["start"], batch["bytes"], strict=True):
                 for pair, first, n in zip(*(x.tolist() for x in second_anchors(raw, anchor)), strict=True):
                     part = raw[first : first + n + SPAN - 1]
-                    out.append((pair, id_, mark, start + first, part, hashlib.blake2b(part, digest_size=16).digest()))
+                    out.append((pair, doc, start + first, part, hashlib.blake2b(part, digest_size=16).digest()))
                 if len(out) > 20_000:
-                    yield pd.DataFrame(out, columns=[*PARTS, "digest"]).astype({"id": "Int64"})
+                    yield pd.DataFrame(out, columns=[*PARTS, "digest"])
                     out = []
-            yield pd.DataFrame(out, columns=[*PARTS, "digest"]).astype({"id": "Int64"})
+            yield pd.DataFrame(out, columns=[*PARTS, "digest"])
 
-    own = stored(contexts.mapInPandas(cut, "anchor bigint, id bigint, mark bigint, start bigint, bytes binary, digest binary"))
+    own = stored(contexts.mapInPandas(cut, "anchor bigint, doc binary, start bigint, bytes binary, digest binary"))
     counted = stored(own.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("n"), F.first("bytes").alias("bytes")))
-    copies = counted.where("n > 1").select("digest", F.array(F.struct(F.lit(0).cast("long").alias("a"), F.octet_length("bytes").cast("long").alias("b"))).alias("ranges"))
-    # One of each is told by a number that stands for its digest.
-    single = counted.withColumn("id", F.xxhash64("digest")).withColumn("mark", F.xxhash64(F.lit(1), "digest"))
-    sorted_ = sorted_ranges(single.select("anchor", "id", "mark", F.lit(0).cast("long").alias("start"), "bytes"))
-    found = sorted_.groupBy("id", "mark").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
-    found = single.where("n = 1").select("digest", "id", "mark").join(found, ["id", "mark"]).select("digest", "ranges")
-    ranges = stored(copies.unionByName(found))
-    every = own.select("id", "mark", "start", "digest").join(ranges, "digest").select("id", "mark", "start", F.explode("ranges").alias("r"))
-    return every.select("id", "mark", (F.col("start") + F.col("r.a")).alias("a"), (F.col("start") + F.col("r.b")).alias("b"))
+    copies = counted.where("n > 1").select("digest", F.lit(0).cast("long").alias("from"), F.octet_length("bytes").cast("long").alias("to"))
+    # One of each stands for its digest.
+    found = sorted_ranges(counted.select("anchor", F.col("digest").alias("doc"), F.lit(0).cast("long").alias("start"), "bytes"))
+    found = found.join(counted.where("n = 1").select(F.col("digest").alias("doc")), "doc", "left_semi")
+    ranges = stored(copies.unionByName(found.select(F.col("doc").alias("digest"), F.col("a").alias("from"), F.col("b").alias("to"))))
+    every = own.select("doc", "start", "digest").join(ranges, "digest")
+    return every.select("doc", (F.col("start") + F.col("from")).alias("a"), (F.col("start") + F.col("to")).alias("b"))
 
 
 def removed(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) from (id, text, ranges): the ranges' union is cut out."""
+    """(doc, n_removed, n_spans, kept_sha256, spans) from (doc, text, ranges): the ranges' union is cut out."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for text, ranges in zip(batch["text"], batch["ranges"], strict=True):
                 raw, spans = text.encode(), []
-                for r in sorted((r["a"], r["b"]) for r in ranges) if ranges is not None else []:
+                for r in sorted((r["a"], r["b"]) for r in ranges):
                     if spans and r[0] <= spans[-1][1]:
                         spans[-1][1] = max(spans[-1][1], r[1])
                     else:
@@ -252,38 +246,63 @@ def removed(docs: DataFrame) -> DataFrame:
                     kept.update(raw[at:a])
                     at = b
                 kept.update(raw[at:])
-                rows.append((len(raw), sum(b - a for a, b in spans), len(spans), kept.hexdigest(), [{"a": a, "b": b} for a, b in spans]))
-            out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
-            out.insert(0, "doc_id", batch["id"].astype("Int64").to_numpy())
+                rows.append((sum(b - a for a, b in spans), len(spans), kept.hexdigest(), [{"a": a, "b": b} for a, b in spans]))
+            out = pd.DataFrame(rows, columns=["n_removed", "n_spans", "kept_sha256", "spans"])
+            out.insert(0, "doc", batch["doc"].to_numpy())
             yield out
 
-    return docs.mapInPandas(cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<a:bigint,b:bigint>>")
+    return docs.mapInPandas(cut, "doc binary, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<a:bigint,b:bigint>>")
+
+
+def one_of_each(rows: DataFrame, some: DataFrame) -> DataFrame:
+    """One row (doc, text) and the columns of `some` for each of its texts, a table (doc, keep, same, ...).
+
+    The row of id `keep` stays. Texts are dealt out again only where `same` rows repeat that id as well.
+    """
+    named = some.withColumnRenamed("doc", "_doc")
+    kept = rows.join(named, (F.col("doc") == F.col("_doc")) & F.col("id").eqNullSafe(F.col("keep"))).drop("_doc", "id", "keep")
+    return kept.where("same = 1").unionByName(kept.where("same > 1").dropDuplicates(["doc"])).drop("same")
 
 
 def repeated_spans(docs: DataFrame, text: str = "text", row_id: str = "doc_id", hot: int = HOT) -> DataFrame:
     """One row per document: (doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans), spans as byte ranges.
 
     Every byte under a string of SPAN bytes that also starts elsewhere goes; strings are judged on the input. Null
-    text is empty. Rows that repeat are copies of each other. Null ids are kept as they are. Columns beyond id and
-    text aren't read. Empty in, empty out.
+    text is empty. Equal texts, with one id or many or none, are counted and looked at once: all that two or more rows
+    have goes, if it is SPAN bytes long. Null ids are kept as they are. Columns beyond id and text aren't read. Empty
+    in, empty out.
     """
     rows = docs.select(F.col(row_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.select("id", F.xxhash64("text").alias("mark"), "text")
-    found = stored(anchor_rows(rows))
-    often = stored(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))
+    rows = rows.select("id", F.unhex(F.sha2(F.encode("text", "UTF-8"), 256)).alias("doc"), "text")
+    slim = stored(rows.select("id", "doc", F.octet_length("text").cast("long").alias("n_bytes")))
+    own = slim.groupBy("doc", "id", "n_bytes").agg(F.count(F.lit(1)).alias("same"))
+    own = own.groupBy("doc", "n_bytes").agg(F.sum("same").alias("n"), F.min(F.struct(F.col("id").isNull().alias("last"), "id", "same")).alias("first"))
+    own = stored(own.select("doc", "n_bytes", "n", F.col("first.id").alias("keep"), F.col("first.same").alias("same")))
+
+    found = stored(anchor_rows(rows.select("doc", "text")))
+    # An anchor of one run, in however many copies of one text, needs no sorting.
+    place = F.xxhash64("doc", "start")
+    often = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("one"), F.max(place).alias("other"), F.max("twice").alias("twice"))
+    often = stored(often.where("one <> other OR twice").select("anchor", "n"))
 
     def contexts(some: DataFrame) -> DataFrame:
-        picks = found.join(some.select("anchor"), "anchor").groupBy("id", "mark").agg(F.collect_set("start").alias("picks"))
-        picks = picks.select(F.col("id").alias("_id"), F.col("mark").alias("_mark"), "picks")
-        return contexts_of(rows.join(picks, same).select("id", "mark", "text", "picks"))
+        picks = found.join(some.select("anchor"), "anchor").groupBy("doc").agg(F.collect_set("start").alias("picks"))
+        return contexts_of(one_of_each(rows, picks.join(own.select("doc", "keep", "same"), "doc")).select("doc", "text", "picks"))
 
     ranges = sorted_ranges(contexts(often.where(F.col("n") <= hot)))
     if not often.where(F.col("n") > hot).isEmpty():
         ranges = ranges.unionByName(split_ranges(contexts(often.where(F.col("n") > hot))))
-    ranges = ranges.groupBy("id", "mark").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
-    ranges = ranges.select(F.col("id").alias("_id"), F.col("mark").alias("_mark"), "ranges")
-    return removed(rows.join(ranges, same, "left").select("id", "text", "ranges"))
+    # Texts that come more than once go whole, and need no ranges.
+    alone = own.where("n = 1").select("doc", "keep", "same")
+    ranges = ranges.groupBy("doc").agg(F.collect_set(F.struct("a", "b")).alias("ranges")).join(alone, "doc")
+    cut = removed(one_of_each(rows, ranges).select("doc", "text", "ranges"))
+    none = F.array().cast("array<struct<a:bigint,b:bigint>>")
+    zero = F.lit(0).cast("long")
+    whole = own.where((F.col("n") > 1) & (F.col("n_bytes") >= SPAN)).select("doc", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"), F.array(F.struct(zero.alias("a"), F.col("n_bytes").alias("b"))).alias("spans"))
+    out = slim.join(stored(cut.unionByName(whole)), "doc", "left")
+    return out.select(
+        F.col("id").alias("doc_id"), "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", F.lower(F.hex("doc"))).alias("kept_sha256"), F.coalesce("spans", none).alias("spans")
+    )
 
 
 def dedup_documents(docs: DataFrame) -> DataFrame:

@@ -145,6 +145,23 @@ def test_repeated_rows_are_copies_and_empty_tables_give_nothing(spark, nothing):
     assert suffix_dedup.dedup_documents(nothing).collect() == []
 
 
+def test_many_equal_rows_are_looked_at_once(spark, monkeypatch):
+    """Rows that repeat id and text, or text alone, and one that shares a string with them."""
+    rnd = random.Random(8)
+    boiler = "".join(rnd.choice("abcdefgh ") for _ in range(3000))
+    own = "".join(rnd.choice("xyz ") for _ in range(400))
+    rows = [(None, boiler)] * 3000 + [(7, boiler)] * 50 + [(8, boiler), (9, own + boiler[500:900]), (10, own[:190])]
+    cut = []
+    ranges = suffix_dedup.sorted_ranges
+    monkeypatch.setattr(suffix_dedup, "sorted_ranges", lambda contexts: (cut.append(contexts.count()), ranges(contexts))[1])
+    got = suffix_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(got) == len(rows)
+    assert {(r["n_removed"], r["n_spans"]) for r in got if r["n_bytes"] == 3000} == {(3000, 1)}
+    (mixed,) = (r for r in got if r["doc_id"] == 9)
+    assert mixed["spans"][0].asDict() == {"a": 400, "b": 800} and mixed["kept_sha256"] == hashlib.sha256(own.encode()).hexdigest()
+    assert cut[0] < 100
+
+
 # 2
 
 

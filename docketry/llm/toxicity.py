@@ -4,7 +4,8 @@ Writers hide words by leetspeak, by spacing or separators between letters and by
 text, and every run of tokens of one letter each, spans a lattice: each character is a letter that it may stand for, a
 repeat of the letter before, a break between words, or nothing. A character trigram model, counted over all documents
 and mixed with the trigrams of the learned words, picks the path (Viterbi). What is scored, by a logistic model, is
-the restored text: the learned stems with which its words begin. Letters are a to z, accents are folded; others break
+the restored text: the learned stems with which its words begin, some of which count wherever they stand, and some where
+many words begin with them. Letters are a to z, accents are folded; others break
 words.
 """
 
@@ -12,7 +13,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 from docketry.llm.quality import is_held_out, labelled, one_of_each_id
 
 #: Labelled rows to learn from at most, least documents with a stem, least log-odds for it, and the evidence asked for
-#: beyond what chance gives.
-TRAINING_ROWS, LEAST_DOCS, LEAST_ODDS, CHANCE = 20_000, 3, 2.0, 4.0
+#: beyond what chance gives. A stem is dense in a text in which one of so many words begins with it; the number that tells most is learned.
+TRAINING_ROWS, LEAST_DOCS, LEAST_ODDS, CHANCE, DENSE = 20_000, 3, 2.0, 4.0, (200, 140, 90, 50)
 THRESHOLD = 0.7
 
 #: Letters that a character may stand for.
@@ -90,52 +91,74 @@ def folded(text: str | None) -> str:
     return low if low.isascii() else low.translate(FOLD)
 
 
-def learned_stems(train: DataFrame) -> dict[str, float]:
-    """Stems whose presence speaks for the label, with their smoothed log-odds: all that pass the limits above.
+def stems_of(train: DataFrame) -> DataFrame:
+    """(doc_id, y, word, dense) of every beginning, SHORTEST to LONGEST letters long, of a text's words, and how many of the densities it reaches there."""
+
+    def beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, y, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                low = folded(text)
+                counts: dict[str, int] = {}
+                for word in re.findall(f"[a-z]{{{SHORTEST},}}", low):
+                    for k in range(SHORTEST, min(LONGEST, len(word)) + 1):
+                        counts[word[:k]] = counts.get(word[:k], 0) + 1
+                n = len(low.split())
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(counts), pa.int64()), pa.array([y] * len(counts), pa.float64()), pa.array(list(counts), pa.string()), pa.array([sum(c * d >= n for d in DENSE) for c in counts.values()], pa.int32())], names=["doc_id", "y", "word", "dense"])
+
+    return train.select(F.col("doc_id").cast("long"), F.col("y").cast("double"), "text").mapInArrow(beginnings, "doc_id bigint, y double, word string, dense int")
+
+
+def learned_stems(train: DataFrame) -> tuple[dict[str, float], dict[str, tuple[float, int]]]:
+    """Stems whose presence, and stems whose density, speaks for the label: all that pass the limits above. With their
+    smoothed log-odds; dense ones with one in how many words they must be, too.
 
     An id's rows count together. Of stems that begin with one another, the one with most evidence is taken, the
-    longest of equal ones. As each stands in LEAST_DOCS of the labelled rows, these bound how many come to the driver.
+    longest of equal ones, and presence before density. As each stands in LEAST_DOCS of the labelled rows, these bound
+    how many come to the driver.
     """
-    low = F.translate(F.lower(F.coalesce("text", F.lit(""))), ACCENTED, PLAIN)
-    own = F.array_distinct(F.regexp_extract_all(low, F.lit(f"[a-z]{{{SHORTEST},}}"), F.lit(0)))
-    own = F.array_distinct(F.flatten(F.transform(own, lambda w: F.transform(F.sequence(F.lit(SHORTEST), F.least(F.length(w), F.lit(LONGEST))), lambda k: F.substr(w, F.lit(1), k)))))
     sizes = train.groupBy("doc_id").agg(F.max("y").alias("y")).agg(F.sum("y").alias("yes"), F.count(F.lit(1)).alias("all")).first()
     yes, no = sizes["yes"] or 0.0, sizes["all"] - (sizes["yes"] or 0.0)
-    by = train.select("doc_id", "y", F.explode(own).alias("word")).groupBy("word", "doc_id").agg(F.max("y").alias("y"))
-    by = by.groupBy("word").agg(F.sum("y").alias("yes"), F.sum(1 - F.col("y")).alias("no"))
+    by = stems_of(train).groupBy("word", "doc_id").agg(F.max("y").alias("y"), F.max("dense").alias("dense"))
+    by = by.select("y", "word", F.explode(F.sequence(F.lit(0), "dense")).alias("dense"))
+    by = by.groupBy("word", "dense").agg(F.sum("y").alias("yes"), F.sum(1 - F.col("y")).alias("no"))
     seen = by.count()
     odds = F.log((F.col("yes") + 0.5) / (yes + 1)) - F.log((F.col("no") + 0.5) / (no + 1))
     # Twice the log-likelihood gained over independence: of as many words as were seen, few reach the limit by chance.
     df, share = F.col("yes") + F.col("no"), yes / max(1.0, yes + no)
     part = lambda n, s: F.when(n > 0, n * F.log(n / (df * s))).otherwise(0.0)
     gain = 2 * (part(F.col("yes"), share) + part(F.col("no"), 1 - share)) if 0 < share < 1 else F.lit(0.0)
-    top = by.where((F.col("yes") >= LEAST_DOCS) & (odds >= LEAST_ODDS) & (gain >= 2 * math.log(max(1, seen)) + CHANCE)).select("word", odds.alias("odds"), gain.alias("gain"))
-    taken: dict[str, float] = {}
+    top = by.where((F.col("yes") >= LEAST_DOCS) & (odds >= LEAST_ODDS) & (gain >= 2 * math.log(max(1, seen)) + CHANCE)).select("word", "dense", odds.alias("odds"), gain.alias("gain"))
+    taken: tuple[dict[str, float], dict[str, tuple[float, int]]] = ({}, {})
     barred: set[str] = set()  # beginnings of stems that were taken
-    for r in top.orderBy(F.round("gain", 6).desc(), F.length("word").desc(), "word").collect():
+    for r in top.orderBy(F.round("gain", 6).desc(), F.length("word").desc(), "dense", "word").collect():
         begins = [r["word"][:k] for k in range(SHORTEST, len(r["word"]) + 1)]
-        if r["word"] not in barred and taken.keys().isdisjoint(begins):
-            taken[r["word"]] = r["odds"]
+        if r["word"] not in barred and taken[0].keys().isdisjoint(begins) and taken[1].keys().isdisjoint(begins):
+            if r["dense"]:
+                taken[1][r["word"]] = (r["odds"], DENSE[r["dense"] - 1])
+            else:
+                taken[0][r["word"]] = r["odds"]
             barred.update(begins)
     return taken
 
 
 @dataclass
 class Model:
-    """What executors need to score: learned stems, the character model's log-probabilities, logistic weights."""
+    """What executors need to score: learned stems, by presence and by density, the character model's log-probabilities, logistic weights."""
 
     words: dict[str, float]
     chars: np.ndarray
     weights: np.ndarray | None = None
     base: float = 0.0
+    dense: dict[str, tuple[float, int]] = field(default_factory=dict)
     known: dict = field(default_factory=dict)
 
     def __post_init__(self):
         self.cost = (-self.chars).reshape(N * N, N).tolist()
-        self.heads = {w[:SHORTEST] for w in self.words}
+        self.stems = self.words.keys() | self.dense.keys()
+        self.heads = {w[:SHORTEST] for w in self.stems}
 
     def __getstate__(self):
-        return {"words": self.words, "chars": self.chars, "weights": self.weights, "base": self.base, "known": {}}
+        return {"words": self.words, "chars": self.chars, "weights": self.weights, "base": self.base, "dense": self.dense, "known": {}}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -184,7 +207,7 @@ class Model:
 
     def stem(self, word: str) -> str | None:
         """The learned stem with which a word begins."""
-        return next((word[:k] for k in range(SHORTEST, min(LONGEST, len(word)) + 1) if word[:k] in self.words), None)
+        return next((word[:k] for k in range(SHORTEST, min(LONGEST, len(word)) + 1) if word[:k] in self.stems), None)
 
     def look(self, token: str) -> tuple | str:
         """Learned stems of a token as (stem, token without marks at its ends, word): those of its restored words, and
@@ -220,7 +243,7 @@ class Model:
         """How often each learned stem stands in the restored text; and the restored words as (token, word)."""
         found: dict[str, int] = {}
         restored: list[tuple[str, str]] = []
-        if not self.words:
+        if not self.stems:
             return found, restored
         tokens = folded(text).split()
         known = self.known
@@ -254,16 +277,23 @@ class Model:
         return found, restored
 
     def measures(self, text: str | None) -> list[float]:
+        """What the logistic model weighs: of stems by presence their odds, numbers and share, of dense ones their odds and share, and how many words were hidden."""
         found, restored = self.hits(text)
-        odds = [self.words[w] for w in found]
-        n = sum(found.values())
-        return [sum(odds), max(odds, default=0.0), math.log1p(n), float(len(found)), math.log1p(len(restored)), 100 * n / (1 + len(text or "") / 6)]
+        by_presence = {w: n for w, n in found.items() if w in self.words}
+        odds = [self.words[w] for w in by_presence]
+        n = sum(by_presence.values())
+        tokens = len(folded(text).split()) if len(by_presence) < len(found) else 0
+        dense = [self.dense[w][0] for w, c in found.items() if w in self.dense and c * self.dense[w][1] >= tokens]
+        return [
+            sum(odds), max(odds, default=0.0), math.log1p(n), float(len(odds)), math.log1p(len(restored)), 100 * n / (1 + len(text or "") / 6),
+            sum(dense), math.log1p(1000 * (sum(found.values()) - n) / max(1, tokens)),
+        ]
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.base + (x @ self.weights if self.weights is not None else np.zeros(len(x))), -30, 30)))
 
 
-def character_model(counts: np.ndarray, words: dict[str, float]) -> np.ndarray:
+def character_model(counts: np.ndarray, words: Iterable[str]) -> np.ndarray:
     """Log-probability of a letter after two: the corpus and the learned words in equal parts, each smoothed."""
     own = np.zeros((N, N, N))
     for w in words:
@@ -291,8 +321,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> tuple[np.ndar
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Model:
     """A model of `toxic`: words and weights from at most `rows` labelled rows, characters from all documents."""
     own = labelled(docs, labels, "toxic", 3, 1, rows)
-    words = learned_stems(own)
-    model = Model(words, character_model(trigram_counts(docs), words))
+    words, dense = learned_stems(own)
+    model = Model(words, character_model(trigram_counts(docs), words.keys() | dense.keys()), dense=dense)
 
     @F.pandas_udf("array<double>")
     def measured(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -302,7 +332,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Mode
     got = one_of_each_id(own.select("doc_id", "y", measured("text").alias("x"))).toPandas().sort_values("doc_id", kind="stable")
     y = got["y"].to_numpy(float)
     model.base = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
-    if words and len(np.unique(y)) == 2:
+    if model.stems and len(np.unique(y)) == 2:
         model.weights, model.base = logistic(np.array(got["x"].tolist(), float), y)
     return model
 

@@ -354,6 +354,37 @@ def test_an_id_that_repeats_teaches_once(spark):
         assert len((quality if label == "quality" else toxicity).score_documents(docs, labels).collect()) == 4
 
 
+def test_stems_and_score_agree_with_a_plain_version(spark):
+    """Presence tells one stem, density another; measures and score of plain texts recomputed word by word."""
+    rnd = random.Random(6)
+    filler = ["board", "water", "plans", "roads", "county", "taxes"]
+    rows = []
+    for i in range(240):
+        toxic = i % 4 == 0
+        words = [rnd.choice(filler) for _ in range(60)]
+        words[:1] = ["gloop"] if toxic and i % 8 == 0 else ["water"]
+        share = 6 if toxic and i % 8 else rnd.choice([0, 0, 1])
+        words[1 : 1 + share] = ["snarkles", "snarked", "snarkor"] * 2 if share > 1 else [rnd.choice(["snarkles", "snarked", "snarkor"]) for _ in range(share)]
+        rows.append((i, " ".join(words), int(toxic)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2], r[2]) for r in rows], "doc_id long, quality int, toxic int")
+    fitted = toxicity.train(docs, labels)
+    assert list(fitted.words) == ["gloop"] and list(fitted.dense) == ["snark"]
+    train = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    yes, no = sum(r[2] for r in train), sum(1 - r[2] for r in train)
+    odds = lambda holds: math.log((sum(r[2] for r in train if holds(r[1].split())) + 0.5) / (yes + 1)) - math.log((sum(1 - r[2] for r in train if holds(r[1].split())) + 0.5) / (no + 1))
+    limit = fitted.dense["snark"][1]
+    gloop, snark = odds(lambda w: "gloop" in w), odds(lambda w: sum(x.startswith("snark") for x in w) * limit >= len(w))
+    assert math.isclose(fitted.words["gloop"], gloop) and math.isclose(fitted.dense["snark"][0], snark)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_documents(docs, labels).collect()}
+    for i, text, _ in rows:
+        w = text.split()
+        g, k = w.count("gloop"), sum(x.startswith("snark") for x in w)
+        dense = k * limit >= len(w) and k > 0
+        x = [gloop * (g > 0), gloop * (g > 0), math.log1p(g), float(g > 0), 0.0, 100 * g / (1 + len(text) / 6), snark * dense, math.log1p(1000 * k / len(w))]
+        assert math.isclose(got[i], 1 / (1 + math.exp(-min(30, max(-30, fitted.base + float(np.dot(x, fitted.weights)))))), rel_tol=1e-6)
+
+
 def test_accuracy_on_rows_held_out(spark):
     sf = "/root/testdata/sf0.1"
     if not Path(sf).exists():
@@ -362,7 +393,7 @@ def test_accuracy_on_rows_held_out(spark):
     got = [r for r in toxicity.score_documents(docs, labels).where("held_out").join(labels, "doc_id").collect()]
     caught = [r["predicted"] for r in got if r["toxic"] == 1]
     clean = [1 - r["predicted"] for r in got if r["toxic"] == 0]
-    assert sum(clean) >= 0.99 * len(clean) and sum(caught) >= 0.85 * len(caught)
+    assert sum(clean) >= 0.99 * len(clean) and sum(caught) >= 0.9 * len(caught)
 
 
 # 4

@@ -35,15 +35,6 @@ def safe_headline(text: Column) -> Column:
     return F.replace(F.replace(escape_html(text), F.lit("&lt;mark&gt;"), F.lit("<mark>")), F.lit("&lt;/mark&gt;"), F.lit("</mark>"))
 
 
-CITE = r"\d+[A-Z]?(?:\.\d+[A-Z]?){0,2}"
-
-
-def cites_in(text: Column) -> Column:
-    """Statute citations after a keyword, as distinct strings in order of first mention; lists follow one keyword."""
-    lists = F.regexp_extract_all(text, F.lit(rf"(?:RCW|[Cc]hapters?|[Tt]itles?)\s+({CITE}(?:(?:,\s*|,?\s+and\s+|,?\s+or\s+){CITE})*)"), F.lit(1))
-    return F.array_distinct(F.flatten(F.transform(lists, lambda x: F.regexp_extract_all(x, F.lit(f"({CITE})"), F.lit(1)))))
-
-
 def cite_chapter(cite: Column) -> Column:
     """The chapter of a section's or chapter's citation; null for a title."""
     parts = F.split(cite, "[.]")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.functions import refs, text
+from docketry.functions import clauses, refs, text
 from docketry.operators import relational as op
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -271,15 +271,17 @@ _NO = "lpad(CAST(p_partkey % 900 + 100 AS VARCHAR), 3, '0')"
 
 
 @query(f"""
-SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN '82.04.' || {_NO} || ',82.08.' || {_NO} || ',9A.36.021,70A.15' WHEN 1 THEN p_size || ',9.94A' WHEN 2 THEN '77.15' ELSE '' END AS cites FROM part
+SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN '82.04.' || {_NO} || ',82.08.' || {_NO} || ',9A.36.021,70A.15' WHEN 1 THEN '9.94A,' || p_size WHEN 2 THEN '77.15' WHEN 5 THEN '9A.36.021,9.94A.030,70A.20,70A.25' ELSE '' END AS cites FROM part
 """)
 def cite_extract(spark, sf_dir):
     """Citations in sentences about every part: lists after one keyword, chapters, titles, and numbers that cite nothing."""
-    k, no = F.col("p_size") % 4, F.lpad((F.col("p_partkey") % 900 + 100).cast("string"), 3, "0")
+    k, no = F.col("p_size") % 6, F.lpad((F.col("p_partkey") % 900 + 100).cast("string"), 3, "0")
     one = F.concat(F.lit("amending RCW 82.04."), no, F.lit(", 82.08."), no, F.lit(" and 9A.36.021; reenacting chapter 70A.15 RCW of "), F.col("p_name"))
     two = F.concat(F.lit("relating to Title "), F.col("p_size"), F.lit(" RCW and chapter 9.94A RCW"))
-    sentence = F.when(k == 0, one).when(k == 1, two).when(k == 2, F.concat(F.col("p_name"), F.lit(" under chapter 77.15 RCW and RCW 77.15"))).otherwise(F.concat(F.lit("no citation 12.34.567 here: "), F.col("p_retailprice")))
-    return read(spark, sf_dir, "part").select("p_partkey", F.array_join(text.cites_in(sentence), ",").alias("cites"))
+    sentence = F.when(k == 0, one).when(k == 1, two).when(k == 2, F.concat(F.col("p_name"), F.lit(" under chapter 77.15 RCW and RCW 77.15"))).when(k == 3, F.concat(F.lit("no citation 12.34.567 here: "), F.col("p_retailprice")))
+    sentence = sentence.when(k == 4, F.concat(F.lit("amending chapter 5, 1996 Laws; Title 9 of the code, and chapter "), "p_size", F.lit(", Laws of 2023")))
+    sentence = sentence.otherwise("chapter 12, Laws of 2023; RCW 9A.36.021, and 9.94A.030; chapters 70A.20, and 70A.25 RCW; Title 9, RCW")
+    return read(spark, sf_dir, "part").select("p_partkey", F.array_join(clauses.cites_in(sentence), ",").alias("cites"))
 
 
 @query("""

@@ -2,27 +2,32 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from docketry.functions import text
+from docketry.functions import clauses, refs, text
 from docketry.operators import bills as bill_ops
 from docketry.operators import diff, estimate, notes, search, workflow
 from docketry.operators import relational as op
 from docketry.plans.catalogue import TOKENS, query, read
 from docketry.sources import bills, documents
 
-# Name parts of version files by line number, and the codes and sequences that they mean.
-SUFFIX = ["", "-S", "-S.E", "-S2", "-S2.E2", ".PL", "-S.SL"]
-CODES = "(VALUES (1, 'I', 0), (2, 'S', 10), (3, 'S.E', 11), (4, 'S2', 20), (5, 'S2.E2', 22), (6, 'PL', 100), (7, 'S.SL', 210)) AS codes(n, code, seq)"
+# Name parts of version files by line number, and the codes and sequences that they mean: seven by name, then substitutes
+# from the third on, then engrossed ones.
+VERSIONS = [("", "I", 0), ("-S", "S", 10), ("-S.E", "S.E", 11), ("-S2", "S2", 20), ("-S2.E2", "S2.E2", 22), (".PL", "PL", 100), ("-S.SL", "S.SL", 210)]
+VERSIONS += [(f"-S{n}", f"S{n}", 10 * n) for n in range(3, 10)] + [(f"-S{n}.E", f"S{n}.E", 10 * n + 1) for n in range(2, 10)]
+SUFFIX = [suffix for suffix, _, _ in VERSIONS]
+CODES = f"(VALUES {', '.join(f"({n}, '{code}', {seq})" for n, (_, code, seq) in enumerate(VERSIONS, 1))}) AS codes(n, code, seq)"
 
 
-# One line for each order and number; the tables repeat some.
-LINEITEM = "(SELECT l_orderkey, l_linenumber, min(l_shipdate) AS l_shipdate, min(l_shipdate) AS l_commitdate, min(l_quantity) AS l_quantity, min(l_returnflag) AS l_returnflag, min(l_linestatus) AS l_linestatus, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey, min(l_extendedprice) AS l_extendedprice, 'M' || min(l_suppkey) % 7 AS l_shipmode FROM lineitem GROUP BY ALL)"
+# The tables repeat numbers within an order: its lines are numbered anew, in the order of their numbers and values.
+ORDERED = ("l_linenumber", "l_shipdate", "l_quantity", "l_returnflag", "l_linestatus", "l_partkey", "l_suppkey", "l_extendedprice")
+LINEITEM = f"(SELECT * REPLACE (CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(ORDERED)}) AS INTEGER) AS l_linenumber), l_shipdate AS l_commitdate, 'M' || l_suppkey % 7 AS l_shipmode FROM lineitem)"
 
 
 def lines(spark, sf_dir):
-    least = [F.min(c).alias(c) for c in ("l_shipdate", "l_quantity", "l_returnflag", "l_linestatus", "l_partkey", "l_suppkey", "l_extendedprice")]
-    rows = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*least)
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", *ORDERED)
+    rows = rows.withColumn("l_linenumber", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*ORDERED)))
     return rows.withColumn("l_commitdate", F.col("l_shipdate")).withColumn("l_shipmode", F.concat(F.lit("M"), F.col("l_suppkey") % 7))
 
 
@@ -130,12 +135,12 @@ def reload_events(spark, sf_dir):
 
 @query(f"""
 SELECT bill_key, code AS version_code, CASE WHEN l_linenumber <= 2 THEN 'xml' WHEN l_linenumber <= 4 THEN 'htm' END AS format, CASE WHEN l_linenumber <= 4 THEN 'parsed' ELSE 'missing' END AS status
-FROM ({LINES}) JOIN {CODES} ON n = l_linenumber WHERE o_orderkey BETWEEN 1 AND 8999
+FROM ({LINES}) JOIN {CODES} ON n = l_linenumber
 """)
 def fetched_sources(spark, sf_dir):
     """Versions with their files: XML before HTM, else missing."""
-    versions = bills.versions_table(records(spark, sf_dir).where("bill_id BETWEEN 1 AND 8999"))
-    files = versions.select(F.element_at(F.split("link", "/"), -1).alias("file_name"), F.lit("<x/>").alias("content"), F.col("doc_id"))
+    versions = bills.versions_table(records(spark, sf_dir))
+    files = versions.select(F.element_at(F.split("link", "/"), -1).alias("file_name"), F.lit("<x/>").alias("content"), F.col("doc_id")).distinct()
     xml = files.where("doc_id <= 2").drop("doc_id")
     htm = files.where("doc_id <= 4").select(F.replace("file_name", F.lit(".xml"), F.lit(".htm")).alias("file_name"), "content")
     return bills.fetched(versions, xml, htm).select("bill_key", "version_code", "format", "status")
@@ -221,25 +226,25 @@ def notes_of_versions(spark, sf_dir):
 
 
 @query("""
-SELECT p_partkey, 'fish ' || p_size AS subject, CASE WHEN p_size % 4 = 0 THEN 'amending,adding-chapter,emergency' WHEN p_size % 4 = 1 THEN 'reenacting-and-amending,other' WHEN p_size % 4 = 2 THEN 'creating-new-sections,expiration' ELSE '' END AS kinds,
+SELECT p_partkey, 'fish ' || p_size AS subject, CASE WHEN p_size % 4 = 0 THEN 'amending,adding-chapter,emergency' WHEN p_size % 4 = 1 THEN 'reenacting-and-amending,amending,other' WHEN p_size % 4 = 2 THEN 'creating-new-sections,expiration' ELSE '' END AS kinds,
   CASE WHEN p_size % 4 < 2 THEN '77.' || lpad(CAST(p_size AS VARCHAR), 2, '0') || '.010' ELSE '' END AS cites FROM part
 """)
 def bill_titles(spark, sf_dir):
     k, cite = F.col("p_size") % 4, F.concat(F.lit("77."), F.lpad(F.col("p_size").cast("string"), 2, "0"), F.lit(".010"))
-    tail = F.when(k == 0, F.concat(F.lit("; amending RCW "), cite, F.lit("; adding a new chapter to Title 77 RCW; and declaring an emergency."))).when(k == 1, F.concat(F.lit(";  reenacting and amending RCW "), cite, F.lit("; and prescribing penalties."))).when(k == 2, "; creating new sections; and providing an expiration date.").otherwise(".")
+    tail = F.when(k == 0, F.concat(F.lit("; amending RCW "), cite, F.lit("; adding a new chapter to Title 77 RCW; and declaring an emergency."))).when(k == 1, F.concat(F.lit(";  reenacting and amending RCW "), cite, F.lit("; amending chapter 5, 1996 Laws; and prescribing penalties."))).when(k == 2, "; creating new sections; and providing an expiration date.").otherwise(".")
     title = F.concat(F.lit("AN ACT Relating to fish "), "p_size", tail)
-    got = read(spark, sf_dir, "part").select("p_partkey", bill_ops.title_actions(title).alias("t"))
+    got = read(spark, sf_dir, "part").select("p_partkey", clauses.title_actions(title).alias("t"))
     first = F.coalesce(F.get(F.get("t.actions", F.lit(0))["cites"], F.lit(0)), F.lit(""))
     return got.select("p_partkey", "t.subject", F.array_join(F.transform("t.actions", lambda a: a["kind"]), ",").alias("kinds"), first.alias("cites"))
 
 
-KIND_TEXT = ["This act is necessary for the immediate preservation of the public peace", "If any is held invalid, the remainder is not affected", "Section 1 expires on the last day of this act", "takes effect only if it is funded", "The sum of $5 is granted", "The legislature finds that", "Plain words"]
+KIND_TEXT = ["This act is necessary for the immediate preservation of the public peace", "If any is held invalid, the remainder is not affected", "Section 1 expires on the last day of this act", "takes effect only if it is funded", "The sum of $5 is granted", "The legislature finds that", "Expiring parts of these acts, iffy effects, sums"]
 
 
-@query(f"SELECT l_orderkey, l_linenumber, (['emergency', 'severability', 'expiration', 'contingent', 'appropriation', 'intent', 'new'])[l_linenumber] AS kind FROM {LINEITEM}")
+@query(f"SELECT l_orderkey, l_linenumber, (['emergency', 'severability', 'expiration', 'contingent', 'appropriation', 'intent', 'new'])[(l_linenumber - 1) % 7 + 1] AS kind FROM {LINEITEM}")
 def section_kinds(spark, sf_dir):
-    prose = F.concat(F.element_at(F.array(*map(F.lit, KIND_TEXT)), F.col("l_linenumber").cast("int")), F.lit(" "), F.col("l_shipmode"))
-    return lines(spark, sf_dir).select("l_orderkey", "l_linenumber", documents.kind_column(prose).alias("kind"))
+    prose = F.concat(F.element_at(F.array(*map(F.lit, KIND_TEXT)), (F.col("l_linenumber") - 1) % 7 + 1), F.lit(" "), F.col("l_shipmode"))
+    return lines(spark, sf_dir).select("l_orderkey", "l_linenumber", clauses.section_kind_column(prose).alias("kind"))
 
 
 AMOUNT = "(CASE l_linenumber % 4 WHEN 0 THEN -l_extendedprice WHEN 1 THEN l_extendedprice * 100 ELSE l_quantity END)"
@@ -557,3 +562,40 @@ def reindex_events(spark, sf_dir):
     index = lines(spark, sf_dir).select(F.concat(F.lit("b"), "l_orderkey").alias("bill_key"), F.col("l_linenumber").alias("n"), F.lit("old").alias("body"), (F.col("l_orderkey") % 4).alias("k"))
     events = index.where("k IN (1, 2)").select("bill_key")
     return search.reindexed(index.drop("k"), events, index.where("k IN (0, 1)").drop("k").withColumn("body", F.lit("new")))
+
+
+# Where what is heard is held, by line number, and the committee that it names.
+PLACES = [("House Committee on Ways & Means", "H", "Ways & Means"), ("senate  committee on Law", "S", "Law"), ("Joint Committee on Energy", None, "Energy"), ("House Committee on", None, "House Committee on"), (" Hearing Room 4 ", None, "Hearing Room 4")]
+
+
+@query(f"""
+SELECT l_orderkey, l_linenumber, [{", ".join("NULL" if c is None else f"'{c}'" for _, c, _ in PLACES)}][l_linenumber % 5 + 1] AS chamber, [{", ".join(f"'{c}'" for _, _, c in PLACES)}][l_linenumber % 5 + 1] AS committee,
+  CASE l_linenumber % 4 WHEN 0 THEN '2SHB ' || (l_orderkey % 900 + 1000) WHEN 1 THEN 'EHB ' || (l_orderkey % 900 + 1000) ELSE 'about (' || l_suppkey || ')' || CASE l_linenumber % 4 WHEN 3 THEN '' ELSE ' fish' END END AS label,
+  CASE l_linenumber % 4 WHEN 0 THEN 'Final' WHEN 1 THEN NULL WHEN 2 THEN 'Partial' END AS kind
+FROM {LINEITEM}
+""")
+def hearing_labels(spark, sf_dir):
+    """Committees of hearings, and labels of prior notes: of a bill's version, of a kind, of parentheses that say nothing."""
+    n = F.col("l_linenumber") % 4
+    number = (F.col("l_orderkey") % 900 + 1000).cast("string")
+    about = F.concat(F.lit("about ("), "l_suppkey", F.lit(")"))
+    told = F.when(n == 0, F.concat(number, F.lit(" 2S HB (FINAL)"))).when(n == 1, F.concat(F.lit("engrossed house bill "), number)).when(n == 2, F.concat(about, F.lit(" fish (partial) "))).otherwise(about)
+    rows = lines(spark, sf_dir).select("l_orderkey", "l_linenumber", bills.committee_of(F.element_at(F.array(*[F.lit(p) for p, _, _ in PLACES]), F.col("l_linenumber") % 5 + 1)).alias("c"), bills.note_label(told, "2025-26").alias("x"))
+    return rows.select("l_orderkey", "l_linenumber", "c.chamber", "c.committee", "x.label", "x.kind")
+
+
+@query(f"""
+WITH v AS (SELECT *, seq % 100 // 10 AS s, seq % 10 AS e FROM ({LINES}) JOIN {CODES} ON n = l_linenumber),
+w AS (SELECT *, CASE WHEN e > 1 THEN e || 'E' WHEN e = 1 THEN 'E' ELSE '' END AS ee, CASE WHEN s > 1 THEN s || 'S' WHEN s = 1 THEN 'S' ELSE '' END AS ss, CASE WHEN o_orderkey % 2 = 0 THEN 'HB' ELSE 'SJR' END AS t,
+  CASE seq // 100 WHEN 1 THEN 'PL' WHEN 2 THEN 'SL' ELSE '' END AS stage, CASE WHEN o_orderkey % 2 = 0 THEN 'House' ELSE 'Senate' END AS house FROM v)
+SELECT bill_key, code AS version_code, ee || ss || t || ' ' || o_orderkey || CASE WHEN stage = '' THEN '' ELSE ' (' || stage || ')' END AS short, concat_ws(' ', CAST(o_orderkey AS VARCHAR), nullif(ee, ''), nullif(ss, ''), t, nullif(stage, '')) AS listed,
+  CASE WHEN s > 0 THEN '-S' || CASE WHEN s > 1 THEN CAST(s AS VARCHAR) ELSE '' END ELSE '' END || CASE WHEN stage <> '' THEN '.' || stage WHEN e > 1 THEN '.E' || e WHEN e = 1 THEN '.E' ELSE '' END AS suffix,
+  CASE stage WHEN 'SL' THEN 'Session%20Laws/' || house WHEN 'PL' THEN house || '%20Passed%20Legislature' ELSE CASE WHEN t = 'HB' THEN 'House%20Bills' ELSE 'Senate%20Joint%20Resolutions' END END AS folder
+FROM w
+""")
+def version_labels(spark, sf_dir):
+    """Labels, listed numbers, file suffixes and folders of all versions."""
+    v = bills.versions_table(records(spark, sf_dir)).select("bill_key", "version_code")
+    parts = F.regexp_extract("bill_key", r"^WA:(.*):", 1), F.regexp_extract("bill_key", r":(\p{L}+)\d+$", 1), F.regexp_extract("bill_key", r"(\d+)$", 1).cast("int")
+    got = v.withColumn("x", refs.labels_column(parts[1], parts[2], F.col("version_code"), parts[0]))
+    return got.select("bill_key", "version_code", "x.short", "x.listed", "x.suffix", F.regexp_extract("x.url", r"/Xml/Bills/(.*)/", 1).alias("folder"))

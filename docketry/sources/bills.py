@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docketry.functions import refs
 from docketry.functions.text import biennium_column, pacific_to_utc
 from docketry.operators import relational as op
 
@@ -94,7 +95,7 @@ def hearings_table(bills: DataFrame) -> DataFrame:
     time = F.when(F.col("c.time").rlike(r"^\d{1,2}:\d{2}"), F.col("c.time")).otherwise("00:00")
     local = F.try_to_timestamp(F.concat_ws(" ", "c.date", time), F.lit("yyyy-MM-dd H:mm"))
     what = F.lower(F.coalesce("c.description", F.lit("")))
-    kind = F.when(what.contains("public hearing"), "public_hearing").when(what.contains("executive"), "executive_session").otherwise("other")
+    kind = F.when(what.contains("public hearing"), "public_hearing").when(what.contains("executive session") | what.contains("executive action"), "executive_session").otherwise("other")
     return rows.select(F.concat_ws(":", "bill_key", "c.event_hash").alias("id"), "bill_key", kind.alias("kind"), pacific_to_utc(local).alias("at"), F.col("c.location").alias("location"), F.lit(False).alias("cancelled"))
 
 
@@ -157,3 +158,28 @@ def fetched(versions: DataFrame, xml: DataFrame, htm: DataFrame) -> DataFrame:
     side = lambda df, ext: df.select(F.regexp_replace("file_name", rf"\.{ext}$", "").alias("_base"), F.col("content").alias(f"_{ext}"))
     v = v.join(side(xml, "xml"), "_base", "left").join(side(htm, "htm"), "_base", "left")
     return v.withColumn("content", F.coalesce("_xml", "_htm")).withColumn("format", F.when(F.col("_xml").isNotNull(), "xml").when(F.col("_htm").isNotNull(), "htm")).withColumn("status", F.when(F.col("content").isNull(), "missing").otherwise("parsed")).drop("_base", "_xml", "_htm")
+
+
+def committee_of(location: Column) -> Column:
+    """Struct (chamber, committee) of where a hearing is held: "House Committee on ..." names both, Joint ones have no chamber; else the place as it is."""
+    place = F.trim(location)
+    said = F.split(F.regexp_replace(place, r"\s+", " "), " ", 4)
+    formal = F.lower(F.get(said, F.lit(0))).isin("house", "senate", "joint") & (F.lower(F.get(said, F.lit(1))) == "committee") & (F.lower(F.get(said, F.lit(2))) == "on")
+    formal = F.coalesce(formal & (F.length(F.get(said, F.lit(3))) > 0), F.lit(False))
+    chamber = F.when(formal, F.try_element_at(F.create_map(F.lit("house"), F.lit("H"), F.lit("senate"), F.lit("S")), F.lower(F.get(said, F.lit(0)))))
+    return F.struct(chamber.alias("chamber"), F.when(formal, F.get(said, F.lit(3))).otherwise(place).alias("committee"))
+
+
+def note_label(description: Column, current_biennium: str) -> Column:
+    """Struct (label, kind, amendment) of a prior note's description: the bill's short label or else the description
+    before a closing "(Final)", "(Partial)" or "(Revised)", which is its kind, and the amendment that it is about."""
+    text = F.trim(description)
+    open_ = F.instr(F.reverse(text), F.lit("("))
+    last = F.initcap(F.substring_index(F.substr(text, F.length(text) - open_ + 2), ")", 1))
+    closes = F.coalesce(F.endswith(text, F.lit(")")) & (open_ > 0) & last.isin("Final", "Partial", "Revised"), F.lit(False))
+    head = F.when(closes, F.trim(F.substr(text, F.lit(1), F.length(text) - open_))).otherwise(text)
+    ref = refs.parse_column(head, current_biennium)
+    bill = ref["kind"] == "bill"
+    label = F.when(bill, refs.labels_column(ref["type"], ref["number"], F.coalesce(ref["version_code"], F.lit("I")), ref["biennium"])["short"]).otherwise(head)
+    after = F.element_at(F.transform(F.array(F.split(F.regexp_replace(head, r"\s+", " "), " ", 3)), lambda w: F.get(w, F.lit(2))), 1)
+    return F.struct(label.alias("label"), F.when(closes, last).alias("kind"), F.when(bill & ref["drafter_number"].isNotNull(), after).alias("amendment"))

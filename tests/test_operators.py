@@ -173,9 +173,9 @@ def test_a_failed_consumer_is_recorded(spark, tmp_path):
 def test_kinds_of_sections(spark, text, kind):
     from pyspark.sql import functions as F
 
-    from docketry.sources import documents
+    from docketry.functions import clauses
 
-    assert documents.kind_of(text) == kind == spark.createDataFrame([(text,)], "t string").select(documents.kind_column(F.col("t"))).first()[0]
+    assert clauses.section_kind(text) == kind == spark.createDataFrame([(text,)], "t string").select(clauses.section_kind_column(F.col("t"))).first()[0]
 
 
 @pytest.mark.parametrize("text,filters,rest,searched", [("HB 1500", {}, "", False), ("SB 5900 salmon", {"bill_key": "WA:2025-26:SB5900"}, "SALMON", True), ("RCW 82.04.050", {"rcw_cites": "82.04.050"}, "", True), ("chapter 82.04 RCW", {"rcw_chapters": "82.04"}, "", True), ("2019 c 7", {}, "Chapter 7, 2019 Laws", True), ("salmon", {}, "salmon", True)])

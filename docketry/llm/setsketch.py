@@ -83,12 +83,21 @@ def estimate(larger: np.ndarray, smaller: np.ndarray, n_a: np.ndarray, n_b: np.n
     return (low + high) / 2
 
 
-def may_be(larger: np.ndarray, smaller: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, similar: int) -> tuple[np.ndarray, np.ndarray]:
-    """Whether the likelihood doesn't rule the similarity in percent out, and the estimate."""
-    j = estimate(larger, smaller, n_a, n_b)
-    least = np.minimum(similar / 100, np.minimum(n_a / n_b, n_b / n_a))
-    short = 2 * (log_likelihood(j, larger, smaller, n_a, n_b) - log_likelihood(least, larger, smaller, n_a, n_b))
-    return (j >= similar / 100) | (short <= SIGMAS**2), j
+def may_be(larger: np.ndarray, smaller: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, similar: int) -> np.ndarray:
+    """Whether the likelihood doesn't rule the similarity in percent out.
+
+    Where it still rises towards that similarity the estimate reaches it; only where it falls the estimate is sought.
+    """
+    of = lambda j, at: log_likelihood(j, larger[at], smaller[at], n_a[at], n_b[at])
+    every = np.arange(len(n_a))
+    asked = np.minimum(similar / 100, np.minimum(n_a / n_b, n_b / n_a))
+    there = of(asked, every)
+    out = there >= of(asked - 1e-6, every)
+    falls = np.flatnonzero(~out)
+    if len(falls):
+        best = of(estimate(larger[falls], smaller[falls], n_a[falls], n_b[falls]), falls)
+        out[falls] = 2 * (best - there[falls]) <= SIGMAS**2
+    return out
 
 
 def shingled(text: Column, n: int) -> Column:
@@ -148,8 +157,8 @@ def likely(pairs: DataFrame, nodes: DataFrame, similar: int) -> DataFrame:
         for batch in batches:
             one, two = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, REGISTERS) for i in (2, 3))
             n_a, n_b = (batch.column(i).to_numpy().astype(np.float64) for i in (4, 5))
-            keep, j = may_be((one > two).sum(1), (one < two).sum(1), n_a, n_b, similar)
-            keep = pa.array(keep)
+            larger, smaller = (one > two).sum(1), (one < two).sum(1)
+            keep, j = pa.array(may_be(larger, smaller, n_a, n_b, similar)), estimate(larger, smaller, n_a, n_b)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(j)], names=["a", "b", "j"]).filter(keep)
 
     side = lambda c: nodes.select(F.col("nid").alias(c), F.col("sketch").alias(f"s{c}"), F.col("n").alias(f"n{c}"))
@@ -252,7 +261,7 @@ def likely_here(cell: pa.Table, similar: int) -> Iterator[tuple[int, np.ndarray,
             y = y[(sketch[x] != sketch[y]).sum(1) <= most_apart(1 - similar / 100)]
         if len(y):
             larger, smaller = (sketch[x] > sketch[y]).sum(1), (sketch[x] < sketch[y]).sum(1)
-            y = y[may_be(larger, smaller, np.full(len(y), n[x]), n[y], similar)[0]]
+            y = y[may_be(larger, smaller, np.full(len(y), n[x]), n[y], similar)]
         if len(y):
             yield x, y, root[y]
 

@@ -28,7 +28,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from docketry.plans import domain, legislative  # noqa: F401  each registers its own
+    from docketry.plans import domain, legislative, searching  # noqa: F401  each registers its own
 
     return dict(_QUERIES)
 

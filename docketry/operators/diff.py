@@ -5,7 +5,9 @@ All sections of a pair of versions are aligned together; those of equal hashes a
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Hashable, Iterator, Sequence
 
 import pandas as pd
@@ -18,54 +20,68 @@ PAIRED, SIMILAR, SAME_PLACE = 0.4, 0.6, 0.3
 Op = tuple[str, int, int]
 
 
-def myers(a: Sequence[Hashable], b: Sequence[Hashable]) -> list[Op]:
-    """Shortest edit script as (equal | delete | insert, start, end) runs; starts are in `a` for equal and delete.
+def _middle(a: Sequence[int], b: Sequence[int]) -> tuple[int, int, int, int]:
+    """Ends (x, y, u, v) of a run of equal symbols, perhaps empty, on a shortest way from the starts to the ends of a and b.
 
-    The furthest point of every diagonal is kept for each number of edits, and the way back reads the script.
+    Furthest points are followed from both sides at once, two rows of diagonals in all; where they first meet, half of
+    the edits lie on either side.
     """
-    front = 0
-    while front < min(len(a), len(b)) and a[front] == b[front]:
-        front += 1
-    back = 0
-    while back < min(len(a), len(b)) - front and a[-1 - back] == b[-1 - back]:
-        back += 1
-    x_end, y_end = len(a) - front - back, len(b) - front - back
-    mid_a, mid_b = a[front : front + x_end], b[front : front + y_end]
-    reach, trail = {1: 0}, []
-    for d in range(x_end + y_end + 1):
-        trail.append(dict(reach))
+    n, m = len(a), len(b)
+    delta, most = n - m, (n + m + 1) // 2
+    size = 2 * most + 2
+    fore, back = [0] * size, [0] * size
+    for d in range(most + 1):
         for k in range(-d, d + 1, 2):
-            x = reach[k + 1] if k == -d or (k != d and reach.get(k - 1, -1) < reach.get(k + 1, -1)) else reach[k - 1] + 1
-            y = x - k
-            while x < x_end and y < y_end and mid_a[x] == mid_b[y]:
+            x = fore[k + 1] if k == -d or (k != d and fore[k - 1] < fore[k + 1]) else fore[k - 1] + 1
+            x0 = x
+            y0 = y = x - k
+            while x < n and y < m and a[x] == b[y]:
                 x, y = x + 1, y + 1
-            reach[k] = x
-            if x >= x_end and y >= y_end:
-                break
-        else:
-            continue
-        break
+            fore[k] = x
+            if delta % 2 and -(d - 1) <= delta - k <= d - 1 and x + back[delta - k] >= n:
+                return x0, y0, x, y
+        for k in range(-d, d + 1, 2):
+            x = back[k + 1] if k == -d or (k != d and back[k - 1] < back[k + 1]) else back[k - 1] + 1
+            x0 = x
+            y0 = y = x - k
+            while x < n and y < m and a[n - 1 - x] == b[m - 1 - y]:
+                x, y = x + 1, y + 1
+            back[k] = x
+            if not delta % 2 and -d <= delta - k <= d and x + fore[delta - k] >= n:
+                return n - x, m - y, n - x0, m - y0
+    raise AssertionError("the ways meet")
+
+
+def myers(a: Sequence[Hashable], b: Sequence[Hashable]) -> list[Op]:
+    """Shortest edit script as (equal | delete | insert, start, end) runs; starts are in `a` for equal and delete.
+
+    Symbols are numbers first. The problem is halved at a middle run again and again, so memory grows with the length
+    alone; symbols that only one side has are settled before.
+    """
+    numbers: dict[Hashable, int] = {}
+    one, two = ([numbers.setdefault(x, len(numbers)) for x in side] for side in (a, b))
     steps: list[tuple[str, int, int]] = []
-    x, y = x_end, y_end
-    for d in range(len(trail) - 1, -1, -1):
-        reach, k = trail[d], x - y
-        down = k == -d or (k != d and reach.get(k - 1, -1) < reach.get(k + 1, -1))
-        px = reach[k + 1] if down else reach[k - 1]
-        py = px - (k + 1 if down else k - 1)
-        while x > px + (not down) and y > py + down and d >= 0 and x > 0 and y > 0 and mid_a[x - 1] == mid_b[y - 1]:
-            x, y = x - 1, y - 1
-            steps.append(("equal", x, y))
-        if d == 0:
-            while x > 0 and y > 0:
-                x, y = x - 1, y - 1
-                steps.append(("equal", x, y))
-            break
-        x, y = px, py
-        steps.append(("insert", x, y) if down else ("delete", x, y))
-    every = [("equal", i, i) for i in range(front)]
-    every += [(m, x + front, y + front) for m, x, y in reversed(steps)]
-    every += [("equal", len(a) - back + i, len(b) - back + i) for i in range(back)]
-    return _grouped(every)
+    todo: list[tuple] = [(0, len(one), 0, len(two), None)]
+    while todo:
+        i, j, u, v, run = todo.pop()
+        if run is not None:
+            steps += [("equal", i + t, u + t) for t in range(run)]
+            continue
+        front = 0
+        while i < j and u < v and one[i] == two[u]:
+            steps.append(("equal", i, u))
+            i, u = i + 1, u + 1
+        while j - front > i and v - front > u and one[j - 1 - front] == two[v - 1 - front]:
+            front += 1
+        if front:
+            j, v = j - front, v - front
+            todo.append((j, j + front, v, v + front, front))
+        if i == j or u == v or not set(one[i:j]) & set(two[u:v]):
+            steps += [("delete", x, u) for x in range(i, j)] + [("insert", j, y) for y in range(u, v)]
+            continue
+        x, y, to_x, to_y = _middle(one[i:j], two[u:v])
+        todo += [(i + to_x, j, u + to_y, v, None), (i + x, i + to_x, u + y, u + to_y, to_x - x), (i, i + x, u, u + y, None)]
+    return _grouped(steps)
 
 
 def _grouped(steps: list[tuple[str, int, int]]) -> list[Op]:
@@ -103,6 +119,57 @@ def spans(before: str, after: str) -> list[tuple[str, str]]:
     return [(mark, "".join((b if mark == "insert" else a)[i:j])) for mark, i, j in myers(a, b)]
 
 
+def paired_spans(old: str, new: str) -> list[tuple[str, str]] | None:
+    """The word diff of two lines that share enough characters to be one changed line; else none.
+
+    Words that both have, in whatever order, bound what can be shared, and most unlike lines aren't diffed at all.
+    """
+    least = PAIRED * max(len(old), len(new), 1)
+    common = Counter(words_of(old)) & Counter(words_of(new))
+    if sum(len(w) * n for w, n in common.items()) < least:
+        return None
+    parts = spans(old, new)
+    return parts if sum(len(t) for m, t in parts if m == "equal") >= least else None
+
+
+#: Ways to read a bill: with its own marks of amended text, or as it would read in law.
+MODES = ("as-printed", "effect")
+
+
+def reading_lines(paragraphs: Sequence[dict], mode: str = "as-printed") -> list[tuple]:
+    """Lines to align, as tuples of kind, depth and marked words, from paragraphs (depth, kind, label, label_mark, runs).
+
+    Runs are (t, text); `t` ins and del are the bill's own marks. As printed, a word differs from the same word with
+    another mark; in effect struck runs and labels aren't there and nothing is marked. White space between words is one
+    blank, whatever it was; lines without words are left out. Runs of a table's row are parted by " | ".
+    """
+    out = []
+    for p in paragraphs:
+        runs = [{"t": p.get("label_mark") or "text", "text": p["label"] + " "}] if p.get("label") else []
+        words: list[tuple[str, str]] = []
+        for r in [*runs, *p["runs"]]:
+            mark = r["t"] if r["t"] in ("ins", "del") else ""
+            if mode == "effect" and mark == "del":
+                continue
+            for piece in re.findall(r"\s+|\S+", r["text"]):
+                if not piece.isspace():
+                    words.append(("" if mode == "effect" else mark, piece))
+                elif words and words[-1][1] != " ":
+                    words.append(("", " "))
+        while words and words[-1][1] == " ":
+            words.pop()
+        if words:
+            out.append((p.get("kind", "text"), p.get("depth", 1), tuple(words)))
+    return out
+
+
+def diff_reading(before: Sequence[dict], after: Sequence[dict], mode: str = "as-printed") -> list[tuple[str, str]]:
+    """(mark, line) of two sections' paragraphs in a mode: lines that differ in kind, depth or marks are different lines."""
+    a, b = reading_lines(before, mode), reading_lines(after, mode)
+    text = lambda line: "".join(w for _, w in line[2])
+    return [(mark, text(x)) for mark, i, j in myers(a, b) for x in (b if mark == "insert" else a)[i:j]]
+
+
 def diff_lines(before: Sequence[str], after: Sequence[str]) -> list[dict]:
     """Lines with marks equal, changed, delete or insert; the i-th deleted line of a run is paired with the i-th inserted."""
     a, b = [" ".join(x.split()) for x in before], [" ".join(x.split()) for x in after]
@@ -119,9 +186,8 @@ def diff_lines(before: Sequence[str], after: Sequence[str]) -> list[dict]:
             continue
         removed, added = a[i:j], b[ops[at + 1][1] : ops[at + 1][2]]
         for old, new in zip(removed, added, strict=False):
-            parts = spans(old, new)
-            shared = sum(len(t) for m, t in parts if m == "equal")
-            out += [{"mark": "changed", "spans": parts}] if shared >= PAIRED * max(len(old), len(new), 1) else [whole("delete", old), whole("insert", new)]
+            parts = paired_spans(old, new)
+            out += [{"mark": "changed", "spans": parts}] if parts else [whole("delete", old), whole("insert", new)]
         n = min(len(removed), len(added))
         out += [whole("delete", x) for x in removed[n:]] + [whole("insert", x) for x in added[n:]]
         at += 2
@@ -138,6 +204,25 @@ def similarity(a: str, b: str) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
+def similar_sections(before: dict[int, str], after: dict[int, str]) -> list[tuple[int, int, float]]:
+    """(place after, place before, similarity) of all pairs that reach SIMILAR, the most similar first.
+
+    Such a pair shares one of the rarest words of either side, as many as may be missing and one more, so only pairs
+    that do are compared.
+    """
+    sets = {(side, k): frozenset(t.lower().split()) for side, texts in enumerate((before, after)) for k, t in texts.items()}
+    often = Counter(w for words in sets.values() for w in words)
+    prefix = lambda words: sorted(words, key=lambda w: (often[w], w))[: len(words) - math.ceil(SIMILAR * len(words)) + 1]
+    holders: dict[str, list[int]] = {}
+    for (side, k), words in sets.items():
+        if side == 0:
+            for w in prefix(words) or [""]:
+                holders.setdefault(w, []).append(k)
+    met = {(j, i) for (side, j), words in sets.items() if side == 1 for w in prefix(words) or [""] for i in holders.get(w, [])}
+    scored = [(j, i, similarity(after[j], before[i])) for j, i in met]
+    return sorted((x for x in scored if x[2] >= SIMILAR), key=lambda x: (-x[2], x[0], x[1]))
+
+
 def align_sections(before: Sequence[dict], after: Sequence[dict]) -> list[tuple[int | None, int | None]]:
     """(place before, place after) of each section, in reading order of the later version with removed ones before
     what followed them. Sections match by identity, then by similarity, best first, then by number and kind."""
@@ -156,13 +241,14 @@ def align_sections(before: Sequence[dict], after: Sequence[dict]) -> list[tuple[
         if (i := first.get(s["identity"])) is not None:
             join(j, i)
     free = lambda: [i for i in range(len(before)) if i not in used]
-    scores = {(j, i): similarity(after[j]["text"], before[i]["text"]) for j in range(len(after)) if j not in match for i in free()}
-    for j, i in sorted(scores, key=lambda p: -scores[p]):
-        if scores[j, i] >= SIMILAR:
-            join(j, i)
+    for j, i, _ in similar_sections({i: before[i]["text"] for i in free()}, {j: after[j]["text"] for j in range(len(after)) if j not in match}):
+        join(j, i)
+    by_place: dict[tuple, list[int]] = {}
+    for i in free():
+        by_place.setdefault((before[i]["num"], before[i]["kind"]), []).append(i)
     for j in range(len(after)):
         if j not in match:
-            same = (i for i in free() if before[i]["num"] == after[j]["num"] and before[i]["kind"] == after[j]["kind"] and scores[j, i] >= SAME_PLACE)
+            same = (i for i in by_place.get((after[j]["num"], after[j]["kind"]), []) if i not in used and similarity(after[j]["text"], before[i]["text"]) >= SAME_PLACE)
             if (i := next(same, None)) is not None:
                 join(j, i)
     out: list[tuple[int | None, int | None]] = []
@@ -192,15 +278,28 @@ def diff_sections(before: Sequence[dict], after: Sequence[dict]) -> list[dict]:
 LINES = "n_equal int, n_changed int, n_inserted int, n_deleted int"
 
 
+#: What ends a line.
+ENDS = "\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x85\u2028\u2029]"
+
+
 def line_diff_columns(df: DataFrame, before: str, after: str) -> DataFrame:
-    """All columns plus counts of the line diff of two texts."""
+    """All columns plus counts of the line diff of two texts; null is an empty text. Equal texts are settled without Python."""
 
     @F.pandas_udf(LINES)
     def counted(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        rows = [[sum(x["mark"] == m for x in lines) for m in ("equal", "changed", "insert", "delete")] for lines in (diff_lines((p or "").splitlines(), (q or "").splitlines()) for p, q in zip(a, b, strict=True))]
+        none = [0, 0, 0, 0]
+        marks = [None if p is None else Counter(x["mark"] for x in diff_lines(p.splitlines(), q.splitlines())) for p, q in zip(a, b, strict=True)]
+        rows = [none if m is None else [m["equal"], m["changed"], m["insert"], m["delete"]] for m in marks]
         return pd.DataFrame(rows, columns=["n_equal", "n_changed", "n_inserted", "n_deleted"], dtype="int32")
 
-    return df.withColumn("_d", counted(before, after)).select(*df.columns, "_d.*")
+    one, two = F.coalesce(before, F.lit("")), F.coalesce(after, F.lit(""))
+    same = one == two
+    pieces = F.split(one, ENDS)
+    number = F.size(pieces) - F.when(F.element_at(pieces, -1) == "", 1).otherwise(0)
+    zero = F.lit(0)
+    own = F.struct(number.cast("int").alias("n_equal"), zero.alias("n_changed"), zero.alias("n_inserted"), zero.alias("n_deleted"))
+    rows = df.withColumn("_same", same).withColumn("_d", counted(F.when(~same, one), F.when(~same, two)))
+    return rows.withColumn("_d", F.when(F.col("_same"), own).otherwise(F.col("_d"))).select(*df.columns, "_d.*")
 
 
 def diff_versions(sections: DataFrame, frm: str, to: str) -> DataFrame:

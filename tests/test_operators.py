@@ -27,6 +27,48 @@ def test_edit_scripts_are_shortest_and_rebuild_both_sides():
         assert diff.rebuilt(lines, "insert") == ["".join(b), "y"] and diff.rebuilt(lines, "delete") == ["".join(a), "x"]
 
 
+def test_long_scripts_need_little_memory():
+    import tracemalloc
+
+    rnd = random.Random(5)
+    a = [rnd.randint(0, 50) for _ in range(1500)]
+    b = [x if rnd.random() < 0.7 else rnd.randint(0, 50) for x in a]
+    tracemalloc.start()
+    ops = diff.myers(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3_000_000 and sum(j - i for m, i, j in ops if m == "equal") == longest(a, b)
+
+
+def test_lines_that_are_not_paired_are_not_diffed():
+    rnd = random.Random(6)
+    for _ in range(300):
+        old, new = (" ".join(rnd.choice("tax fee levy of the a".split()) for _ in range(rnd.randint(0, 12))) for _ in range(2))
+        parts = diff.spans(old, new)
+        near = sum(len(t) for m, t in parts if m == "equal") >= diff.PAIRED * max(len(old), len(new), 1)
+        assert diff.paired_spans(old, new) == (parts if near else None)
+
+
+def test_modes_of_reading():
+    run = lambda t, text: {"t": t, "text": text}
+    before = [{"runs": [run("text", "The tax is  "), run("del", "((five)) "), run("ins", "six"), run("text", " dollars.")]}, {"label": "(1)", "depth": 2, "runs": [run("text", "Same")]}, {"runs": [run("del", "gone")]}]
+    after = [{"runs": [run("text", "The tax is six dollars.")]}, {"label": "(1)", "label_mark": "ins", "depth": 2, "runs": [run("text", "Same ")]}]
+    assert diff.diff_reading(before, after, "effect") == [("equal", "The tax is six dollars."), ("equal", "(1) Same")]
+    printed = diff.diff_reading(before, after)
+    assert [m for m, _ in printed] == ["delete", "delete", "delete", "insert", "insert"] and printed[0][1] == "The tax is ((five)) six dollars." and printed[2][1] == "gone"
+    assert diff.diff_reading(before, before) == [("equal", t) for t in ("The tax is ((five)) six dollars.", "(1) Same", "gone")]
+
+
+def test_similar_sections_are_all_found():
+    rnd = random.Random(7)
+    words = "a b c d e f g h".split()
+    texts = lambda n: {i: " ".join(rnd.choice(words) for _ in range(rnd.randint(0, 8))) for i in range(n)}
+    for _ in range(60):
+        x, y = texts(7), texts(6)
+        want = {(j, i) for j in y for i in x if diff.similarity(y[j], x[i]) >= diff.SIMILAR}
+        assert {(j, i) for j, i, _ in diff.similar_sections(x, y)} == want
+
+
 def section(identity, num, text, kind="new"):
     return {"identity": identity, "num": num, "kind": kind, "text": text, "text_hash": text}
 

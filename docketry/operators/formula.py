@@ -7,10 +7,11 @@ text; `compile_column` turns a tree of numbers without wildcards into one Spark
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from typing import Any
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.functions.text import fixed
@@ -233,3 +234,46 @@ def recompute(cells: list[dict[str, Any]], values: dict[str, Value]) -> tuple[li
             if c.get("slot"):
                 now[key_of(c["slot"])] = v
     return out, now
+
+
+RECOMPUTED = "note string, place int, slot string, value double, shown string"
+
+
+def recompute_notes(cells: DataFrame, values: DataFrame) -> DataFrame:
+    """(note, place, slot, value, shown) of every computed cell, from cells (note, place, expr, slot) and values (note, path, value).
+
+    A note's cells are taken in the order of their places, twice, so that an earlier cell sees what a later one yields
+    for a slot. Expressions are parsed once in a task however many notes have them; one that can't be parsed yields
+    nothing. Numbers and truth values are values, all results are shown as text. Of values that repeat a path the
+    largest counts; notes without cells, and null notes, have no rows.
+    """
+    own = cells.where("note is not null").groupBy(F.col("note").cast("string").alias("note")).agg(F.array_sort(F.collect_list(F.struct("place", "expr", "slot"))).alias("cells"))
+    known = values.where("path is not null").groupBy(F.col("note").cast("string").alias("note"), "path").agg(F.max("value").alias("value"))
+    known = known.groupBy("note").agg(F.map_from_entries(F.collect_list(F.struct("path", "value"))).alias("values"))
+    names = ["note", "place", "slot", "value", "shown"]
+    shape = pa.schema([("note", pa.string()), ("place", pa.int32()), ("slot", pa.string()), ("value", pa.float64()), ("shown", pa.string())])
+
+    def tree(expr: str, parsed: dict[str, tuple]) -> tuple:
+        if expr not in parsed:
+            try:
+                parsed[expr] = parse(expr)
+            except ValueError:
+                parsed[expr] = ("const", None)
+        return parsed[expr]
+
+    def computed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parsed: dict[str, tuple] = {}
+        for batch in batches:
+            out = []
+            for note, own, known in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                now: dict[str, Value] = {key_of(k): v for k, v in known or []}
+                for last in (False, True):
+                    for c in own:
+                        v = evaluate(tree(c["expr"] or "", parsed), now)
+                        if c["slot"]:
+                            now[key_of(c["slot"])] = v
+                        if last:
+                            out.append((note, c["place"], c["slot"], float(v) if isinstance(v, bool | int | float) else None, _shown(v)))
+            yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in out], schema=shape)
+
+    return own.join(known, "note", "left").select("note", "cells", "values").mapInArrow(computed, RECOMPUTED)

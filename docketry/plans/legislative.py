@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from docketry.functions import clauses, refs, text
 from docketry.operators import bills as bill_ops
-from docketry.operators import diff, estimate, notes, search, workflow
+from docketry.operators import diff, estimate, formula, notes, search, workflow
 from docketry.operators import relational as op
 from docketry.plans.catalogue import TOKENS, query, read
+from docketry.plans.domain import scratch
 from docketry.sources import bills, documents
 
 # Name parts of version files by line number, and the codes and sequences that they mean: seven by name, then substitutes
@@ -31,6 +32,13 @@ def lines(spark, sf_dir):
     return rows.withColumn("l_commitdate", F.col("l_shipdate")).withColumn("l_shipmode", F.concat(F.lit("M"), F.col("l_suppkey") % 7))
 
 
+def held(df):
+    """The rows written and read again, for what several results read."""
+    at = scratch(df.sparkSession)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def day(column: str):
     return F.date_format(column, "yyyy-MM-dd")
 
@@ -55,7 +63,7 @@ def records(spark, sf_dir):
         F.array(*[F.struct(F.lit(i).cast("long").alias("people_id"), F.concat(F.lit(f"P{i}-"), F.col("o_custkey")).alias("name"), F.lit(f"L{i}").alias("last_name"), F.lit(3 - i).alias("sponsor_order")) for i in (1, 2)]).alias("sponsors"),
         F.when(key % 3 == 0, F.array(F.struct(F.lit("Crossfiled").alias("type"), F.concat(F.lit("SB"), key).alias("sast_bill_number")))).otherwise(F.array(F.struct(F.lit("Other").alias("type"), F.lit("x").alias("sast_bill_number")))).alias("sasts"),
         each(lambda s: F.struct(s["n"].cast("long").alias("doc_id"), s["ship"].alias("date"), F.lit("x").alias("type"), s["link"].alias("state_link"), F.md5(s["link"]).alias("text_hash"))).alias("texts"),
-        each(lambda s: F.struct((s["l_orderkey"] * 10 + s["n"]).alias("amendment_id"), (s["l_linestatus"] == "F").cast("int").alias("adopted"), F.concat(F.lit("to "), s["l_shipmode"]).alias("title"), F.when(s["n"] % 2 == 0, "adopted 01/02/2025").alias("description"), F.concat(F.lit("http://x/1500 AMH WM H"), F.lpad((s["l_orderkey"] % 9999).cast("string"), 4, "0"), F.lit(".1.pdf")).alias("state_link"), s["ship"].alias("date"), F.lit("h").alias("amendment_hash")), lambda s: s["l_returnflag"] == "R").alias("amendments"),
+        each(lambda s: F.struct((s["l_orderkey"] * 100 + s["n"]).alias("amendment_id"), (s["l_linestatus"] == "F").cast("int").alias("adopted"), F.concat(F.lit("to "), s["l_shipmode"]).alias("title"), F.when(s["n"] % 2 == 0, "adopted 01/02/2025").alias("description"), F.concat(F.lit("http://x/1500 AMH WM H"), F.lpad((s["l_orderkey"] % 9999).cast("string"), 4, "0"), F.lit(".1.pdf")).alias("state_link"), s["ship"].alias("date"), F.lit("h").alias("amendment_hash")), lambda s: s["l_returnflag"] == "R").alias("amendments"),
         each(lambda s: F.struct(F.concat(F.lit("s"), s["n"]).cast("string").alias("supplement_id"), s["ship"].alias("date"), F.when(s["n"] % 2 == 1, "Fiscal Note").otherwise("Analysis").alias("type"), s["l_shipmode"].alias("description"), s["link"].alias("state_link"))).alias("supplements"),
         each(lambda s: F.struct(s["n"].cast("string").alias("event_hash"), s["ship"].alias("date"), F.when(s["n"] % 2 == 1, "8:30").otherwise("tba").alias("time"), s["l_shipmode"].alias("location"), F.when(s["n"] % 3 == 0, "Public Hearing on it").when(s["n"] % 3 == 1, "Executive action").alias("description"))).alias("calendar"),
     )
@@ -89,7 +97,7 @@ def ingest_versions(spark, sf_dir):
     return bills.versions_table(records(spark, sf_dir)).select("bill_key", "version_code", "seq", "doc_id", "date", "status")
 
 
-@query(f"SELECT bill_key, l_orderkey * 10 + l_linenumber AS amendment_id, 'to ' || l_shipmode AS title, 'H' || lpad(CAST(l_orderkey % 9999 AS VARCHAR), 4, '0') || '.1' AS drafter_number, 'H' AS chamber, l_linestatus = 'F' OR l_linenumber % 2 = 0 AS adopted, CAST(l_shipdate AS DATE) AS date FROM ({LINES}) WHERE l_returnflag = 'R'")
+@query(f"SELECT bill_key, l_orderkey * 100 + l_linenumber AS amendment_id, 'to ' || l_shipmode AS title, 'H' || lpad(CAST(l_orderkey % 9999 AS VARCHAR), 4, '0') || '.1' AS drafter_number, 'H' AS chamber, l_linestatus = 'F' OR l_linenumber % 2 = 0 AS adopted, CAST(l_shipdate AS DATE) AS date FROM ({LINES}) WHERE l_returnflag = 'R'")
 def ingest_amendments(spark, sf_dir):
     return bills.amendments_table(records(spark, sf_dir)).select("bill_key", "amendment_id", "title", "drafter_number", "chamber", "adopted", "date")
 
@@ -119,7 +127,7 @@ ver AS (SELECT l.*, code FROM l JOIN {CODES} ON n = l_linenumber)
 SELECT 'bill.created' AS type, bill_key, bill_key AS subject FROM b WHERE o_orderkey % 4 = 3
 UNION ALL SELECT 'bill.status_changed', bill_key, now FROM b WHERE o_orderkey % 4 = 2 AND now <> 'introduced'
 UNION ALL SELECT 'bill.version_added', bill_key, code FROM ver WHERE o_orderkey % 4 = 3 OR (o_orderkey % 4 = 2 AND l_linenumber = 3)
-UNION ALL SELECT 'bill.amendment_added', bill_key, CAST(l_orderkey * 10 + l_linenumber AS VARCHAR) FROM l WHERE o_orderkey % 4 = 3 AND l_returnflag = 'R'
+UNION ALL SELECT 'bill.amendment_added', bill_key, CAST(l_orderkey * 100 + l_linenumber AS VARCHAR) FROM l WHERE o_orderkey % 4 = 3 AND l_returnflag = 'R'
 UNION ALL SELECT 'hearing.scheduled', bill_key, bill_key || ':' || l_linenumber FROM l WHERE o_orderkey % 4 = 3
 UNION ALL SELECT 'hearing.rescheduled', bill_key, bill_key || ':' || l_linenumber FROM l WHERE o_orderkey % 4 = 2
 """)
@@ -130,7 +138,9 @@ def reload_events(spark, sf_dir):
     earlier = now.where(k < 3).withColumn("change_hash", F.when(k > 0, "old").otherwise(F.col("change_hash"))).withColumn("status", F.when(k == 2, 1).otherwise(F.col("status")))
     moved = F.transform("calendar", lambda c: c.withField("location", F.lit("before")).withField("date", F.lit("1990-01-01")))
     earlier = earlier.withColumn("calendar", F.when(k == 2, moved).otherwise(F.col("calendar"))).withColumn("texts", F.when(k == 2, F.filter("texts", lambda t: t["doc_id"] != 3)).otherwise(F.col("texts")))
-    return bills.reload(now, bills.tables(earlier), F.to_timestamp_ntz(F.lit("2100-01-01 00:00:00")))[1]
+    earlier = held(earlier)
+    stored = {name: held(df) for name, df in bills.tables(earlier).items()}
+    return bills.reload(held(now), stored, F.to_timestamp_ntz(F.lit("2100-01-01 00:00:00")), held)[1]
 
 
 @query(f"""
@@ -172,7 +182,7 @@ def delete_unless(spark, sf_dir):
     return op.delete_where(read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), F.col("s_nationkey") < 10, keep, "s_nationkey")
 
 
-@query(f"SELECT l_orderkey, l_linenumber, l_quantity FROM {LINEITEM} WHERE l_orderkey % 4 <> 0 OR l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 1) UNION ALL SELECT l_orderkey, l_linenumber, l_quantity + 1 FROM {LINEITEM} WHERE l_orderkey % 4 = 0 AND l_linenumber = 1")
+@query(f"SELECT l_orderkey, l_linenumber, l_quantity FROM {LINEITEM} WHERE l_orderkey % 4 <> 0 OR l_orderkey NOT IN (SELECT l_orderkey FROM {LINEITEM} WHERE l_linenumber = 1) UNION ALL SELECT l_orderkey, l_linenumber, l_quantity + 1 FROM {LINEITEM} WHERE l_orderkey % 4 = 0 AND l_linenumber = 1")
 def reindex_groups(spark, sf_dir):
     index = lines(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_quantity")
     fresh = index.where("l_orderkey % 4 = 0 AND l_linenumber = 1").withColumn("l_quantity", F.col("l_quantity") + 1)
@@ -307,7 +317,7 @@ UNION ALL SELECT CAST(k AS VARCHAR), 'object', 2, q, q + 5 FROM q WHERE k % 4 =
 UNION ALL SELECT CAST(k AS VARCHAR), 'staff', 2, 1, 2 FROM q WHERE k % 5 = 0 GROUP BY k
 """)
 def note_rules(spark, sf_dir):
-    facts = estimate.fact_table(note_docs(spark, sf_dir), "id", "doc")
+    facts = held(estimate.fact_table(note_docs(spark, sf_dir), "id", "doc"))
     parts = {"total": estimate.total_errors(facts), "object": estimate.object_errors(facts), "staff": estimate.staff_errors(facts)}
     out = [df.select("doc_id", F.lit(rule).alias("rule"), "fy", "stated", "summed") for rule, df in parts.items()]
     return out[0].unionByName(out[1]).unionByName(out[2])
@@ -325,8 +335,9 @@ def note_biennia(spark, sf_dir):
     return estimate.biennia(facts).select("doc_id", "part", "row_key", "bien", "value")
 
 
-@query(f"SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, CAST(l_linenumber AS VARCHAR) AS row_key, CAST(l_quantity AS DOUBLE) AS total FROM {LINEITEM}")
+@query(f"SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, CAST(l_linenumber AS VARCHAR) AS row_key, CAST(l_quantity AS DOUBLE) AS total FROM {LINEITEM} WHERE l_linenumber <= 10")
 def note_ten_years(spark, sf_dir):
+    """Sums over the ten fiscal years; a note's lines stand for years, and those beyond the tenth aren't in the table."""
     facts = estimate.fact_table(note_docs(spark, sf_dir), "id", "doc").where(f"row_kind = 'account' AND part = '{estimate.ACCOUNTS}'")
     return estimate.ten_year(facts).select("doc_id", "row_key", "total")
 
@@ -435,7 +446,7 @@ def template_history(spark, sf_dir):
 
 
 @query("""
-WITH c AS (SELECT l_orderkey AS note_id, l_orderkey * 10 + l_linenumber AS comment_id, CASE WHEN l_linenumber % 3 > 0 THEN l_partkey END AS pos FROM {LINEITEM})
+WITH c AS (SELECT l_orderkey AS note_id, l_orderkey * 100 + l_linenumber AS comment_id, CASE WHEN l_linenumber % 3 > 0 THEN l_partkey END AS pos FROM {LINEITEM})
 SELECT note_id, comment_id, CAST(row_number() OVER (PARTITION BY note_id ORDER BY pos NULLS LAST, comment_id) AS INTEGER) AS place, CASE WHEN comment_id % 2 = 0 THEN 'one,two' ELSE '' END AS said FROM c
 """.replace("{LINEITEM}", LINEITEM))
 def comment_threads(spark, sf_dir):
@@ -448,7 +459,7 @@ def comment_threads(spark, sf_dir):
 
 def line_comments(spark, sf_dir):
     n = F.col("l_linenumber")
-    return lines(spark, sf_dir).select(F.col("l_orderkey").alias("note_id"), (F.col("l_orderkey") * 10 + n).alias("comment_id"), F.when(n % 3 > 0, F.col("l_partkey")).alias("pos"), F.when(F.col("l_returnflag") == "R", "open").otherwise("resolved").alias("status"))
+    return lines(spark, sf_dir).select(F.col("l_orderkey").alias("note_id"), (F.col("l_orderkey") * 100 + n).alias("comment_id"), F.when(n % 3 > 0, F.col("l_partkey")).alias("pos"), F.when(F.col("l_returnflag") == "R", "open").otherwise("resolved").alias("status"))
 
 
 @query(f"SELECT l_orderkey AS note_id, count(*) FILTER (l_returnflag = 'R') AS open FROM {LINEITEM} GROUP BY 1")
@@ -542,7 +553,7 @@ LEVELLED = "CASE l_linenumber % 3 WHEN 0 THEN CAST(l_suppkey % 4 + 1 AS VARCHAR)
 @query(f"""
 WITH l AS (SELECT 'b' || l_orderkey % 200 AS bill_key, *, {LEVELLED} AS cite FROM {LINEITEM}), c AS (SELECT DISTINCT bill_key, cite FROM l),
 s AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM c AS d WHERE d.bill_key = c.bill_key AND starts_with(d.cite, c.cite || '.'))),
-a AS (SELECT bill_key, CAST(l_orderkey * 10 + l_linenumber AS VARCHAR) AS id, l_shipdate AS date, l_returnflag = 'R' AS amends FROM l)
+a AS (SELECT bill_key, CAST(l_orderkey * 100 + l_linenumber AS VARCHAR) AS id, l_shipdate AS date, l_returnflag = 'R' AS amends FROM l)
 SELECT bill_key, 'amendment' AS kind, id, CAST(n AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY bill_key ORDER BY date DESC, id) AS n FROM a WHERE amends) WHERE n <= 20
 UNION ALL SELECT bill_key, 'note', id, CAST(n AS INTEGER) FROM (SELECT *, row_number() OVER (PARTITION BY bill_key ORDER BY date DESC, id) AS n FROM a WHERE NOT amends) WHERE n <= 10
 UNION ALL SELECT DISTINCT bill_key, 'companion', 'SB' || bill_key, 1 FROM l WHERE l_orderkey % 200 < 50
@@ -551,7 +562,7 @@ UNION ALL SELECT bill_key, 'statute', cite, CAST(row_number() OVER (PARTITION BY
 def related_items(spark, sf_dir):
     """Lines as amendments, notes and statutes of two hundred bills."""
     part = lambda n: F.when(n == 0, F.concat_ws(".", F.col("l_suppkey") % 4 + 1)).when(n == 1, F.concat_ws(".", F.col("l_suppkey") % 4 + 1, F.col("l_partkey") % 3)).otherwise(F.concat_ws(".", F.col("l_suppkey") % 4 + 1, F.col("l_partkey") % 3, F.col("l_partkey") % 50))
-    rows = lines(spark, sf_dir).select(F.concat(F.lit("b"), F.col("l_orderkey") % 200).alias("bill_key"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_shipdate").alias("date"), (F.col("l_returnflag") == "R").alias("amends"), part(F.col("l_linenumber") % 3).alias("cite"), (F.col("l_orderkey") % 200 < 50).alias("pair"))
+    rows = lines(spark, sf_dir).select(F.concat(F.lit("b"), F.col("l_orderkey") % 200).alias("bill_key"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("id"), F.col("l_shipdate").alias("date"), (F.col("l_returnflag") == "R").alias("amends"), part(F.col("l_linenumber") % 3).alias("cite"), (F.col("l_orderkey") % 200 < 50).alias("pair"))
     companions = rows.select("bill_key", F.when(F.col("pair"), F.concat(F.lit("SB"), "bill_key")).alias("companion")).distinct()
     return search.related(companions, rows.where("amends"), rows.where("NOT amends"), rows)
 
@@ -599,3 +610,68 @@ def version_labels(spark, sf_dir):
     parts = F.regexp_extract("bill_key", r"^WA:(.*):", 1), F.regexp_extract("bill_key", r":(\p{L}+)\d+$", 1), F.regexp_extract("bill_key", r"(\d+)$", 1).cast("int")
     got = v.withColumn("x", refs.labels_column(parts[1], parts[2], F.col("version_code"), parts[0]))
     return got.select("bill_key", "version_code", "x.short", "x.listed", "x.suffix", F.regexp_extract("x.url", r"/Xml/Bills/(.*)/", 1).alias("folder"))
+
+
+def section_versions(spark, sf_dir):
+    """Every order's lines as sections of two versions: each fifth is gone, the second is edited, one is new."""
+    n = F.col("l_linenumber").cast("int")
+    base = lines(spark, sf_dir).select(F.concat(F.lit("b"), "l_orderkey").alias("bill_key"), n.alias("ordinal"), F.concat(F.lit("id"), n).alias("identity"), n.alias("num"), F.lit("k").alias("kind"), F.concat(F.lit("w"), n, F.lit(" of "), "l_quantity", F.lit("\nplain ground")).alias("text"))
+    after = base.where("num % 5 <> 0").withColumn("text", F.when(F.col("num") == 2, F.concat(F.lit("ahead of all\n"), "text", F.lit(" more"))).otherwise(F.col("text")))
+    fresh = base.where("num = 1").withColumns({"ordinal": F.lit(99), "identity": F.lit("new"), "num": F.lit(99), "kind": F.lit("other"), "text": F.lit("something else\nentirely\nhere")})
+    every = base.withColumn("version_code", F.lit("I")).unionByName(after.unionByName(fresh).withColumn("version_code", F.lit("S")))
+    return every.withColumn("text_hash", F.sha2("text", 256))
+
+
+@query(f"""
+WITH p AS (SELECT 'b' || l_orderkey AS bill_key, l_linenumber AS n FROM {LINEITEM})
+SELECT bill_key, count(*) FILTER (n = 2) AS changed, 3 + count(*) FILTER (n = 2) AS inserted, 2 * count(*) FILTER (n % 5 = 0) AS deleted, 1 + count(*) FILTER (n = 2 OR n % 5 = 0) AS sections_changed FROM p GROUP BY bill_key
+""")
+def diff_summary(spark, sf_dir):
+    """Lines changed, put in and left out between two versions of every order, and sections that differ."""
+    return diff.summary(diff.diff_versions(section_versions(spark, sf_dir), "I", "S"))
+
+
+@query(f"""
+SELECT 'b' || l_orderkey AS bill_key, 'I' AS version_code, 'sec-' || l_linenumber AS section_id FROM {LINEITEM}
+UNION ALL SELECT 'b' || l_orderkey, 'AMD:S' || l_suppkey || '.1', 'sec-' || l_linenumber FROM {LINEITEM} WHERE l_returnflag = 'R' AND l_linenumber % 2 = 0
+""")
+def striking_versions(spark, sf_dir):
+    """Striking amendments as versions beside those of the bill."""
+    own = lines(spark, sf_dir).withColumns({"bill_key": F.concat(F.lit("b"), "l_orderkey"), "section_id": F.concat(F.lit("sec-"), "l_linenumber")})
+    amended = own.where("l_returnflag = 'R'").select("bill_key", "section_id", F.concat(F.lit("S"), "l_suppkey", F.lit(".1")).alias("drafter_number"), (F.col("l_linenumber") % 2 == 0).alias("striking"))
+    return diff.with_striking(own.select("bill_key", F.lit("I").alias("version_code"), "section_id"), amended).select("bill_key", "version_code", "section_id")
+
+
+@query(f"""
+WITH v AS (SELECT CAST(l_orderkey AS VARCHAR) AS note, CAST(sum(CASE WHEN l_linenumber <= 2 THEN l_quantity END) AS DOUBLE) AS b, count(*) AS n FROM {LINEITEM} GROUP BY l_orderkey)
+SELECT note, 1 AS place, NULL AS slot, (b - 10) * 2 AS value FROM v UNION ALL SELECT note, 2, 'b', b FROM v UNION ALL SELECT note, 3, 'c', b - 10 FROM v
+UNION ALL SELECT note, 4, NULL, CAST(n AS DOUBLE) FROM v UNION ALL SELECT note, 5, NULL, NULL FROM v
+""")
+def recomputed(spark, sf_dir):
+    """Computed cells of a note of every order: one reads a later one, one sums a wildcard, one reads nothing."""
+    own = lines(spark, sf_dir).select(F.col("l_orderkey").cast("string").alias("note"), F.col("l_linenumber").alias("n"), F.col("l_quantity").cast("double").alias("q"))
+    values = own.where("n <= 2").select("note", F.concat(F.lit("q.fy"), "n").alias("path"), F.col("q").alias("value")).unionByName(own.select("note", F.concat(F.lit("one."), "n", F.lit(".fy1")).alias("path"), F.lit(1.0).alias("value")))
+    rules = [("c * 2", None), ("q.bien1", "b"), ("b - 10", "c"), ("sum(one.*.fy1)", None), ("nowhere", None)]
+    every = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(e).alias("expr"), F.lit(s).cast("string").alias("slot")) for i, (e, s) in enumerate(rules, 1)])
+    cells = own.select("note").distinct().select("note", F.explode(every).alias("c")).select("note", "c.*")
+    return formula.recompute_notes(cells, values).select("note", "place", "slot", "value")
+
+
+@query(f"""
+WITH q AS (SELECT l_orderkey AS k, CAST(sum(CAST(l_quantity AS DECIMAL(18, 2))) AS DOUBLE) AS total FROM {LINEITEM} GROUP BY l_orderkey)
+SELECT CAST(k AS VARCHAR) AS doc_id, 'computed_mismatch' AS code, 'accounts/total/fy1' AS path, total AS expected, total + 5 AS actual FROM q WHERE k % 3 = 0
+UNION ALL SELECT CAST(k AS VARCHAR), 'computed_mismatch', 'accounts/blank/fy1', total, NULL FROM q WHERE k % 4 = 0
+""")
+def computed_cells(spark, sf_dir):
+    """Computed cells of every order's note that don't show what their expression yields, or nothing."""
+    own = lines(spark, sf_dir).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), F.col("l_quantity").cast("double").alias("q")))).alias("x"), F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("total"))
+    k, none = F.col("l_orderkey"), F.lit(None).cast("string")
+    cell = lambda slot, computed, value: F.struct(F.lit("noteCell").alias("type"), F.struct(F.lit("fy1").alias("col"), slot.alias("slot"), computed.alias("computed"), value.alias("value")).alias("attrs"))
+    row = lambda key, c: F.struct(F.lit("noteRow").alias("type"), F.struct(key.alias("key")).alias("attrs"), F.array(c).alias("content"))
+    rule = F.lit("sum(r.*.fy1)")
+    accounts = F.transform("x", lambda r: row(r["n"].cast("string"), cell(F.concat(F.lit("r."), r["n"], F.lit(".fy1")), none, r["q"])))
+    total = row(F.lit("total"), cell(none, rule, F.col("total") + F.when(k % 3 == 0, 5.0).otherwise(0.25)))
+    blank = row(F.lit("blank"), cell(none, rule, F.when(k % 4 != 0, F.col("total"))))
+    table = F.struct(F.lit("noteTable").alias("type"), F.struct(F.lit("accounts").alias("role")).alias("attrs"), F.concat(accounts, F.array(total, blank)).alias("content"))
+    docs = own.select(k.cast("string").alias("id"), F.to_json(F.struct(F.lit("doc").alias("type"), F.array(table).alias("content"))).alias("doc"))
+    return estimate.computed_errors(docs, "id", "doc")

@@ -6,6 +6,8 @@ each bill's hash with the stored one and works on changed bills only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -140,14 +142,14 @@ def tables(bills: DataFrame) -> dict[str, DataFrame]:
 KEYS = {"bills": ["bill_key"], "versions": ["bill_key", "version_code"], "amendments": ["amendment_id"], "hearings": ["id"], "prior_fiscal_notes": ["id"]}
 
 
-def reload(bills: DataFrame, stored: dict[str, DataFrame], as_of: Column) -> tuple[dict[str, DataFrame], DataFrame]:
+def reload(bills: DataFrame, stored: dict[str, DataFrame], as_of: Column, hold: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[dict[str, DataFrame], DataFrame]:
     """(tables after a reload, its events). Only changed bills are upserted; hearings of theirs that lie ahead and
-    weren't seen again are cancelled."""
-    fresh = tables(changed(bills, stored["bills"]))
+    weren't seen again are cancelled. `hold` writes a table that several results read and reads it again."""
+    fresh = {name: hold(df) for name, df in tables(hold(changed(bills, stored["bills"]))).items()}
     after = {name: op.upsert(stored[name], fresh[name], KEYS[name]) for name in fresh}
     touched = stored["hearings"].join(fresh["bills"].select("bill_key"), "bill_key", "left_semi")
     gone = op.soft_delete(touched, fresh["hearings"], "id", "at", as_of).where("cancelled")
-    after["hearings"] = op.upsert(after["hearings"], gone, ["id"])
+    after["hearings"] = hold(op.upsert(after["hearings"], gone, ["id"]))
     return after, events(stored, after)
 
 

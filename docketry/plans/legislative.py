@@ -675,3 +675,39 @@ def computed_cells(spark, sf_dir):
     table = F.struct(F.lit("noteTable").alias("type"), F.struct(F.lit("accounts").alias("role")).alias("attrs"), F.concat(accounts, F.array(total, blank)).alias("content"))
     docs = own.select(k.cast("string").alias("id"), F.to_json(F.struct(F.lit("doc").alias("type"), F.array(table).alias("content"))).alias("doc"))
     return estimate.computed_errors(docs, "id", "doc")
+
+
+def law_files(spark, sf_dir):
+    """A law of every order as XML: a renumbered paragraph, a table with a row for each line, and a certificate."""
+    t = lambda *parts: F.concat(*[F.lit(p) if i % 2 == 0 else F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for i, p in enumerate(parts)])
+    cell = F.transform(F.col("x"), lambda r: F.concat(F.lit("<TR><TD>"), r["n"].cast("string"), F.lit("</TD><TD"), F.when(r["n"] % 2 == 0, F.lit(' textAlign="right"')).otherwise(""), F.lit('><P><TextRun amendingStyle="strike">'), r["p"].cast("string"), F.lit('</TextRun></P><P><TextRun amendingStyle="add">'), r["q"].cast("string"), F.lit("</TextRun></P></TD></TR>")))
+    own = lines(spark, sf_dir).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), F.col("l_quantity").cast("int").alias("q"), F.col("l_suppkey").alias("p")))).alias("x"))
+    own = own.withColumn("_rows", F.array_join(cell, "")).withColumn("_n", F.size("x"))
+    law = t('<CertifiedBill xmlns="http://x/"><EnrollingCertificate><ChapterLaw year="2026">', "l_orderkey", '</ChapterLaw><PassedBy chamber="h"><PassedDate>March 6</PassedDate><Yeas>', "_n", "</Yeas></PassedBy></EnrollingCertificate>")
+    body = t('<Bill><BillBody><BillSection type="new" action="amend"><P><TextRun amendingStyle="strike">(', "_n", ')</TextRun><TextRun amendingStyle="add">(', F.col("_n") + 1, ')</TextRun> Order ', "l_orderkey", '.</P><Table><THead><TR><TD colspan="2">Lines</TD></TR></THead>', "_rows", "</Table></BillSection></BillBody></Bill></CertifiedBill>")
+    return own.select(F.col("l_orderkey").cast("string").alias("key"), F.lit("xml").alias("format"), F.concat(law, body).alias("content"))
+
+
+@query(f"""
+SELECT CAST(l_orderkey AS VARCHAR) AS key, CAST(l_linenumber AS INTEGER) AS line, 0 AS place, 1 AS column_span, false AS header, NULL AS align, CAST(l_linenumber AS VARCHAR) AS text, '' AS struck FROM {LINEITEM}
+UNION ALL SELECT CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS INTEGER), 1, 1, false, CASE WHEN l_linenumber % 2 = 0 THEN 'right' END, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR), '((' || l_suppkey || '))' FROM {LINEITEM}
+UNION ALL SELECT DISTINCT CAST(l_orderkey AS VARCHAR), 0, 0, 2, true, NULL, 'Lines', '' FROM lineitem
+""")
+def parsed_tables(spark, sf_dir):
+    """Cells of the tables of every order's law, in their grid."""
+    return documents.parse_all(law_files(spark, sf_dir), "cells").select("key", F.col("row").alias("line"), F.col("column").alias("place"), "column_span", "header", "align", "text", "struck")
+
+
+@query(f"""
+WITH n AS (SELECT CAST(l_orderkey AS VARCHAR) AS key, count(*) AS n FROM lineitem GROUP BY l_orderkey)
+SELECT key, '(' || (n + 1) || ')' AS label, 'ins' AS label_mark, '(' || n || ')' AS renumbered, 'Order ' || key || '.' AS text FROM n UNION ALL SELECT key, NULL, NULL, NULL, 'Lines' FROM n
+UNION ALL SELECT CAST(l_orderkey AS VARCHAR), NULL, NULL, NULL, l_linenumber || ' | ' || CAST(l_quantity AS INTEGER) FROM {LINEITEM}
+""")
+def parsed_blocks(spark, sf_dir):
+    """Blocks of every order's law: a renumbered one, and one for each row of the table."""
+    return documents.parse_all(law_files(spark, sf_dir), "blocks").select("key", "label", "label_mark", "renumbered", "text")
+
+
+@query("SELECT CAST(l_orderkey AS VARCHAR) AS key, CAST(l_orderkey AS INTEGER) AS chapter, 2026 AS year, 'H' AS chamber, 'March 6' AS date, CAST(count(*) AS INTEGER) AS yeas FROM lineitem GROUP BY l_orderkey")
+def parsed_certificates(spark, sf_dir):
+    return documents.parse_all(law_files(spark, sf_dir), "certificates").select("key", "chapter", "year", "chamber", "date", "yeas")

@@ -103,6 +103,27 @@ def designators(text: str) -> tuple[list[str], str]:
     return marks, text.strip()
 
 
+def opening(rs: list[dict]) -> tuple[list[str], str | None, list[str], str]:
+    """(designators, mark, struck ones, text after them) of a paragraph's runs.
+
+    Designators stand in the text that counts, and the mark is that of the run they stand in, if it is inserted. Struck
+    designators right before inserted ones are what the paragraph was numbered before; a paragraph that is struck
+    altogether keeps its designators, marked so.
+    """
+    text = effective(rs)
+    marks, rest = designators(text)
+    solid = [r for r in rs if r["text"].strip()]
+    before, i = [], 0
+    while i < len(solid) and solid[i]["t"] == "del":
+        struck = re.sub(r"^\s*\(\(|\)\)\s*$", "", solid[i]["text"])
+        before += designators(struck)[0]
+        i += 1
+    if not text and before:
+        return before, "del", [], ""
+    inserted = bool(marks) and i < len(solid) and solid[i]["t"] == "ins" and bool(designators(clean(solid[i]["text"]) + " ")[0])
+    return marks, "ins" if inserted else None, before if inserted else [], rest
+
+
 def is_roman(mark: str) -> bool:
     return bool(mark) and bool(_ROMAN.fullmatch(mark.lower()))
 
@@ -131,8 +152,71 @@ class Outline:
         return len(self.open)
 
 
+def grid(table: ET.Element) -> list[dict]:
+    """Cells of a table as (row, column, row_span, column_span, header, align, runs), row by row.
+
+    A cell stands in the first column that cells above, which span several rows, leave free; its paragraphs are
+    joined by blanks. Spans that are no numbers count as 1.
+    """
+    rows = [(tr, tag(x) == "THead") for x in table for tr in (x if tag(x) == "THead" else [x]) if tag(tr) == "TR"]
+    taken: set[tuple[int, int]] = set()
+    out = []
+    for i, (tr, header) in enumerate(rows):
+        column = 0
+        for td in (x for x in tr if tag(x) in ("TD", "TDEnroll")):
+            while (i, column) in taken:
+                column += 1
+            down, across = (max(1, int(v)) if (v := td.get(a) or "").isdigit() else 1 for a in ("rowspan", "colspan"))
+            taken |= {(i + d, column + a) for d in range(down) for a in range(across)}
+            own: list[dict] = []
+            for p in [x for x in td if tag(x) == "P"] or [td]:
+                own += ([{"t": "text", "text": " "}] if own else []) + runs(p)
+            align = td.get("textAlign")
+            out.append({"row": i, "column": column, "row_span": down, "column_span": across, "header": header, "align": align if align in ("center", "right") else None, "runs": own})
+            column += across
+    return out
+
+
+def table_lines(cells: list[dict]) -> list[dict]:
+    """A line for each row of a table: its cells' texts, parted by bars."""
+    out = []
+    for i in sorted({c["row"] for c in cells}):
+        own = [c["runs"] for c in cells if c["row"] == i]
+        join = lambda of: " | ".join(map(of, own)).strip()
+        out.append({"text": join(effective), "raw": join(lambda rs: clean("".join(r["text"] for r in rs))), "inserted": clean(" ".join(marked(rs, "ins") for rs in own)), "struck": clean(" ".join(marked(rs, "del") for rs in own))})
+    return out
+
+
+def parts_of(section: ET.Element) -> Iterator[ET.Element]:
+    """Paragraphs and whole tables of a section in reading order; what a table holds isn't given again, nor are histories and notes' headers."""
+    for x in section:
+        if tag(x) in ("P", "Table"):
+            yield x
+        elif tag(x) != "BillSectionHeader":
+            yield from parts_of(x)
+
+
+def certificate(root: ET.Element) -> dict | None:
+    """What a passed bill's certificate says: chapter, year, caption, effective date, votes by chamber, dates, governor, partial veto and its history."""
+    cert, history = next(below(root, "EnrollingCertificate"), None), next(below(root, "SLHistory"), None)
+    if cert is None and history is None:
+        return None
+    inside = lambda node, name: text_of(next(below(node, name), None)) or None if node is not None else None
+    number = lambda text: int(text) if text and text.isdigit() else None
+    law = next(below(cert, "ChapterLaw"), None) if cert is not None else None
+    passed = []
+    for vote in below(cert, "PassedBy") if cert is not None else []:
+        if date := inside(vote, "PassedDate"):
+            passed.append({"chamber": "H" if (vote.get("chamber") or "").lower() == "h" else "S", "date": date, "yeas": number(inside(vote, "Yeas")), "nays": number(inside(vote, "Nays"))})
+    return {
+        "chapter": number(text_of(law)), "year": number(law.get("year")) if law is not None else None, "caption": inside(cert, "SessionLawCaption"), "effective_date": inside(cert, "EffectiveDate"), "partial_veto": cert is not None and next(below(cert, "VetoAction"), None) is not None,
+        "passed": passed, "approved_date": inside(cert, "ApprovedDate"), "filed_date": inside(cert, "FiledDate"), "governor": inside(cert, "Governor"), "history": [t for p in below(history, "P") if (t := text_of(p))] if history is not None else [],
+    }
+
+
 def blocks(section_id: str, paragraphs: list[list[dict]]) -> list[dict]:
-    """Blocks of a section, each with id, parent, depth, label and text; ids are paths of designators."""
+    """Blocks of a section, each with id, parent, depth, label, its mark, what it was before, and text; ids are paths of
+    designators. A paragraph is a list of runs, a table a list of cells, which gives a block for each row."""
     out, ids, outline, plain = [], set(), Outline(), 0
 
     def unique(name: str) -> str:
@@ -144,10 +228,15 @@ def blocks(section_id: str, paragraphs: list[list[dict]]) -> list[dict]:
         return made
 
     for rs in paragraphs:
+        if isinstance(rs, list) and rs and "row" in rs[0]:
+            for line in table_lines(rs):
+                plain += 1
+                out.append({"block_id": unique(f"{section_id}.p{plain}"), "parent_id": None, "depth": len(outline.open) + 1, "label": None, "text": line["text"], "inserted": line["inserted"], "struck": line["struck"], "raw": line["raw"], "label_mark": None, "renumbered": None})
+            continue
         text = effective(rs)
-        marks, rest = designators(text)
+        marks, label_mark, before, rest = opening(rs)
         path = lambda: ".".join([section_id, *(m for _, m in outline.open)])
-        base = {"inserted": marked(rs, "ins"), "struck": marked(rs, "del"), "raw": clean("".join(r["text"] for r in rs))}
+        base = {"inserted": marked(rs, "ins"), "struck": marked(rs, "del"), "raw": clean("".join(r["text"] for r in rs)), "label_mark": label_mark, "renumbered": "".join(f"({m})" for m in before) or None}
         if not marks:
             plain += 1
             if text or base["raw"]:
@@ -195,15 +284,16 @@ def bill_section(node: ET.Element, ordinal: int, part: str | None, ordinals: dic
     header = header if header is not None else ET.Element("none")
     number = text_of(first(header, "BillSectionNumber", "Value"))
     cite = next((re.sub(r"[^0-9A-Z.]", "", text_of(c).upper().replace("RCW", "").replace("CHAPTER", "").replace("TITLE", "")) for c in header.iter() if tag(c) in ("SectionCite", "ChapterCite", "TitleCite")), None)
-    paragraphs = [p for p in node.iter() if tag(p) in ("P", "TR")]
+    paragraphs = list(parts_of(node))
     section_id = f"sec-{number or ordinal}"
-    made = blocks(section_id, [runs(p) for p in paragraphs])
+    tables = [grid(p) for p in paragraphs if tag(p) == "Table"]
+    made = blocks(section_id, [runs(p) if tag(p) == "P" else grid(p) for p in paragraphs])
     text = "\n".join(b["text"] for b in made)
     action, source = node.get("action"), node.get("type", "new")
     section = {
         "ordinal": ordinal, "section_id": section_id, "num": int(number) if number.isdigit() else None, "part": part, "source_kind": source, "action": action, "cite": cite, "caption": re.sub(r"^[\s-]+|[\s.-]+$", "", text_of(first(header, "Caption"))) or None,
         "history": text_of(first(node, "History")) or None, "kind": kind_by_source(source, action, text), "text": text, "text_hash": digest(clean(text)), "veto": any(x.get("lineVeto") for x in node.iter()),
-        "repealed": [m for p in paragraphs for m in re.findall(r"RCW\s+(\d+[A-Z]?\.\d+[A-Z]?\.\d+)", "".join(p.itertext()))] if action == "repeal" else [], "blocks": made,
+        "repealed": [m for p in paragraphs for m in re.findall(r"RCW\s+(\d+[A-Z]?\.\d+[A-Z]?\.\d+)", "".join(p.itertext()))] if action == "repeal" else [], "blocks": made, "tables": tables,
         "ins_words": sum(len(b["inserted"].split()) for b in made), "del_words": sum(len(b["struck"].strip("()").split()) for b in made),
     }
     return section | {"identity": identity(section, ordinals)}
@@ -221,7 +311,7 @@ def parse_bill_xml(source: str) -> dict:
             part = text_of(node) or part
         elif tag(node) == "BillSection":
             sections.append(bill_section(node, len(sections) + 1, part, ordinals))
-    return {"long_id": get("LongBillId"), "short_id": get("ShortBillId"), "sponsors": get("Sponsors"), "session": get("Session"), "legislature": get("Legislature"), "title": text_of(next(below(root, "BillTitle"), None)) or None, "read_first": f"20{read[3]}-{read[1]}-{read[2]}" if read else None, "certified": tag(root) == "CertifiedBill", "sections": sections}
+    return {"long_id": get("LongBillId"), "short_id": get("ShortBillId"), "sponsors": get("Sponsors"), "session": get("Session"), "legislature": get("Legislature"), "title": text_of(next(below(root, "BillTitle"), None)) or None, "read_first": f"20{read[3]}-{read[1]}-{read[2]}" if read else None, "certified": tag(root) == "CertifiedBill", "certificate": certificate(root), "sections": sections}
 
 
 def htm_runs(fragment: str) -> list[dict]:
@@ -285,14 +375,34 @@ def parse_amendment_xml(source: str) -> dict:
 
 
 SECTION = "ordinal int, section_id string, num int, part string, kind string, action string, cite string, caption string, identity string, text string, text_hash string, ins_words int, del_words int"
-BLOCK = "ordinal int, section_id string, ord int, block_id string, parent_id string, depth int, label string, text string, inserted string, struck string"
+BLOCK = "ordinal int, section_id string, ord int, block_id string, parent_id string, depth int, label string, label_mark string, renumbered string, text string, inserted string, struck string"
+CELL = "ordinal int, section_id string, table int, row int, column int, row_span int, column_span int, header boolean, align string, text string, inserted string, struck string"
+CERTIFICATE = "chapter int, year int, caption string, effective_date string, partial_veto boolean, approved_date string, filed_date string, governor string, chamber string, date string, yeas int, nays int"
+KINDS_OF_ROWS = {"sections": SECTION, "blocks": BLOCK, "cells": CELL, "certificates": CERTIFICATE}
+
+
+def rows_of(document: dict, rows: str) -> Iterator[dict]:
+    """Sections, their blocks, the cells of their tables, or the certificate with a row for each vote, one at least."""
+    if rows == "certificates":
+        if found := document.get("certificate"):
+            yield from ({**found, **vote} for vote in found["passed"] or [{}])
+        return
+    for s in document["sections"]:
+        own = {"ordinal": s["ordinal"], "section_id": s["section_id"]}
+        match rows:
+            case "sections":
+                yield s
+            case "blocks":
+                yield from ({**own, "ord": i, **b} for i, b in enumerate(s["blocks"]))
+            case "cells":
+                yield from ({**own, "table": i, **c, "text": effective(c["runs"]), "inserted": marked(c["runs"], "ins"), "struck": marked(c["runs"], "del")} for i, t in enumerate(s.get("tables", [])) for c in t)
 
 
 def parse_all(files: DataFrame, rows: str) -> DataFrame:
-    """(key, error) and the sections or blocks of documents (key, format, content); one that doesn't parse gives its error."""
-    schema = SECTION if rows == "sections" else BLOCK
-    full = f"key string, error string, {schema}"
-    shape = pa.schema([(n, pa.int32() if t == "int" else pa.string()) for n, t in (x.split() for x in full.split(", "))])
+    """(key, error) and the sections, blocks, cells or certificates of documents (key, format, content); one that doesn't parse gives its error."""
+    full = f"key string, error string, {KINDS_OF_ROWS[rows]}"
+    kinds = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
+    shape = pa.schema([(n, kinds[t]) for n, t in (x.split() for x in full.split(", "))])
     parsers = {"xml": parse_bill_xml, "htm": parse_bill_htm, "amendment": parse_amendment_xml}
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,12 +410,11 @@ def parse_all(files: DataFrame, rows: str) -> DataFrame:
             out = []
             for key, form, content in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 try:
-                    found = parsers[form](content)["sections"]
+                    found = list(rows_of(parsers[form](content), rows))
                 except (ET.ParseError, AttributeError, KeyError, TypeError, ValueError) as error:
                     out.append({"key": key, "error": str(error)})
                     continue
-                for s in found:
-                    out += [{"key": key, **s}] if rows == "sections" else [{"key": key, "ordinal": s["ordinal"], "section_id": s["section_id"], "ord": i, **b} for i, b in enumerate(s["blocks"])]
+                out += [{"key": key, **r} for r in found]
             yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in shape.names} for r in out], schema=shape)
 
     return files.select("key", "format", "content").mapInArrow(parsed, full)

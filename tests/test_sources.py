@@ -31,6 +31,28 @@ def test_bill_htm_and_amendment():
     assert (amd["style"], amd["adopted"], amd["disposition_date"], amd["instructions"]) == ("page_line", True, "2025-03-04", [{"op": "strike_insert", "page": 2, "line": 5, "quoted": ["fish", "bird"]}])
 
 
+LAW = """<CertifiedBill xmlns="http://x/"><EnrollingCertificate><ChapterLaw year="2026">246</ChapterLaw><SessionLawCaption>FISH</SessionLawCaption><EffectiveDate><P>June 11, 2026</P></EffectiveDate><Table><TR><TDEnroll><PassedBy chamber="s"><PassedDate>March 10</PassedDate><Yeas>43</Yeas><Nays>6</Nays></PassedBy><PassedBy chamber="h"><PassedDate>March 6</PassedDate><Yeas>70</Yeas></PassedBy><PassedBy chamber="h"/></TDEnroll><TDEnroll><ApprovedDate>March 30</ApprovedDate></TDEnroll></TR></Table></EnrollingCertificate>
+<Bill><BillBody><BillSection type="amendatory" action="amend"><BillSectionHeader><BillSectionNumber><Value>1</Value></BillSectionNumber></BillSectionHeader>
+<P><TextRun amendingStyle="strike">(2)</TextRun><TextRun amendingStyle="add">(3)</TextRun> Moved.</P><P><TextRun amendingStyle="add">(a) New.</TextRun></P><P><TextRun amendingStyle="strike">(b) Gone.</TextRun></P>
+<Table><THead><TR><TD colspan="2" textAlign="center"><P>Head</P><P>line</P></TD><TD rowspan="2">Tall</TD></TR></THead><TR><TD>one</TD><TD><P><TextRun amendingStyle="strike">5</TextRun> <TextRun amendingStyle="add">6</TextRun></P></TD></TR><TR><TD rowspan="x">a</TD><TD>b</TD><TD>c</TD></TR></Table><P>After.</P></BillSection></BillBody></Bill><SLHistory><P>Passed.</P><P> </P></SLHistory></CertifiedBill>"""
+
+
+def test_tables_renumbering_and_certificates(spark):
+    d = documents.parse_bill_xml(LAW)
+    (section,) = d["sections"]
+    assert [(b["label"], b["label_mark"], b["renumbered"], b["text"]) for b in section["blocks"][:3]] == [("(3)", "ins", "(2)", "Moved."), ("(a)", "ins", None, "New."), ("(b)", "del", None, "")]
+    assert [b["text"] for b in section["blocks"][3:]] == ["Head line | Tall", "one | 6", "a | b | c", "After."] and section["blocks"][4]["struck"] == "((5))"
+    cells = {(c["row"], c["column"]): c for c in section["tables"][0]}
+    assert sorted(cells) == [(0, 0), (0, 2), (1, 0), (1, 1), (2, 0), (2, 1), (2, 2)]
+    assert (cells[0, 0]["column_span"], cells[0, 0]["align"], cells[0, 0]["header"], cells[0, 2]["row_span"], cells[2, 0]["row_span"], cells[1, 0]["header"]) == (2, "center", True, 2, 1, False)
+    c = d["certificate"]
+    assert (c["chapter"], c["year"], c["caption"], c["effective_date"], c["approved_date"], c["partial_veto"], c["history"]) == (246, 2026, "FISH", "June 11, 2026", "March 30", False, ["Passed."])
+    assert c["passed"] == [{"chamber": "S", "date": "March 10", "yeas": 43, "nays": 6}, {"chamber": "H", "date": "March 6", "yeas": 70, "nays": None}]
+    assert documents.parse_bill_xml(BILL)["certificate"] is None
+    files = spark.createDataFrame([("a", "xml", LAW), ("b", "xml", BILL)], "key string, format string, content string")
+    assert documents.parse_all(files, "cells").count() == 7 and {(r["key"], r["chamber"], r["yeas"]) for r in documents.parse_all(files, "certificates").collect()} == {("a", "S", 43), ("a", "H", 70)}
+
+
 def test_parse_all_reports_what_does_not_parse(spark):
     files = spark.createDataFrame([("a", "xml", BILL), ("b", "xml", "<Bill><P></Bill>"), ("c", "htm", "")], "key string, format string, content string")
     rows = documents.parse_all(files, "sections").collect()

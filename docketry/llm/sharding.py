@@ -60,6 +60,11 @@ def shuffled_shards(records: DataFrame, key: str, size: str, shards: int = 40, s
     The order in a shard depends on the records, the seed and the bucket limits alone. Empty in, empty out.
     `records` is read again for its totals; the scattered rows are held in the shared folder between the passes.
     """
+    return in_buckets(records, key, size, shards, seed, bucket_bytes, bucket_rows)[0].drop("_bucket")
+
+
+def in_buckets(records: DataFrame, key: str, size: str, shards: int = 40, seed: int = 17, bucket_bytes: int = BUCKET_BYTES, bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame, int]:
+    """The shuffled records with their buckets, in `_bucket`, and the number of buckets. Buckets of a shard follow one another, and so do their slots."""
     names = records.columns
     k = F.col("record")[key]
     totals = records.groupBy(rendezvous(F.col(key), shards, seed).alias("shard")).agg(F.sum(F.col(size)).alias("bytes"), F.count(F.lit(1)).alias("rows")).collect()  # `shards` rows
@@ -76,14 +81,19 @@ def shuffled_shards(records: DataFrame, key: str, size: str, shards: int = 40, s
     # A partition's number and the order within it are fixed, and with them the seeds of the Fisher-Yates shuffles.
     placed = packed.repartitionById(tasks, F.pmod(F.col("bucket"), F.lit(tasks)).cast("int")).sortWithinPartitions("bucket")
     mixed = placed.select("shard", "bucket", F.expr(f"shuffle(rows, {seed})").alias("rows"))
-    out = mixed.join(begins, "bucket").select("shard", "begin", F.posexplode("rows").alias("pos", "r"))
-    return out.select(*[F.col("r.record")[c].alias(c) for c in names], "shard", (F.col("begin") + F.col("pos")).cast("long").alias("slot"), F.col("r.grown_shard").alias("grown_shard"))
+    out = mixed.join(begins, "bucket").select("shard", "bucket", "begin", F.posexplode("rows").alias("pos", "r"))
+    return out.select(*[F.col("r.record")[c].alias(c) for c in names], "shard", (F.col("begin") + F.col("pos")).cast("long").alias("slot"), F.col("r.grown_shard").alias("grown_shard"), F.col("bucket").alias("_bucket")), sum(buckets)
 
 
 def write_shards(records: DataFrame, path: str, key: str, size: str, **options) -> None:
-    """Writes the shuffled records, one folder per shard, each file in slot order."""
-    placed = shuffled_shards(records, key, size, **options)
-    placed.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Writes the shuffled records, a folder for each shard and there files of one or more buckets, each in slot order.
+
+    No task holds more than a few buckets, however large a shard is. Records that repeat, and those of null keys, are
+    written as often as they come; an empty table gives an empty folder without files of data. Columns keep their
+    names but for `shard`, which becomes the folder's, `slot` and `grown_shard`.
+    """
+    placed, buckets = in_buckets(records, key, size, **options)
+    placed.repartition(min(TASKS, buckets), "_bucket").sortWithinPartitions("shard", "slot").drop("_bucket").write.partitionBy("shard").parquet(path)
 
 
 def placed_documents(docs: DataFrame, shards: int = 40) -> DataFrame:

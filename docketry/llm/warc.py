@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import re
 import zlib
 from collections.abc import Iterator
@@ -137,17 +138,29 @@ def warc_bytes(fields: dict[str, str | None], payload: bytes) -> bytes:
 
 
 def parse_warc(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(fields with lower-case names, block) of each record of a file, compressed by record or not."""
-    if raw[:2] == b"\x1f\x8b":
-        raw = gzip.decompress(raw)
-    at = 0
-    while (start := raw.find(b"WARC/", at)) >= 0:
-        end = raw.index(b"\r\n\r\n", start)
-        lines = raw[start:end].decode("utf-8", "replace").split("\r\n")[1:]
-        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        size = int(fields.get("content-length", "0"))
-        yield fields, raw[end + 4 : end + 4 + size]
-        at = end + 4 + size
+    """(fields with lower-case names, block) of each record of a file, compressed by record or not, one record at a time.
+
+    Of a field that comes several times the values are joined by line breaks. What stands between records, and a
+    record that is cut short, is passed over.
+    """
+    file = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(raw))) if raw[:2] == b"\x1f\x8b" else io.BytesIO(raw)
+    while line := file.readline():
+        if not line.startswith(b"WARC/"):
+            continue
+        fields: dict[str, str] = {}
+        last = None
+        while (line := file.readline()).strip():
+            text = line.decode("utf-8", "replace").rstrip("\r\n")
+            if text[0] in " \t" and last:  # goes on
+                fields[last] += " " + text.strip()
+                continue
+            name, _, value = text.partition(":")
+            last = name.strip().lower()
+            fields[last] = f"{fields[last]}\n{value.strip()}" if last in fields else value.strip()
+        size = int(fields["content-length"]) if fields.get("content-length", "").isdigit() else 0
+        block = file.read(size)
+        if len(block) == size:
+            yield fields, block
 
 
 def http_body(headers: dict[str, str], body: bytes) -> str:
@@ -180,25 +193,31 @@ def http_body(headers: dict[str, str], body: bytes) -> str:
 
 
 def read_responses(files: DataFrame) -> DataFrame:
-    """Response records of WARC files, from rows of `spark.read.format("binaryFile")`, one file in memory at a time.
+    """Records of WARC files, from rows of `spark.read.format("binaryFile")`: one file as it lies there in memory at a
+    time, and of what it holds one record. More columns: the response's status line, and all of the record's WARC fields.
 
     WARC-Date and WARC-Payload-Digest are the file's own; a record without a digest gets that of its raw body.
     """
 
+    names = ["source_id", "record_id", "record_type", "target_uri", "date", "headers", "payload_digest", "payload", "status", "warc_fields"]
+
     def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, raw in zip(batch["path"], batch["content"], strict=True):
                 rows = []
                 for i, (fields, block) in enumerate(parse_warc(raw)):
                     head, _, body = block.partition(b"\r\n\r\n") if fields.get("warc-type") == "response" else (b"", b"", block)
-                    lines = head.decode("latin-1").split(CRLF)[1:]
+                    status, *lines = head.decode("latin-1").split(CRLF)
                     headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
                     name = fields.get("warc-record-id") or f"<urn:sha256:{hashlib.sha256(f'{path}#{i}'.encode()).hexdigest()}>"
                     own = fields.get("warc-payload-digest") or f"sha256:{hashlib.sha256(body).hexdigest()}"
-                    rows.append((f"{path}#{i}", name, fields.get("warc-type"), fields.get("warc-target-uri"), fields.get("warc-date"), CRLF.join(lines), own, http_body(headers, body)))
-                yield pd.DataFrame(rows, columns=["source_id", "record_id", "record_type", "target_uri", "date", "headers", "payload_digest", "payload"])
+                    rows.append((f"{path}#{i}", name, fields.get("warc-type"), fields.get("warc-target-uri"), fields.get("warc-date"), CRLF.join(lines), own, http_body(headers, body), status or None, fields))
+                    if len(rows) == 500:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows = []
+                yield pd.DataFrame(rows, columns=names)
 
-    return files.select("path", "content").mapInPandas(records, "source_id string, record_id string, record_type string, target_uri string, date string, headers string, payload_digest string, payload string")
+    return files.select("path", "content").mapInPandas(records, "source_id string, record_id string, record_type string, target_uri string, date string, headers string, payload_digest string, payload string, status string, warc_fields map<string,string>")
 
 
 def write_derivatives(records: DataFrame, path: str, **options) -> None:

@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -449,6 +450,30 @@ def test_repeated_and_null_keys_get_slots(spark, tmp_path):
     assert len(got) == 4 and len({(r["shard"], r["slot"]) for r in got}) == 4
     sharding.write_shards(same.selectExpr("*", "5L size"), str(tmp_path / "out"), "doc_id", "size", shards=3)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 4
+    sharding.write_shards(same.limit(0).selectExpr("*", "5L size"), str(tmp_path / "none"), "doc_id", "size", shards=3)
+    assert not list((tmp_path / "none").glob("shard=*"))
+
+
+def test_a_shard_is_written_by_buckets(spark, tmp_path):
+    """Files of one shard hold buckets, slots rise in each, and together they are the shard."""
+    rows = spark.range(3000).selectExpr("id doc_id", "10L size")
+    sharding.write_shards(rows, str(tmp_path / "out"), "doc_id", "size", shards=2, bucket_rows=100)
+    placed = {r["doc_id"]: (r["shard"], r["slot"]) for r in sharding.shuffled_shards(rows, "doc_id", "size", shards=2, bucket_rows=100).collect()}
+    for shard in (0, 1):
+        files = [pq.read_table(f, columns=["doc_id", "slot"]).to_pydict() for f in (tmp_path / "out" / f"shard={shard}").glob("*.parquet")]
+        assert len(files) > 5 and max(len(f["slot"]) for f in files) < 600 and all(f["slot"] == sorted(f["slot"]) for f in files)
+        assert sorted(s for f in files for s in f["slot"]) == list(range(sum(len(f["slot"]) for f in files)))
+        assert all(placed[d] == (shard, s) for f in files for d, s in zip(f["doc_id"], f["slot"], strict=True))
+
+
+def test_warc_fields_and_status_lines_are_kept(spark, tmp_path):
+    block = b"HTTP/1.1 404 Not Found\r\nContent-Type: text/html\r\n\r\n<p>none</p>"
+    fields = {"WARC-Type": "response", "WARC-Record-ID": "<r>", "WARC-IP-Address": "192.0.2.1", "WARC-Truncated": "length", "WARC-Block-Digest": "sha1:x"}
+    raw = b"".join(gzip.compress(warc.warc_bytes({**fields, "WARC-Concurrent-To": f"<c{i}>\r\nWARC-Concurrent-To: <d{i}>"}, block)) for i in range(3))
+    (tmp_path / "a.warc.gz").write_bytes(raw + gzip.compress(b"WARC/1.1\r\nContent-Length: 99\r\n\r\ncut"))
+    got = warc.read_responses(spark.read.format("binaryFile").load(str(tmp_path))).collect()
+    assert [r["status"] for r in got] == ["HTTP/1.1 404 Not Found"] * 3
+    assert got[1]["warc_fields"]["warc-ip-address"] == "192.0.2.1" and got[1]["warc_fields"]["warc-truncated"] == "length" and got[1]["warc_fields"]["warc-block-digest"] == "sha1:x" and got[1]["warc_fields"]["warc-concurrent-to"] == "<c1>\n<d1>"
 
 
 # 5

@@ -5,6 +5,7 @@ All sections of a pair of versions are aligned together; those of equal hashes a
 
 from __future__ import annotations
 
+import html
 import math
 import re
 from collections import Counter
@@ -12,7 +13,7 @@ from collections.abc import Hashable, Iterator, Sequence
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Shared characters over the longer line for a pair to count as changed; similarity of sections, and of those with the same number.
@@ -329,6 +330,34 @@ def summary(diffs: DataFrame) -> DataFrame:
     return diffs.groupBy("bill_key").agg(F.sum("changed").alias("changed"), F.sum("inserted").alias("inserted"), F.sum("deleted").alias("deleted"), F.count_if(F.col("status") != "equal").alias("sections_changed"))
 
 
+def sentence(changed: Column, inserted: Column, deleted: Column) -> Column:
+    """What a diff amounts to, as "2 lines changed, 1 line added"; null counts are 0."""
+    part = lambda n, what: F.when(n > 0, F.concat(n.cast("string"), F.when(n == 1, " line ").otherwise(" lines "), F.lit(what)))
+    said = F.concat_ws(", ", part(changed, "changed"), part(inserted, "added"), part(deleted, "removed"))
+    return F.when(said == "", "No changes").otherwise(said)
+
+
+def redline(lines: Sequence[dict]) -> str:
+    """A diff's lines as HTML: a paragraph for each, classed by its mark, what came in in <ins> and what went out in <del>."""
+    put = {"insert": "ins", "delete": "del"}
+
+    def shown(mark: str, text: str) -> str:
+        safe = html.escape(text, quote=False)
+        return f"<{put[mark]}>{safe}</{put[mark]}>" if mark in put else safe
+
+    return "".join(f'<p class="diff-line diff-line--{x["mark"]}">{"".join(shown(m, t) for m, t in x["spans"])}</p>' for x in lines)
+
+
+def redline_columns(df: DataFrame, before: str, after: str, name: str = "redline") -> DataFrame:
+    """All columns plus the diff of two texts as HTML; null is an empty text."""
+
+    @F.pandas_udf("string")
+    def marked(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([redline(diff_lines(p.splitlines(), q.splitlines())) for p, q in zip(a, b, strict=True)], dtype=object)
+
+    return df.withColumn(name, marked(F.coalesce(before, F.lit("")), F.coalesce(after, F.lit(""))))
+
+
 def with_striking(sections: DataFrame, amendments: DataFrame) -> DataFrame:
     """Sections of versions and, as further versions named by their drafter's number, of striking amendments.
 

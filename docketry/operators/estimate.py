@@ -215,3 +215,20 @@ def nodes_of(node: dict[str, Any], kind: str) -> Iterator[dict[str, Any]]:
         yield node
     for child in node.get("content") or []:
         yield from nodes_of(child, kind)
+
+
+def fiscal_years(headers: Column, as_of_year: Column) -> Column:
+    """Ten fiscal years from the first that a table's header names, where it names two or more; else from the year after.
+
+    `headers` holds an array of header texts for each table. Null headers, and those without years, name none.
+    """
+    named = F.transform(headers, lambda cells: F.flatten(F.transform(F.coalesce(cells, F.array().cast("array<string>")), lambda c: F.transform(F.slice(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"FY\s*(\d{4})"), F.lit(1)), 1, 1), lambda y: y.cast("int")))))
+    first = F.get(F.get(F.filter(named, lambda years: F.size(years) >= 2), F.lit(0)), F.lit(0))
+    start = F.coalesce(first, as_of_year.cast("int") + 1)
+    return F.sequence(start, start + 9)
+
+
+def biennia_of(years: Column) -> Column:
+    """Labels of the three biennia that hold the years: the first begins the year before them."""
+    start = F.get(years, F.lit(0)) - 1
+    return F.transform(F.array(F.lit(0), F.lit(2), F.lit(4)), lambda n: F.concat((start + n).cast("string"), F.lit("-"), F.lpad(((start + n + 2) % 100).cast("string"), 2, "0")))

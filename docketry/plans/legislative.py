@@ -711,3 +711,41 @@ def parsed_blocks(spark, sf_dir):
 @query("SELECT CAST(l_orderkey AS VARCHAR) AS key, CAST(l_orderkey AS INTEGER) AS chapter, 2026 AS year, 'H' AS chamber, 'March 6' AS date, CAST(count(*) AS INTEGER) AS yeas FROM lineitem GROUP BY l_orderkey")
 def parsed_certificates(spark, sf_dir):
     return documents.parse_all(law_files(spark, sf_dir), "certificates").select("key", "chapter", "year", "chamber", "date", "yeas")
+
+
+@query(f"""
+WITH b AS (SELECT *, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE '(' || l_linenumber || ')' END AS own FROM {LINEITEM})
+SELECT 'sec-1.' || l_linenumber AS block_id, CAST(l_orderkey AS VARCHAR) AS key, 'Section 1' || coalesce(own, '') || ' of HB ' || l_orderkey AS citation FROM b
+UNION ALL SELECT 'sec-1.' || l_linenumber || '.a.i', CAST(l_orderkey AS VARCHAR), 'Section 1' || coalesce(own, '') || '(i) of HB ' || l_orderkey FROM b
+""")
+def block_paths(spark, sf_dir):
+    """Citations of blocks and of blocks below them; some have no label, and one level isn't there."""
+    n, key = F.col("l_linenumber").cast("string"), F.col("l_orderkey").cast("string")
+    own = F.when(F.col("l_linenumber") % 3 != 0, F.concat(F.lit("("), n, F.lit(")")))
+    both = F.array(F.struct(F.concat(F.lit("sec-1."), n).alias("block_id"), own.alias("label")), F.struct(F.concat(F.lit("sec-1."), n, F.lit(".a.i")).alias("block_id"), F.lit("(i)").alias("label")))
+    blocks = lines(spark, sf_dir).select(key.alias("key"), F.lit("sec-1").alias("section_id"), F.lit(1).alias("num"), F.explode(both).alias("b")).select("key", "section_id", "num", "b.*")
+    return bill_ops.block_citations(blocks, F.concat(F.lit("HB "), "key")).select("key", "block_id", "citation")
+
+
+@query(f"""
+WITH n AS (SELECT l_orderkey, count(*) FILTER (l_linenumber % 4 = 1) AS c, count(*) FILTER (l_linenumber % 4 = 2) AS i, count(*) FILTER (l_linenumber > 7) AS d FROM {LINEITEM} GROUP BY l_orderkey)
+SELECT l_orderkey, coalesce(nullif(concat_ws(', ', CASE WHEN c > 0 THEN c || CASE WHEN c = 1 THEN ' line changed' ELSE ' lines changed' END END, CASE WHEN i > 0 THEN i || CASE WHEN i = 1 THEN ' line added' ELSE ' lines added' END END,
+  CASE WHEN d > 0 THEN d || CASE WHEN d = 1 THEN ' line removed' ELSE ' lines removed' END END), ''), 'No changes') AS said FROM n
+""")
+def diff_sentences(spark, sf_dir):
+    n = F.col("l_linenumber")
+    counts = lines(spark, sf_dir).groupBy("l_orderkey").agg(F.count_if(n % 4 == 1).alias("c"), F.count_if(n % 4 == 2).alias("i"), F.count_if(n > 7).alias("d"))
+    return counts.select("l_orderkey", diff.sentence(F.col("c"), F.col("i"), F.col("d")).alias("said"))
+
+
+@query("""
+WITH y AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN CAST(year(o_orderdate) AS INTEGER) ELSE 2026 END AS first FROM orders)
+SELECT o_orderkey, first AS first_year, first + 9 AS last_year, (first - 1) || '-' || lpad(CAST((first + 1) % 100 AS VARCHAR), 2, '0') || ',' || (first + 1) || '-' || lpad(CAST((first + 3) % 100 AS VARCHAR), 2, '0') || ',' || (first + 3) || '-' || lpad(CAST((first + 5) % 100 AS VARCHAR), 2, '0') AS biennia FROM y
+""")
+def header_years(spark, sf_dir):
+    """Fiscal years of every order's tables: named by the second table, by one cell too few, or by none."""
+    y, k = F.year("o_orderdate").cast("string"), F.col("o_orderkey") % 3
+    cells = F.when(k == 0, F.array(F.concat(F.lit("FY "), y), F.concat(F.lit("FY"), (F.year("o_orderdate") + 1).cast("string")))).when(k == 1, F.array(F.lit("Fund"), F.concat(F.lit("FY "), y))).otherwise(F.array(F.lit(None).cast("string")))
+    years = estimate.fiscal_years(F.array(F.array(F.lit("Account")), cells), F.lit(2025))
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", years.alias("y"))
+    return rows.select("o_orderkey", F.get("y", F.lit(0)).alias("first_year"), F.element_at("y", -1).alias("last_year"), F.array_join(estimate.biennia_of(F.col("y")), ",").alias("biennia"))

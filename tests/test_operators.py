@@ -59,6 +59,13 @@ def test_modes_of_reading():
     assert diff.diff_reading(before, before) == [("equal", t) for t in ("The tax is ((five)) six dollars.", "(1) Same", "gone")]
 
 
+def test_redlines(spark):
+    df = spark.createDataFrame([("The tax is five.\nSame & old", "The tax is <six>.\nSame & old"), (None, "new"), ("", None)], "a string, b string")
+    got = [r["redline"] for r in diff.redline_columns(df, "a", "b").collect()]
+    assert got[0] == '<p class="diff-line diff-line--changed">The tax is <del>five</del><ins>&lt;six&gt;</ins>.</p><p class="diff-line diff-line--equal">Same &amp; old</p>'
+    assert got[1] == '<p class="diff-line diff-line--insert"><ins>new</ins></p>' and got[2] == ""
+
+
 def test_similar_sections_are_all_found():
     rnd = random.Random(7)
     words = "a b c d e f g h".split()

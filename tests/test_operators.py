@@ -218,6 +218,34 @@ def test_a_failed_consumer_is_recorded(spark, tmp_path):
     assert seen == [] and relay.failures(spark, log).count() == 1
 
 
+def test_events_come_in_order_and_claims_are_compacted(spark, tmp_path):
+    from docketry.streaming import relay
+
+    log, seen = f"file://{tmp_path}/log", []
+    rows = [(i * 30_000, "a" if i % 5 else "b") for i in range(23)] + [(60_000, "a"), (None, "a")]
+    batch = spark.createDataFrame(rows, "event_id long, event_type string").repartition(3)
+
+    def handler(df):
+        got = sorted(r["event_id"] for r in df.collect())
+        seen.append(got)
+        if 270_000 in got:
+            raise RuntimeError("down")
+
+    assert relay.deliver(batch, "c", log, handler, ["a"], most=5) == "down"
+    want = sorted(i for i, kind in rows if i is not None and kind == "a")
+    assert [x for part in seen for x in part] == want and max(map(len, seen)) <= 6 and relay.failures(spark, log).count() == 1
+    assert all(a[-1] < b[0] for a, b in itertools.pairwise(seen))
+    plan = relay.claimed(spark, log, "c", 0, 99_999)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [" in plan and "range" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    files = lambda: len(list((tmp_path / "log").rglob("*.parquet")))
+    before, n = {r["event_id"] for r in relay.claims(spark, log).collect()}, files()
+    relay.compact(spark, log, 500_000, f"file://{tmp_path}/scratch")
+    assert {r["event_id"] for r in relay.claims(spark, log).collect()} == before and files() < n
+    seen.clear()
+    relay.deliver(batch, "c", log, handler, ["a"], most=5)
+    assert [x for part in seen for x in part] == []
+
+
 @pytest.mark.parametrize("text,kind", [("This act is necessary for the immediate preservation of the public peace and takes effect immediately.", "emergency"), ("If any provision is held invalid, the remainder is not affected.", "severability"), ("Section 3 of this act expires July 1, 2030.", "expiration"), ("takes effect only if SB 1 is enacted", "contingent"), ("The sum of $5 is", "appropriation"), ("The legislature finds that", "intent"), ("This act takes effect July 1.", "new")])
 def test_kinds_of_sections(spark, text, kind):
     from pyspark.sql import functions as F

@@ -27,6 +27,8 @@ LONG = {"added_text": 1.5, "text": 1.0, "body": 1.0, "description": 1.0, "histor
 PHRASE, PHRASES, SLOP = 2.0, {"title": 3.0, "heading": 2.0}, 2
 LATEST, RECENT, RECENT_DAYS = 1.5, 1.2, 30
 EDITS, FIXED_LETTERS = (4, 7), 2
+#: Digits to which ranks differ; equal ones go by key.
+DIGITS = 9
 #: How fast repeated terms and long fields lose weight.
 K1, B = 1.2, 0.75
 
@@ -140,8 +142,9 @@ def asked_tree(text: str, stem_of: Mapping[str, str], groups: Sequence[Sequence[
 def search_terms(tables: Mapping[str, DataFrame], tree: tuple, classes: Mapping[str, str], types: DataFrame | None = None, k: int = 20) -> DataFrame:
     """The `k` best (key, rank) of a tree of terms by cover density, as a ranked search of the documents would find them.
 
-    Only the postings of the tree's terms are read; a document's are put together and matched there. A document's rank
-    can't exceed what as many shortest stretches as its rarest term has places would give, each of the best weight.
+    Only the postings of the tree's terms are read; a document's are put together and matched there. A shortest
+    stretch holds a place of the document's rarest term, and a place lies in no more of them than there are terms, so
+    a rank can't exceed what so many stretches of the best weight would give.
     The documents of the largest bounds are ranked first, and of the others only those whose bound exceeds the k-th
     best rank found. `types` has (key, weight, bonus), for a factor and an addend of each key.
     """
@@ -157,14 +160,14 @@ def search_terms(tables: Mapping[str, DataFrame], tree: tuple, classes: Mapping[
     number = lambda w: F.aggregate(F.filter("terms", lambda t: t["term"] == w), F.lit(0), lambda s, t: s + F.size(t["at"]))
     counts = F.filter(F.array(*map(number, wanted)), lambda c: c > 0) if wanted else F.array(F.lit(0))
     heaviest = F.array_max(F.transform(F.filter("terms", lambda t: t["term"].isin(wanted)), lambda t: F.element_at(F.create_map(*[F.lit(x) for kv in CLASS_WEIGHT.items() for x in kv]), t["weight"])))
-    most = F.coalesce(F.array_min(counts) * heaviest, F.lit(0.0))
+    most = F.coalesce(F.array_min(counts) * F.size(counts) * heaviest, F.lit(0.0))
     own = own.withColumn("_most", most / (most + 1))
     own = own.join(types, "key", "left") if types is not None else own.withColumns({"weight": F.lit(1.0), "bonus": F.lit(0.0)})
     own = own.withColumn("_bound", F.col("_most") * F.coalesce("weight", F.lit(1.0)) + F.coalesce("bonus", F.lit(0.0)))
 
     def density(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            rank = [cover_density(list(ts), wanted) * w + b for ts, w, b in zip(rows["terms"], rows["weight"], rows["bonus"], strict=True)]
+            rank = [round(cover_density(list(ts), wanted) * w + b, DIGITS) for ts, w, b in zip(rows["terms"], rows["weight"], rows["bonus"], strict=True)]
             yield pd.DataFrame({"key": rows["key"], "rank": pd.Series(rank, dtype=float)})
 
     kind = own.schema["key"].dataType.simpleString()
@@ -173,7 +176,7 @@ def search_terms(tables: Mapping[str, DataFrame], tree: tuple, classes: Mapping[
     first = exact(own.orderBy(*order).limit(min(4 * k, 1 << 20))).orderBy(F.col("rank").desc(), "key").limit(k).collect()
     if len(first) < k:
         return exact(own).orderBy(F.col("rank").desc(), "key").limit(k)
-    return exact(own.where(F.col("_bound") >= first[-1]["rank"])).orderBy(F.col("rank").desc(), "key").limit(k)
+    return exact(own.where(F.col("_bound") >= first[-1]["rank"] - 10.0**-DIGITS)).orderBy(F.col("rank").desc(), "key").limit(k)
 
 
 def _all_terms(tree: tuple) -> list[str]:

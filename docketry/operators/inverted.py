@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from docketry.functions.analysis import shingles, stems, token_graph, words_column, words_of
 from docketry.operators import relational as op
-from docketry.operators.search import CLASS_WEIGHT, cover_density, matches, positive_terms
+from docketry.operators.search import CLASS_WEIGHT, all_terms, cover_density, matches, positive_terms
 
 #: Folders of a table that is dealt out by term, and bytes of a dictionary that is broadcast.
 BUCKETS, BROADCAST = 64, 64 << 20
@@ -149,7 +149,7 @@ def search_terms(tables: Mapping[str, DataFrame], tree: tuple, classes: Mapping[
     best rank found. `types` has (key, weight, bonus), for a factor and an addend of each key.
     """
     wanted = positive_terms(tree)
-    rows = of_terms(tables["postings"], list(dict.fromkeys(_all_terms(tree))))
+    rows = of_terms(tables["postings"], list(dict.fromkeys(all_terms(tree))))
     weight = F.create_map(*[F.lit(x) for kv in classes.items() for x in kv])
     # Fields run on from one another, as in the analysed document: a field begins where those of better classes end.
     own = rows.groupBy("key").agg(F.collect_list(F.struct("term", F.transform("at", lambda p: p.cast("int")).alias("at"), F.col("field"))).alias("found"))
@@ -179,15 +179,6 @@ def search_terms(tables: Mapping[str, DataFrame], tree: tuple, classes: Mapping[
     return exact(own.where(F.col("_bound") >= first[-1]["rank"] - 10.0**-DIGITS)).orderBy(F.col("rank").desc(), "key").limit(k)
 
 
-def _all_terms(tree: tuple) -> list[str]:
-    kind, arg = tree
-    if kind == "term":
-        return [arg]
-    if kind == "phrase":
-        return [t for t, _ in arg]
-    return _all_terms(arg) if kind == "not" else [t for p in arg for t in _all_terms(p)]
-
-
 def _offsets(tables: Mapping[str, DataFrame], own: DataFrame, classes: Mapping[str, str]) -> DataFrame | None:
     """(key, begins): where each field of a document begins, if the index has its lengths by document."""
     if "lengths" not in tables:

@@ -406,15 +406,17 @@ WORDS = f"(SELECT doc_id, {TOKENS} AS ws FROM documents)"
 @query(f"SELECT doc_id FROM {WORDS} WHERE (list_has_any(ws, ['idiot', 'idiots']) AND NOT list_has_any(ws, ['clown', 'clowns'])) OR list_has_any(ws, ['moron', 'morons'])")
 def search_words(spark, sf_dir):
     """A web-style query over stems: one word without another, or a third."""
-    docs = search.analyse(read(spark, sf_dir, "documents").select("doc_id", "text"), {"text": "D"})
-    return docs.where(search.matches(search.parse_query("idiot -clown OR Morons"), F.col("terms"))).select("doc_id")
+    tree = search.parse_query("idiot -clown OR Morons")
+    docs = search.analyse(read(spark, sf_dir, "documents").select("doc_id", "text"), {"text": "D"}, only=search.all_terms(tree))
+    return docs.where(search.matches(tree, F.col("terms"))).select("doc_id")
 
 
 @query(f"SELECT doc_id, 0.1 * n / (0.1 * n + 1) AS rank FROM (SELECT doc_id, len(list_filter(ws, lambda w: w IN ('idiot', 'idiots'))) AS n FROM {WORDS}) WHERE n > 0")
 def search_rank(spark, sf_dir):
     """Cover density of one word: each place is a stretch of its own, of the weight of its field."""
-    docs = search.analyse(read(spark, sf_dir, "documents").select("doc_id", "text"), {"text": "D"})
-    return search.ranked(docs, search.parse_query("idiots")).select("doc_id", "rank")
+    tree = search.parse_query("idiots")
+    docs = search.analyse(read(spark, sf_dir, "documents").select("doc_id", "text"), {"text": "D"}, only=search.all_terms(tree))
+    return search.ranked(docs, tree).select("doc_id", "rank")
 
 
 @query(f"""

@@ -104,3 +104,17 @@ def test_search(spark):
     assert [r["headline"] for r in search.with_headline(docs.where("id = 'a'"), ("term", "fish"), "body").collect()] == ["<mark>fishing.</mark>"]
     forms = docs.withColumn("forms", F.array(F.concat(F.lit("HB "), "id")))
     assert [r["id"] for r in search.suggest(forms, "hb a", "title", "forms").collect()] == ["a"] and [r["id"] for r in search.suggest(forms, "road", "title", "forms").collect()] == ["b"]
+
+
+def test_analysis_for_one_query(spark):
+    """The terms of a query alone stand where the whole analysis has them, in all fields; a stem keeps the first letter."""
+    rows = [(1, "Roads, roads and the dying road", "Tied skies; taxes on a road"), (2, None, "Lying by the roads"), (3, "", None)]
+    docs = spark.createDataFrame(rows, "id int, title string, body string")
+    tree = search.parse_query('road -"taxes road" OR lying')
+    asked = set(search.all_terms(tree))
+    assert asked == {"road", "tax", "lie"}
+    plain = lambda df: {r["id"]: [(t["term"], t["at"], t["weight"]) for t in r["terms"]] for r in df.collect()}
+    whole, own = plain(search.analyse(docs, {"title": "A", "body": "C"})), plain(search.analyse(docs, {"title": "A", "body": "C"}, only=asked))
+    assert own == {k: [t for t in ts if t[0] in asked] for k, ts in whole.items()}
+    assert own == {1: [("road", [1, 2, 6], "A"), ("tax", [10], "C"), ("road", [13], "C")], 2: [("lie", [2], "C"), ("road", [5], "C")], 3: []}
+    assert all(stem(w)[0] == w[0] for w in ("dying", "tied", "skies", "yes", "ying", "x's", "ies", "ed", "sses", "ational", "ement", "ion"))

@@ -118,3 +118,18 @@ def test_analysis_for_one_query(spark):
     assert own == {k: [t for t in ts if t[0] in asked] for k, ts in whole.items()}
     assert own == {1: [("road", [1, 2, 6], "A"), ("tax", [10], "C"), ("road", [13], "C")], 2: [("lie", [2], "C"), ("road", [5], "C")], 3: []}
     assert all(stem(w)[0] == w[0] for w in ("dying", "tied", "skies", "yes", "ying", "x's", "ies", "ed", "sses", "ational", "ement", "ion"))
+
+
+def test_only_what_is_asked_for_is_made():
+    """Cells, blocks and the certificate are the same alone as from the whole document, and nothing beside them is made."""
+    law = LAW.replace("<Value>1</Value>", "<Value>²</Value>")
+    whole = documents.parse_bill_xml(LAW)
+    for rows in ("cells", "blocks", "certificates"):
+        own = documents.parse_bill_xml(LAW, rows)
+        assert list(own) == (["certificate"] if rows == "certificates" else ["sections"])
+        assert own.get("certificate", whole["certificate"]) == whole["certificate"]
+        for a, b in zip(own.get("sections", []), whole["sections"], strict=False):
+            assert set(a) == {"ordinal", "section_id", "tables" if rows == "cells" else "blocks"} and all(a[k] == b[k] for k in a)
+        assert len(own.get("sections", whole["sections"])) == len(whole["sections"]) > 0
+    assert list(documents.rows_of(documents.parse_bill_xml(law, "certificates"), "certificates")) == list(documents.rows_of(whole, "certificates"))
+    assert documents.clean(" a ﻿ b ") == "a b"

@@ -112,7 +112,8 @@ def save(tables: Mapping[str, DataFrame], path: str, buckets: int = BUCKETS) ->
         by = next((c for c in ("term", "prefix", "variant", "gram") if c in df.columns), None)
         if by and name != "stems":
             dealt = df.withColumns({"buckets": F.lit(buckets), "bucket": bucket(F.col(by), F.lit(buckets))})
-            dealt.repartition("bucket").sortWithinPartitions("bucket", by).write.mode("overwrite").partitionBy("buckets", "bucket").parquet(f"{path}/{name}")
+            # Where a frequent term makes a folder too much for one task, Spark deals it out to several.
+            dealt.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", by).write.mode("overwrite").partitionBy("buckets", "bucket").parquet(f"{path}/{name}")
         else:
             df.write.mode("overwrite").parquet(f"{path}/{name}")
 
@@ -256,13 +257,18 @@ def ranked_fields(tables: Mapping[str, DataFrame], queries: DataFrame, traits: D
 
 
 def completions(docs: DataFrame, key: str, title: str, forms: str, most: int = 12) -> DataFrame:
-    """(prefix, key, kind, place): beginnings of the number forms, and of the title's words and shingles by where they begin."""
-    low = F.transform(forms, lambda x: F.lower(x))
-    words = words_column(F.col(title))
+    """(prefix, key, kind, place): beginnings of the number forms, and of the title's words and shingles by where they begin.
+
+    The rows of a key meet before beginnings are made, and the first of equal ones is told within their sorted array,
+    so that no task gathers the beginnings of many keys.
+    """
     starts = lambda values, kind: F.flatten(F.transform(values, lambda x, i: F.transform(F.sequence(F.lit(1), F.least(F.length(x), F.lit(most))), lambda n: F.struct(F.substr(x, F.lit(1), n).alias("prefix"), F.lit(kind).alias("kind"), i.alias("place")))))
-    every = F.concat(starts(F.filter(low, lambda x: x != ""), "number"), starts(words, "word"), starts(shingles(words), "shingle"))
-    rows = docs.select(F.col(key).alias("key"), F.explode(every).alias("c")).select("key", "c.*")
-    return rows.groupBy("prefix", "key", "kind").agg(F.min("place").alias("place"))
+    every = lambda r: F.concat(starts(F.filter(F.transform(r["forms"], F.lower), lambda x: x != ""), "number"), starts(r["words"], "word"), starts(shingles(r["words"]), "shingle"))
+    own = docs.select(F.col(key).alias("key"), F.struct(words_column(F.col(title)).alias("words"), F.col(forms).alias("forms")).alias("r")).where("r.forms IS NOT NULL")
+    own = own.groupBy("key").agg(F.collect_list("r").alias("rows")).select("key", F.array_sort(F.flatten(F.transform("rows", every))).alias("c"))
+    before = lambda i: F.get(F.col("c"), i - 1)
+    fresh = F.filter("c", lambda x, i: (i == 0) | (x["prefix"] != before(i)["prefix"]) | (x["kind"] != before(i)["kind"]))
+    return own.select("key", F.explode(fresh).alias("c")).select("c.prefix", "key", "c.kind", "c.place")
 
 
 def complete(prefixes: DataFrame, text: str, size: int = 10) -> DataFrame:
@@ -286,11 +292,20 @@ def grams_of(docs: DataFrame, key: str, title: str) -> DataFrame:
 def similar_titles(grams: DataFrame, asked: DataFrame, least: float = 0.3) -> DataFrame:
     """(qid, key, score): titles whose trigrams are as similar as `least` to those of a query (qid, text), by counting shared ones.
 
-    Sizes alone rule out most: with a similarity above `least` neither has more than the other's number over it.
+    Such a pair shares so many trigrams that, in whatever order a title's stand, one of its first ones is shared. They
+    stand rarest first, a pair is met at the first trigram that both have, and is compared there as two arrays: only
+    pairs that are similar leave a task, and none are counted up.
     """
     from docketry.operators.search import trigrams
 
-    q = asked.select("qid", trigrams(F.col("text")).alias("g")).select("qid", F.size("g").alias("asked"), F.explode("g").alias("gram"))
-    met = q.join(grams, "gram").where((F.least("asked", "n") > F.greatest("asked", "n") * F.lit(least)))
-    same = met.groupBy("qid", "key", "asked", "n").agg(F.count(F.lit(1)).alias("same"))
-    return same.withColumn("score", F.col("same") / (F.col("asked") + F.col("n") - F.col("same"))).where(F.col("score") > least).select("qid", "key", "score")
+    q = asked.select("qid", trigrams(F.col("text")).alias("own")).withColumn("asked", F.size("own"))
+    by_gram = q.select("qid", "asked", F.explode("own").alias("gram"))
+    often = by_gram.groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
+    rows = grams.select("gram", "key", "n").join(often, "gram", "left")
+    titles = rows.repartition("key").groupBy("key", "n").agg(F.array_sort(F.collect_set(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "gram"))).alias("g"))
+    placed = titles.select("key", "n", F.transform("g", lambda x: x["gram"]).alias("grams"), F.posexplode(F.transform("g", lambda x: x["gram"])).alias("place", "gram"))
+    needed = F.greatest(F.floor((F.col("asked") + F.col("n")) * (least / (1 + least)) - 1e-9) + 1, F.lit(1))
+    met = placed.join(by_gram, "gram").where((F.least("asked", "n") > F.greatest("asked", "n") * F.lit(least)) & (F.col("place") <= F.col("n") - needed))
+    both = met.join(q.select("qid", "own"), "qid").withColumn("both", F.array_intersect("grams", "own")).where(F.get("both", F.lit(0)) == F.col("gram"))
+    scored = both.withColumn("same", F.size("both")).withColumn("score", F.col("same") / (F.col("asked") + F.col("n") - F.col("same")))
+    return scored.where(F.col("score") > least).select("qid", "key", "score")

@@ -127,3 +127,30 @@ def test_completion_and_similar_titles(spark, tmp_path):
     got = {r["key"]: r["score"] for r in inverted.similar_titles(grams, asked).collect()}
     every = docs.where("title is not null").select("id", search.op.jaccard(search.trigrams(F.col("title")), search.trigrams(F.lit("salmon recovery"))).alias("s")).collect()
     assert got == {r["id"]: pytest.approx(r["s"]) for r in every if r["s"] > 0.3}
+
+
+def test_no_task_gathers_beginnings_or_pairs_of_many_keys(spark):
+    """Beginnings and similar titles equal a plain version, also where keys repeat, and are never grouped themselves."""
+    rows = [(1, "large ring", ["P1"]), (1, "ring large", ["p1", ""]), (2, "hot bolt ring", ["p2"]), (None, "large", ["x"]), (3, "", ["q"]), (4, "lone", None)]
+    docs = spark.createDataFrame(rows, "id int, title string, forms array<string>")
+    want = {}
+    for key, title, forms in rows:
+        words = title.split()
+        shingled = [" ".join(words[i : i + n]) for i in range(len(words)) for n in (2, 3) if i + n <= len(words)]
+        for kind, values in (("number", [f.lower() for f in forms or [] if f]), ("word", words), ("shingle", shingled)) if forms is not None else ():
+            for place, value in enumerate(values):
+                for n in range(1, min(12, len(value)) + 1):
+                    want[value[:n], key, kind] = min(place, want.get((value[:n], key, kind), place))
+    made = inverted.completions(docs, "id", "title", "forms")
+    got = [tuple(r) for r in made.select("prefix", "key", "kind", "place").collect()]
+    assert len(got) == len(want) and {r[:3]: r[3] for r in got} == want
+    titles = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate([("large", "ring"), ("large", "bolt"), ("enlarged", "rings"), ("x",), ("",)])], "id int, title string")
+    asked = spark.createDataFrame([("a", "a large ring of rings"), ("b", "bolt"), ("c", "")], "qid string, text string")
+    grams = lambda t: {w[i : i + 3] for w in (f"  {x} " for x in t.split()) for i in range(len(w) - 2)}
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    for least in (0.0, 0.05, 0.3, 0.6):
+        pairs = {(q, k): len(grams(t) & grams(u)) / len(grams(t) | grams(u)) for q, u in asked.collect() for k, t in titles.collect() if grams(t) and grams(u)}
+        found = inverted.similar_titles(inverted.grams_of(titles, "id", "title"), asked, least)
+        assert {(r["qid"], r["key"]): round(r["score"], 9) for r in found.collect()} == {p: round(s, 9) for p, s in pairs.items() if s > least}
+        assert "Aggregate [qid" not in plan(found)
+    assert "Aggregate [prefix" not in plan(made)

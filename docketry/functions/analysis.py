@@ -45,10 +45,14 @@ def words_of(text: str | None) -> list[str]:
 def words_column(text: Column) -> Column:
     """The same of a column, in built-in expressions; null text has no words."""
     low = F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("&"), F.lit(" and ")))
+    plain = low
     for c, p in MANY.items():
-        low = F.replace(low, F.lit(c), F.lit(p))
-    low = F.translate(low, "".join(SINGLE), "".join(SINGLE.values()))
-    return F.transform(F.regexp_extract_all(low, F.lit(f"({WORD})"), F.lit(1)), lambda w: F.replace(F.regexp_replace(w, "['’]s$", ""), F.lit("’"), F.lit("'")))
+        plain = F.replace(plain, F.lit(c), F.lit(p))
+    plain = F.translate(plain, "".join(SINGLE), "".join(SINGLE.values()))
+    # Where letters are as many as bytes, all are ASCII and none is folded.
+    low = F.when(F.length(low) == F.octet_length(low), low).otherwise(plain)
+    bare = lambda w: F.when(F.endswith(w, F.lit("'s")) | F.endswith(w, F.lit("’s")), F.substr(w, F.lit(1), F.length(w) - 2)).otherwise(w)
+    return F.transform(F.regexp_extract_all(low, F.lit(f"({WORD})"), F.lit(1)), lambda w: F.replace(bare(w), F.lit("’"), F.lit("'")))
 
 
 def shingles(words: Column, least: int = 2, most: int = 3) -> Column:

@@ -49,11 +49,37 @@ def build(docs: DataFrame, key: str, fields: Sequence[str], stemmed: bool = True
     """
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), words_column(F.col(f).cast("string")).alias("words")) for f in fields]))
     rows = docs.select(F.col(key).alias("key"), each.alias("f")).select("key", "f.field", "f.words").where(F.size("words") > 0)
-    placed = rows.select("key", "field", F.size("words").alias("n"), F.posexplode("words").alias("place", "term"))
-    dictionary = stems(placed) if stemmed else placed.select("term", F.col("term").alias("stem")).distinct()
-    postings = placed.join(dictionary, "term").groupBy(F.col("stem").alias("term"), "key", "field").agg(F.array_sort(F.collect_list("place")).alias("at"), F.first("n").alias("n"))
-    lengths = rows.groupBy("field").agg(F.count(F.lit(1)).alias("docs"), F.avg(F.size("words")).alias("mean"))
-    return {"postings": postings, "terms": postings.groupBy("term", "field").agg(F.count(F.lit(1)).alias("df")), "fields": lengths, "lengths": rows.select("key", "field", F.size("words").alias("n")), "stems": dictionary}
+    postings = _placed(rows)
+    dictionary = stems(rows.select(F.explode("words").alias("term"))) if stemmed else None
+    if stemmed:
+        places = F.array_sort(F.flatten(F.collect_list("at")))
+        postings = postings.join(dictionary, "term").groupBy(F.col("stem").alias("term"), "key", "field").agg(places.alias("at"), F.first("n").alias("n"))
+    lengths = rows.select("key", "field", F.size("words").alias("n"))
+    return {"postings": postings, "terms": terms_of(postings), "fields": fields_of(lengths), "lengths": lengths, "stems": dictionary if stemmed else own_stems(postings)}
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """(term, key, field, at, n) of (key, field, words). A field's words are sorted and cut where the next term begins
+    as one array, so that places don't travel one by one; rows that repeat a key count as one document."""
+    own = rows.groupBy("key", "field").agg(F.collect_list("words").alias("all")).withColumn("n", F.size(F.get("all", F.lit(0))))
+    own = own.withColumn("s", F.array_sort(F.flatten(F.transform("all", lambda ws: F.transform(ws, lambda w, i: F.struct(w.alias("term"), i.alias("place"))))))).drop("all")
+    term = lambda i: F.get(F.col("s"), i)["term"]
+    own = own.withColumn("begins", F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: (i == 0) | (term(i) != term(i - 1)))).withColumn("places", F.transform("s", lambda x: x["place"]))
+    cut = F.transform("begins", lambda b, i: F.struct(term(b).alias("term"), F.slice(F.col("places"), b + 1, F.coalesce(F.get(F.col("begins"), i + 1), F.size("s")) - b).alias("at")))
+    return own.select("key", "field", "n", F.explode(cut).alias("t")).select("t.term", "key", "field", "t.at", "n")
+
+
+def terms_of(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("term", "field").agg(F.count(F.lit(1)).alias("df"))
+
+
+def fields_of(lengths: DataFrame) -> DataFrame:
+    return lengths.groupBy("field").agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"))
+
+
+def own_stems(postings: DataFrame) -> DataFrame:
+    """Stems of an index without stems: each term is its own."""
+    return postings.select("term", F.col("term").alias("stem")).distinct()
 
 
 def deletions(terms: DataFrame, most: int = 2, letters: int = FIXED_LETTERS) -> DataFrame:
@@ -106,9 +132,16 @@ def fuzzy(asked: DataFrame, variants: DataFrame) -> DataFrame:
     return met.withColumn("edits", distance("word", "term")).where(F.col("edits") <= allowed)
 
 
-def save(tables: Mapping[str, DataFrame], path: str, buckets: int = BUCKETS) -> None:
-    """Writes the tables; those with a term, prefix, variant or trigram in folders by its hash and their number, sorted within."""
-    for name, df in tables.items():
+def save(tables: Mapping[str, DataFrame], path: str, buckets: int = BUCKETS, stemmed: bool = True) -> None:
+    """Writes the tables; those with a term, prefix, variant or trigram in folders by its hash and their number, sorted within.
+
+    Numbers by term and field are counted from postings and lengths as they were written, if these are among the tables,
+    so that the texts aren't analysed for them again; without stems the terms are listed so too.
+    """
+    made = {"terms": ("postings", terms_of), "fields": ("lengths", fields_of)} | ({} if stemmed else {"stems": ("postings", own_stems)})
+    for name, df in sorted(tables.items(), key=lambda kv: kv[0] in made):
+        if name in made and made[name][0] in tables:
+            df = made[name][1](df.sparkSession.read.parquet(f"{path}/{made[name][0]}"))
         by = next((c for c in ("term", "prefix", "variant", "gram") if c in df.columns), None)
         if by and name != "stems":
             dealt = df.withColumns({"buckets": F.lit(buckets), "bucket": bucket(F.col(by), F.lit(buckets))})

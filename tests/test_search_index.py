@@ -154,3 +154,17 @@ def test_no_task_gathers_beginnings_or_pairs_of_many_keys(spark):
         assert {(r["qid"], r["key"]): round(r["score"], 9) for r in found.collect()} == {p: round(s, 9) for p, s in pairs.items() if s > least}
         assert "Aggregate [qid" not in plan(found)
     assert "Aggregate [prefix" not in plan(made)
+
+
+def test_terms_are_counted_from_saved_postings(spark, tmp_path):
+    """Keys that repeat are one document, folded and plain words are the same terms, and counts come from what was written."""
+    docs = spark.createDataFrame([(1, "Ax's ax & ÉTÉ"), (1, "ax oak"), (None, "oak’s"), (2, ""), (3, None), (4, "été ete's")], "id int, body string")
+    built = inverted.build(docs, "id", ["body"], stemmed=False)
+    assert {(r["term"], r["key"]): (r["at"], r["n"]) for r in built["postings"].where("key IS NULL OR key <> 1").collect()} == {("oak", None): ([0], 1), ("ete", 4): ([0, 1], 2)}
+    assert {r["term"]: r["at"] for r in built["postings"].where("key = 1").collect()} == {"ax": [0, 0, 1], "and": [2], "ete": [3], "oak": [1]}
+    twice = built["postings"].unionByName(built["postings"].where("term = 'ax'").withColumn("key", F.lit(9)))
+    at = f"file://{tmp_path}/i"
+    inverted.save(built | {"postings": twice}, at, buckets=4, stemmed=False)
+    got = inverted.load(spark, at, "terms", "stems", "fields")
+    assert {r["term"]: r["df"] for r in got["terms"].collect()} == {"ax": 2, "and": 1, "ete": 2, "oak": 2}
+    assert sorted(r["term"] for r in got["stems"].collect()) == ["and", "ax", "ete", "oak"] and got["fields"].first()["docs"] == 4

@@ -43,29 +43,31 @@ def day(column: str):
     return F.date_format(column, "yyyy-MM-dd")
 
 
-def records(spark, sf_dir):
-    """Orders as bill records with their lines as texts, amendments, hearings, notes and history."""
-    n = F.col("l_linenumber")
-    link = F.concat(F.lit("http://x/"), (F.col("l_orderkey") % 9000 + 1000).cast("string"), F.element_at(F.array(*map(F.lit, SUFFIX)), F.col("l_linenumber").cast("int")), F.lit(".xml"))
-    line = F.struct(
-        n.cast("int").alias("n"), day("l_shipdate").alias("ship"), day("l_commitdate").alias("commit"), link.alias("link"), "l_returnflag", "l_linestatus", "l_shipmode", "l_orderkey",
-    )
+def line_arrays(spark, sf_dir):
+    """Orders with their lines as one array."""
+    line = F.struct(F.col("l_linenumber").cast("int").alias("n"), F.col("l_shipdate").alias("ship"), F.col("l_commitdate").alias("commit"), "l_returnflag", "l_linestatus", "l_shipmode")
     own = lines(spark, sf_dir).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("x"))
-    o = read(spark, sf_dir, "orders").join(own, F.col("o_orderkey") == F.col("l_orderkey"))
+    return read(spark, sf_dir, "orders").join(own, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority", "x")
+
+
+def records(spark, sf_dir, hold=lambda df: df):
+    """Orders as bill records with their lines as texts, amendments, hearings, notes and history."""
+    o = hold(line_arrays(spark, sf_dir))
     key = F.col("o_orderkey")
+    link = lambda s: F.concat(F.lit("http://x/"), (key % 9000 + 1000).cast("string"), F.element_at(F.array(*map(F.lit, SUFFIX)), s["n"]), F.lit(".xml"))
     each = lambda make, keep=None: F.transform("x" if keep is None else F.filter("x", keep), make)
     return o.select(
         key.alias("bill_id"), F.md5(F.concat_ws("|", key, "o_orderstatus")).alias("change_hash"), (key % 8).cast("int").alias("status"),
         F.when(key % 5 == 0, "0000-00-00").otherwise(day("o_orderdate")).alias("status_date"), F.struct(F.year("o_orderdate").alias("year_start")).alias("session"),
         F.concat(F.when(key % 2 == 0, "HB").otherwise("SJR"), key.cast("string")).alias("bill_number"), F.concat(F.lit("Title "), F.col("o_orderpriority")).alias("title"), F.col("o_orderpriority").alias("description"),
         F.struct(F.concat(F.lit("Committee "), key % 3).alias("name")).alias("committee"),
-        each(lambda s: F.struct(s["commit"].alias("date"), F.when(s["n"] == 2, "Chapter 5, 1996 Laws.").otherwise(F.concat(F.lit("Reading "), s["n"])).alias("action"))).alias("history"),
+        each(lambda s: F.struct(day(s["commit"]).alias("date"), F.when(s["n"] == 2, "Chapter 5, 1996 Laws.").otherwise(F.concat(F.lit("Reading "), s["n"])).alias("action"))).alias("history"),
         F.array(*[F.struct(F.lit(i).cast("long").alias("people_id"), F.concat(F.lit(f"P{i}-"), F.col("o_custkey")).alias("name"), F.lit(f"L{i}").alias("last_name"), F.lit(3 - i).alias("sponsor_order")) for i in (1, 2)]).alias("sponsors"),
         F.when(key % 3 == 0, F.array(F.struct(F.lit("Crossfiled").alias("type"), F.concat(F.lit("SB"), key).alias("sast_bill_number")))).otherwise(F.array(F.struct(F.lit("Other").alias("type"), F.lit("x").alias("sast_bill_number")))).alias("sasts"),
-        each(lambda s: F.struct(s["n"].cast("long").alias("doc_id"), s["ship"].alias("date"), F.lit("x").alias("type"), s["link"].alias("state_link"), F.md5(s["link"]).alias("text_hash"))).alias("texts"),
-        each(lambda s: F.struct((s["l_orderkey"] * 100 + s["n"]).alias("amendment_id"), (s["l_linestatus"] == "F").cast("int").alias("adopted"), F.concat(F.lit("to "), s["l_shipmode"]).alias("title"), F.when(s["n"] % 2 == 0, "adopted 01/02/2025").alias("description"), F.concat(F.lit("http://x/1500 AMH WM H"), F.lpad((s["l_orderkey"] % 9999).cast("string"), 4, "0"), F.lit(".1.pdf")).alias("state_link"), s["ship"].alias("date"), F.lit("h").alias("amendment_hash")), lambda s: s["l_returnflag"] == "R").alias("amendments"),
-        each(lambda s: F.struct(F.concat(F.lit("s"), s["n"]).cast("string").alias("supplement_id"), s["ship"].alias("date"), F.when(s["n"] % 2 == 1, "Fiscal Note").otherwise("Analysis").alias("type"), s["l_shipmode"].alias("description"), s["link"].alias("state_link"))).alias("supplements"),
-        each(lambda s: F.struct(s["n"].cast("string").alias("event_hash"), s["ship"].alias("date"), F.when(s["n"] % 2 == 1, "8:30").otherwise("tba").alias("time"), s["l_shipmode"].alias("location"), F.when(s["n"] % 3 == 0, "Public Hearing on it").when(s["n"] % 3 == 1, "Executive action").alias("description"))).alias("calendar"),
+        each(lambda s: F.struct(s["n"].cast("long").alias("doc_id"), day(s["ship"]).alias("date"), F.lit("x").alias("type"), link(s).alias("state_link"), F.md5(link(s)).alias("text_hash"))).alias("texts"),
+        each(lambda s: F.struct((key * 100 + s["n"]).alias("amendment_id"), (s["l_linestatus"] == "F").cast("int").alias("adopted"), F.concat(F.lit("to "), s["l_shipmode"]).alias("title"), F.when(s["n"] % 2 == 0, "adopted 01/02/2025").alias("description"), F.concat(F.lit("http://x/1500 AMH WM H"), F.lpad((key % 9999).cast("string"), 4, "0"), F.lit(".1.pdf")).alias("state_link"), day(s["ship"]).alias("date"), F.lit("h").alias("amendment_hash")), lambda s: s["l_returnflag"] == "R").alias("amendments"),
+        each(lambda s: F.struct(F.concat(F.lit("s"), s["n"]).cast("string").alias("supplement_id"), day(s["ship"]).alias("date"), F.when(s["n"] % 2 == 1, "Fiscal Note").otherwise("Analysis").alias("type"), s["l_shipmode"].alias("description"), link(s).alias("state_link"))).alias("supplements"),
+        each(lambda s: F.struct(s["n"].cast("string").alias("event_hash"), day(s["ship"]).alias("date"), F.when(s["n"] % 2 == 1, "8:30").otherwise("tba").alias("time"), s["l_shipmode"].alias("location"), F.when(s["n"] % 3 == 0, "Public Hearing on it").when(s["n"] % 3 == 1, "Executive action").alias("description"))).alias("calendar"),
     )
 
 
@@ -133,14 +135,12 @@ UNION ALL SELECT 'hearing.rescheduled', bill_key, bill_key || ':' || l_linenumbe
 """)
 def reload_events(spark, sf_dir):
     """A reload: of every four bills one is new, one changed its status, times and a version, one its hash alone, one is the same."""
-    now = records(spark, sf_dir)
+    now = records(spark, sf_dir, held)
     k = F.col("bill_id") % 4
     earlier = now.where(k < 3).withColumn("change_hash", F.when(k > 0, "old").otherwise(F.col("change_hash"))).withColumn("status", F.when(k == 2, 1).otherwise(F.col("status")))
     moved = F.transform("calendar", lambda c: c.withField("location", F.lit("before")).withField("date", F.lit("1990-01-01")))
     earlier = earlier.withColumn("calendar", F.when(k == 2, moved).otherwise(F.col("calendar"))).withColumn("texts", F.when(k == 2, F.filter("texts", lambda t: t["doc_id"] != 3)).otherwise(F.col("texts")))
-    earlier = held(earlier)
-    stored = {name: held(df) for name, df in bills.tables(earlier).items()}
-    return bills.reload(held(now), stored, F.to_timestamp_ntz(F.lit("2100-01-01 00:00:00")), held)[1]
+    return bills.reload(now, bills.tables(earlier), F.to_timestamp_ntz(F.lit("2100-01-01 00:00:00")), held)[1]
 
 
 @query(f"""

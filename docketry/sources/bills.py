@@ -113,7 +113,8 @@ def changed(bills: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def events(old: dict[str, DataFrame], new: dict[str, DataFrame]) -> DataFrame:
-    """(type, bill_key, subject) of a reload: what is new, what moved and what was called off."""
+    """(type, bill_key, subject) of a reload: what is new, what moved and what was called off. Rows that a reload left
+    as they were have no events, so `new` may be without them."""
     b = new["bills"].join(old["bills"].select("bill_key", F.col("status").alias("_was")), "bill_key", "left")
     h = new["hearings"].join(old["hearings"].select("id", F.col("at").alias("_at"), F.col("cancelled").alias("_c")), "id", "left")
 
@@ -144,13 +145,19 @@ KEYS = {"bills": ["bill_key"], "versions": ["bill_key", "version_code"], "amendm
 
 def reload(bills: DataFrame, stored: dict[str, DataFrame], as_of: Column, hold: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[dict[str, DataFrame], DataFrame]:
     """(tables after a reload, its events). Only changed bills are upserted; hearings of theirs that lie ahead and
-    weren't seen again are cancelled. `hold` writes a table that several results read and reads it again."""
-    fresh = {name: hold(df) for name, df in tables(hold(changed(bills, stored["bills"]))).items()}
+    weren't seen again are cancelled. `hold` writes a table that several results read and reads it again.
+
+    Only the keys of changed bills are held: their tables are made anew where they are read, of the columns read there,
+    and events are told from the changed rows alone.
+    """
+    keys = hold(keyed(changed(bills, stored["bills"])).select(F.col("bill_key").alias("_key")).distinct())
+    of_changed = lambda df: df.join(keys, F.col("bill_key").eqNullSafe(F.col("_key")), "left_semi")
+    fresh = {name: of_changed(df) for name, df in tables(bills).items()}
     after = {name: op.upsert(stored[name], fresh[name], KEYS[name]) for name in fresh}
-    touched = stored["hearings"].join(fresh["bills"].select("bill_key"), "bill_key", "left_semi")
-    gone = op.soft_delete(touched, fresh["hearings"], "id", "at", as_of).where("cancelled")
-    after["hearings"] = hold(op.upsert(after["hearings"], gone, ["id"]))
-    return after, events(stored, after)
+    gone = op.soft_delete(of_changed(stored["hearings"]), fresh["hearings"], "id", "at", as_of).where("cancelled")
+    after["hearings"] = op.upsert(after["hearings"], gone, ["id"])
+    once = {name: df.dropDuplicates(KEYS[name]) for name, df in fresh.items()}
+    return after, events(stored, once | {"hearings": op.upsert(fresh["hearings"], gone, ["id"])})
 
 
 def fetched(versions: DataFrame, xml: DataFrame, htm: DataFrame) -> DataFrame:

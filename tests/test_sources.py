@@ -133,3 +133,12 @@ def test_only_what_is_asked_for_is_made():
         assert len(own.get("sections", whole["sections"])) == len(whole["sections"]) > 0
     assert list(documents.rows_of(documents.parse_bill_xml(law, "certificates"), "certificates")) == list(documents.rows_of(whole, "certificates"))
     assert documents.clean(" a ﻿ b ") == "a b"
+
+
+def test_reload_holds_keys_alone(spark, tmp_path):
+    """What is written on the way of a reload are keys of changed bills, whatever else a bill has."""
+    (tmp_path / "a.json").write_text(json.dumps(record("HB1500", "h1", 1)))
+    rows = bills.read_dataset(spark, str(tmp_path))
+    seen = []
+    _, events = bills.reload(rows, {k: v.limit(0) for k, v in bills.tables(rows).items()}, F.to_timestamp_ntz(F.lit("2026-01-01 00:00:00")), lambda df: seen.append(df.columns) or df)
+    assert seen == [["_key"]] and "bill.created" in events.columns + [r["type"] for r in events.where("type = 'bill.created'").collect()]

@@ -419,6 +419,16 @@ def search_rank(spark, sf_dir):
     return search.ranked(docs, tree).select("doc_id", "rank")
 
 
+def section(code, n, identity, kind, text):
+    return F.struct(F.lit(code).alias("version_code"), n.alias("ordinal"), identity.alias("identity"), n.alias("num"), F.lit(kind).alias("kind"), text.alias("text"))
+
+
+def sections_of(rows, *sections):
+    """The sections that each line makes, from one reading of the lines."""
+    made = rows.select(F.concat(F.lit("b"), "l_orderkey").alias("bill_key"), F.explode(F.array(*sections)).alias("s"))
+    return made.where("s IS NOT NULL").select("bill_key", "s.*")
+
+
 @query(f"""
 WITH p AS (SELECT l_orderkey, l_linenumber AS n, l_quantity AS q, l_linenumber % 5 = 0 AS gone, l_linenumber = 2 AS edited FROM {LINEITEM})
 SELECT 'b' || l_orderkey AS bill_key, 'id' || n AS identity, CASE WHEN gone THEN 'removed' WHEN edited THEN 'changed' ELSE 'equal' END AS status FROM p
@@ -427,11 +437,11 @@ UNION ALL SELECT 'b' || l_orderkey, 'new', 'added' FROM p WHERE n = 1
 def version_diffs(spark, sf_dir):
     """Two versions of every order's lines as sections: each fifth is gone, the second is edited, one is new."""
     n = F.col("l_linenumber").cast("int")
-    base = lines(spark, sf_dir).select(F.concat(F.lit("b"), "l_orderkey").alias("bill_key"), n.alias("ordinal"), F.concat(F.lit("id"), n).alias("identity"), n.alias("num"), F.lit("k").alias("kind"), F.concat(F.lit("w"), n, F.lit(" of "), "l_quantity").alias("text"))
-    before = base.withColumn("version_code", F.lit("I"))
-    after = base.where("num % 5 <> 0").withColumn("text", F.when(F.col("num") == 2, F.concat("text", F.lit(" more"))).otherwise(F.col("text"))).withColumn("version_code", F.lit("S"))
-    fresh = base.where("num = 1").select("bill_key", F.lit(9).alias("ordinal"), F.lit("new").alias("identity"), F.lit(9).alias("num"), F.lit("other").alias("kind"), F.lit("something else entirely here").alias("text"), F.lit("S").alias("version_code"))
-    every = before.unionByName(after).unionByName(fresh).withColumn("text_hash", F.md5("text"))
+    text = F.concat(F.lit("w"), n, F.lit(" of "), "l_quantity")
+    before = section("I", n, F.concat(F.lit("id"), n), "k", text)
+    after = F.when(n % 5 != 0, section("S", n, F.concat(F.lit("id"), n), "k", F.when(n == 2, F.concat(text, F.lit(" more"))).otherwise(text)))
+    fresh = F.when(n == 1, section("S", F.lit(9), F.lit("new"), "other", F.lit("something else entirely here")))
+    every = sections_of(lines(spark, sf_dir), before, after, fresh).withColumn("text_hash", F.md5("text"))
     return diff.diff_versions(every, "I", "S").select("bill_key", "identity", "status")
 
 
@@ -617,10 +627,11 @@ def version_labels(spark, sf_dir):
 def section_versions(spark, sf_dir):
     """Every order's lines as sections of two versions: each fifth is gone, the second is edited, one is new."""
     n = F.col("l_linenumber").cast("int")
-    base = lines(spark, sf_dir).select(F.concat(F.lit("b"), "l_orderkey").alias("bill_key"), n.alias("ordinal"), F.concat(F.lit("id"), n).alias("identity"), n.alias("num"), F.lit("k").alias("kind"), F.concat(F.lit("w"), n, F.lit(" of "), "l_quantity", F.lit("\nplain ground")).alias("text"))
-    after = base.where("num % 5 <> 0").withColumn("text", F.when(F.col("num") == 2, F.concat(F.lit("ahead of all\n"), "text", F.lit(" more"))).otherwise(F.col("text")))
-    fresh = base.where("num = 1").withColumns({"ordinal": F.lit(99), "identity": F.lit("new"), "num": F.lit(99), "kind": F.lit("other"), "text": F.lit("something else\nentirely\nhere")})
-    every = base.withColumn("version_code", F.lit("I")).unionByName(after.unionByName(fresh).withColumn("version_code", F.lit("S")))
+    text = F.concat(F.lit("w"), n, F.lit(" of "), "l_quantity", F.lit("\nplain ground"))
+    before = section("I", n, F.concat(F.lit("id"), n), "k", text)
+    after = F.when(n % 5 != 0, section("S", n, F.concat(F.lit("id"), n), "k", F.when(n == 2, F.concat(F.lit("ahead of all\n"), text, F.lit(" more"))).otherwise(text)))
+    fresh = F.when(n == 1, section("S", F.lit(99), F.lit("new"), "other", F.lit("something else\nentirely\nhere")))
+    every = sections_of(lines(spark, sf_dir), before, after, fresh)
     return every.withColumn("text_hash", F.sha2("text", 256))
 
 

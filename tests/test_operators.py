@@ -1,5 +1,6 @@
 import itertools
 import random
+from unittest import mock
 
 import pytest
 from pyspark.sql import functions as F
@@ -273,3 +274,23 @@ def test_permission_fields_are_not_for_callers():
     assert relational.without_forbidden({"q": 1}) == {"q": 1}
     with pytest.raises(ValueError, match="visibility"):
         relational.without_forbidden({"q": 1, "visibility": "public"})
+
+
+def test_counts_of_sections_agree_with_their_lines_and_align_no_lines_of_one_side():
+    """Counts are those of `diff_sections`; sections that are new, gone or equal, and lines that begin alike, aren't aligned."""
+    rnd = random.Random(8)
+    text = lambda: "\n".join(" ".join(rnd.choice(["tax", "the ", "of", "plain", "x"]) for _ in range(rnd.randint(0, 5))) for _ in range(rnd.randint(0, 4)))
+    side = lambda: [{"identity": f"i{rnd.randint(0, 5)}", "num": rnd.choice([None, 1, 2]), "kind": rnd.choice("ab"), "text": (t := text()), "text_hash": rnd.choice([t, None, "h"])} for _ in range(rnd.randint(0, 6))]
+    names = ("identity", "from_num", "to_num", "status", "changed", "inserted", "deleted")
+    for k in range(2000):
+        before, after = side(), side()
+        if k % 2:
+            after = [s | {"text": s["text"] + rnd.choice(["", " more"]), "text_hash": str(rnd.random())} for s in before] + after[:1]
+        assert list(diff.count_sections(before, after)) == [tuple(d[n] for n in names) for d in diff.diff_sections(before, after)]
+    with mock.patch.object(diff, "myers", side_effect=AssertionError("aligned")):
+        new = {"identity": "a", "num": 1, "kind": "k", "text": "one\ntwo", "text_hash": "h"}
+        assert list(diff.count_sections([], [new])) == [("a", None, 1, "added", 0, 2, 0)]
+        assert list(diff.count_sections([new], [new | {"num": 2}])) == [("a", 1, 2, "renumbered", 0, 0, 0)]
+        assert diff.is_paired("the tax is five", "the tax is six") and diff.count_lines([], ["x"]) == (0, 1, 0)
+    with mock.patch.object(diff, "_middle", side_effect=AssertionError("searched")):
+        assert diff.count_lines(["one", "two words"], ["zero", "one", "two words more"]) == (1, 1, 0)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from decimal import ROUND_HALF_UP, Decimal
 
 import pandas as pd
@@ -12,6 +13,11 @@ from pyspark.sql import functions as F
 WHITE = r"[\s\p{Z}\x{FEFF}]+"
 
 
+def once(value: Column, make: Callable[[Column], Column]) -> Column:
+    """What is made of a value that is worked out once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), make), 1)
+
+
 def normalize_space(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, WHITE, " "), "^ | $", "")
 

@@ -270,5 +270,10 @@ def latest_code(versions: DataFrame, key: str, code: str, seq: str) -> DataFrame
     return versions.groupBy(key).agg(F.max_by(code, seq).alias(code))
 
 
+def latest_and_next(versions: DataFrame, key: str, code: str, seq: str) -> DataFrame:
+    """`latest_code` and `next_version` by the same sequence, from one reading of the versions."""
+    return versions.groupBy(key).agg(F.max_by(code, seq).alias(code), (F.max(seq) + 1).alias("next_version"))
+
+
 def next_version(rows: DataFrame, key: str, version: str = "version") -> DataFrame:
     return rows.groupBy(key).agg((F.max(version) + 1).alias("next_version"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.functions import refs
-from docketry.functions.text import biennium_column, pacific_to_utc
+from docketry.functions.text import biennium_column, once, pacific_to_utc
 from docketry.operators import relational as op
 
 BILL = """bill_id long, change_hash string, status int, status_date string, session struct<year_start:int,year_end:int,session_name:string>,
@@ -71,18 +71,16 @@ def bills_table(bills: DataFrame) -> DataFrame:
 
 def version_code(link: Column) -> Column:
     """Version code from the name of a version file, I as introduced."""
-    name = F.regexp_replace(F.element_at(F.split(link, "/"), -1), r"(?i)\.(pdf|htm|xml)$", "")
-    s, tail = F.regexp_extract(name, r"^\d{4}-(S\d?)", 1), F.regexp_extract(name, r"^\d{4}(?:-S\d?)?\.(E\d?|PL|SL)", 1)
-    return F.when(name.rlike(r"^\d{4}"), F.coalesce(F.nullif(F.concat_ws(".", F.nullif(s, F.lit("")), F.nullif(tail, F.lit(""))), F.lit("")), F.lit("I")))
+    known = F.regexp_extract(F.substring_index(link, "/", -1), r"^\d{4}(?:-S\d?)?(?:\.(?:E\d?|PL|SL))?", 0)
+    return F.when(F.length(known) > 4, F.substring(known, 6, 99)).when(F.length(known) == 4, "I")
 
 
 def versions_table(bills: DataFrame) -> DataFrame:
     """Versions by code, the first text of each, with sequence and sources still to be fetched."""
     rows = keyed(bills).select("bill_key", F.posexplode("texts").alias("pos", "t"))
-    rows = rows.select("bill_key", "pos", version_code(F.col("t.state_link")).alias("version_code"), F.col("t.doc_id").alias("doc_id"), real_date(F.col("t.date")).alias("date"), F.col("t.text_hash").alias("text_hash"), F.col("t.state_link").alias("link")).where("version_code IS NOT NULL")
-    from docketry.functions.refs import version_seq_column
-
-    return op.collapse(rows, ["bill_key", "version_code"], [F.col("pos")]).withColumn("seq", version_seq_column(F.col("version_code"))).withColumn("status", F.lit("pending")).drop("pos")
+    rows = rows.select("bill_key", "pos", version_code(F.col("t.state_link")).alias("version_code"), F.col("t.doc_id").alias("doc_id"), real_date(F.col("t.date")).alias("date"), F.col("t.text_hash").alias("text_hash"), F.col("t.state_link").alias("link"))
+    first = op.collapse(rows, ["bill_key", "version_code"], [F.col("pos")]).where("version_code IS NOT NULL")
+    return first.withColumn("seq", refs.version_seq_column(F.col("version_code"))).withColumn("status", F.lit("pending")).drop("pos")
 
 
 def amendments_table(bills: DataFrame) -> DataFrame:
@@ -171,8 +169,11 @@ def fetched(versions: DataFrame, xml: DataFrame, htm: DataFrame) -> DataFrame:
 
 def committee_of(location: Column) -> Column:
     """Struct (chamber, committee) of where a hearing is held: "House Committee on ..." names both, Joint ones have no chamber; else the place as it is."""
-    place = F.trim(location)
-    said = F.split(F.regexp_replace(place, r"\s+", " "), " ", 4)
+    words = lambda place: F.split(F.regexp_replace(place, r"\s+", " "), " ", 4)
+    return once(F.trim(location), lambda place: once(F.struct(place.alias("place"), words(place).alias("said")), lambda v: _committee(v["place"], v["said"])))
+
+
+def _committee(place: Column, said: Column) -> Column:
     formal = F.lower(F.get(said, F.lit(0))).isin("house", "senate", "joint") & (F.lower(F.get(said, F.lit(1))) == "committee") & (F.lower(F.get(said, F.lit(2))) == "on")
     formal = F.coalesce(formal & (F.length(F.get(said, F.lit(3))) > 0), F.lit(False))
     chamber = F.when(formal, F.try_element_at(F.create_map(F.lit("house"), F.lit("H"), F.lit("senate"), F.lit("S")), F.lower(F.get(said, F.lit(0)))))

@@ -46,7 +46,7 @@ def day(column: str):
 def line_arrays(spark, sf_dir):
     """Orders with their lines as one array."""
     line = F.struct(F.col("l_linenumber").cast("int").alias("n"), F.col("l_shipdate").alias("ship"), F.col("l_commitdate").alias("commit"), "l_returnflag", "l_linestatus", "l_shipmode")
-    own = lines(spark, sf_dir).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("x"))
+    own = lines(spark, sf_dir).groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("x"))
     return read(spark, sf_dir, "orders").join(own, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority", "x")
 
 
@@ -149,7 +149,7 @@ FROM ({LINES}) JOIN {CODES} ON n = l_linenumber
 """)
 def fetched_sources(spark, sf_dir):
     """Versions with their files: XML before HTM, else missing."""
-    versions = bills.versions_table(records(spark, sf_dir))
+    versions = held(bills.versions_table(records(spark, sf_dir)).select("bill_key", "version_code", "doc_id", "link"))
     files = versions.select(F.element_at(F.split("link", "/"), -1).alias("file_name"), F.lit("<x/>").alias("content"), F.col("doc_id")).distinct()
     xml = files.where("doc_id <= 2").drop("doc_id")
     htm = files.where("doc_id <= 4").select(F.replace("file_name", F.lit(".xml"), F.lit(".htm")).alias("file_name"), "content")
@@ -158,8 +158,7 @@ def fetched_sources(spark, sf_dir):
 
 @query(f"WITH v AS (SELECT bill_key, code, seq FROM ({LINES}) JOIN {CODES} ON n = l_linenumber) SELECT bill_key, max_by(code, seq) AS version_code, CAST(max(seq) + 1 AS INTEGER) AS next_version FROM v GROUP BY bill_key")
 def latest_versions(spark, sf_dir):
-    v = bills.versions_table(records(spark, sf_dir))
-    return op.latest_code(v, "bill_key", "version_code", "seq").join(op.next_version(v, "bill_key", "seq"), "bill_key")
+    return op.latest_and_next(bills.versions_table(records(spark, sf_dir)), "bill_key", "version_code", "seq")
 
 
 @query("""
@@ -619,8 +618,9 @@ FROM w
 def version_labels(spark, sf_dir):
     """Labels, listed numbers, file suffixes and folders of all versions."""
     v = bills.versions_table(records(spark, sf_dir)).select("bill_key", "version_code")
-    parts = F.regexp_extract("bill_key", r"^WA:(.*):", 1), F.regexp_extract("bill_key", r":(\p{L}+)\d+$", 1), F.regexp_extract("bill_key", r"(\d+)$", 1).cast("int")
-    got = v.withColumn("x", refs.labels_column(parts[1], parts[2], F.col("version_code"), parts[0]))
+    bill = F.substring_index("bill_key", ":", -1)
+    kind = F.rtrim(bill, F.lit("0123456789"))
+    got = v.withColumn("x", refs.labels_column(kind, F.substr(bill, F.length(kind) + 1).cast("int"), F.col("version_code"), F.split_part("bill_key", F.lit(":"), F.lit(2))))
     return got.select("bill_key", "version_code", "x.short", "x.listed", "x.suffix", F.regexp_extract("x.url", r"/Xml/Bills/(.*)/", 1).alias("folder"))
 
 
@@ -663,7 +663,9 @@ UNION ALL SELECT note, 4, NULL, CAST(n AS DOUBLE) FROM v UNION ALL SELECT note,
 def recomputed(spark, sf_dir):
     """Computed cells of a note of every order: one reads a later one, one sums a wildcard, one reads nothing."""
     own = lines(spark, sf_dir).select(F.col("l_orderkey").cast("string").alias("note"), F.col("l_linenumber").alias("n"), F.col("l_quantity").cast("double").alias("q"))
-    values = own.where("n <= 2").select("note", F.concat(F.lit("q.fy"), "n").alias("path"), F.col("q").alias("value")).unionByName(own.select("note", F.concat(F.lit("one."), "n", F.lit(".fy1")).alias("path"), F.lit(1.0).alias("value")))
+    value = lambda path, v: F.struct(path.alias("path"), v.alias("value"))
+    both = F.array(F.when(F.col("n") <= 2, value(F.concat(F.lit("q.fy"), "n"), F.col("q"))), value(F.concat(F.lit("one."), "n", F.lit(".fy1")), F.lit(1.0)))
+    values = own.select("note", F.explode(both).alias("v")).where("v IS NOT NULL").select("note", "v.*")
     rules = [("c * 2", None), ("q.bien1", "b"), ("b - 10", "c"), ("sum(one.*.fy1)", None), ("nowhere", None)]
     every = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(e).alias("expr"), F.lit(s).cast("string").alias("slot")) for i, (e, s) in enumerate(rules, 1)])
     cells = own.select("note").distinct().select("note", F.explode(every).alias("c")).select("note", "c.*")

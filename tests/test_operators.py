@@ -294,3 +294,11 @@ def test_counts_of_sections_agree_with_their_lines_and_align_no_lines_of_one_sid
         assert diff.is_paired("the tax is five", "the tax is six") and diff.count_lines([], ["x"]) == (0, 1, 0)
     with mock.patch.object(diff, "_middle", side_effect=AssertionError("searched")):
         assert diff.count_lines(["one", "two words"], ["zero", "one", "two words more"]) == (1, 1, 0)
+
+
+def test_a_wildcard_is_made_a_pattern_once_for_all_values():
+    values = {f"row{i}.fy1": float(i) for i in range(300)}
+    formula._shape.cache_clear()
+    with mock.patch.object(formula.re, "escape", wraps=formula.re.escape) as made:
+        assert formula.evaluate("sum(*.fy1)", values) == sum(range(300)) and formula.evaluate("sum(*.bien1)", values) == sum(range(300))
+    assert made.call_count <= 3

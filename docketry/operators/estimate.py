@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 from typing import Any
 
 import pyarrow as pa
@@ -90,50 +91,142 @@ def slot_values(doc: dict[str, Any]) -> dict[str, Any]:
     return out
 
 
-def facts(doc: dict[str, Any], key: str) -> list[dict]:
-    """(doc_id, part, row_kind, row_key, fy, value) of the numeric cells of a document's tables, by the table's role."""
-    out = []
+@lru_cache(1 << 10)
+def _year(place: str) -> int | None:
+    """The fiscal year that a column or slot ends with."""
+    m = re.search(r"fy(\d+)$", place)
+    return int(m[1]) if m else None
+
 
-    def table(node: dict, role: str) -> None:
-        for row in (r for r in node.get("content") or [] if r["type"] == "noteRow" and not (r.get("attrs") or {}).get("header")):
-            a = row.get("attrs") or {}
-            for cell in row.get("content") or []:
-                c = cell.get("attrs") or {}
-                year = re.search(r"fy(\d+)$", str(c.get("col") or c.get("slot") or ""))
-                value = c.get("value") if isinstance(c.get("value"), int | float) else number(node_text(cell).strip() or None)
-                if year:
-                    out.append({"doc_id": key, "part": role, "row_kind": a.get("rowKind") or ("footer" if a.get("footer") else "row"), "row_key": str(a.get("key") or a.get("account") or a.get("object") or ""), "fy": int(year[1]), "value": None if value is None else float(value)})
-
-    def visit(node: dict) -> None:
-        if node["type"] == "noteTable":
-            table(node, str((node.get("attrs") or {}).get("role") or ""))
-        else:
-            for child in node.get("content") or []:
-                visit(child)
-
-    visit(doc)
+def row_facts(row: dict[str, Any]) -> list[tuple]:
+    """(row_kind, row_key, fy, value) of the numeric cells of a table's row; headers have none."""
+    a = row.get("attrs") or {}
+    if row["type"] != "noteRow" or a.get("header"):
+        return []
+    kind = a.get("rowKind") or ("footer" if a.get("footer") else "row")
+    key = str(a.get("key") or a.get("account") or a.get("object") or "")
+    out = []
+    for cell in row.get("content") or []:
+        c = cell.get("attrs") or {}
+        year = _year(str(c.get("col") or c.get("slot") or ""))
+        if year is not None:
+            value = c["value"] if isinstance(c.get("value"), int | float) else number(node_text(cell).strip() or None)
+            out.append((kind, key, year, None if value is None else float(value)))
     return out
 
 
-FACT = "doc_id string, part string, row_kind string, row_key string, fy int, value double"
+def role_of(table: dict[str, Any]) -> str:
+    return str((table.get("attrs") or {}).get("role") or "")
 
 
-def fact_table(docs: DataFrame, key: str, column: str) -> DataFrame:
-    shape = pa.schema([("doc_id", pa.string()), ("part", pa.string()), ("row_kind", pa.string()), ("row_key", pa.string()), ("fy", pa.int32()), ("value", pa.float64())])
+def facts(doc: dict[str, Any]) -> list[tuple]:
+    """(part, row_kind, row_key, fy, value) of the numeric cells of a document's tables, by the table's role."""
+    if doc["type"] == "noteTable":
+        role = role_of(doc)
+        return [(role, *f) for row in doc.get("content") or [] for f in row_facts(row)]
+    return [f for child in doc.get("content") or [] for f in facts(child)]
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+#: How a row begins where it is told from the rest of a text, rows and frames that a task keeps, and their longest.
+ROW, KEPT_ROWS, KEPT_FRAMES, KEPT_LENGTH = '{"type":"noteRow",', 1 << 14, 1 << 8, 1 << 12
+
+
+def fact_reader() -> Callable[[str], list[tuple]]:
+    """`facts` of JSON texts, for which rows that look alike are read once, and so are the frames that are left without rows.
+
+    A row's beginning can't stand inside a JSON string, whose quotes are escaped. Where rows don't stand in tables alone,
+    one holds another, or a text is written in another way, the whole text is read.
+    """
+    decode = json.JSONDecoder().raw_decode
+
+    def row(text: str) -> tuple[list[tuple], str]:
+        """Facts of the row that a text goes on with, and what follows it."""
+        node, end = decode(ROW + text)
+        return row_facts(node), text[end - len(ROW) :]
+
+    def frame(text: str) -> list[str | None]:
+        """The role of each table around a row that was taken out, in order; None for rows that were left, or stand elsewhere."""
+
+        def roles(node: Any) -> list[str | None]:
+            if node == []:
+                return [None]
+            if node["type"] == "noteTable":
+                return [role_of(node) if child == [] else None for child in node.get("content") or [] if child == [] or child["type"] == "noteRow"]
+            return [r for child in node.get("content") or [] for r in roles(child)]
+
+        return roles(json.loads(text))
+
+    kept_row, kept_frame = lru_cache(KEPT_ROWS)(row), lru_cache(KEPT_FRAMES)(frame)
+
+    def read(text: str) -> list[tuple]:
+        head, *rest = text.split(ROW)
+        try:
+            rows = [(kept_row if len(r) <= KEPT_LENGTH else row)(r) for r in rest]
+            bare = "[]".join([head, *[after for _, after in rows]])
+            roles = (kept_frame if len(bare) <= KEPT_LENGTH else frame)(bare)
+        except (ValueError, ArithmeticError, LookupError, TypeError, AttributeError):
+            return facts(json.loads(text))  # what is an error there is one
+        if len(roles) != len(rows) or None in roles:
+            return facts(json.loads(text))
+        return [(role, *f) for role, (own, _) in zip(roles, rows, strict=True) for f in own]
+
+    return read
+
+
+FACTS = [("part", "string"), ("row_kind", "string"), ("row_key", "string"), ("fy", "int"), ("value", "double")]
+PAIRS = [*FACTS[:3], ("bien", "int"), ("a", "double"), ("b", "double")]
+
+
+def _read(docs: DataFrame, key: str, column: str, fields: list[tuple[str, str]], shown: Callable[[list[tuple]], list[tuple]]) -> DataFrame:
+    """doc_id and the fields of what is shown of each JSON document's facts; nulls have none."""
+    kinds = {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = fact_reader()
         for batch in batches:
-            yield pa.RecordBatch.from_pylist([f for k, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if d for f in facts(json.loads(d), k)], schema=shape)
+            out, own = [], []
+            for n, text in enumerate(batch.column(1).to_pylist()):
+                if text:
+                    rows = shown(read(text))
+                    out += rows
+                    own += [n] * len(rows)
+            if out:
+                columns = [pa.array(c, kinds[kind]) for c, (_, kind) in zip(zip(*out, strict=True), fields, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own, pa.int32())), *columns], ["doc_id", *[name for name, _ in fields]])
+
+    return docs.select(F.col(key).cast("string").alias("doc_id"), F.col(column)).mapInArrow(found, ", ".join(map(" ".join, [("doc_id", "string"), *fields])))
+
+
+def fact_table(docs: DataFrame, key: str, column: str) -> DataFrame:
+    """(doc_id, part, row_kind, row_key, fy, value) of JSON documents."""
+    return _read(docs, key, column, FACTS, lambda found: found)
+
+
+def paired(found: list[tuple]) -> list[tuple]:
+    """A document's facts by pairs of fiscal years: (part, row_kind, row_key, bien, sum of the odd year, of the even one)."""
+    sums: dict[tuple, list[float | None]] = {}
+    for part, kind, key, fy, value in found:
+        pair = sums.setdefault((part, kind, key, (fy + 1) // 2), [None, None])
+        if value is not None:
+            at = 1 - fy % 2
+            pair[at] = value if pair[at] is None else pair[at] + value
+    return [(*k, *pair) for k, pair in sums.items()]
+
 
-    return docs.select(F.col(key).cast("string"), F.col(column)).mapInArrow(rows, FACT)
+def _biennium(pairs: DataFrame) -> DataFrame:
+    total = pair_sum(F.col("a"), F.col("b"))
+    return pairs.select("doc_id", "part", "row_kind", "row_key", "bien", F.when((F.col("part") == CLASSES) | (F.col("row_kind") == "fte"), total / 2).otherwise(total).alias("value"))
 
 
 def biennia(facts: DataFrame) -> DataFrame:
     """Sums of each pair of fiscal years; staff is an average of the two."""
     pair = facts.withColumn("bien", F.ceil(F.col("fy") / 2).cast("int")).groupBy("doc_id", "part", "row_kind", "row_key", "bien")
-    both = pair.agg(F.sum(F.when(F.col("fy") % 2 == 1, F.col("value"))).alias("a"), F.sum(F.when(F.col("fy") % 2 == 0, F.col("value"))).alias("b"))
-    total = pair_sum(F.col("a"), F.col("b"))
-    return both.select("doc_id", "part", "row_kind", "row_key", "bien", F.when((F.col("part") == CLASSES) | (F.col("row_kind") == "fte"), total / 2).otherwise(total).alias("value"))
+    return _biennium(pair.agg(F.sum(F.when(F.col("fy") % 2 == 1, F.col("value"))).alias("a"), F.sum(F.when(F.col("fy") % 2 == 0, F.col("value"))).alias("b")))
+
+
+def document_biennia(docs: DataFrame, key: str, column: str) -> DataFrame:
+    """`biennia` of JSON documents, each of which has a key of its own: summed where they are read, and not dealt out again."""
+    return _biennium(_read(docs, key, column, PAIRS, paired))
 
 
 def ten_year(facts: DataFrame) -> DataFrame:

@@ -1,6 +1,9 @@
 import json
 
+import pytest
+
 from docketry.operators import estimate, templates
+from docketry.plans import legislative
 
 CELL = lambda col, value, **a: {"type": "noteCell", "attrs": {"col": col, "value": value, **a}, "content": [{"type": "text", "text": "" if value is None else str(value)}]}
 ROW = lambda kind, key, *cells: {"type": "noteRow", "attrs": {"rowKind": kind, "key": key}, "content": list(cells)}
@@ -64,3 +67,40 @@ def test_computed_cells(spark):
     doc = {"type": "doc", "content": [{"type": "noteTable", "attrs": {"role": "t"}, "content": rows}]}
     got = estimate.computed_errors(spark.createDataFrame([("n", json.dumps(doc))], "id string, doc string"), "id", "doc").collect()
     assert [tuple(r)[1:] for r in got] == [("biennium_sum", "t/off/bien1", 15.0, 16.0), ("computed_mismatch", "t/blank/bien1", 20.0, None), ("fte_biennium_average", "t/avg/bien1", 7.5, 7.4)]
+
+
+def test_reader_agrees_with_whole_texts(monkeypatch):
+    """Rows are taken out of a text only where that changes nothing, and rows that look alike are read once."""
+    tight = lambda doc: json.dumps(doc, separators=(",", ":"))
+    table = lambda *rows, role="t", **a: {"type": "noteTable", "attrs": {"role": role, **a}, "content": list(rows)}
+    doc = lambda *nodes: {"type": "doc", "content": list(nodes)}
+    plain = ROW("account", "1", CELL("fy1", 2.0), CELL("fy2", None), CELL("note", 5.0), CELL("fy3", "(1,000)"))
+    odd = {"type": "noteRow", "attrs": {"footer": True, "account": 7}, "content": [{"type": "noteCell", "attrs": {"slot": "x.fy12", "value": True}}, {"type": "noteCell", "content": []}]}
+    turned = {"attrs": {"key": "k"}, "type": "noteRow", "content": [CELL("fy1", 4.0)]}
+    quoted = {"type": "text", "text": '{"type":"noteRow","attrs":{}}, \\ {\"type\":\"noteTable\"'}
+    nested = ROW("account", "n", {"type": "noteCell", "attrs": {"col": "fy1"}, "content": [table(plain)]})
+    docs = [DOC, doc(table(plain, odd), quoted, table(plain, role=None)), doc({"type": "p", "content": [quoted, table(plain)]}), doc(table(plain, turned, odd)), doc(table(nested)), doc(plain), doc(plain, table(odd)), doc({"type": "p", "content": [nested]})]
+    docs += [table(plain), doc(table()), doc(), {"type": "doc"}, doc(table(ROW("row", "h", CELL("fy1", 1.0)) | {"attrs": {"header": True}}, plain)), doc(table(plain, by=odd)), doc(table(plain, {"type": "other", "content": [odd]}))]
+    read = estimate.fact_reader()
+    for text in [*map(tight, docs), *map(json.dumps, docs)] * 2:
+        assert read(text) == estimate.facts(json.loads(text))
+    for broken in ('{"type":"doc","content":[1{"type":"noteRow","content":[]}]}', tight(docs[1])[:-1], tight(docs[1]) + "1", '{"type":"doc","content":[{"type":"noteRow",]}'):
+        with pytest.raises(json.JSONDecodeError):
+            read(broken)
+    seen = []
+    monkeypatch.setattr(estimate, "row_facts", lambda row, own=estimate.row_facts: seen.append(row) or own(row))
+    read = estimate.fact_reader()
+    assert len([f for n in range(200) for f in read(tight(doc(table(plain, *[ROW("account", str(k), CELL("fy1", n % 3)) for k in range(4)], odd))))]) == 200 * 8 and len(seen) == 1 + 3 * 4 + 1
+
+
+def test_biennia_of_documents(spark):
+    """Documents summed where they are read have the sums of their facts, and are not dealt out again."""
+    rows = [ROW("account", "1", CELL("fy1", 2.0), CELL("fy2", 3.0), CELL("fy3", None), CELL("fy6", 4.5)), ROW("account", "1", CELL("fy1", 8.0), CELL("fy0", 1.0), CELL("fy4", "")), ROW("fte", "f", CELL("fy1", 1.0), CELL("fy2", 2.0))]
+    doc = {"type": "doc", "content": [{"type": "noteTable", "attrs": {"role": role}, "content": rows} for role in (estimate.ACCOUNTS, estimate.CLASSES)]}
+    docs = spark.createDataFrame([("n", json.dumps(doc)), ("o", json.dumps(DOC, separators=(",", ":"))), ("p", None), ("q", "")], "id string, doc string")
+    got = estimate.document_biennia(docs, "id", "doc")
+    key = lambda r: tuple((v is not None, v) for v in r)
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, estimate.biennia(estimate.fact_table(docs, "id", "doc")).collect()), key=key)
+    assert ("n", estimate.ACCOUNTS, "account", "1", 1, 13.0) in map(tuple, got.collect()) and ("n", estimate.CLASSES, "account", "1", 2, None) in map(tuple, got.collect())
+    plan = legislative.note_biennia(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1

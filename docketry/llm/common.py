@@ -72,6 +72,19 @@ def broadcast_up_to(df: DataFrame, size: int, limit: int) -> DataFrame:
     return F.broadcast(df) if size <= limit else df
 
 
+#: Rows that a join's side may have at most to be broadcast; with their hash table they are some ten MB.
+BROADCAST_ROWS = 1 << 16
+
+
+def merged(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """One side of a join of two sorted shuffles, however small Spark takes it to be; of few rows, counted, a broadcast.
+
+    Spark sizes what an array is exploded to as one row, and a file as it lies compressed. Adaptive execution splits
+    large keys of such a join.
+    """
+    return df.hint("merge") if rows is None or rows > BROADCAST_ROWS else F.broadcast(df)
+
+
 def seeded(column: Column, seed: str) -> Column:
     """60 bits of MD5 over a seed and a value, as a long that is never negative."""
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(column.cast("string"), F.lit(""))))

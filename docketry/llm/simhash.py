@@ -6,6 +6,9 @@ Hamming ball of that radius in the table of the segments' values; what it fetche
 Links join distinct fingerprints, so copies are one node; components come from the links. So that a cluster of many
 near fingerprints doesn't cost a pair of each two, stars join most of it first, and pairs are then sought only
 between parts that are still apart.
+
+All tables here grow with the rows, and Spark sizes them too low, so every join is of two sorted shuffles, whatever
+Spark would broadcast.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import SOLID, stored, words
+from docketry.llm.common import SOLID, merged, stored, words
 from docketry.llm.components import components
 
 BITS, RADIUS, SHINGLE = 64, 4, 4
@@ -94,7 +97,7 @@ def star_links(marks: DataFrame, radius: int) -> DataFrame:
     cut = parts(3)
     every = marks.select("fingerprint", F.explode(F.array(*[F.struct(F.lit(j).alias("j"), *[p.alias(f"p{i}") for i, p in enumerate(c for k, c in enumerate(cut) if k != j)]) for j in range(3)])).alias("key"))
     least = stored(every.groupBy("key").agg(F.min("fingerprint").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "b"))
-    return every.join(least, "key").where((F.col("fingerprint") != F.col("b")) & near("fingerprint", "b", radius)).select(F.col("fingerprint").alias("a"), "b")
+    return every.join(merged(least), "key").where((F.col("fingerprint") != F.col("b")) & near("fingerprint", "b", radius)).select(F.col("fingerprint").alias("a"), "b")
 
 
 def near_pairs(marks: DataFrame, radius: int = RADIUS, many: int = MANY) -> DataFrame:
@@ -116,11 +119,11 @@ def near_pairs(marks: DataFrame, radius: int = RADIUS, many: int = MANY) -> Data
     shares = own.groupBy("key", "rb").agg(F.count(F.lit(1)).alias("n"))
     # Values with several members of one root: their commonest root is the major one.
     major = stored(shares.groupBy("key").agg(F.max(F.struct("n", "rb")).alias("top")).where("top.n > 1").select("key", F.col("top.rb").alias("major")))
-    told = own.join(major, "key", "left")
+    told = own.join(merged(major), "key", "left")
     met = near("a", "b", radius) & (F.col("a") != F.col("b")) & (F.col("ra") != F.col("rb"))
-    other = visits.join(told.where(F.col("major").isNull() | (F.col("rb") != F.col("major"))).select("key", "b", "rb"), "key").where(met)
-    strange = visits.join(major, "key").where(F.col("ra") != F.col("major")).select("key", "a", "ra")
-    same = strange.join(told.where(F.col("rb") == F.col("major")).select("key", "b", "rb"), "key").where(met)
+    other = visits.join(merged(told.where(F.col("major").isNull() | (F.col("rb") != F.col("major"))).select("key", "b", "rb")), "key").where(met)
+    strange = visits.join(merged(major), "key").where(F.col("ra") != F.col("major")).select("key", "a", "ra")
+    same = strange.join(merged(told.where(F.col("rb") == F.col("major")).select("key", "b", "rb")), "key").where(met)
     found = other.select("a", "b", "ra", "rb").unionByName(same.select("a", "b", "ra", "rb"))
     pair = F.when(F.col("a") < F.col("b"), F.struct("a", "b", "ra", "rb")).otherwise(F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("rb").alias("ra"), F.col("ra").alias("rb")))
     return found.select(pair.alias("p")).select("p.*").distinct()
@@ -135,16 +138,16 @@ def rooted(nodes: DataFrame, radius: int = RADIUS, many: int = MANY) -> DataFram
 
     def linked(of: DataFrame, links: DataFrame, a: str, b: str) -> DataFrame:
         """(node, root) of the `first`s whose fingerprints the links join."""
-        end = lambda c, name: of.select(F.col("fingerprint").alias(c), F.col("first").alias(name))
+        end = lambda c, name: merged(of.select(F.col("fingerprint").alias(c), F.col("first").alias(name)))
         return components(links.select(a, b).distinct().join(end(a, "_a"), a).join(end(b, "_b"), b).select(F.col("_a").alias("a"), F.col("_b").alias("b")))
 
     by_star = linked(nodes, star_links(nodes, radius), "a", "b")
-    by_star = stored(nodes.join(by_star, nodes["first"] == by_star["node"], "left").select("fingerprint", "first", F.coalesce("root", "first").alias("root")))
+    by_star = stored(nodes.join(merged(by_star), nodes["first"] == by_star["node"], "left").select("fingerprint", "first", F.coalesce("root", "first").alias("root")))
     pairs = stored(near_pairs(by_star.select("fingerprint", F.col("root.fingerprint").alias("root")), radius, many))
     if pairs.isEmpty():
         return by_star
     joined = linked(by_star.where("first = root"), pairs, "ra", "rb").select("node", F.col("root").alias("least"))
-    return stored(by_star.join(joined, by_star["root"] == joined["node"], "left").select("fingerprint", "first", F.coalesce("least", "root").alias("root")))
+    return stored(by_star.join(merged(joined), by_star["root"] == joined["node"], "left").select("fingerprint", "first", F.coalesce("least", "root").alias("root")))
 
 
 def one_of_each(docs: DataFrame, digest: Column, radius: int = RADIUS) -> DataFrame:
@@ -170,4 +173,4 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, many: int = MANY) ->
     nodes = marks.groupBy("fingerprint").agg(F.min("id").alias("least"))
     nodes = stored(nodes.select("fingerprint", F.struct(F.col("least").isNull().alias("unnamed"), "least", "fingerprint").alias("first")))
     by_mark = rooted(nodes, radius, many).select("fingerprint", F.col("root.least").alias("component_id"))
-    return marks.join(by_mark, "fingerprint").select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+    return marks.join(merged(by_mark), "fingerprint").select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")

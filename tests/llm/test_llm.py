@@ -622,6 +622,34 @@ def test_a_cluster_is_joined_without_all_its_pairs(spark):
     assert left == 0 and len(near) > 10_000
 
 
+def plans_of(monkeypatch, *modules):
+    """The plans of all tables that these modules store from now on."""
+    plans = []
+    for module in modules:
+        monkeypatch.setattr(module, "stored", lambda df, f=module.stored: plans.append(df._jdf.queryExecution().executedPlan().toString()) or f(df))
+    return plans
+
+
+def test_no_table_of_fingerprints_or_edges_is_broadcast(spark, docs, rows, monkeypatch):
+    """Values in balls are 67 for each fingerprint, of which Spark's estimate counts one."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", -1, raising=False)
+    plans = plans_of(monkeypatch, simhash, components)
+    found = simhash.near_duplicates(docs)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert len(found.collect()) == len(rows) and sum("SortMergeJoin" in p for p in plans) > 4
+    assert not [p for p in plans if "Broadcast" in p]
+
+
+def test_stars_of_few_edges_are_broadcast(spark, monkeypatch):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(20)], "a long, b long")
+    plans = plans_of(monkeypatch, components)
+    for limit, found in ((40, True), (39, False)):
+        plans.clear()
+        monkeypatch.setattr(common, "BROADCAST_ROWS", limit)
+        assert {r["root"] for r in components.components(edges).collect()} == {0}
+        assert ("BroadcastHashJoin" in plans[2]) == found
+
+
 def test_components(spark):
     rnd = random.Random(2)
     edges = [(i, i + 1) for i in range(100, 160)] + [(rnd.randint(0, 90), rnd.randint(0, 90)) for _ in range(50)] + [(500, i) for i in range(501, 540)] + [(7, 7)]

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docketry.llm import decontaminate, mixing, quality, sharding, simhash
-from docketry.llm.common import SOLID, copies, discard, stored, table
+from docketry.llm.common import SOLID, copies, discard, merged, stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -39,7 +39,7 @@ def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """
     best = stored(simhash.one_of_each(docs, digest()).select(F.col("doc_id").alias("_own"), F.col("digest").alias("_digest"), F.col("times").alias("_times")))
     rows = docs.select(*COLUMNS, digest().alias("_mark"))
-    kept = rows.join(best, F.col("doc_id").eqNullSafe(F.col("_own")) & (F.col("_mark") == F.col("_digest")))
+    kept = rows.join(merged(best, best.count()), F.col("doc_id").eqNullSafe(F.col("_own")) & (F.col("_mark") == F.col("_digest")))
     same = kept.where("_times > 1").withColumn("_n", F.row_number().over(Window.partitionBy("_own", "_digest").orderBy("_mark"))).where("_n = 1")
     return kept.where("_times = 1").select(*COLUMNS).unionByName(same.select(*COLUMNS))
 
@@ -66,9 +66,10 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = taken.groupBy("key", "size").agg(F.sum(F.floor(F.col("taken") / F.col("size"))).alias("full"), F.max(F.col("taken") % F.col("size")).alias("rest"))
     taken = stored(taken.withColumn("times", F.col("full") + (F.col("rest") > 0).cast("long")))
     often = stored(slim.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
-    one = rows.join(often, "key", "left_semi").groupBy("key").agg(F.first(F.struct(*COLUMNS)).alias("row")).select("row.*", "key")
-    rows = rows.join(often, "key", "left_anti").select(*COLUMNS, "key").unionByName(one)
-    out = copies(rows.join(taken, "key"), "times", "copy")
+    repeated = often.count()
+    one = rows.join(merged(often, repeated), "key", "left_semi").groupBy("key").agg(F.first(F.struct(*COLUMNS)).alias("row")).select("row.*", "key")
+    rows = rows.join(merged(often, repeated), "key", "left_anti").select(*COLUMNS, "key").unionByName(one)
+    out = copies(rows.join(merged(taken, taken.count()), "key"), "times", "copy")
     left = F.when(F.col("copy") < F.col("full"), F.col("size")).otherwise(F.col("rest"))
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(SOLID), F.lit(0)), 1, left.cast("int")), " ")
     out = out.withColumn("_left", left).withColumn("text", F.when(F.col("_left") < F.col("size"), cut).otherwise(F.col("text")))

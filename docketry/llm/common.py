@@ -68,8 +68,8 @@ def copies(counted: DataFrame, n: str, copy: str, chunk: int = 1 << 16) -> DataF
 
 
 def broadcast_up_to(df: DataFrame, size: int, limit: int) -> DataFrame:
-    """A broadcast hint only where the measured size is within the limit; beyond it Spark's shuffled join serves."""
-    return F.broadcast(df) if size <= limit else df
+    """A broadcast only where the measured size is within the limit; beyond it a join of two shuffles serves, whatever Spark takes the size to be."""
+    return F.broadcast(df) if size <= limit else df.hint("merge")
 
 
 #: Rows that a join's side may have at most to be broadcast; with their hash table they are some ten MB.

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketry.llm.common import ALNUM, ascii_lower, broadcast_up_to, stored, words
+from docketry.llm.common import ALNUM, ascii_lower, broadcast_up_to, merged, stored, words
 
 #: Words of a window, words of a shingle at most, and bytes of a benchmark table up to which it is broadcast.
 WINDOW, SHINGLE, BROADCAST_BYTES = 10, 3, 64 << 20
@@ -69,17 +69,17 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, broadc
     else:
         places = stored(found.join(broadcast_up_to(known, 4 * of_parts, broadcast_bytes), "part").distinct())
         seen = places.groupBy("part").agg(F.count(F.lit(1)).alias("seen"))
-        tokens = w.select("window", F.posexplode("parts").alias("offset", "part")).join(seen, "part", "left")
+        tokens = w.select("window", F.posexplode("parts").alias("offset", "part")).join(broadcast_up_to(seen, of_parts, broadcast_bytes), "part", "left")
         rarest = Window.partitionBy("window").orderBy(F.coalesce("seen", F.lit(0)), "part", "offset")
         prefix = tokens.withColumn("r", F.row_number().over(rarest)).where("r = 1").select("window", "offset", "part")
-        prefix = broadcast_up_to(prefix.join(w.select("window", "n", "parts"), "window"), of_parts, broadcast_bytes)
+        prefix = broadcast_up_to(prefix.join(broadcast_up_to(w.select("window", "n", "parts"), of_parts, broadcast_bytes), "window"), of_parts, broadcast_bytes)
         starts = places.join(prefix, "part").withColumn("start", F.col("at") - F.col("offset"))
         starts = starts.where((F.col("start") >= 0) & (F.col("start") + F.col("n") <= F.col("m")))
         need = starts.select("mark", "id", "start", "n", "window", F.size("parts").alias("of"), F.posexplode("parts").alias("k", "part"))
         need = need.withColumn("at", F.col("start") + F.col("k")).alias("need")
         there = places.select("mark", "id", "at", "part").alias("there")
         same = (F.col("need.mark") == F.col("there.mark")) & F.col("need.id").eqNullSafe(F.col("there.id")) & (F.col("need.at") == F.col("there.at")) & (F.col("need.part") == F.col("there.part"))
-        whole = need.join(there, same).select("need.*").groupBy("mark", "id", "start", "n", "window", "of").agg(F.count(F.lit(1)).alias("have")).where("have = of")
+        whole = need.join(merged(there), same).select("need.*").groupBy("mark", "id", "start", "n", "window", "of").agg(F.count(F.lit(1)).alias("have")).where("have = of")
         whole = whole.join(broadcast_up_to(w.select("window", "items"), of_items, broadcast_bytes), "window")
         hit = whole.groupBy("mark", "id").agg(
             F.collect_set(F.struct("start", "n")).alias("spans"),

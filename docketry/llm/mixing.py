@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketry.llm.common import SOLID, copies, seeded, stored
+from docketry.llm.common import SOLID, copies, merged, seeded, stored
 
 #: Weights by a source's rank, share of all words to take, and most times that a document is taken.
 WEIGHTS, SHARE, REPEATS = (3, 1, 2), 1.5, 2
@@ -64,11 +64,11 @@ def fair_mix(rows: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIG
     targets = fair_targets(parts.groupBy("source").agg(F.sum("part_size").alias("source_size")), weights, share, repeats)
     parts = parts.withColumn("begin", F.sum("part_size").over(Window.partitionBy("source").orderBy("part")) - F.col("part_size"))
     targets = targets.withColumnRenamed("source", "named")
-    parts = parts.join(targets, F.col("source").eqNullSafe(F.col("named")))
-    parts = parts.select("named", F.col("part").alias("range"), "begin", "source_size", "target", "rank")
+    parts = parts.join(merged(targets), F.col("source").eqNullSafe(F.col("named")))
+    parts = stored(parts.select("named", F.col("part").alias("range"), "begin", "source_size", "target", "rank"))
     inside = Window.partitionBy("source", "part").orderBy("h", "key", "size", "copy")
     rows = rows.withColumn("place", F.row_number().over(inside)).withColumn("upto", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.join(parts, F.col("source").eqNullSafe(F.col("named")) & (F.col("part") == F.col("range")))
+    rows = rows.join(merged(parts, parts.count()), F.col("source").eqNullSafe(F.col("named")) & (F.col("part") == F.col("range")))
     finish = [F.when(F.col("target") > 0, (F.col("begin") + F.col("upto") + F.lit(i) * F.col("source_size")) / F.col("target")) for i in range(repeats)]
     ranges = max(256, min(65536, n // range_rows))
     turns = [F.struct(f.alias("finish"), F.least(F.floor(f * F.lit(ranges)), F.lit(2 * ranges)).cast("long").alias("tick"), F.lit(i).alias("turn")) for i, f in enumerate(finish)]
@@ -87,7 +87,7 @@ def fair_mix(rows: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIG
     order = Window.partitionBy("t.tick").orderBy("t.finish", "rank", "t.turn", "part", "place")
     cut = cut.withColumn("left", F.lit(budget - before) - F.sum("size").over(order) + F.col("size"))
     cut = cut.groupBy("rank", "part", "place").agg(F.sum(F.greatest(F.lit(0), F.least("size", "left"))).alias("more"))
-    return rows.join(cut, ["rank", "part", "place"], "left").select("key", "size", "source", "source_size", "target", (F.col("whole") + F.coalesce("more", F.lit(0))).cast("long").alias("taken"))
+    return rows.join(merged(cut), ["rank", "part", "place"], "left").select("key", "size", "source", "source_size", "target", (F.col("whole") + F.coalesce("more", F.lit(0))).cast("long").alias("taken"))
 
 
 def mix_documents(docs: DataFrame, seed: str = "mix") -> DataFrame:

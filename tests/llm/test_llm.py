@@ -749,6 +749,25 @@ def test_pipeline_keeps_a_row_of_each_component_and_mixes_rows(spark):
     assert +taken == Counter({s: n for s in ("s1", "s2", None) if (n := words(mix.where(mix.source.eqNullSafe(s))))})
 
 
+def test_stages_broadcast_only_counted_tables(spark, monkeypatch):
+    """A limit that no table keeps leaves only joins of two shuffles, however small the stages' tables seem to Spark."""
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(i, f"one two three four{i % 7} five six{i % 3}", "en", f"s{i % 3}", 40) for i in range(40)], "doc_id long, text string, lang string, source string, n_chars long")
+    bench = spark.createDataFrame([(1, "two three four5"), (2, "six1")], "item_id long, text string")
+    stages = {"near": lambda: corpus_pipeline.one_of_near_duplicates(spark, docs, ""), "mix": lambda: corpus_pipeline.mixed(spark, docs, ""), "leaks": lambda: decontaminate.contaminated(docs, bench, broadcast_bytes=0)}
+    expected = {name: Counter(f().collect()) for name, f in stages.items()}
+    monkeypatch.setattr(common, "BROADCAST_ROWS", -1, raising=False)
+    plans = plans_of(monkeypatch, corpus_pipeline, simhash, components, mixing, decontaminate)
+    for name, f in stages.items():
+        plans.clear()
+        got = f()
+        plans.append(got._jdf.queryExecution().executedPlan().toString())
+        assert Counter(got.collect()) == expected[name] and expected[name]
+        assert any("SortMergeJoin" in p for p in plans)
+        assert not [line for p in plans for line in p.split("\n") if "Broadcast" in line], name
+
+
 def test_stages_with_nulls_repeats_and_empty_tables(spark, tmp_path):
     import corpus_pipeline
 

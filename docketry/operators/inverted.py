@@ -18,8 +18,8 @@ from docketry.functions.analysis import shingles, stems, token_graph, words_colu
 from docketry.operators import relational as op
 from docketry.operators.search import CLASS_WEIGHT, all_terms, cover_density, matches, positive_terms
 
-#: Folders of a table that is dealt out by term, and bytes of a dictionary that is broadcast.
-BUCKETS, BROADCAST = 64, 64 << 20
+#: Folders of a table that is dealt out by term, and rows of a table that is broadcast, as they were counted.
+BUCKETS, BROADCAST_ROWS = 64, 1 << 16
 # Boosts of the short and the long fields, of phrases in short fields, of types, of the latest version and of recent
 # action; letters from which one and two edits are allowed, letters at the start that must agree, and slack within a phrase.
 SHORT = {"bill_number": 5.0, "bill_number_forms": 5.0, "title": 3.0, "heading": 2.0, "sponsor_names": 2.0, "name": 1.0, "caption": 1.0}
@@ -46,10 +46,19 @@ def build(docs: DataFrame, key: str, fields: Sequence[str], stemmed: bool = True
     * stems (term, stem): what the words of a query are looked up as.
 
     Null fields have no words, and documents without words aren't in the index. A null key is a key like any other.
+    The keys are counted when the tables are built: only documents of keys that repeat are dealt out, all others become
+    postings where they are read.
     """
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), words_column(F.col(f).cast("string")).alias("words")) for f in fields]))
-    rows = docs.select(F.col(key).alias("key"), each.alias("f")).select("key", "f.field", "f.words").where(F.size("words") > 0)
-    postings = _placed(rows)
+    rows_of = lambda d: d.select(F.col(key).alias("key"), each.alias("f")).select("key", "f.field", "f.words").where(F.size("words") > 0)
+    rows = rows_of(docs)
+    again = docs.groupBy(F.col(key).alias("_again")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_again")
+    if n := again.count():
+        side, same = _side(again, n), F.col(key).eqNullSafe(F.col("_again"))
+        several = rows_of(docs.join(side, same, "left_semi")).groupBy("key", "field").agg(F.collect_list("words").alias("all"))
+        postings = _placed(rows_of(docs.join(side, same, "left_anti")).select("key", "field", F.array("words").alias("all")).unionByName(several))
+    else:
+        postings = _placed(rows.select("key", "field", F.array("words").alias("all")))
     dictionary = stems(rows.select(F.explode("words").alias("term"))) if stemmed else None
     if stemmed:
         places = F.array_sort(F.flatten(F.collect_list("at")))
@@ -58,10 +67,15 @@ def build(docs: DataFrame, key: str, fields: Sequence[str], stemmed: bool = True
     return {"postings": postings, "terms": terms_of(postings), "fields": fields_of(lengths), "lengths": lengths, "stems": dictionary if stemmed else own_stems(postings)}
 
 
+def _side(df: DataFrame, rows: int | None) -> DataFrame:
+    """The small side of a join: of few rows, counted, a broadcast, so that the large one isn't dealt out; of many never."""
+    return df if rows is None else F.broadcast(df) if rows <= BROADCAST_ROWS else df.hint("merge")
+
+
 def _placed(rows: DataFrame) -> DataFrame:
-    """(term, key, field, at, n) of (key, field, words). A field's words are sorted and cut where the next term begins
-    as one array, so that places don't travel one by one; rows that repeat a key count as one document."""
-    own = rows.groupBy("key", "field").agg(F.collect_list("words").alias("all")).withColumn("n", F.size(F.get("all", F.lit(0))))
+    """(term, key, field, at, n) of (key, field, all): the lists of words of a key's rows, which count as one document. A
+    field's words are sorted and cut where the next term begins as one array, so that places don't travel one by one."""
+    own = rows.withColumn("n", F.size(F.get("all", F.lit(0))))
     own = own.withColumn("s", F.array_sort(F.flatten(F.transform("all", lambda ws: F.transform(ws, lambda w, i: F.struct(w.alias("term"), i.alias("place"))))))).drop("all")
     term = lambda i: F.get(F.col("s"), i)["term"]
     own = own.withColumn("begins", F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: (i == 0) | (term(i) != term(i - 1)))).withColumn("places", F.transform("s", lambda x: x["place"]))
@@ -136,7 +150,9 @@ def save(tables: Mapping[str, DataFrame], path: str, buckets: int = BUCKETS, ste
     """Writes the tables; those with a term, prefix, variant or trigram in folders by its hash and their number, sorted within.
 
     Numbers by term and field are counted from postings and lengths as they were written, if these are among the tables,
-    so that the texts aren't analysed for them again; without stems the terms are listed so too.
+    so that the texts aren't analysed for them again; without stems the terms are listed so too. Postings without stems
+    aren't dealt out: each task sorts those of the documents that it reads and writes a file to each folder, so that
+    beside the index itself only what a task sorts takes disk.
     """
     made = {"terms": ("postings", terms_of), "fields": ("lengths", fields_of)} | ({} if stemmed else {"stems": ("postings", own_stems)})
     for name, df in sorted(tables.items(), key=lambda kv: kv[0] in made):
@@ -145,8 +161,10 @@ def save(tables: Mapping[str, DataFrame], path: str, buckets: int = BUCKETS, ste
         by = next((c for c in ("term", "prefix", "variant", "gram") if c in df.columns), None)
         if by and name != "stems":
             dealt = df.withColumns({"buckets": F.lit(buckets), "bucket": bucket(F.col(by), F.lit(buckets))})
-            # Where a frequent term makes a folder too much for one task, Spark deals it out to several.
-            dealt.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", by).write.mode("overwrite").partitionBy("buckets", "bucket").parquet(f"{path}/{name}")
+            if name != "postings" or stemmed:
+                # Where a frequent term makes a folder too much for one task, Spark deals it out to several.
+                dealt = dealt.hint("rebalance", F.col("bucket"))
+            dealt.sortWithinPartitions("bucket", by).write.mode("overwrite").partitionBy("buckets", "bucket").parquet(f"{path}/{name}")
         else:
             df.write.mode("overwrite").parquet(f"{path}/{name}")
 
@@ -233,29 +251,43 @@ def best_fields(tables: Mapping[str, DataFrame], queries: DataFrame, boosts: Map
     A word's score is its rarity in the field, damped by repetition and by the field's length; `fuzziness` is (word,
     term, edits), and of the terms near a word the best one in a field counts, less one third for each edit.
     """
-    asked = queries.select("qid", F.array_distinct("words").alias("words")).select("qid", F.size("words").alias("asked"), F.explode("words").alias("word"))
+    asked = queries.select("qid", F.explode(F.array_distinct("words")).alias("word"))
+    n = asked.count()
     near = asked.select("word").distinct().select("word", F.col("word").alias("term"), F.lit(0).alias("edits")) if fuzziness is None else fuzziness
-    asked = asked.join(tables["stems"].withColumnRenamed("term", "word"), "word", "left").withColumn("word", F.coalesce("stem", "word")).drop("stem").distinct()
+    asked = asked.join(_stems_of(tables, asked, n), "word", "left").withColumn("word", F.coalesce("stem", "word")).drop("stem").distinct()
     boost = F.create_map(*[F.lit(x) for kv in boosts.items() for x in kv])
-    hits = asked.join(near, "word").join(tables["postings"].where(F.col("field").isin(list(boosts))), "term")
-    hits = hits.join(tables["terms"], ["term", "field"]).join(F.broadcast(tables["fields"]), "field")  # a row for each field
+    # What is asked meets the terms' numbers first, so that it alone travels, not the postings; how many terms are near isn't known.
+    few = n * len(boosts) if fuzziness is None else None
+    wanted = tables["terms"].where(F.col("field").isin(list(boosts))).join(_side(asked.join(near, "word"), few), "term")
+    wanted = wanted.join(F.broadcast(tables["fields"]), "field")  # a row for each field
+    places = tables["postings"].where(F.col("field").isin(list(boosts))).select("term", "field", "key", "n", F.size("at").alias("tf"))
+    hits = places.join(_side(wanted, few), ["term", "field"])
     rarity = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = F.size("at")
+    tf = F.col("tf")
     own = rarity * (K1 + 1) * tf / (tf + K1 * (1 - B + B * F.col("n") / F.col("mean"))) * (1 - F.col("edits") / 3)
-    by_word = hits.groupBy("qid", "asked", "key", "field", "word").agg(F.max(own).alias("score"))
-    by_field = by_word.groupBy("qid", "asked", "key", "field").agg(F.count(F.lit(1)).alias("met"), F.sum("score").alias("score"))
-    full = by_field.join(asked.groupBy("qid").agg(F.count(F.lit(1)).alias("needed")), "qid").where("met = needed")
+    # Dealt out once, by query and document, for all sums that follow.
+    hits = hits.select("qid", "key", "field", "word", own.alias("score")).repartition("qid", "key")
+    by_word = hits.groupBy("qid", "key", "field", "word").agg(F.max("score").alias("score"))
+    by_field = by_word.groupBy("qid", "key", "field").agg(F.count(F.lit(1)).alias("met"), F.sum("score").alias("score"))
+    full = by_field.join(_side(asked.groupBy("qid").agg(F.count(F.lit(1)).alias("needed")), n), "qid").where("met = needed")
     return full.groupBy("qid", "key").agg(F.max(F.col("score") * F.element_at(boost, F.col("field"))).alias("score"))
 
 
+def _stems_of(tables: Mapping[str, DataFrame], asked: DataFrame, n: int) -> DataFrame:
+    """(word, stem) of the asked words, `n` at most, that the index knows."""
+    known = tables["stems"].withColumnRenamed("term", "word").join(_side(asked.select("word").distinct(), n), "word", "left_semi")
+    return _side(known, n)
+
+
 def near_phrases(tables: Mapping[str, DataFrame], queries: DataFrame, boosts: Mapping[str, float], slop: int = SLOP) -> DataFrame:
     """(qid, key, score) where all words of a query, two or more, stand in a field in order with at most `slop` others among them.
 
     Words are chained: each place of the first word is followed by the next word's nearest place behind.
     """
     asked = queries.where(F.size("words") > 1).select("qid", "words", F.posexplode("words").alias("i", "word"))
-    asked = asked.join(tables["stems"].withColumnRenamed("term", "word"), "word", "left").withColumn("term", F.coalesce("stem", "word"))
-    hits = asked.join(tables["postings"].where(F.col("field").isin(list(boosts))), "term")
+    n = asked.count()
+    asked = asked.join(_stems_of(tables, asked, n), "word", "left").withColumn("term", F.coalesce("stem", "word"))
+    hits = tables["postings"].where(F.col("field").isin(list(boosts))).join(_side(asked, n), "term")
     by = hits.groupBy("qid", "key", "field", F.size("words").alias("asked")).agg(F.array_sort(F.collect_list(F.struct("i", "at"))).alias("all")).where(F.size("all") == F.col("asked"))
     start = F.transform(F.get("all", F.lit(0))["at"], lambda p: F.struct(p.alias("first"), p.alias("last")))
 

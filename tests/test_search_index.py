@@ -2,6 +2,7 @@
 
 import itertools
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -168,3 +169,36 @@ def test_terms_are_counted_from_saved_postings(spark, tmp_path):
     got = inverted.load(spark, at, "terms", "stems", "fields")
     assert {r["term"]: r["df"] for r in got["terms"].collect()} == {"ax": 2, "and": 1, "ete": 2, "oak": 2}
     assert sorted(r["term"] for r in got["stems"].collect()) == ["and", "ax", "ete", "oak"] and got["fields"].first()["docs"] == 4
+
+
+def test_texts_and_postings_are_not_dealt_out(spark, tmp_path):
+    """Where keys don't repeat, postings are made and saved where their documents are read; asked words alone travel to them."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    docs = spark.createDataFrame([(i, f"the road {i}", f"the road of the county {i} and bill {i % 3}") for i in range(30)], "id long, title string, body string").repartition(3)
+    docs.write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    at = f"file://{tmp_path}/index"
+    built = inverted.build(docs, "id", ["title", "body"], stemmed=False)
+    assert "Exchange" not in plan(built["postings"])
+    inverted.save(built, at, buckets=2, stemmed=False)
+    files = list((tmp_path / "index" / "postings").rglob("*.parquet"))
+    assert len(files) > 2  # a task's own in each folder
+    tables = inverted.load(spark, at, *built)
+    assert Counter((r["term"], r["key"], r["field"], tuple(r["at"]), r["n"]) for r in tables["postings"].collect()) == Counter((r["term"], r["key"], r["field"], tuple(r["at"]), r["n"]) for r in built["postings"].collect())
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        queries = spark.createDataFrame([(1, ["the", "road"]), (2, ["county", "county"])], "qid long, words array<string>")
+        for found in (inverted.best_fields(tables, queries, {"body": 1.0}), inverted.near_phrases(tables, queries, {"title": 1.0})):
+            assert "hashpartitioning(term#" not in plan(found) and "BroadcastHashJoin" in plan(found)
+        assert {(r["qid"], r["key"]) for r in inverted.best_fields(tables, queries, {"body": 1.0}).collect()} == {(q, i) for q in (1, 2) for i in range(30)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+@pytest.mark.parametrize("limit", [1 << 16, 0])
+def test_documents_of_repeated_and_null_keys_are_one(spark, monkeypatch, limit):
+    monkeypatch.setattr(inverted, "BROADCAST_ROWS", limit)
+    docs = spark.createDataFrame([(1, "a b a"), (None, "c d"), (2, "a c"), (1, "b b"), (None, "d"), (3, None)], "id long, body string")
+    got = {(r["term"], r["key"]): sorted(r["at"]) for r in inverted.build(docs, "id", ["body"], stemmed=False)["postings"].collect()}
+    assert got == {("a", 1): [0, 2], ("b", 1): [0, 1, 1], ("c", None): [0], ("d", None): [0, 1], ("a", 2): [0], ("c", 2): [1]}
